@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, packing, simhash, token_files, vector_search, warc
+from . import decontaminate, line_dedup, packing, quality, simhash, token_files, toxicity, vector_search, warc
 
 QUERIES = {
     f.__name__: f
@@ -11,6 +11,8 @@ QUERIES = {
         packing.op2_grouping_genetic,
         token_files.op3_zstd_token_files,
         warc.op4_warc_zstd,
+        quality.op5_zstd_quality,
+        toxicity.op7_block_max_toxicity,
         line_dedup.op8_cuckoo_lines,
         simhash.op9_bit_sliced,
         decontaminate.op10_aho_corasick,
