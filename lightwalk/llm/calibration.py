@@ -40,20 +40,21 @@ def labelled_samples(docs: DataFrame, labels: DataFrame, label: str, learn: F.Co
 
 @dataclass
 class Logistic:
-    """A logistic model over standardised features and their squares."""
+    """A logistic model over standardised features and, if asked for, their squares."""
 
     mean: np.ndarray
     scale: np.ndarray
     weights: np.ndarray
+    squares: bool = True
 
     @staticmethod
-    def _wide(x: np.ndarray) -> np.ndarray:
-        return np.column_stack([x, x**2])
+    def _wide(x: np.ndarray, squares: bool) -> np.ndarray:
+        return np.column_stack([x, x**2]) if squares else x
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 50) -> Logistic:
-        """Newton's method with a ridge; without rows of both labels, the labels' smoothed mean."""
-        wide = cls._wide(np.asarray(x, float).reshape(len(y), -1))
+    def fit(cls, x: np.ndarray, y: np.ndarray, ridge: float = 0.1, squares: bool = True, steps: int = 50) -> Logistic:
+        """Damped Newton steps with a ridge; without rows of both labels, the labels' smoothed mean."""
+        wide = cls._wide(np.asarray(x, float), squares)
         mean, scale = (wide.mean(0), wide.std(0)) if len(y) else (np.zeros(wide.shape[1]), np.ones(wide.shape[1]))
         scale = np.where(scale > 1e-9, scale, 1.0)
         base = (y.sum() + 0.5) / (len(y) + 1)
@@ -63,15 +64,21 @@ class Logistic:
             a = np.column_stack([np.ones(len(y)), (wide - mean) / scale])
             penalty = np.full(len(weights), ridge)
             penalty[0] = 0
+            fit = lambda w: np.logaddexp(0, np.where(y == 1, -1, 1) * (a @ w)).sum() + penalty @ w**2 / 2
             for _ in range(steps):
                 p = 1 / (1 + np.exp(-np.clip(a @ weights, -30, 30)))
-                hessian = (a * (p * (1 - p))[:, None]).T @ a + np.diag(penalty + 1e-9)
+                hessian = (a * (p * (1 - p))[:, None]).T @ a + np.diag(penalty + 1e-6)
                 step = np.linalg.solve(hessian, a.T @ (y - p) - penalty * weights)
-                weights = weights + np.clip(step, -5, 5)
-                if np.abs(step).max() < 1e-8:
+                before, size = fit(weights), 1.0
+                while fit(weights + size * step) > before and size > 1e-6:  # a full step may overshoot
+                    size /= 2
+                if size <= 1e-6:
                     break
-        return cls(mean, scale, weights)
+                weights = weights + size * step
+                if np.abs(size * step).max() < 1e-8:
+                    break
+        return cls(mean, scale, weights, squares)
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
-        wide = (self._wide(np.asarray(x, float)) - self.mean) / self.scale
+        wide = (self._wide(np.asarray(x, float), self.squares) - self.mean) / self.scale
         return 1 / (1 + np.exp(-np.clip(self.weights[0] + np.clip(wide, -8, 8) @ self.weights[1:], -30, 30)))

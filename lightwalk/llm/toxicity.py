@@ -1,6 +1,6 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words (lower-cased, punctuation stripped at the ends) and their first four and five letters. The vocabulary are
+Terms are words (lower-cased, punctuation stripped at the ends) and their first four to eight letters. The vocabulary are
 the terms of the examples that lean most clearly to one label (chi-square of their document counts), ``terms`` at most.
 Inverse document frequencies come from all documents. Examples are vectors of ``(1 + ln tf) * idf`` of length one, laid
 out in blocks; each term knows the largest weight that it has in every block. For a text, the sum of its terms' block
@@ -41,7 +41,7 @@ def terms_of(token: str) -> list[str]:
     word = token.strip(EDGES)
     if not word:
         return []
-    return [word, *(f"{word[:n]}-" for n in (4, 5) if len(word) > n)]
+    return [word, *(f"{word[:n]}-" for n in range(4, 9) if len(word) > n)]
 
 
 class _Terms(dict):
@@ -122,24 +122,24 @@ class ToxicityModel:
     toxic: np.ndarray
     vectors: list[tuple[np.ndarray, np.ndarray]]
     k: int
-    logistic: Logistic = field(default_factory=lambda: Logistic.fit(np.empty((0, 3)), np.empty(0)))
+    logistic: Logistic = field(default_factory=lambda: Logistic.fit(np.empty((0, 4)), np.empty(0)))
 
     def opened(self) -> tuple[_Terms, BlockMax]:
         return _Terms(self.vocabulary), BlockMax(self.ids, self.vectors, max(1, len(self.vocabulary)))
 
     def votes(self, text: str | None, terms: _Terms, index: BlockMax) -> tuple[list[float], np.ndarray, np.ndarray]:
-        """Features: the share of toxic votes, their sum, the best similarity; and the neighbours."""
-        t, w = weights(terms.counts(text), self.idf)
-        if not len(t) or not len(self.ids):
-            return [0.0, 0.0, 0.0], np.empty(0, np.int64), np.empty(0)
-        places, scores = index.nearest(t, w, self.k)
+        """Features: the share of toxic votes; their sum; the share by how much of the text votes, in all and for its length; and the neighbours."""
+        counts = terms.counts(text)
+        t, w = weights(counts, self.idf)
+        places, scores = index.nearest(t, w, self.k) if len(t) and len(self.ids) else (np.empty(0, np.int64), np.empty(0))
         if not len(places):
-            return [0.0, 0.0, 0.0], places, scores
+            return [0.0] * 4, places, scores
         votes = float(scores[self.toxic[places] == 1].sum())
-        return [votes / float(scores.sum()), votes / self.k, float(scores[0])], places, scores
+        share, mass = votes / float(scores.sum()), sum(counts.values())
+        return [share, votes / self.k, share * math.log1p(mass), share * math.log1p(1000 * mass / len(text.split()))], places, scores
 
     @staticmethod
-    def fit(docs: DataFrame, labels: DataFrame, learn: F.Column, k: int = 15, per_class: int = 1500, calibration: int = 3000, terms: int = 4096) -> ToxicityModel:
+    def fit(docs: DataFrame, labels: DataFrame, learn: F.Column, k: int = 15, per_class: int = 3000, calibration: int = 4000, terms: int = 4096) -> ToxicityModel:
         spark = docs.sparkSession
         sample = labelled_samples(docs, labels, "toxic", learn, per_class, calibration)
         examples = sample.where("role = 'example'")
@@ -159,7 +159,7 @@ class ToxicityModel:
         vectors = [weights(dict(zip(r.t, r.n, strict=True)), idf) for r in rows]
         model = ToxicityModel(vocabulary, idf, np.array([r.doc_id for r in rows], np.int64), np.array([r.label for r in rows], np.int64), vectors, k)
         got = model._voted(sample.where("role = 'calibration'")).select("label", "x").orderBy("label", "x").collect()
-        model.logistic = Logistic.fit(np.array([r.x for r in got], float).reshape(-1, 3), np.array([r.label for r in got], float), ridge=1.0)
+        model.logistic = Logistic.fit(np.array([r.x for r in got], float).reshape(-1, 4), np.array([r.label for r in got], float), ridge=1.0, squares=False)
         return model
 
     def _voted(self, docs: DataFrame) -> DataFrame:
@@ -188,15 +188,15 @@ class ToxicityModel:
                     found, places, scores = model.votes(text, terms, index)
                     x.append(found)
                     evidence.append([{"doc_id": int(model.ids[p]), "similarity": float(s), "toxic": int(model.toxic[p])} for p, s in zip(places, scores, strict=True)])
-                score = model.logistic(np.array(x, float).reshape(-1, 3))
+                score = model.logistic(np.array(x, float).reshape(-1, 4))
                 yield pa.record_batch([batch["doc_id"], pa.array(score), pa.array(evidence, kind)], names=["doc_id", "score", "evidence"])
 
         schema = "doc_id long, score double, evidence array<struct<doc_id:long,similarity:double,toxic:int>>"
         return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
-def _leaning(examples: DataFrame, sizes: dict[int, int], terms: int, least: float = 10.83, documents: int = 3) -> list[str]:
-    """Terms of the examples by chi-square against the label, of at least ``least`` (one in a thousand by chance) and in ``documents`` examples."""
+def _leaning(examples: DataFrame, sizes: dict[int, int], terms: int, least: float = 28.0, documents: int = 5) -> list[str]:
+    """Terms of the examples by chi-square against the label, of at least ``least`` (by chance once in some million terms) and in ``documents`` examples."""
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
     if not bad or not good:
         return []
