@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, packing, quality, simhash, token_files, toxicity, vector_search, warc
+from . import decontaminate, line_dedup, packing, paragraphs, quality, simhash, token_files, toxicity, vector_search, warc
 
 QUERIES = {
     f.__name__: f
@@ -12,6 +12,7 @@ QUERIES = {
         token_files.op3_zstd_token_files,
         warc.op4_warc_zstd,
         quality.op5_zstd_quality,
+        paragraphs.op6_paragraph_minhash,
         toxicity.op7_block_max_toxicity,
         line_dedup.op8_cuckoo_lines,
         simhash.op9_bit_sliced,
