@@ -201,8 +201,8 @@ class LineDedup:
     def frequent(self) -> DataFrame:
         return self.refs.where(F.col("refs") >= self.threshold).select("key")
 
-    def rewrite(self, docs: DataFrame, max_sent: int = 64 << 20) -> DataFrame:
-        """``docs`` with text (frequent lines gone, the others joined by \\n), n_lines and n_dropped."""
+    def rewrite(self, docs: DataFrame, max_sent: int = 64 << 20, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+        """``docs`` with text (frequent lines gone, the others joined by newlines) and two counts, in place of columns of their names."""
         size = self.filters.agg(F.sum(F.octet_length("filter"))).first()[0] or 0
         if size <= max_sent:
             filters = {r.shard: r.filter for r in self.filters.collect()}
@@ -211,10 +211,10 @@ class LineDedup:
             wrong = common.materialize(held.join(self.frequent(), "key", "left_anti"), "line-exceptions")
             if 100 * wrong.count() <= max_sent:
                 known = docs.sparkSession.sparkContext.broadcast((filters, frozenset(bytes(r.key) for r in wrong.collect())))
-                return docs.mapInArrow(_dropping(known, self.shards), _rewritten(docs))
-        return self._joined(docs)
+                return docs.mapInArrow(_dropping(known, self.shards, counts), _rewritten(docs, counts))
+        return self._joined(docs, counts)
 
-    def _joined(self, docs: DataFrame) -> DataFrame:
+    def _joined(self, docs: DataFrame, counts: tuple[str, str]) -> DataFrame:
         """The way without a bound on what is frequent: (row, key) pairs meet the table, and go back to their rows."""
         # Row numbers must not change between reads, so that they are written first.
         rows = common.materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "line-rows")
@@ -222,14 +222,14 @@ class LineDedup:
         pairs = rows.select("__row", F.explode(F.array_distinct(key)).alias("key"))
         gone = pairs.join(self.frequent(), "key", "left_semi").groupBy("__row").agg(F.collect_list("key").alias("__gone"))
         joined = rows.join(gone, "__row", "left").drop("__row")
-        return joined.mapInArrow(_dropping(None, self.shards), _rewritten(docs))
+        return joined.mapInArrow(_dropping(None, self.shards, counts), _rewritten(docs, counts))
 
 
-def _rewritten(docs: DataFrame):
+def _rewritten(docs: DataFrame, counts: tuple[str, str]):
     from pyspark.sql.types import LongType, StructType
 
-    kept = [f for f in docs.schema.fields if f.name not in ("n_lines", "n_dropped")]
-    return StructType(kept).add("n_lines", LongType()).add("n_dropped", LongType())
+    kept = [f for f in docs.schema.fields if f.name not in counts]
+    return StructType(kept).add(counts[0], LongType()).add(counts[1], LongType())
 
 
 def _probe(keys: list[bytes], loaded: dict[int, Cuckoo], wrong: frozenset, shards: int) -> set[bytes]:
@@ -264,7 +264,7 @@ def _held(known, shards: int):
     return run
 
 
-def _dropping(known, shards: int):
+def _dropping(known, shards: int, counts: tuple[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if known is not None:
             filters, wrong = known.value
@@ -277,10 +277,10 @@ def _dropping(known, shards: int):
             else:
                 each = [set(x or ()) for x in batch["__gone"].to_pylist()]
             kept = [[line for line, key in lines if key not in gone] for lines, gone in zip(docs, each, strict=True)]
-            out = {name: batch[name] for name in batch.schema.names if name not in ("__gone", "n_lines", "n_dropped")}
+            out = {name: batch[name] for name in batch.schema.names if name not in ("__gone", *counts)}
             out["text"] = pa.array(["\n".join(x) for x in kept], pa.string())
-            out["n_lines"] = pa.array([len(x) for x in docs], pa.int64())
-            out["n_dropped"] = pa.array([len(x) - len(y) for x, y in zip(docs, kept, strict=True)], pa.int64())
+            out[counts[0]] = pa.array([len(x) for x in docs], pa.int64())
+            out[counts[1]] = pa.array([len(x) - len(y) for x, y in zip(docs, kept, strict=True)], pa.int64())
             yield pa.record_batch(list(out.values()), names=list(out))
 
     return run

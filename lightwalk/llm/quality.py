@@ -79,8 +79,8 @@ class QualityModel:
         got = rows.orderBy("doc_id").collect()
         return QualityModel(good, bad, Logistic.fit(np.array([r.x for r in got], float).reshape(-1, 4), np.array([r.label for r in got], float)))
 
-    def score(self, docs: DataFrame) -> DataFrame:
-        """``docs`` with score (0 to 1, higher: better)."""
+    def score(self, docs: DataFrame, name: str = "score") -> DataFrame:
+        """``docs`` with the score (0 to 1, higher: better) in column ``name``, in place of one of that name."""
         sent = docs.sparkSession.sparkContext.broadcast(self)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,10 +88,10 @@ class QualityModel:
             sizes = Sizes(model.good, model.bad)
             for batch in batches:
                 x = np.array([sizes(t) for t in batch["text"].to_pylist()], float).reshape(-1, 4)
-                kept = {name: batch[name] for name in batch.schema.names if name != "score"}
-                yield pa.record_batch([*kept.values(), pa.array(model.logistic(x))], names=[*kept, "score"])
+                kept = {n: batch[n] for n in batch.schema.names if n != name}
+                yield pa.record_batch([*kept.values(), pa.array(model.logistic(x))], names=[*kept, name])
 
-        schema = StructType([f for f in docs.schema.fields if f.name != "score"]).add("score", DoubleType())
+        schema = StructType([f for f in docs.schema.fields if f.name != name]).add(name, DoubleType())
         return docs.mapInArrow(run, schema)
 
 

@@ -80,7 +80,7 @@ def within(differs: Iterator[np.ndarray], radius: int) -> np.ndarray | None:
     """
     counters: list[np.ndarray] = []
     beyond = None
-    limit = (radius + 1).bit_length() - 1
+    limit = radius.bit_length()
     for k, carry in enumerate(differs):
         if beyond is None:
             beyond = np.zeros_like(carry)
