@@ -27,12 +27,12 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents that the compression classifier does not reject (score of 0.3 or more)."""
     labelled = common.table(spark, sf_dir, "documents")
     model = quality.fitted(labelled, common.table(spark, sf_dir, "labels"))
-    return _like(model.score(docs).where(F.col("score") >= quality.CUT), docs)
+    return _like(model.score(docs, "__score").where(F.col("__score") >= quality.CUT), docs)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that ten or more documents have."""
-    found = line_dedup.LineDedup.build(docs, threshold=10).rewrite(docs)
+    found = line_dedup.LineDedup.build(docs, threshold=10).rewrite(docs, counts=("__lines", "__dropped"))
     return _like(found.withColumn("n_chars", F.length("text").cast("long")), docs)
 
 
