@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 from . import common
 
 SCHEMA = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
-_WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: ASCII characters that are no word become blanks, A-Z become a-z.
 _PLAIN = {c: (chr(c).lower() if chr(c).isalnum() else " ") for c in range(128)}
 
@@ -77,7 +76,7 @@ def scan(text: str | None, automata: list) -> tuple[int, list[tuple[int, int]],
 
 def spans(text: str, ranges: list[tuple[int, int]]) -> list[dict[str, int]]:
     """Word ranges as character ranges of the original text."""
-    places = [m.span() for m in _WORDS.finditer(text)]
+    places = [m.span() for m in re.finditer("[^ ]+", text.translate(_PLAIN))]  # of the same length as the text
     return [{"start": places[a][0], "end": places[b - 1][1]} for a, b in ranges]
 
 

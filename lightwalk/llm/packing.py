@@ -150,7 +150,7 @@ def pack(
     islands: int = 2,
     epochs: int = 2,
     population: int = 4,
-    generations: int = 6,
+    generations: int = 20,
     rounds: int = 2,
     waste: int = 16,
 ) -> DataFrame:
@@ -182,7 +182,9 @@ def _round(pieces: DataFrame, capacity: int, pack_items: int, islands: int, epoc
     packed = dealt.groupBy("pack").agg(F.array_sort(F.collect_list(F.struct("length", "uid", *[c for c in pieces.columns if c not in ("length", "uid")]))).alias("items"))
     packed = common.materialize(packed, "packs")
     genomes = packed.select("pack", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), F.col("items.length").alias("lengths"))
-    genomes = genomes.withColumn("genomes", F.array().cast("array<binary>")).repartition(F.col("pack"), F.col("island"))
+    genomes = genomes.withColumn("genomes", F.array().cast("array<binary>"))
+    # As many tasks as keep every core busy: rows are few and small, but work.
+    genomes = genomes.repartition(max(common.slots(pieces.sparkSession), packs * islands // 8), "pack", "island")
     for epoch in range(epochs):
         if epoch:
             # The elite of each island migrates to the next one.

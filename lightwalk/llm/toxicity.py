@@ -77,41 +77,46 @@ def weights(counts: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 class BlockMax:
-    """Examples in blocks: for each block its terms' rows of weights, and for each term the largest weight in each block."""
+    """Examples in blocks of neighbours: a column of weights for each example, and for each term the largest weight in each block.
+
+    Examples with a strongest term in common stand together, so that most blocks lack most terms. Examples without a
+    term are similar to nothing and left out. Weights are single-precision numbers, scores double.
+    """
 
     def __init__(self, ids: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], vocabulary: int, block: int = 64):
-        self.ids, self.block = ids, block
-        count = -(-len(ids) // block)
-        self.most = np.zeros((vocabulary, count))
-        self.row = np.full((count, vocabulary), -1, np.int32)
-        self.postings: list[np.ndarray] = []
-        for b in range(count):
-            part = vectors[b * block : (b + 1) * block]
-            terms = np.unique(np.concatenate([t for t, _ in part])).astype(np.int64)
-            self.row[b, terms] = np.arange(len(terms))
-            dense = np.zeros((len(terms), len(part)))
-            for k, (t, w) in enumerate(part):
-                dense[self.row[b, t], k] = w
-            self.postings.append(dense)
-            if len(terms):
-                self.most[terms, b] = dense.max(1)
-
-    def nearest(self, terms: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places and similarities of the k nearest with any similarity at all, ties by place."""
+        strongest = [int(t[w.argmax()]) if len(t) else -1 for t, w in vectors]
+        order = sorted((k for k in range(len(ids)) if strongest[k] >= 0), key=lambda k: (strongest[k], len(vectors[k][0]), ids[k]))
+        self.places, self.ids = np.array(order, np.int64), np.asarray(ids)[order] if order else np.empty(0, np.int64)
+        blocks = -(-len(order) // block)
+        self.postings = np.zeros((vocabulary, blocks, block), np.float32)
+        for column, k in enumerate(order):
+            terms, w = vectors[k]
+            self.postings[terms, column // block, column % block] = w
+        self.most = self.postings.max(2).astype(float) if blocks else np.zeros((vocabulary, 0))
+
+    def _score(self, terms: np.ndarray, w: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found = np.round(np.tensordot(w, self.postings[terms[:, None], blocks].astype(float), 1), 9)
+        row, column = np.nonzero(found)
+        return blocks[row] * self.postings.shape[2] + column, found[row, column]
+
+    def nearest(self, terms: np.ndarray, w: np.ndarray, k: int, first: int = 6) -> tuple[np.ndarray, np.ndarray]:
+        """Places (in the order given) and similarities of the k nearest with any similarity at all, ties by id.
+
+        The blocks of the best bounds are opened first; of the others those whose bound reaches the k-th similarity.
+        """
         bound = w @ self.most[terms]
-        places, scores = np.empty(0, np.int64), np.empty(0)
-        for b in np.argsort(-bound, kind="stable"):
-            # A hair of slack: bounds and scores are rounded in different orders.
-            if bound[b] <= 0 or len(scores) == k and bound[b] < scores[-1] - 1e-9:
-                break
-            rows = self.row[b, terms]
-            has = rows >= 0
-            score = np.round(w[has] @ self.postings[b][rows[has]], 9)
-            places, scores = np.append(places, np.arange(len(score)) + b * self.block), np.append(scores, score)
-            top = np.lexsort((places, -scores))[:k]
-            top = top[scores[top] > 0]
-            places, scores = places[top], scores[top]
-        return places, scores
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+        at, scores = self._score(terms, w, order[:first])
+        if len(order) > first:
+            least = np.partition(scores, -k)[-k] if len(scores) >= k else 0.0
+            rest = order[first:]
+            rest = rest[bound[rest] >= least - 1e-8]  # a hair of slack: sums are rounded in different orders
+            if len(rest):
+                more, others = self._score(terms, w, rest)
+                at, scores = np.append(at, more), np.append(scores, others)
+        top = np.lexsort((self.ids[at], -scores))[:k]
+        return self.places[at[top]], scores[top]
 
 
 @dataclass
@@ -124,14 +129,24 @@ class ToxicityModel:
     k: int
     logistic: Logistic = field(default_factory=lambda: Logistic.fit(np.empty((0, 4)), np.empty(0)))
 
-    def opened(self) -> tuple[_Terms, BlockMax]:
-        return _Terms(self.vocabulary), BlockMax(self.ids, self.vectors, max(1, len(self.vocabulary)))
+    def opened(self) -> tuple[_Terms, BlockMax, dict]:
+        """What a worker needs, made once and kept with its copy of the model; the last: what is known of frequent vectors."""
+        if not hasattr(self, "_opened"):
+            self._opened = _Terms(self.vocabulary), BlockMax(self.ids, self.vectors, max(1, len(self.vocabulary))), {}
+        return self._opened
 
-    def votes(self, text: str | None, terms: _Terms, index: BlockMax) -> tuple[list[float], np.ndarray, np.ndarray]:
+    def votes(self, text: str | None) -> tuple[list[float], np.ndarray, np.ndarray]:
         """Features: the share of toxic votes; their sum; the share by how much of the text votes, in all and for its length; and the neighbours."""
+        terms, index, known = self.opened()
         counts = terms.counts(text)
-        t, w = weights(counts, self.idf)
-        places, scores = index.nearest(t, w, self.k) if len(t) and len(self.ids) else (np.empty(0, np.int64), np.empty(0))
+        if not counts:
+            return [0.0] * 4, np.empty(0, np.int64), np.empty(0)
+        key = tuple(sorted(counts.items()))
+        if key not in known:
+            if len(known) >= 20_000:
+                known.clear()
+            known[key] = index.nearest(*weights(counts, self.idf), self.k)
+        places, scores = known[key]
         if not len(places):
             return [0.0] * 4, places, scores
         votes = float(scores[self.toxic[places] == 1].sum())
@@ -158,7 +173,9 @@ class ToxicityModel:
         rows = examples.select("doc_id", "label", "text").mapInArrow(count, "doc_id long, label int, t array<int>, n array<int>").orderBy("doc_id").collect()
         vectors = [weights(dict(zip(r.t, r.n, strict=True)), idf) for r in rows]
         model = ToxicityModel(vocabulary, idf, np.array([r.doc_id for r in rows], np.int64), np.array([r.label for r in rows], np.int64), vectors, k)
-        got = model._voted(sample.where("role = 'calibration'")).select("label", "x").orderBy("label", "x").collect()
+        # Some thousands of rows; sorted here, so that sums come out alike on every run.
+        got = model._voted(sample.where("role = 'calibration'")).select("label", "x").collect()
+        got.sort(key=lambda r: (r.label, r.x))
         model.logistic = Logistic.fit(np.array([r.x for r in got], float).reshape(-1, 4), np.array([r.label for r in got], float), ridge=1.0, squares=False)
         return model
 
@@ -167,9 +184,8 @@ class ToxicityModel:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             model = sent.value
-            terms, index = model.opened()
             for batch in batches:
-                x = [model.votes(t, terms, index)[0] for t in batch["text"].to_pylist()]
+                x = [model.votes(t)[0] for t in batch["text"].to_pylist()]
                 yield pa.record_batch([batch["label"], pa.array(x, pa.list_(pa.float64()))], names=["label", "x"])
 
         return docs.select("label", "text").mapInArrow(run, "label int, x array<double>")
@@ -177,19 +193,17 @@ class ToxicityModel:
     def score(self, docs: DataFrame) -> DataFrame:
         """(doc_id, score, evidence): 0 to 1, higher: more likely toxic; the neighbours, nearest first."""
         sent = docs.sparkSession.sparkContext.broadcast(self)
-        kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             model = sent.value
-            terms, index = model.opened()
             for batch in batches:
-                x, evidence = [], []
-                for text in batch["text"].to_pylist():
-                    found, places, scores = model.votes(text, terms, index)
-                    x.append(found)
-                    evidence.append([{"doc_id": int(model.ids[p]), "similarity": float(s), "toxic": int(model.toxic[p])} for p, s in zip(places, scores, strict=True)])
-                score = model.logistic(np.array(x, float).reshape(-1, 4))
-                yield pa.record_batch([batch["doc_id"], pa.array(score), pa.array(evidence, kind)], names=["doc_id", "score", "evidence"])
+                found = [model.votes(t) for t in batch["text"].to_pylist()]
+                score = model.logistic(np.array([x for x, _, _ in found], float).reshape(-1, 4))
+                ends = np.cumsum([0, *(len(p) for _, p, _ in found)])
+                places = np.concatenate([np.empty(0, np.int64), *(p for _, p, _ in found)])
+                columns = [pa.array(model.ids[places]), pa.array(np.concatenate([np.empty(0), *(s for _, _, s in found)])), pa.array(model.toxic[places].astype(np.int32))]
+                evidence = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, ["doc_id", "similarity", "toxic"]))
+                yield pa.record_batch([batch["doc_id"], pa.array(score), evidence], names=["doc_id", "score", "evidence"])
 
         schema = "doc_id long, score double, evidence array<struct<doc_id:long,similarity:double,toxic:int>>"
         return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)

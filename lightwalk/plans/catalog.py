@@ -571,3 +571,46 @@ def sp1_time_dependent_routes(spark, sf_dir):
         F.col("o_orderkey").alias("query_id"), (F.col("o_custkey") % size).alias("start"), (F.col("o_orderkey") * 37 % size).alias("goal"), (F.col("o_orderkey") % 4 * 0.5).alias("alpha"), (F.lit(480) + F.col("o_orderkey") * 15).cast("int").alias("departure"),
     )
     return graph.routes(adapters.edges(spark, sf_dir), queries)
+
+
+# --- streams ---------------------------------------------------------------------------------------------------------
+
+
+def _folder(spark: SparkSession) -> str:
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lightwalk-")
+    return f"{base.rstrip('/')}/streams-{uuid.uuid4().hex}"
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{sf_dir}/events.parquet"
+    known = spark.read.parquet(path)
+    stream = spark.readStream.schema(known.schema)
+    if any(f.endswith("/events.parquet") for f in known.inputFiles()):  # a single file: a stream watches its folder
+        return stream.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return stream.parquet(path)
+
+
+@query(None)
+def st1_st3_tracking(spark, sf_dir):
+    from ..streaming import tracking
+
+    k = F.col("event_id")
+    fixes = _events(spark, sf_dir).select("user_id", k.alias("fix_id"), F.col("ts").cast("timestamp").alias("ts"), adapters.lon(k).alias("lon"), adapters.lat(k).alias("lat"))
+    route = tracking.Route([2.345 + 0.0005 * i for i in range(35)], [48.853 + 0.0002 * i for i in range(35)], [150.0, 420.0, 900.0, 1400.0])
+    return tracking.drained(tracking.tracked(fixes, route), "fixes", _folder(spark))
+
+
+@query(
+    """
+    with e as (select *, max(ts) over () as newest from events)
+    select date_trunc('hour', ts) as start, event_type, count(*) as n from e group by 1, 2, newest having date_trunc('hour', ts) + interval 1 hour <= newest - interval 2 hour
+    """
+)
+def st_windowed_events(spark, sf_dir):
+    from ..streaming import tracking
+
+    found = tracking.drained(tracking.windowed(_events(spark, sf_dir)), "windows", _folder(spark))
+    return found.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n")

@@ -215,10 +215,10 @@ def test_block_max_equals_all_cosines():
     index = toxicity.BlockMax(np.arange(300), vectors, 60, block=16)
     dense = np.zeros((300, 60))
     for k, (t, w) in enumerate(vectors):
-        dense[k, t] = w
+        dense[k, t] = w.astype(np.float32)
     for _ in range(50):
         t, w = toxicity.weights({int(x): 1 for x in rng.choice(60, 6, replace=False)}, idf)
-        places, scores = index.nearest(t, w, 10)
+        places, scores = index.nearest(t, w, 10, first=2)
         every = np.round(dense[:, t] @ w, 9)
         order = [k for k in np.lexsort((np.arange(300), -every)) if every[k] > 0][:10]
         assert places.tolist() == order and np.allclose(scores, every[order])
