@@ -134,7 +134,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, kind: str = "<u2", sampl
         encode, part = tokens.encoder(tokenizer, "bytes"), TaskContext.get().partitionId()
         writer = stream = name = None
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+                doc_id, text = doc_id.as_py(), text.as_py()  # one text at a time
                 if writer is None:
                     name = f"{path}/{part:06d}-{uuid.uuid4().hex}.tok"
                     stream = store.open_output_stream(name)
@@ -149,8 +150,11 @@ def write(docs: DataFrame, folder: str, tokenizer: str, kind: str = "<u2", sampl
     return common.materialize(ordered.mapInArrow(run, FILES), "token-files"), dictionary
 
 
-def read(files: DataFrame, folder: str, dictionary: bytes, kind: str = "<u2") -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of all documents, from the files alone; start counts over all files."""
+def read(files: DataFrame, folder: str, dictionary: bytes, kind: str = "<u2", task_tokens: int = 1 << 22) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of all documents, from the files alone; start counts over all files.
+
+    A task reads files of about ``task_tokens`` tokens, one document at a time.
+    """
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     files = files.withColumn("base", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
 
@@ -163,9 +167,9 @@ def read(files: DataFrame, folder: str, dictionary: bytes, kind: str = "<u2") ->
                 columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
                 yield pa.record_batch(columns, names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    names = common.materialize(files.select("path", "base"), "token-bases")
-    count = max(1, names.count())
-    return names.repartition(count).mapInArrow(run, OUT)
+    names = common.materialize(files.select("path", "base", "tokens"), "token-bases")
+    count, total = names.agg(F.count("*"), F.sum("tokens")).first()
+    return names.select("path", "base").repartition(max(1, min(count, -(-(total or 0) // task_tokens)))).mapInArrow(run, OUT)
 
 
 def op3_zstd_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ Ids of units are kept in a table of bounded size, which only saves time.
 
 from __future__ import annotations
 
+import codecs
 import re
 from array import array
 from functools import lru_cache
@@ -58,20 +59,36 @@ class _Known(dict):
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids. ``kind``: "word" or "bytes"."""
 
-    def __init__(self, path: str, kind: str, remember: int = 400_000):
+    def __init__(self, path: str, kind: str, remember: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.kind = self.tokenizer.model, kind
-        self.letters = dict(enumerate(_byte_letters()))
+        self.letters = "".join(_byte_letters())
         self.marks = {t.content[0] for t in self.tokenizer.get_added_tokens_decoder().values()}
+        self.space, self.newline = self.letters[ord(" ")], self._pieces(("\n",)) if kind == "bytes" else b""
+        self.stops = {c: self._pieces((c,)) for c in ".,;:!?"}
         self.known = _Known(self._word if kind == "word" else self._bytes, remember)
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def _plain(self, word: str) -> bytes | None:
+        """Ids of ASCII letters, perhaps with one mark after them: the usual unit. None for any other."""
+        mark = b""
+        if not word.isalpha():
+            mark, word = self.stops.get(word[-1:]), word[:-1]
+            if mark is None or not word.isalpha():
+                return None
+        if not word.isascii():
+            return None
+        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes() + mark
+
     def _word(self, unit: bytes) -> bytes:
         text = unit.decode()
+        ids = self._plain(text.lower())
+        if ids is not None:
+            return ids
         if _LETTERS.match(text):
             return self._pieces((text.lower(),))
         if _PLAIN.match(text) and self.marks.isdisjoint(text):
@@ -79,6 +96,21 @@ class Encoder:
         return self.whole(text)
 
     def _bytes(self, unit: str) -> bytes:
+        first, body = unit[:1], unit[1:]
+        if first == "\n":  # a piece by itself before a letter
+            ids = self._plain(body)
+            if ids is not None:
+                return self.newline + ids
+        elif first == " " and body.isascii():
+            if body.isalpha():
+                return array("I", [t.id for t in self.model.tokenize(self.space + body)]).tobytes()
+            mark = self.stops.get(body[-1:])
+            if mark is not None and body[:-1].isalpha():
+                return self.known[unit[:-1]] + mark  # the word alone is likely known
+        else:
+            ids = self._plain(unit)
+            if ids is not None:
+                return ids
         if _LETTERS.match(unit):
             return self._pieces((unit,))
         if _PLAIN.match(unit) and self.marks.isdisjoint(unit):
@@ -89,7 +121,7 @@ class Encoder:
         ids, tokenize = [], self.model.tokenize
         for part in parts:
             if not part.isascii() or part[0] <= " ":
-                part = part.encode().decode("latin-1").translate(self.letters)
+                part = codecs.charmap_decode(part.encode(), "strict", self.letters)[0]
             ids += [t.id for t in tokenize(part)]
         return array("I", ids).tobytes()
 
