@@ -45,9 +45,7 @@ class _Known(dict):
         self.encode, self.limit, self.old = encode, limit, {}
 
     def __missing__(self, unit):
-        ids = self.old.pop(unit, None)
-        if ids is None:
-            ids = self.encode(unit)
+        ids = self.old.pop(unit, None) or self.encode(unit)
         if len(unit) <= 64:
             if len(self) >= self.limit:
                 self.old = dict(self)
@@ -59,7 +57,7 @@ class _Known(dict):
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids. ``kind``: "word" or "bytes"."""
 
-    def __init__(self, path: str, kind: str, remember: int = 300_000):
+    def __init__(self, path: str, kind: str, remember: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
