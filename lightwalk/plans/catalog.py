@@ -303,7 +303,7 @@ def j21_better_side(spark, sf_dir):
 
 @query(
     """
-    select segment_id, side, cast(floor(avg(svf)*100 + 0.5E0) as bigint) as svf, cast(floor(100E0*sum(cast(blocked as int))/count(*) + 0.5E0) as bigint) as blocked,
+    select segment_id, side, cast(floor(cast(sum(cast(round(svf*1000) as bigint)) as double)/(10*count(*)) + 0.5E0) as bigint) as svf, cast(floor(100E0*sum(cast(blocked as int))/count(*) + 0.5E0) as bigint) as blocked,
       max(case when 2*lit >= n then true else false end) as mostly_blocked from points join (select segment_id, count(*) as n, sum(cast(blocked as int)) as lit from points group by 1) using (segment_id) group by 1, 2
     """,
     "points",
@@ -311,7 +311,8 @@ def j21_better_side(spark, sf_dir):
 def a1_a4_side_measures(spark, sf_dir):
     p = adapters.points(spark, sf_dir)
     both = p.groupBy("segment_id").agg((2 * F.sum(F.col("blocked").cast("int")) >= F.count("*")).alias("mostly_blocked"))
-    each = p.groupBy("segment_id", "side").agg(half_up(F.avg("svf") * 100).alias("svf"), half_up(F.sum(F.col("blocked").cast("int")) * 100.0 / F.count("*")).alias("blocked"))
+    thousandths = F.sum(F.round(F.col("svf") * 1000).cast("long"))  # whole numbers: their sum does not depend on the order
+    each = p.groupBy("segment_id", "side").agg(half_up(thousandths.cast("double") / (F.count("*") * 10)).alias("svf"), half_up(F.sum(F.col("blocked").cast("int")) * 100.0 / F.count("*")).alias("blocked"))
     return each.join(both, "segment_id")
 
 
@@ -485,7 +486,7 @@ def w8_cumulative_distance(spark, sf_dir):
     b as (select user_id, fix_id, lon, lat, lag(lon) over o as lon0, lag(lat) over o as lat0 from (select user_id, event_id as fix_id, (2.345E0 + ((event_id*7919) % 10007)/10007E0*0.017E0) as lon, (48.853E0 + ((event_id*104729) % 10009)/10009E0*0.007E0) as lat from events) window o as (partition by user_id order by fix_id)),
     h as (select *, (degrees(atan2((lon - lon0)*111320*cos(radians((lat + lat0)/2)), (lat - lat0)*111132)) + 360) % 360 as heading from b),
     t as (select user_id, fix_id, heading, (((heading - lag(heading) over (partition by user_id order by fix_id) + 540) % 360 + 360) % 360) - 180 as turn from h)
-    select user_id, fix_id, round(turn, 4) as turn, case when abs(turn) < 28 then 'straight' when abs(turn) < 55 then case when turn > 0 then 'slight_right' else 'slight_left' end
+    select user_id, fix_id, round(turn, 4) + 0E0 as turn, case when abs(turn) < 28 then 'straight' when abs(turn) < 55 then case when turn > 0 then 'slight_right' else 'slight_left' end
       when abs(turn) < 135 then case when turn > 0 then 'right' else 'left' end else case when turn > 0 then 'sharp_right' else 'sharp_left' end end as kind from t where turn is not null
     """,
     "lamps",
