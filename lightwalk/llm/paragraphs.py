@@ -1,16 +1,22 @@
-"""Substring dedup: MinHash banding of paragraphs, exact Jaccard, and removals by connected components.
-
-Passages that repeat seldom start and end where lines do, so a paragraph here is a run of ``words`` words that starts at
-an anchor. Anchors are chosen by content (the smallest hash of two neighbouring words in every run of ``gap`` starts), so
-a passage that two documents share has the same anchors in both, wherever it stands: one of at least ``words + gap`` words
-has a whole paragraph in common for certain. With 25 and 26 that is every passage of over 50 words.
-
-Paragraphs are sets of five-word shingles (A-Z lower-cased words between ASCII white space). ``bands`` of ``rows`` MinHash
-values each (4 x 2: a pair of Jaccard similarity 0.8 collides with probability 0.983, equal ones always) are the keys under
-which paragraphs meet. Paragraphs of equal content (64-bit hash) are one; different contents that meet in different
-documents are verified by their exact Jaccard similarity (paragraphs of one document overlap, and are not compared with
-each other). Every such pair in a bucket is compared, in tiles where a bucket is large. Links make components; a component in at least two documents is a repeated passage: its first occurrence (smallest
-doc_id) stays, the others go.
+"""Substring dedup: MinHash keys of sliding windows, Jaccard of whole passages, and removals by connected components.
+
+Passages that repeat seldom start and end where lines do, so every place of a text is looked at. Two passages of over 50
+words with a five-word Jaccard similarity of 0.8 have 25 words in a row in common: of n shingles at most n/9 are lost, a
+changed word inside costs five, and what stays between the changes is 21 shingles at least. Therefore the keys are MinHash
+values of every window of 25 words over its ten-word shingles (seeds): equal windows have equal keys, so with one band of
+one row no such pair is missed. A value that stays the same from window to window is one key, at its least seed's place.
+
+What is compared is the surrounding of the seed, so many words to both sides that every run of ``words`` words with the
+seed is inside. Surroundings of equal content (64-bit hash) are one; different ones that meet in different documents are
+linked if any ``words`` words around the seed have a Jaccard similarity of ``similarity`` or more over their five-word
+shingles (A-Z lower-cased words between ASCII white space), word against word, or as sets where words were put in or left
+out. A text of fewer words, but 25, is compared as a whole. Buckets are compared in tiles where they are large. Links make
+components; a component in at least two documents is a repeated passage: its first occurrence (smallest doc_id) stays, the
+others go.
+
+A link also says which words around the seed are alike: from the first to the last shingle that both have. A removed
+passage is what it has in common with an earlier document (with a later one where there is no earlier one), so that all of
+a passage goes and nothing around it; seeds follow so closely that their spans join.
 
 Cases: null, empty and short texts have no paragraphs; of rows with one doc_id the least text stands; rows without doc_id
 take no part; passages that repeat inside one document only are left alone; an empty table gives an empty result; further
@@ -30,7 +36,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SHINGLE = 5
+SHINGLE, SEED, WINDOW = 5, 10, 25
 _ODD = np.random.default_rng(20240101).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -80,47 +86,33 @@ def _least(values: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def anchors(words: np.ndarray, ends: np.ndarray, length: int, gap: int) -> np.ndarray:
-    """Starts of paragraphs of ``length`` words in texts that lie end to end (``ends``: where each stops, ascending).
-
-    Of every ``gap`` starts in a row within a text the first with the smallest hash of two words; of fewer, the only one.
-    """
-    begins = np.append(0, ends[:-1])
-    counts = np.maximum(ends - begins - length + 1, 0)
-    long_enough = counts > 0
-    begins, counts = begins[long_enough], counts[long_enough]
-    if not len(counts):
-        return np.empty(0, np.int64)
-    edges = np.cumsum(counts)
-    first = edges - counts
-    starts = np.arange(edges[-1]) + np.repeat(begins - first, counts)
-    # The place in the low half makes values unique and the first of equals the least.
-    value = _combined(words, 2, 0)[starts] >> np.uint64(32) << np.uint64(32) | np.arange(len(starts), dtype=np.uint64)
-    few = counts <= gap
-    chosen = [np.minimum.reduceat(value, first)[few]]
-    if not few.all():
-        least = _least(value, gap)
-        text = np.repeat(np.arange(len(counts)), counts)
-        within = text[: len(least)] == text[gap - 1 :]  # windows of one text
-        within &= ~few[text[: len(least)]]
-        least = least[within]
-        chosen.append(least[np.append(True, least[1:] != least[:-1])])
-    return np.unique(starts[(np.concatenate(chosen) & np.uint64(0xFFFFFFFF)).astype(np.int64)])
-
-
-def signatures(words: np.ndarray, at: np.ndarray, length: int, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """(n,) contents and (bands, n) keys of the paragraphs that start at ``at``."""
-    content = _combined(words, length, 8)[at]
-    shingles = _combined(words, SHINGLE, 2)
-    own = shingles[at + np.arange(length - SHINGLE + 1)[:, None]]  # (shingles of a paragraph, n)
-    keys = np.empty((bands, len(at)), np.uint64)
+def minima(words: np.ndarray, text: np.ndarray, bands: int, rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each band: places of seeds and MinHash keys of all windows of texts that lie end to end (``text``: the text of each word), those of neighbours that share all seeds once."""
+    if len(words) < WINDOW:
+        return
+    seeds = _combined(words, SEED, 8)
+    within = text[: len(text) - WINDOW + 1] == text[WINDOW - 1 :]
     for b in range(bands):
-        key = np.full(len(at), b + 1, np.uint64)
+        key, new, at = np.full(np.count_nonzero(within), b + 1, np.uint64), np.zeros(np.count_nonzero(within), bool), None
+        new[:1] = True
         for r in range(rows):
-            # Shingles are mixed already: an odd factor permutes them anew.
-            key = key * _ODD[58] + (own * _ODD[34 + b * rows + r]).min(0)
-        keys[b] = _mix(key)
-    return content, keys
+            # Seeds are mixed already: an odd factor permutes them anew. The place in the low half makes the first of equals the least.
+            value = seeds * _ODD[34 + b * rows + r] >> np.uint64(32) << np.uint64(32) | np.arange(len(seeds), dtype=np.uint64)
+            least = (_least(value, WINDOW - SEED + 1)[within] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            key = key * _ODD[58] + seeds[least]
+            new[1:] |= least[1:] != least[:-1]
+            at = least if at is None else at
+        yield at[new], _mix(key[new])
+
+
+def contents(words: np.ndarray, begins: np.ndarray, ends: np.ndarray, at: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the surroundings of seeds at ``at``, up to ``side`` words to both sides within their text; words to the right."""
+    left, right = np.minimum(at - begins, side), np.minimum(ends - at - SEED, side)
+    power = np.cumprod(np.append(np.uint64(1), np.full(len(words), _ODD[59])), dtype=np.uint64)
+    back = np.cumprod(np.append(np.uint64(1), np.full(len(words), np.uint64(pow(int(_ODD[59]), -1, 1 << 64)))), dtype=np.uint64)
+    total = np.append(np.uint64(0), np.cumsum(words * power[:-1], dtype=np.uint64))
+    first, last = at - left, at + SEED + right
+    return _mix((total[last] - total[first]) * back[first] + left.astype(np.uint64) * _ODD[56] + right.astype(np.uint64) * _ODD[57]), right
 
 
 def _together(texts: list[tuple[int, str]], most: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -137,22 +129,22 @@ def _together(texts: list[tuple[int, str]], most: int = 1 << 19) -> Iterator[tup
         yield np.array(ids), np.cumsum([len(p) for p in parts]), np.concatenate(parts)
 
 
-def windows(docs: DataFrame, words: int, gap: int, bands: int, rows: int) -> DataFrame:
-    """A row for each paragraph: where it is, its content's hash, its keys."""
+def windows(docs: DataFrame, side: int, bands: int, rows: int) -> DataFrame:
+    """A row for each key: where its seed is, the words to the right of it in its surrounding, the hash of that, the key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, ends, hashed in _together(zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True)):
-                at = anchors(hashed, ends, words, gap)
-                if not len(at):
-                    continue
-                text = np.searchsorted(ends, at, side="right")
-                content, keys = signatures(hashed, at, words, bands, rows)
-                place = at - np.append(0, ends)[text]
-                columns = [pa.array(ids[text], pa.int64()), pa.array(place.astype(np.int32)), *(pa.array(c.view(np.int64)) for c in (content, *keys))]
-                yield pa.record_batch(columns, names=["doc_id", "pos", "content", *(f"k{b}" for b in range(bands))])
+                begins = np.append(0, ends[:-1])
+                of = np.repeat(np.arange(len(ends)), ends - begins)
+                for at, key in minima(hashed, of, bands, rows):
+                    text = of[at]
+                    content, right = contents(hashed, begins[text], ends[text], at, side)
+                    place = (at - begins[text]).astype(np.int32)
+                    columns = [pa.array(ids[text], pa.int64()), pa.array(place), pa.array(right.astype(np.int32)), *(pa.array(c.view(np.int64)) for c in (content, key))]
+                    yield pa.record_batch(columns, names=["doc_id", "pos", "right", "content", "key"])
 
-    return docs.mapInArrow(run, "doc_id long, pos int, content long, " + ", ".join(f"k{b} long" for b in range(bands)))
+    return docs.mapInArrow(run, "doc_id long, pos int, right int, content long, key long")
 
 
 def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,122 +175,176 @@ def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows.filter(pa.array(several & ~alone))
 
 
-def _contents(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(content, shingles) of the wanted (content, doc_id, pos): distinct shingle hashes, sorted, as bytes."""
+def _surroundings(docs: DataFrame, wanted: DataFrame, side: int) -> DataFrame:
+    """(content, around) of the wanted (content, doc_id, pos): four bytes of each word's hash, zero beyond the text."""
     per = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "content")).alias("wanted"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            content, sets = [], []
+            content, around = [], []
             for text, places in zip(batch["text"].to_pylist(), batch["wanted"].to_pylist(), strict=True):
-                hashed = word_hashes(text)
+                hashed = np.pad(np.maximum(word_hashes(text).astype(np.uint32), 1), side)
                 at = np.array([p["pos"] for p in places])
-                shingles = np.sort(_combined(hashed, SHINGLE, 2)[at[:, None] + np.arange(words - SHINGLE + 1)], axis=1)
                 content += [p["content"] for p in places]
-                sets += [x.tobytes() for x in shingles]
-            yield pa.record_batch([pa.array(content, pa.int64()), pa.array(sets, pa.binary())], names=["content", "shingles"])
+                around += [x.tobytes() for x in hashed[at[:, None] + np.arange(2 * side + SEED)]]
+            yield pa.record_batch([pa.array(content, pa.int64()), pa.array(around, pa.binary())], names=["content", "around"])
 
-    return docs.join(per.hint("shuffle_hash"), "doc_id").select("text", "wanted").mapInArrow(run, "content long, shingles binary")
+    return docs.join(per.hint("shuffle_hash"), "doc_id").select("text", "wanted").mapInArrow(run, "content long, around binary")
 
 
-def repeated(
-    docs: DataFrame, words: int = 25, gap: int = 26, bands: int = 4, rows: int = 2, similarity: float = 0.8, tile: int = 512
-) -> DataFrame:
-    """(doc_id, pos, component, first boolean): every paragraph that repeats in another document, by word position; ``first`` marks the document that keeps it."""
+def repeated(docs: DataFrame, words: int = 51, bands: int = 1, rows: int = 1, similarity: float = 0.8, tile: int = 512) -> DataFrame:
+    """(doc_id, pos, start, end, component, first boolean): every seed in a passage that repeats in another document, and the passage around it, by word position; ``first`` marks the document that keeps it."""
+    side = words - SEED
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     if docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
         docs = docs.groupBy("doc_id").agg(F.min("text").alias("text"))
-    keys = [f"k{b}" for b in range(bands)]
-    all_windows = common.materialize(windows(docs, words, gap, bands, rows), "paragraphs")
+    all_windows = common.materialize(windows(docs, side, bands, rows), "paragraphs")
     first = F.min(F.struct("doc_id", "pos")).alias("at")
-    contents = common.materialize(all_windows.groupBy("content", *keys).agg(first, F.max("doc_id").alias("last")), "contents")
+    contents = common.materialize(all_windows.groupBy("content", "key").agg(first, F.max("doc_id").alias("last")), "contents")
     # Different contents that meet under a key, in different documents.
-    banded = contents.select("content", F.col("at.doc_id").alias("doc"), "last", F.explode(F.array(*keys)).alias("key"))
+    banded = contents.select("content", F.col("at.doc_id").alias("doc"), "last", "key")
     banded = banded.repartition("key").sortWithinPartitions("key", "content")
     met = common.materialize(banded.mapInArrow(_meeting, banded.schema), "meeting")
-    wanted = contents.join(met.select("content").distinct(), "content").select("content", "at.*")
-    sets = common.materialize(_contents(docs, wanted, words), "shingles")
+    single = contents if bands * rows == 1 else contents.groupBy("content").agg(F.min("at").alias("at"), F.max("last").alias("last"))
+    wanted = single.join(met.select("content").distinct(), "content").select("content", "at.*")
+    sets = common.materialize(_surroundings(docs, wanted, side), "surroundings")
     sizes = met.groupBy("key").agg(F.count("*").alias("n"))
     parts = F.ceil(F.col("n") / tile).cast("int")
     own = F.pmod(F.xxhash64("content"), parts).cast("int")
     tiles = F.transform(F.sequence(F.lit(0), parts - 1), lambda p: F.struct((F.least(p, own) * parts + F.greatest(p, own)).cast("long").alias("tile")))
-    only = F.when(F.col("doc") == F.col("last"), F.col("doc"))  # the document of a content that no other has
-    dealt = met.join(sizes, "key").select("key", "content", only.alias("only"), F.inline(tiles)).join(sets, "content")
-    dealt = dealt.repartition("key", "tile").sortWithinPartitions("key", "tile", "content").select("key", "tile", "content", "only", "shingles")
-    near = common.materialize(dealt.mapInArrow(_verified(similarity), "a long, b long").distinct(), "near")
+    dealt = met.join(sizes, "key").select("key", "content", "doc", "last", F.inline(tiles)).join(sets, "content")
+    dealt = dealt.repartition("key", "tile").sortWithinPartitions("key", "tile", "doc", "content").select("key", "tile", "content", "doc", "last", "around")
+    near = common.materialize(dealt.mapInArrow(_verified(words, similarity), "a long, b long, a_lo int, a_hi int, b_lo int, b_hi int"), "near")
     common.discard(met)
     common.discard(sets)
-    rooted = common.components(near)
+    rooted = common.components(near.select("a", "b"))
+    # What a content has in common with later documents, and with earlier ones.
+    sided = near.select(F.inline(F.array(
+        F.struct(F.col("a").alias("node"), F.col("a_lo").alias("later_lo"), F.col("a_hi").alias("later_hi"), F.lit(None).cast("int").alias("lo"), F.lit(None).cast("int").alias("hi")),
+        F.struct(F.col("b").alias("node"), F.lit(None).cast("int").alias("later_lo"), F.lit(None).cast("int").alias("later_hi"), F.col("b_lo").alias("lo"), F.col("b_hi").alias("hi")),
+    )))
+    alike = sided.groupBy("node").agg(F.min("later_lo").alias("later_lo"), F.max("later_hi").alias("later_hi"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    rooted = rooted.join(alike, "node")
     # A content's class, and whether that is in two documents at least; the others are dropped before they meet the windows.
-    classed = contents.join(rooted, F.col("content") == F.col("node"), "left").select("content", "at.doc_id", "last", F.coalesce("root", "content").alias("class"))
-    spread = classed.groupBy("class").agg(F.min("doc_id").alias("component"), F.max("last").alias("last")).where("component != last").drop("last")
-    kept = common.materialize(classed.join(spread, "class").select("content", "component"), "repeated-contents")
-    found = common.materialize(all_windows.select("doc_id", "pos", "content").join(kept, "content").select("doc_id", "pos", "component"), "repeated")
+    classed = single.join(rooted, F.col("content") == F.col("node"), "left").select("content", F.col("at.doc_id").alias("doc"), "last", F.coalesce("root", "content").alias("class"), "later_lo", "later_hi", "lo", "hi")
+    spread = classed.groupBy("class").agg(F.min("doc").alias("component"), F.max("last").alias("class_last")).where("component != class_last")
+    kept = common.materialize(classed.join(spread, "class").drop("class", "class_last"), "repeated-contents")
+    met_again = all_windows.drop("key").join(kept, "content")
+    stays, copied, left = F.col("doc_id") == F.col("component"), F.col("doc_id") > F.col("doc"), -F.least("pos", F.lit(side))
+    whole, both = F.col("right") + SEED, F.col("doc") != F.col("last")
+    lo = F.when(stays, F.least("later_lo", "lo", F.when(both, left))).when(copied, left).otherwise(F.coalesce("lo", "later_lo", left))
+    hi = F.when(stays, F.greatest("later_hi", "hi", F.when(both, whole))).when(copied, whole).otherwise(F.coalesce("hi", "later_hi", whole))
+    found = met_again.select("doc_id", "pos", (F.col("pos") + lo).alias("start"), (F.col("pos") + hi).alias("end"), "component")
+    found = common.materialize(found if bands == rows == 1 else found.distinct(), "repeated")
     for table in (all_windows, contents, near, kept):
         common.discard(table)
     return found.withColumn("first", F.col("doc_id") == F.col("component"))
 
 
-def _verified(similarity: float):
-    """Of rows sorted by bucket (key, tile): links that span the similar contents of each bucket. Two contents of one and the same document are not linked."""
-
-    def links(contents: list[int], only: list[int | None], sets: list[bytes]) -> Iterator[tuple[int, int]]:
-        rows = np.frombuffer(b"".join(sets), np.uint64).reshape(len(sets), -1)
-        if len(rows) == 2:  # the usual bucket
-            if only[0] is None or only[0] != only[1]:
-                a, b = set(rows[0].tolist()), set(rows[1].tolist())
-                both = len(a & b)
-                if both >= similarity * (len(a) + len(b) - both):
-                    yield contents[0], contents[1]
-            return
-        # Intersections of all pairs at once, by a matrix of contents and shingles.
-        names, column = np.unique(rows, return_inverse=True)
-        has = np.zeros((len(rows), len(names)), np.float32)
-        has[np.arange(len(rows))[:, None], column.reshape(rows.shape)] = 1
-        size, label = has.sum(1), np.arange(len(rows))
-        both = has @ has.T
-        near = both >= similarity * (size[:, None] + size - both)
-        known = np.array([x is not None for x in only])
-        home = np.array([x or 0 for x in only])
-        near &= ~(known[:, None] & known & (home[:, None] == home))
-        for i in range(len(rows)):
-            roots = np.unique(label[np.append(np.flatnonzero(near[i]), i)])
-            if len(roots) > 1:
-                label[np.isin(label, roots)] = roots[0]
-        for i in np.flatnonzero(label != np.arange(len(rows))):
-            yield contents[i], contents[label[i]]
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for batch in batches:
-            yield from zip(zip(batch["key"].to_pylist(), batch["tile"].to_pylist(), strict=True), *(batch[c].to_pylist() for c in ("content", "only", "shingles")), strict=True)
+def compare(a: np.ndarray, b: np.ndarray, words: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Whether surroundings (rows of ``a`` and ``b``) are alike around the seed; the words that are: (n, 4) first and end in a, first and end in b, counted from the seed."""
+    side = words - SEED
+    same = (a == b) & (a != 0)
+    shingle = same[:, : 1 - SHINGLE].copy()
+    for k in range(1, SHINGLE):
+        shingle &= same[:, k : same.shape[1] - SHINGLE + 1 + k]
+    inside = np.stack([(x != 0) for x in (a, b)])
+    begin, end = inside.argmax(2), inside.shape[2] - inside[:, :, ::-1].argmax(2)
+    length = np.minimum((end - begin).min(0), words)  # a text of fewer words is in its surrounding as a whole
+    count = length - SHINGLE + 1
+    total = np.zeros((len(a), shingle.shape[1] + 1), np.int32)
+    np.cumsum(shingle, axis=1, out=total[:, 1:])
+    k = np.arange(side + 1)
+    got = np.take_along_axis(total, np.minimum(k + count[:, None], shingle.shape[1]), 1) - total[:, : side + 1]
+    fits = (k >= begin.max(0)[:, None]) & (k + length[:, None] <= end.min(0)[:, None]) & (k + length[:, None] >= words)
+    near = fits & ((1 + similarity) * got >= 2 * similarity * count[:, None] - 1e-9)
+    alike = near.any(1)
+    first, last = near.argmax(1), side - near[:, ::-1].argmax(1) + count
+    place = np.arange(shingle.shape[1])
+    shared = shingle & (place >= first[:, None]) & (place < last[:, None])
+    low, high = shared.argmax(1) - side, shingle.shape[1] - shared[:, ::-1].argmax(1) + SHINGLE - 1 - side
+    spans = np.stack([low, high, low, high], 1)
+    # Words put in or left out: more shingles are shared than stand side by side, and windows are compared as sets.
+    seed = np.logical_and.accumulate(shingle[:, side::-1], 1).sum(1) + np.logical_and.accumulate(shingle[:, side + 1 :], 1).sum(1)
+    rest = np.flatnonzero(fits.any(1) & (seed >= np.where(length < words, SEED - SHINGLE + 1, WINDOW - SHINGLE + 1)) & ~same.all(1))
+    sets = [_combined(np.ascontiguousarray(x[rest].T, np.uint64), SHINGLE, 2).T.copy() for x in (a, b)]
+    for j, x in enumerate(sets):
+        outside = ~np.logical_and.reduce([inside[j, rest, k : k + x.shape[1]] for k in range(SHINGLE)])
+        x[outside] = np.broadcast_to(place.astype(np.uint64) * np.uint64(2) + np.uint64(j), x.shape)[outside]  # no shingle, and equal to none
+    merged = np.sort(np.concatenate(sets, 1), 1)
+    met = (merged[:, 1:] == merged[:, :-1]).sum(1)
+    for row in np.flatnonzero((met > total[rest, -1]) & ((1 + similarity) * met >= 2 * similarity * count[rest] - 1e-9)):
+        i, one, two = rest[row], sets[0][row].tolist(), sets[1][row].tolist()
+        n = int(count[i])
+        for at in np.flatnonzero(fits[i]):
+            x, y = one[at : at + n], two[at : at + n]
+            both = set(x) & set(y)
+            if len(both) >= similarity * len(set(x) | set(y)) - 1e-9:
+                here = [[at + j - side for j, s in enumerate(z) if s in both] for z in (x, y)]
+                found = [here[0][0], here[0][-1] + SHINGLE, here[1][0], here[1][-1] + SHINGLE]
+                spans[i] = [min(p, q) if j % 2 == 0 else max(p, q) for j, (p, q) in enumerate(zip(spans[i], found, strict=True))] if alike[i] else found
+                alike[i] = True
+    return alike, spans
+
+
+def _verified(words: int, similarity: float):
+    """Of rows sorted by bucket (key, tile) and document: links that span the alike contents of each bucket, the earlier document's first. Two contents of one and the same document are not linked."""
+
+    def links(bucket: np.ndarray, content: np.ndarray, only: np.ndarray, known: np.ndarray, around: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        starts = np.flatnonzero(np.append(True, (bucket[1:] != bucket[:-1]).any(1)))
+        sizes = np.diff(np.append(starts, len(bucket)))
+        two = starts[sizes == 2]  # the usual bucket
+        two = two[~(known[two] & known[two + 1] & (only[two] == only[two + 1]))]
+        alike, spans = compare(around[two], around[two + 1], words, similarity)
+        yield content[two][alike], content[two + 1][alike], spans[alike]
+        for start, size in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
+            label = np.arange(size)
+            for i in range(size - 1):
+                other = np.arange(i + 1, size)
+                s = slice(start + i + 1, start + size)
+                other = other[(label[i + 1 :] != label[i]) & ~(known[start + i] & known[s] & (only[start + i] == only[s]))]
+                if len(other):
+                    mine = np.broadcast_to(around[start + i], (len(other), around.shape[1]))
+                    alike, spans = compare(mine, around[start + other], words, similarity)
+                    other = other[alike]
+                    if len(other):
+                        label[np.isin(label, label[other])] = label[i]
+                        yield np.full(len(other), content[start + i]), content[start + other], spans[alike]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: set[tuple[int, int]] = set()
-        for _, group in itertools.chain(itertools.groupby(rows(batches), key=lambda x: x[0]), [(None, None)]):
-            if group is not None:
-                _, contents, only, sets = zip(*group, strict=True)
-                found.update(links(contents, only, sets))
-            if found and (group is None or len(found) > 50_000):
-                a, b = zip(*sorted(found), strict=True)
-                yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-                found = set()
+        held = None
+        for batch in itertools.chain(batches, [None]):
+            rows = held if batch is None else batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            if rows is None or not rows.num_rows:
+                continue
+            bucket = np.stack([rows[c].to_numpy() for c in ("key", "tile")], 1)
+            cut = np.flatnonzero((bucket != bucket[-1]).any(1))
+            done = rows.num_rows if batch is None else int(cut[-1]) + 1 if len(cut) else 0  # the last bucket may go on
+            held = rows.slice(done)
+            if not done:
+                continue
+            content, doc, last = (rows[c].to_numpy()[:done] for c in ("content", "doc", "last"))
+            around = np.frombuffer(b"".join(rows["around"].slice(0, done).to_pylist()), np.uint32).reshape(done, -1)
+            for a, b, spans in links(bucket[:done], content, doc, doc == last, around):
+                if len(a):
+                    yield pa.record_batch([pa.array(a), pa.array(b), *(pa.array(spans[:, k].astype(np.int32)) for k in range(4))], names=["a", "b", "a_lo", "a_hi", "b_lo", "b_hi"])
 
     return run
 
 
-def spans(found: DataFrame, words: int = 25) -> DataFrame:
-    """(doc_id, start, end, removed, components): paragraphs that overlap in a document joined to passages, by word position, kept and removed ones apart."""
-    order = Window.partitionBy("doc_id", "first").orderBy("pos")
-    new = (F.col("pos") > F.coalesce(F.lag("pos").over(order), F.lit(-(1 << 30))) + words).cast("int")
-    island = found.withColumn("new", new).withColumn("run", F.sum("new").over(order))
+def spans(found: DataFrame) -> DataFrame:
+    """(doc_id, start, end, removed, components): passages that overlap or touch in a document joined, by word position, kept and removed ones apart."""
+    order = Window.partitionBy("doc_id", "first").orderBy("start", "end")
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    island = found.withColumn("new", (F.col("start") > F.coalesce(before, F.lit(-1))).cast("int")).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return island.groupBy("doc_id", "first", "run").agg(
-        F.min("pos").cast("long").alias("start"), (F.max("pos") + words).cast("long").alias("end"), F.sort_array(F.collect_set("component")).alias("components")
+        F.min("start").cast("long").alias("start"), F.max("end").cast("long").alias("end"), F.sort_array(F.collect_set("component")).alias("components")
     ).select("doc_id", "start", "end", (~F.col("first")).alias("removed"), "components")
 
 
-def remove(docs: DataFrame, found: DataFrame, words: int = 25) -> DataFrame:
+def remove(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``docs`` without the words of removed passages; what stood between stays as it was."""
-    cut = spans(found, words).where("removed").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__cut"))
+    cut = spans(found).where("removed").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__cut"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import re

@@ -260,6 +260,45 @@ def test_paragraphs_with_few_changes_are_one_component(spark):
     assert paragraphs.repeated(docs.where("false")).count() == 0
 
 
+def test_long_passages_with_a_changed_word_go_as_a_whole(spark):
+    rng = random.Random(12)
+    unique = itertools.count()
+    fresh = lambda n: [f"x{next(unique)}" for _ in range(n)]
+    rows, ends, edits = [], {}, ("same", "changed", "put in", "left out")
+    for k, n in enumerate(range(51, 101)):
+        passage, edit = fresh(n), edits[k % 4]
+        copy = list(passage)
+        middle = n // 2
+        if edit == "changed":
+            copy[middle] = "other"
+        elif edit == "put in":
+            copy.insert(middle, "other")
+        elif edit == "left out" and n > 52:
+            del copy[middle]
+        before, after = fresh(rng.randrange(1, 80)), fresh(rng.randrange(1, 80))
+        rows += [(2 * k, " ".join([*fresh(30), *passage, *fresh(20)])), (2 * k + 1, " ".join([*before, *copy, *after]))]
+        ends[2 * k + 1] = (len(before), len(before) + len(copy), " ".join([*before, *after]))
+    far = fresh(60)  # over 50 words, but too many changes
+    rows += [(500, " ".join([*fresh(9), *far])), (501, " ".join([*(w if j % 12 else "other" for j, w in enumerate(far)), *fresh(9)]))]
+    docs = documents(spark, rows)
+    found = paragraphs.repeated(docs)
+    got = {(r.doc_id, r.start, r.end) for r in paragraphs.spans(found).where("removed").collect()}
+    assert got == {(i, a, b) for i, (a, b, _) in ends.items()}
+    texts = {r.doc_id: " ".join(r.text.split()) for r in paragraphs.remove(docs, found).collect()}
+    assert all(texts[i] == rest for i, (_, _, rest) in ends.items()) and all(texts[i] == t for i, t in rows if i not in ends)
+
+
+def test_copies_of_a_later_document_keep_what_only_it_has(spark):
+    unique = itertools.count()
+    fresh = lambda n: [f"y{next(unique)}" for _ in range(n)]
+    passage, own = fresh(60), fresh(40)
+    later = " ".join([*own, *passage, *fresh(40)])
+    docs = documents(spark, [(1, " ".join([*fresh(50), *passage])), (5, later), (9, later)])
+    found = paragraphs.repeated(docs)
+    cut = {(r.doc_id, r.start, r.end) for r in paragraphs.spans(found).where("removed").collect()}
+    assert cut == {(5, 40, 100), (9, 0, 140)}
+
+
 # --- 8 -------------------------------------------------------------------------------------------------------------
 
 
