@@ -287,6 +287,25 @@ def compare(a: np.ndarray, b: np.ndarray, words: int, similarity: float) -> tupl
     return alike, spans
 
 
+def possible(around: np.ndarray, words: int, similarity: float) -> np.ndarray:
+    """(n, n): pairs of surroundings that share enough shingles, wherever they are, to be alike; all pairs at once, by a matrix of surroundings and shingles."""
+    x = _combined(np.ascontiguousarray(around.T, np.uint64), SHINGLE, 2).T
+    there = np.logical_and.reduce([around[:, k : k + x.shape[1]] != 0 for k in range(SHINGLE)])
+    x = np.sort(np.where(there, x, np.uint64(0)), 1)
+    # The second of equal shingles in a row is another one, and so on.
+    place = np.arange(x.shape[1])
+    again = place - np.maximum.accumulate(np.where(np.diff(x, axis=1, prepend=~x[:, :1]) != 0, place, 0), 1)
+    marked = np.where(x == 0, x, x + again.astype(np.uint64) * _ODD[55])
+    names, column, count = np.unique(marked, return_inverse=True, return_counts=True)
+    shared = (count > 1) & (names != 0)
+    row, at = np.nonzero(shared[column.reshape(x.shape)])
+    has = np.zeros((len(x), np.count_nonzero(shared)), np.float32)
+    has[row, (np.cumsum(shared) - 1)[column.reshape(x.shape)[row, at]]] = 1
+    length = np.minimum((around != 0).sum(1), words)
+    count = np.minimum(length[:, None], length) - SHINGLE + 1
+    return (1 + similarity) * (has @ has.T) >= 2 * similarity * count - 1e-3
+
+
 def _verified(words: int, similarity: float):
     """Of rows sorted by bucket (key, tile) and document: links that span the alike contents of each bucket, the earlier document's first. Two contents of one and the same document are not linked."""
 
@@ -298,11 +317,12 @@ def _verified(words: int, similarity: float):
         alike, spans = compare(around[two], around[two + 1], words, similarity)
         yield content[two][alike], content[two + 1][alike], spans[alike]
         for start, size in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
+            s = slice(start, start + size)
+            near = possible(around[s], words, similarity) & ~(known[s, None] & known[s] & (only[s, None] == only[s]))
             label = np.arange(size)
-            for i in range(size - 1):
-                other = np.arange(i + 1, size)
-                s = slice(start + i + 1, start + size)
-                other = other[(label[i + 1 :] != label[i]) & ~(known[start + i] & known[s] & (only[start + i] == only[s]))]
+            for i in np.flatnonzero(np.triu(near, 1).any(1)):
+                other = np.flatnonzero(near[i] & (label != label[i]))
+                other = other[other > i]
                 if len(other):
                     mine = np.broadcast_to(around[start + i], (len(other), around.shape[1]))
                     alike, spans = compare(mine, around[start + other], words, similarity)
