@@ -3,9 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; its result is written as Parquet and
 read back as the next one's ``docs``. All but the last return the columns of ``documents``. ``n_chars`` follows the text.
 
-Cases: a row without doc_id stays as long as its text gives no reason to go; of a group of near duplicates the document
-with the smallest doc_id stays, with all rows of that id; null and empty texts are judged as
-empty ones; an empty table gives an empty result; further columns pass through.
+Cases: every stage judges rows, each by its own text; a row without doc_id stays as long as its text gives no reason to
+go, and so does a row whose doc_id has another text too; of a group of near duplicates one row stays, of those with the
+smallest doc_id (without doc_id only if none has one); null and empty texts are judged as empty ones, so one of them stays;
+an empty table gives an empty result; further columns pass through.
 """
 
 from __future__ import annotations
@@ -37,17 +38,19 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest doc_id."""
-    classes = simhash.classes(docs)
-    gone = classes.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return _like(docs.join(gone, "doc_id", "left_anti"), docs)
+    """One row of each group of near duplicates, with the smallest doc_id."""
+    numbered = common.materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    classes = simhash.classes(numbered.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"), "component_id")
+    ids = numbered.select(F.col("doc_id").cast("long").alias("id"), "__row").join(classes, "__row")
+    kept = ids.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "__row")).alias("first")).select("first.__row")
+    return _like(numbered.join(kept, "__row", "left_semi"), docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth is benchmark text."""
-    found = decontaminate.find(docs, common.table(spark, sf_dir, "benchmark"))
-    gone = found.where(decontaminate.contaminated()).select("doc_id").distinct()
-    return _like(docs.join(gone, "doc_id", "left_anti"), docs)
+    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("__row"))
+    found = decontaminate.find(rows, common.table(spark, sf_dir, "benchmark"), row="__row")
+    return found.where(~decontaminate.contaminated()).select("__row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import common
 
@@ -80,9 +81,10 @@ def spans(text: str, ranges: list[tuple[int, int]]) -> list[dict[str, int]]:
     return [{"start": places[a][0], "end": places[b - 1][1]} for a, b in ranges]
 
 
-def find(docs: DataFrame, benchmark: DataFrame, width: int = 13, max_windows: int = 200_000) -> DataFrame:
-    """Per document: words, hit words, the items that occur and the hit spans of its text."""
+def find(docs: DataFrame, benchmark: DataFrame, width: int = 13, max_windows: int = 200_000, row: str | None = None) -> DataFrame:
+    """Per document: words, hit words, the items that occur and the hit spans of its text. A column named ``row`` passes through."""
     spark = docs.sparkSession
+    passed = [row] if row else []
     share = F.pmod(F.xxhash64("item_id", "text"), F.lit(1 << 20))
     benchmark = benchmark.select("item_id", "text").where("item_id is not null and text is not null").withColumn("share", share)
     total = benchmark.agg(F.sum(F.greatest(F.size(F.split("text", " ")), F.lit(1)))).first()[0] or 0
@@ -99,9 +101,12 @@ def find(docs: DataFrame, benchmark: DataFrame, width: int = 13, max_windows: in
                 rows.append((doc_id, count, sum(b - a for a, b in ranges), sorted(items), spans(text, ranges) if ranges else []))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
             columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 5, kinds, strict=True)]
-            yield pa.record_batch(columns, names=["doc_id", "n_words", "n_hit", "items", "spans"])
+            yield pa.record_batch(columns + [batch[c] for c in passed], names=["doc_id", "n_words", "n_hit", "items", "spans", *passed])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
+    schema = StructType.fromDDL(SCHEMA)
+    for c in passed:
+        schema = schema.add(docs.schema[c])
+    return docs.select(F.col("doc_id").cast("long"), "text", *passed).mapInArrow(run, schema)
 
 
 def contaminated() -> F.Column:

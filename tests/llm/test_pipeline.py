@@ -57,3 +57,16 @@ def test_stages_keep_clean_documents_and_columns(spark, tables):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, tables)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == ids
     assert corpus_pipeline.run(spark, tables).count() == packed.count()
+
+
+def test_rows_without_id_and_of_one_id_are_judged_by_their_own_text(spark, tables):
+    rng = random.Random(2)
+    question = spark.read.parquet(f"{tables}/benchmark.parquet").first().text
+    a, b, c, clean, other = (prose(rng, 60) for _ in range(5))
+    rows = [(None, a), (None, a), (1, b), (1, b), (None, b), (2, clean), (2, b), (3, question), (3, other), (None, question), (4, c)]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, n int")
+    once = corpus_pipeline.drop_copies(spark, docs, tables)
+    assert once.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text) for r in once.collect()) == sorted([(0, a), (1, b), (2, clean), (3, question), (3, other), (4, c)])
+    left = corpus_pipeline.decontaminated(spark, docs, tables)
+    assert left.schema.names == docs.schema.names and sorted(r.n for r in left.collect()) == [0, 1, 2, 3, 4, 5, 6, 8, 10]
