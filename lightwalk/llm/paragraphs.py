@@ -272,11 +272,22 @@ def compare(a: np.ndarray, b: np.ndarray, words: int, similarity: float) -> tupl
         outside = ~np.logical_and.reduce([inside[j, rest, k : k + x.shape[1]] for k in range(SHINGLE)])
         x[outside] = np.broadcast_to(place.astype(np.uint64) * np.uint64(2) + np.uint64(j), x.shape)[outside]  # no shingle, and equal to none
     merged = np.sort(np.concatenate(sets, 1), 1)
-    met = (merged[:, 1:] == merged[:, :-1]).sum(1)
+    twice = [(np.diff(np.sort(x, 1), axis=1) == 0).sum(1) for x in sets]
+    met = (merged[:, 1:] == merged[:, :-1]).sum(1) - sum(twice)
     for row in np.flatnonzero((met > total[rest, -1]) & ((1 + similarity) * met >= 2 * similarity * count[rest] - 1e-9)):
         i, one, two = rest[row], sets[0][row].tolist(), sets[1][row].tolist()
         n = int(count[i])
-        for at in np.flatnonzero(fits[i]):
+        places = np.flatnonzero(fits[i])
+        if not twice[0][row] and not twice[1][row]:
+            # A shingle at x and y is in both windows from the later one's end to the earlier one's start: the first and the last alike tell.
+            _, x, y = np.intersect1d(sets[0][row], sets[1][row], assume_unique=True, return_indices=True)
+            steps = np.zeros(len(place) + 2, np.int64)
+            low, high = np.maximum(np.maximum(x, y) - n + 1, 0), np.minimum(x, y) + 1
+            np.add.at(steps, low[low < high], 1)
+            np.add.at(steps, high[low < high], -1)
+            places = places[(1 + similarity) * np.cumsum(steps)[places] >= 2 * similarity * n - 1e-9]
+            places = np.unique(places[[0, -1]]) if len(places) else places
+        for at in places:
             x, y = one[at : at + n], two[at : at + n]
             both = set(x) & set(y)
             if len(both) >= similarity * len(set(x) | set(y)) - 1e-9:
