@@ -1,20 +1,22 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words (lower-cased, punctuation stripped at the ends) and their first four to eight letters. The vocabulary are
-the terms of the examples that lean most clearly to one label (chi-square of their document counts), ``terms`` at most.
-Inverse document frequencies come from all documents. Examples are vectors of ``(1 + ln tf) * idf`` of length one, laid
-out in blocks; each term knows the largest weight that it has in every block. For a text, the sum of its terms' block
-maxima bounds what any example of a block can score; blocks are opened best bound first, until the k-th best similarity
-found is no worse than the next bound, so the k nearest are exact (ties: smaller doc_id). Their votes weigh by
-similarity, and a logistic fitted on other labelled documents makes of the votes a calibrated score; the neighbours are
-the evidence.
+Terms are all words of the examples (lower-cased, punctuation stripped at the ends); none is left out. Inverse document
+frequencies come from all documents. Examples are vectors of ``(1 + ln tf) * idf ** power`` of length one. The index keeps
+real postings: for each term the places and weights of the examples that have it, cut where a block of examples ends, with
+the largest weight of each cut. For a text, the sum of its terms' largest weights bounds what any example of a block can
+score; blocks are opened best bound first, a few at a time, until the k-th best similarity found is no worse than the next
+bound, so the k nearest are exact (ties: smaller doc_id). Words that no example has would lower all similarities of a text
+alike: cosines are those over the examples' words.
+
+The nearest vote by similarity: the toxic share of the votes of the nearest 5, 15, 50 and 150 is all that a logistic,
+fitted on other labelled documents, makes a calibrated score of. The nearest few are the evidence.
 
 Examples and calibration are bounded samples (``per_class``, ``calibration``); every document counts for frequencies and
 is scored, with its whole text.
 
-Cases: texts without a term of the vocabulary (null, empty) have no neighbours and the score of no votes; without labels
-of both kinds the score is the labels' mean; repeated rows score alike; an empty table gives an empty result; further
-columns are ignored.
+Cases: texts without a word that an example has (null, empty) have no neighbours and the score of no votes; without labels
+of both kinds the score is the labels' mean; repeated rows score alike; very long texts are one vector like any other; an
+empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -34,149 +37,167 @@ from .calibration import Logistic, labelled_samples, remainder
 
 FOLDS, HELD_OUT, CUT = 4, 2, 0.3
 EDGES = ".,;:!?\"'()[]{}<>*#$%&|-_/\\«»¿¡“”‘’…"
+NEAREST = (5, 15, 50, 150)
+
 
+def word_counts(text: str | None) -> Counter[str]:
+    """How often each word comes in the whole text."""
+    total: Counter[str] = Counter()
+    for token, n in Counter((text or "").lower().split()).items():
+        if word := token.strip(EDGES):
+            total[word] += n
+    return total
 
-def terms_of(token: str) -> list[str]:
-    """Terms of one blank-separated token."""
-    word = token.strip(EDGES)
-    if not word:
-        return []
-    return [word, *(f"{word[:n]}-" for n in range(4, 9) if len(word) > n)]
 
+@dataclass
+class Vocabulary:
+    """The examples' words; their places in it are looked up in a table that a worker makes once."""
 
-class _Terms(dict):
-    """Ids of a token's terms in the vocabulary, remembered up to a bound."""
+    words: pa.Array
 
-    def __init__(self, vocabulary: dict[str, int], limit: int = 400_000):
-        super().__init__()
-        self.vocabulary, self.limit = vocabulary, limit
+    @cached_property
+    def places(self) -> dict[str, int]:
+        return {w: i for i, w in enumerate(self.words.to_pylist())}
 
-    def __missing__(self, token: str) -> tuple[int, ...]:
-        found = tuple(self.vocabulary[t] for t in terms_of(token) if t in self.vocabulary)
-        if len(self) >= self.limit:
-            self.clear()
-        if len(token) <= 64:
-            self[token] = found
-        return found
+    def __getstate__(self):
+        return {"words": self.words}
 
-    def counts(self, text: str | None) -> Counter[int]:
-        total: Counter[int] = Counter()
-        for found in filter(None, map(self.__getitem__, (text or "").lower().split())):
-            total.update(found)
-        return total
+    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Places (ascending) and counts of the known words of a text."""
+        get = self.places.get
+        found = sorted((at, n) for w, n in word_counts(text).items() if (at := get(w)) is not None)
+        flat = np.array(found, np.int64).reshape(-1, 2)
+        return flat[:, 0], flat[:, 1]
 
 
-def weights(counts: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Terms (ascending) and their weights, of length one."""
-    terms = np.array(sorted(counts), np.int64)
-    if not len(terms):
-        return terms, np.empty(0)
-    w = (1 + np.log([counts[t] for t in terms.tolist()])) * idf[terms]
+def weights(counts: np.ndarray, idf: np.ndarray, power: float) -> np.ndarray:
+    """Weights of terms with these counts and inverse document frequencies, of length one."""
+    w = (1 + np.log(counts)) * idf**power
     length = math.sqrt(float(w @ w))
-    return terms, w / length if length else w
+    return w / length if length else w
+
+
+def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... ``count`` numbers each, end to end."""
+    ends = np.cumsum(count)
+    return np.repeat(start - ends + count, count) + np.arange(ends[-1] if len(ends) else 0)
 
 
 class BlockMax:
-    """Examples in blocks of neighbours: a column of weights for each example, and for each term the largest weight in each block.
+    """Postings of all terms over examples, in blocks of neighbours.
 
-    Examples with a strongest term in common stand together, so that most blocks lack most terms. Examples without a
-    term are similar to nothing and left out. Weights are single-precision numbers, scores double.
+    Examples whose strongest common term is the same stand together, so that whole blocks have little in common with a
+    text of another kind. Weights are single-precision numbers, scores double.
     """
 
-    def __init__(self, ids: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], vocabulary: int, block: int = 64):
-        strongest = [int(t[w.argmax()]) if len(t) else -1 for t, w in vectors]
-        order = sorted((k for k in range(len(ids)) if strongest[k] >= 0), key=lambda k: (strongest[k], len(vectors[k][0]), ids[k]))
-        self.places, self.ids = np.array(order, np.int64), np.asarray(ids)[order] if order else np.empty(0, np.int64)
-        blocks = -(-len(order) // block)
-        self.postings = np.zeros((vocabulary, blocks, block), np.float32)
-        for column, k in enumerate(order):
-            terms, w = vectors[k]
-            self.postings[terms, column // block, column % block] = w
-        self.most = self.postings.max(2).astype(float) if blocks else np.zeros((vocabulary, 0))
-
-    def _score(self, terms: np.ndarray, w: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        found = np.round(np.tensordot(w, self.postings[terms[:, None], blocks].astype(float), 1), 9)
-        row, column = np.nonzero(found)
-        return blocks[row] * self.postings.shape[2] + column, found[row, column]
-
-    def nearest(self, terms: np.ndarray, w: np.ndarray, k: int, first: int = 6) -> tuple[np.ndarray, np.ndarray]:
-        """Places (in the order given) and similarities of the k nearest with any similarity at all, ties by id.
-
-        The blocks of the best bounds are opened first; of the others those whose bound reaches the k-th similarity.
+    def __init__(self, ids: np.ndarray, ends: np.ndarray, terms: np.ndarray, w: np.ndarray, vocabulary: int, block: int = 64):
+        n = len(ids)
+        sizes = np.diff(np.append(0, ends))
+        owner = np.repeat(np.arange(n), sizes)
+        common_term = np.bincount(terms, minlength=vocabulary)[terms] * 50 >= n
+        kind = np.full(n, vocabulary)
+        strong = np.lexsort((w, owner, ~common_term))[: np.count_nonzero(common_term)]  # the strongest common term of each example comes last
+        kind[owner[strong]] = terms[strong]
+        order = np.lexsort((ids, sizes, kind))
+        self.ids, self.order = np.asarray(ids)[order], order
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        at = place[owner]
+        by = np.lexsort((at, terms))
+        self.place, self.weight = at[by].astype(np.int32), w[by].astype(np.float32)
+        term, cell = terms[by], at[by] // block
+        first = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (cell[1:] != cell[:-1]))) if len(term) else np.empty(0, np.int64)
+        self.start, self.size, self.cell = first, np.diff(np.append(first, len(term))), cell[first]
+        self.most = np.maximum.reduceat(self.weight, first).astype(float) if len(first) else np.empty(0)
+        self.cuts = np.searchsorted(term[first], np.arange(vocabulary + 1))
+        self.blocks, self.opened = -(-n // block), 0
+
+    def nearest(self, terms: np.ndarray, w: np.ndarray, k: int, step: int = 4) -> tuple[np.ndarray, np.ndarray]:
+        """Examples (as numbered when given) and similarities of the k nearest with any similarity at all, ties by id.
+
+        ``step`` blocks are opened at a time; after each time the k-th similarity decides whether the next bound can matter.
         """
-        bound = w @ self.most[terms]
+        counts = self.cuts[terms + 1] - self.cuts[terms]
+        cut = _ranges(self.cuts[terms], counts)
+        cell, factor = self.cell[cut], np.repeat(w, counts)
+        bound = np.bincount(cell, factor * self.most[cut], self.blocks)
         order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        at, scores = self._score(terms, w, order[:first])
-        if len(order) > first:
-            least = np.partition(scores, -k)[-k] if len(scores) >= k else 0.0
-            rest = order[first:]
-            rest = rest[bound[rest] >= least - 1e-8]  # a hair of slack: sums are rounded in different orders
-            if len(rest):
-                more, others = self._score(terms, w, rest)
-                at, scores = np.append(at, more), np.append(scores, others)
-        top = np.lexsort((self.ids[at], -scores))[:k]
-        return self.places[at[top]], scores[top]
+        order = order[: np.count_nonzero(bound > 0)]
+        by = np.argsort(cell.astype(np.int32), kind="stable")  # within a block terms keep their order, so sums come out alike
+        ends = np.cumsum(np.bincount(cell, minlength=self.blocks))
+        begins = np.append(0, ends[:-1])
+        score = np.zeros(len(self.ids))
+        done = 0
+        while done < len(order):
+            if done:
+                known = score[score > 0]
+                if len(known) >= k and bound[order[done]] < np.partition(known, -k)[-k] - 1e-8:  # a hair of slack: sums are rounded in different orders
+                    break
+            now = order[done : done + step]
+            some = by[_ranges(begins[now], ends[now] - begins[now])]
+            post = _ranges(self.start[cut[some]], self.size[cut[some]])
+            score += np.bincount(self.place[post], np.repeat(factor[some], self.size[cut[some]]) * self.weight[post], len(score))
+            done += len(now)
+        self.opened += done
+        score = np.round(score, 9)
+        near = np.flatnonzero(score)
+        if len(near) > k:
+            near = near[score[near] >= np.partition(score[near], -k)[-k]]
+        top = near[np.lexsort((self.ids[near], -score[near]))[:k]]
+        return self.order[top], score[top]
 
 
 @dataclass
 class ToxicityModel:
-    vocabulary: dict[str, int]
+    """Examples (id, label, vector), frequencies, and how votes become a score."""
+
+    vocabulary: Vocabulary
     idf: np.ndarray
     ids: np.ndarray
     toxic: np.ndarray
-    vectors: list[tuple[np.ndarray, np.ndarray]]
-    k: int
-    logistic: Logistic = field(default_factory=lambda: Logistic.fit(np.empty((0, 4)), np.empty(0)))
+    ends: np.ndarray
+    terms: np.ndarray
+    weights: np.ndarray
+    power: float
+    ks: tuple[int, ...]
+    logistic: Logistic = field(default_factory=lambda: Logistic.fit(np.empty((0, len(NEAREST))), np.empty(0)))
 
-    def opened(self) -> tuple[_Terms, BlockMax, dict]:
-        """What a worker needs, made once and kept with its copy of the model; the last: what is known of frequent vectors."""
-        if not hasattr(self, "_opened"):
-            self._opened = _Terms(self.vocabulary), BlockMax(self.ids, self.vectors, max(1, len(self.vocabulary))), {}
-        return self._opened
+    @cached_property
+    def index(self) -> BlockMax:
+        return BlockMax(self.ids, self.ends, self.terms, self.weights, len(self.idf))
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "index"}
 
     def votes(self, text: str | None) -> tuple[list[float], np.ndarray, np.ndarray]:
-        """Features: the share of toxic votes; their sum; the share by how much of the text votes, in all and for its length; and the neighbours."""
-        terms, index, known = self.opened()
-        counts = terms.counts(text)
-        if not counts:
-            return [0.0] * 4, np.empty(0, np.int64), np.empty(0)
-        key = tuple(sorted(counts.items()))
-        if key not in known:
-            if len(known) >= 20_000:
-                known.clear()
-            known[key] = index.nearest(*weights(counts, self.idf), self.k)
-        places, scores = known[key]
-        if not len(places):
-            return [0.0] * 4, places, scores
-        votes = float(scores[self.toxic[places] == 1].sum())
-        share, mass = votes / float(scores.sum()), sum(counts.values())
-        return [share, votes / self.k, share * math.log1p(mass), share * math.log1p(1000 * mass / len(text.split()))], places, scores
+        """The toxic share of the votes of so many nearest examples, for each number; the examples and their similarities."""
+        terms, counts = self.vocabulary.counts(text)
+        if not len(terms):
+            return [0.0] * len(self.ks), np.empty(0, np.int64), np.empty(0)
+        near, similar = self.index.nearest(terms, weights(counts, self.idf[terms], self.power), max(self.ks))
+        against = np.cumsum(similar * self.toxic[near])
+        every = np.cumsum(similar)
+        last = [min(k, len(near)) - 1 for k in self.ks]
+        return [float(against[i] / every[i]) if i >= 0 else 0.0 for i in last], near, similar
 
     @staticmethod
-    def fit(docs: DataFrame, labels: DataFrame, learn: F.Column, k: int = 15, per_class: int = 3000, calibration: int = 4000, terms: int = 4096) -> ToxicityModel:
-        spark = docs.sparkSession
+    def fit(docs: DataFrame, labels: DataFrame, learn: F.Column, ks: tuple[int, ...] = NEAREST, per_class: int = 3000, calibration: int = 4000, power: float = 2.0) -> ToxicityModel:
         sample = labelled_samples(docs, labels, "toxic", learn, per_class, calibration)
-        examples = sample.where("role = 'example'")
-        sizes = {r.label: r.n for r in examples.groupBy("label").agg(F.count("*").alias("n")).collect()}
-        vocabulary = {t: i for i, t in enumerate(_leaning(examples, sizes, terms))}
+        # At most 2 * per_class examples, as vectors of counts.
+        rows = sample.where("role = 'example'").select("doc_id", "label", "text").mapInArrow(_counted, "doc_id long, label int, words array<string>, n array<int>").orderBy("doc_id").toArrow()
+        lists = rows["words"].combine_chunks()
+        coded = lists.flatten().dictionary_encode()
+        terms, n = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), rows["n"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        vocabulary = Vocabulary(coded.dictionary)
+        ends = lists.offsets.to_numpy()[1:].astype(np.int64) - (lists.offsets[0].as_py() if len(lists.offsets) else 0)
         idf = _idf(docs, vocabulary)
-        sent = spark.sparkContext.broadcast(vocabulary)
-
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = _Terms(sent.value)
-            for batch in batches:
-                counts = [known.counts(t) for t in batch["text"].to_pylist()]
-                columns = [pa.array([sorted(c) for c in counts], pa.list_(pa.int32())), pa.array([[c[t] for t in sorted(c)] for c in counts], pa.list_(pa.int32()))]
-                yield pa.record_batch([batch["doc_id"], batch["label"], *columns], names=["doc_id", "label", "t", "n"])
-
-        rows = examples.select("doc_id", "label", "text").mapInArrow(count, "doc_id long, label int, t array<int>, n array<int>").orderBy("doc_id").collect()
-        vectors = [weights(dict(zip(r.t, r.n, strict=True)), idf) for r in rows]
-        model = ToxicityModel(vocabulary, idf, np.array([r.doc_id for r in rows], np.int64), np.array([r.label for r in rows], np.int64), vectors, k)
-        # Some thousands of rows; sorted here, so that sums come out alike on every run.
+        w = (1 + np.log(n)) * idf[terms] ** power
+        owner = np.repeat(np.arange(len(ends)), np.diff(np.append(0, ends)))
+        w = w / np.maximum(np.sqrt(np.bincount(owner, w * w, len(ends))), 1e-300)[owner]
+        model = ToxicityModel(vocabulary, idf, rows["doc_id"].to_numpy(), rows["label"].to_numpy().astype(np.int64), ends, terms.astype(np.int32), w.astype(np.float32), power, ks)
         got = model._voted(sample.where("role = 'calibration'")).select("label", "x").collect()
-        got.sort(key=lambda r: (r.label, r.x))
-        model.logistic = Logistic.fit(np.array([r.x for r in got], float).reshape(-1, 4), np.array([r.label for r in got], float), ridge=1.0, squares=False)
+        got.sort(key=lambda r: (r.label, r.x))  # sums come out alike on every run
+        model.logistic = Logistic.fit(np.array([r.x for r in got], float).reshape(-1, len(ks)), np.array([r.label for r in got], float), ridge=1.0, squares=False)
         return model
 
     def _voted(self, docs: DataFrame) -> DataFrame:
@@ -190,68 +211,54 @@ class ToxicityModel:
 
         return docs.select("label", "text").mapInArrow(run, "label int, x array<double>")
 
-    def score(self, docs: DataFrame) -> DataFrame:
-        """(doc_id, score, evidence): 0 to 1, higher: more likely toxic; the neighbours, nearest first."""
+    def score(self, docs: DataFrame, evidence: int = 5) -> DataFrame:
+        """(doc_id, score, evidence): 0 to 1, higher: more likely toxic; the ``evidence`` nearest examples, nearest first."""
         sent = docs.sparkSession.sparkContext.broadcast(self)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             model = sent.value
             for batch in batches:
                 found = [model.votes(t) for t in batch["text"].to_pylist()]
-                score = model.logistic(np.array([x for x, _, _ in found], float).reshape(-1, 4))
-                ends = np.cumsum([0, *(len(p) for _, p, _ in found)])
-                places = np.concatenate([np.empty(0, np.int64), *(p for _, p, _ in found)])
-                columns = [pa.array(model.ids[places]), pa.array(np.concatenate([np.empty(0), *(s for _, _, s in found)])), pa.array(model.toxic[places].astype(np.int32))]
-                evidence = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, ["doc_id", "similarity", "toxic"]))
-                yield pa.record_batch([batch["doc_id"], pa.array(score), evidence], names=["doc_id", "score", "evidence"])
+                score = model.logistic(np.array([x for x, _, _ in found], float).reshape(-1, len(model.ks)))
+                near, similar = (np.concatenate([np.empty(0, kind), *(f[j][:evidence] for f in found)]) for j, kind in ((1, np.int64), (2, float)))
+                ends = np.cumsum([0, *(len(n[:evidence]) for _, n, _ in found)])
+                columns = [pa.array(model.ids[near]), pa.array(similar), pa.array(model.toxic[near].astype(np.int32))]
+                proof = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, ["doc_id", "similarity", "toxic"]))
+                yield pa.record_batch([batch["doc_id"], pa.array(score), proof], names=["doc_id", "score", "evidence"])
 
         schema = "doc_id long, score double, evidence array<struct<doc_id:long,similarity:double,toxic:int>>"
         return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
-def _leaning(examples: DataFrame, sizes: dict[int, int], terms: int, least: float = 28.0, documents: int = 5) -> list[str]:
-    """Terms of the examples by chi-square against the label, of at least ``least`` (by chance once in some million terms) and in ``documents`` examples."""
-    bad, good = sizes.get(1, 0), sizes.get(0, 0)
-    if not bad or not good:
-        return []
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for label, text in zip(batch["label"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                found = sorted({x for token in set(text.lower().split()) for x in terms_of(token)})
-                yield pa.record_batch([pa.array(found, pa.string()), pa.array([label] * len(found), pa.int32())], names=["term", "label"])
-
-    a, b = F.col("bad").cast("double"), F.col("good").cast("double")
-    n, both = float(bad + good), F.col("bad") + F.col("good")
-    cross = a * (good - b) - b * (bad - a)
-    chi = n * cross * cross / (both * (n - both) * float(bad) * float(good))
-    counted = examples.select("label", "text").mapInArrow(split, "term string, label int").groupBy("term").agg(F.sum("label").alias("bad"), F.sum(1 - F.col("label")).alias("good"))
-    ranked = counted.where((both >= documents) & (both < n)).withColumn("chi", F.round(chi, 9)).where(F.col("chi") >= least)
-    return [r.term for r in ranked.orderBy(F.desc("chi"), "term").limit(terms).collect()]
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        counts = [sorted(word_counts(t).items()) for t in batch["text"].to_pylist()]
+        columns = [pa.array([[w for w, _ in c] for c in counts], pa.list_(pa.string())), pa.array([[n for _, n in c] for c in counts], pa.list_(pa.int32()))]
+        yield pa.record_batch([batch["doc_id"], batch["label"], *columns], names=["doc_id", "label", "words", "n"])
 
 
-def _idf(docs: DataFrame, vocabulary: dict[str, int]) -> np.ndarray:
-    """Smoothed inverse document frequencies over all documents."""
-    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
+def _idf(docs: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
+    """Smoothed inverse document frequencies of the vocabulary over all documents; each task sums up before the shuffle."""
+    sent, size = docs.sparkSession.sparkContext.broadcast(vocabulary), len(vocabulary.words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Terms(sent.value)
-        total = np.zeros(len(sent.value) + 1, np.int64)  # the last: documents
+        known = sent.value
+        total = np.zeros(size + 1, np.int64)  # the last: documents
         for batch in batches:
             for text in batch["text"].to_pylist():
-                total[list(known.counts(text))] += 1
+                total[known.counts(text)[0]] += 1
             total[-1] += batch.num_rows
         at = np.flatnonzero(total)
         yield pa.record_batch([pa.array(at, pa.int32()), pa.array(total[at])], names=["term", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    found = {r.term: r.n for r in rows}
-    n = found.get(len(vocabulary), 0)
-    return np.array([math.log((1 + n) / (1 + found.get(t, 0))) + 1 for t in range(len(vocabulary))])
+    rows = docs.select("text").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    found = np.zeros(size + 1, np.int64)
+    found[rows["term"].to_numpy()] = rows["n"].to_numpy()
+    return np.log((1 + found[-1]) / (1 + found[:-1])) + 1
 
 
 def op7_block_max_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")
     model = ToxicityModel.fit(docs, common.table(spark, sf_dir, "labels"), remainder(F.col("doc_id"), FOLDS) != HELD_OUT)
     held = F.coalesce(remainder(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False))
-    return model.score(docs).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
+    return model.score(docs).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"), "evidence")
