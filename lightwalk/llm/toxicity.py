@@ -42,10 +42,8 @@ NEAREST = (5, 15, 50, 150)
 
 def word_counts(text: str | None) -> Counter[str]:
     """How often each word comes in the whole text."""
-    total: Counter[str] = Counter()
-    for token, n in Counter((text or "").lower().split()).items():
-        if word := token.strip(EDGES):
-            total[word] += n
+    total = Counter([token.strip(EDGES) for token in (text or "").lower().split()])
+    total.pop("", None)
     return total
 
 
@@ -63,11 +61,17 @@ class Vocabulary:
         return {"words": self.words}
 
     def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Places (ascending) and counts of the known words of a text."""
-        get = self.places.get
-        found = sorted((at, n) for w, n in word_counts(text).items() if (at := get(w)) is not None)
-        flat = np.array(found, np.int64).reshape(-1, 2)
-        return flat[:, 0], flat[:, 1]
+        """Places and counts of the known words of a text."""
+        words = word_counts(text)
+        found = list(map(self.places.get, words))
+        known = np.array([x is not None for x in found], bool)
+        return np.array([x for x in found if x is not None], np.int64), np.fromiter(words.values(), np.int64, len(words))[known]
+
+    def present(self, text: str | None) -> list[int]:
+        """Places of the known words of a text, each once."""
+        found = set(map(self.places.get, {token.strip(EDGES) for token in (text or "").lower().split()}))
+        found.discard(None)
+        return list(found)
 
 
 def weights(counts: np.ndarray, idf: np.ndarray, power: float) -> np.ndarray:
@@ -86,47 +90,68 @@ def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
 class BlockMax:
     """Postings of all terms over examples, in blocks of neighbours.
 
-    Examples whose strongest common term is the same stand together, so that whole blocks have little in common with a
-    text of another kind. Weights are single-precision numbers, scores double.
+    Examples whose strongest frequent term is the same stand together, so that whole blocks have little in common with a
+    text of another kind. Terms that a twentieth of the examples have keep a weight for every example, zeros included, and
+    add exact sums for many texts at once; all others keep real postings and bounds. Weights are single-precision
+    numbers, scores double.
     """
 
     def __init__(self, ids: np.ndarray, ends: np.ndarray, terms: np.ndarray, w: np.ndarray, vocabulary: int, block: int = 64):
         n = len(ids)
         sizes = np.diff(np.append(0, ends))
         owner = np.repeat(np.arange(n), sizes)
-        common_term = np.bincount(terms, minlength=vocabulary)[terms] * 50 >= n
+        often = np.bincount(terms, minlength=vocabulary) * 20 >= max(n, 1)
         kind = np.full(n, vocabulary)
-        strong = np.lexsort((w, owner, ~common_term))[: np.count_nonzero(common_term)]  # the strongest common term of each example comes last
+        strong = np.lexsort((w, owner, ~often[terms]))[: np.count_nonzero(often[terms])]  # the strongest frequent term of each example comes last
         kind[owner[strong]] = terms[strong]
         order = np.lexsort((ids, sizes, kind))
         self.ids, self.order = np.asarray(ids)[order], order
         place = np.empty(n, np.int64)
         place[order] = np.arange(n)
         at = place[owner]
+        self.row = np.where(often, np.cumsum(often) - 1, -1)
+        self.rows = np.zeros((np.count_nonzero(often), n))
+        here = often[terms]
+        self.rows[self.row[terms[here]], at[here]] = w[here].astype(np.float32)
+        at, terms, w = at[~here], terms[~here], w[~here]
         by = np.lexsort((at, terms))
-        self.place, self.weight = at[by].astype(np.int32), w[by].astype(np.float32)
+        self.place, self.weight = at[by], w[by].astype(np.float32).astype(float)
         term, cell = terms[by], at[by] // block
         first = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (cell[1:] != cell[:-1]))) if len(term) else np.empty(0, np.int64)
         self.start, self.size, self.cell = first, np.diff(np.append(first, len(term))), cell[first]
-        self.most = np.maximum.reduceat(self.weight, first).astype(float) if len(first) else np.empty(0)
+        self.most = np.maximum.reduceat(self.weight, first) if len(first) else np.empty(0)
         self.cuts = np.searchsorted(term[first], np.arange(vocabulary + 1))
-        self.blocks, self.opened = -(-n // block), 0
-
-    def nearest(self, terms: np.ndarray, w: np.ndarray, k: int, step: int = 4) -> tuple[np.ndarray, np.ndarray]:
-        """Examples (as numbered when given) and similarities of the k nearest with any similarity at all, ties by id.
+        self.begin = np.arange(0, n, block)
+        self.block, self.opened = block, 0
+
+    def nearest(self, texts: list[tuple[np.ndarray, np.ndarray]], k: int, chunk: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each text (terms, weights) the examples (as numbered when given) and similarities of its k nearest with any similarity at all, ties by id."""
+        for first in range(0, len(texts), chunk):
+            part = texts[first : first + chunk]
+            asked = np.zeros((len(part), len(self.rows)))
+            for i, (terms, w) in enumerate(part):
+                row = self.row[terms]
+                asked[i, row[row >= 0]] = w[row >= 0]
+            for (terms, w), frequent in zip(part, asked @ self.rows, strict=True):
+                yield self._nearest(terms, w, frequent, k)
+
+    def _nearest(self, terms: np.ndarray, w: np.ndarray, frequent: np.ndarray, k: int, step: int = 12) -> tuple[np.ndarray, np.ndarray]:
+        """``frequent``: what frequent terms add for every example.
 
         ``step`` blocks are opened at a time; after each time the k-th similarity decides whether the next bound can matter.
         """
+        if not len(self.ids):
+            return np.empty(0, np.int64), np.empty(0)
         counts = self.cuts[terms + 1] - self.cuts[terms]
         cut = _ranges(self.cuts[terms], counts)
-        cell, factor = self.cell[cut], np.repeat(w, counts)
-        bound = np.bincount(cell, factor * self.most[cut], self.blocks)
+        cell, factor, size = self.cell[cut], np.repeat(w, counts), self.size[cut]
+        bound = np.maximum.reduceat(frequent, self.begin) + np.bincount(cell, factor * self.most[cut], len(self.begin))
         order = np.argsort(-bound, kind="stable")
         order = order[: np.count_nonzero(bound > 0)]
-        by = np.argsort(cell.astype(np.int32), kind="stable")  # within a block terms keep their order, so sums come out alike
-        ends = np.cumsum(np.bincount(cell, minlength=self.blocks))
+        by = np.argsort(cell, kind="stable")  # within a block terms keep their order, so sums come out alike
+        ends = np.cumsum(np.bincount(cell, minlength=len(self.begin)))
         begins = np.append(0, ends[:-1])
-        score = np.zeros(len(self.ids))
+        score = np.zeros(len(frequent))
         done = 0
         while done < len(order):
             if done:
@@ -135,16 +160,19 @@ class BlockMax:
                     break
             now = order[done : done + step]
             some = by[_ranges(begins[now], ends[now] - begins[now])]
-            post = _ranges(self.start[cut[some]], self.size[cut[some]])
-            score += np.bincount(self.place[post], np.repeat(factor[some], self.size[cut[some]]) * self.weight[post], len(score))
+            post = _ranges(self.start[cut[some]], size[some])
+            score += np.bincount(self.place[post], np.repeat(factor[some], size[some]) * self.weight[post], len(score))
+            inside = _ranges(self.begin[now], np.minimum(self.block, len(score) - self.begin[now]))
+            score[inside] += frequent[inside]
             done += len(now)
         self.opened += done
-        score = np.round(score, 9)
-        near = np.flatnonzero(score)
+        near = np.flatnonzero(score > 0)
         if len(near) > k:
-            near = near[score[near] >= np.partition(score[near], -k)[-k]]
-        top = near[np.lexsort((self.ids[near], -score[near]))[:k]]
-        return self.order[top], score[top]
+            near = near[score[near] >= np.partition(score[near], -k)[-k] - 1e-8]
+        similar = np.round(score[near], 9)
+        near, similar = near[similar > 0], similar[similar > 0]
+        top = np.lexsort((self.ids[near], -similar))[:k]
+        return self.order[near[top]], similar[top]
 
 
 @dataclass
@@ -169,16 +197,16 @@ class ToxicityModel:
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "index"}
 
-    def votes(self, text: str | None) -> tuple[list[float], np.ndarray, np.ndarray]:
-        """The toxic share of the votes of so many nearest examples, for each number; the examples and their similarities."""
-        terms, counts = self.vocabulary.counts(text)
-        if not len(terms):
-            return [0.0] * len(self.ks), np.empty(0, np.int64), np.empty(0)
-        near, similar = self.index.nearest(terms, weights(counts, self.idf[terms], self.power), max(self.ks))
-        against = np.cumsum(similar * self.toxic[near])
-        every = np.cumsum(similar)
-        last = [min(k, len(near)) - 1 for k in self.ks]
-        return [float(against[i] / every[i]) if i >= 0 else 0.0 for i in last], near, similar
+    def votes(self, texts: list[str | None]) -> list[tuple[list[float], np.ndarray, np.ndarray]]:
+        """Of each text: the toxic share of the votes of so many nearest examples, for each number; the examples and their similarities."""
+        counts = [self.vocabulary.counts(t) for t in texts]
+        asked = [(terms, weights(n, self.idf[terms], self.power)) for terms, n in counts]
+        out = []
+        for near, similar in self.index.nearest(asked, max(self.ks)):
+            against, every = np.cumsum(similar * self.toxic[near]), np.cumsum(similar)
+            last = [min(k, len(near)) - 1 for k in self.ks]
+            out.append(([float(against[i] / every[i]) if i >= 0 else 0.0 for i in last], near, similar))
+        return out
 
     @staticmethod
     def fit(docs: DataFrame, labels: DataFrame, learn: F.Column, ks: tuple[int, ...] = NEAREST, per_class: int = 3000, calibration: int = 4000, power: float = 2.0) -> ToxicityModel:
@@ -206,7 +234,7 @@ class ToxicityModel:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             model = sent.value
             for batch in batches:
-                x = [model.votes(t)[0] for t in batch["text"].to_pylist()]
+                x = [x for x, _, _ in model.votes(batch["text"].to_pylist())]
                 yield pa.record_batch([batch["label"], pa.array(x, pa.list_(pa.float64()))], names=["label", "x"])
 
         return docs.select("label", "text").mapInArrow(run, "label int, x array<double>")
@@ -218,7 +246,7 @@ class ToxicityModel:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             model = sent.value
             for batch in batches:
-                found = [model.votes(t) for t in batch["text"].to_pylist()]
+                found = model.votes(batch["text"].to_pylist())
                 score = model.logistic(np.array([x for x, _, _ in found], float).reshape(-1, len(model.ks)))
                 near, similar = (np.concatenate([np.empty(0, kind), *(f[j][:evidence] for f in found)]) for j, kind in ((1, np.int64), (2, float)))
                 ends = np.cumsum([0, *(len(n[:evidence]) for _, n, _ in found)])
@@ -246,7 +274,7 @@ def _idf(docs: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
         total = np.zeros(size + 1, np.int64)  # the last: documents
         for batch in batches:
             for text in batch["text"].to_pylist():
-                total[known.counts(text)[0]] += 1
+                total[known.present(text)] += 1
             total[-1] += batch.num_rows
         at = np.flatnonzero(total)
         yield pa.record_batch([pa.array(at, pa.int32()), pa.array(total[at])], names=["term", "n"])
