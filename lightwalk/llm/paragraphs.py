@@ -192,7 +192,7 @@ def _surroundings(docs: DataFrame, wanted: DataFrame, side: int) -> DataFrame:
     return docs.join(per.hint("shuffle_hash"), "doc_id").select("text", "wanted").mapInArrow(run, "content long, around binary")
 
 
-def repeated(docs: DataFrame, words: int = 51, bands: int = 1, rows: int = 1, similarity: float = 0.8, tile: int = 512) -> DataFrame:
+def repeated(docs: DataFrame, words: int = 51, bands: int = 1, rows: int = 1, similarity: float = 0.8, tile: int = 4096) -> DataFrame:
     """(doc_id, pos, start, end, component, first boolean): every seed in a passage that repeats in another document, and the passage around it, by word position; ``first`` marks the document that keeps it."""
     side = words - SEED
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
@@ -298,23 +298,81 @@ def compare(a: np.ndarray, b: np.ndarray, words: int, similarity: float) -> tupl
     return alike, spans
 
 
-def possible(around: np.ndarray, words: int, similarity: float) -> np.ndarray:
-    """(n, n): pairs of surroundings that share enough shingles, wherever they are, to be alike; all pairs at once, by a matrix of surroundings and shingles."""
+def marked(around: np.ndarray) -> np.ndarray:
+    """Hashes of the shingles of surroundings, zero where there is none; the second of equal ones in a row is another one, and so on."""
     x = _combined(np.ascontiguousarray(around.T, np.uint64), SHINGLE, 2).T
     there = np.logical_and.reduce([around[:, k : k + x.shape[1]] != 0 for k in range(SHINGLE)])
     x = np.sort(np.where(there, x, np.uint64(0)), 1)
-    # The second of equal shingles in a row is another one, and so on.
     place = np.arange(x.shape[1])
     again = place - np.maximum.accumulate(np.where(np.diff(x, axis=1, prepend=~x[:, :1]) != 0, place, 0), 1)
-    marked = np.where(x == 0, x, x + again.astype(np.uint64) * _ODD[55])
-    names, column, count = np.unique(marked, return_inverse=True, return_counts=True)
+    return np.where(x == 0, x, x + again.astype(np.uint64) * _ODD[55])
+
+
+def needed(around: np.ndarray, words: int) -> np.ndarray:
+    """Shingles of a window of each surrounding."""
+    return np.minimum((around != 0).sum(1), words) - SHINGLE + 1
+
+
+def partnered(around: np.ndarray, words: int, similarity: float) -> np.ndarray:
+    """Surroundings that have so many shingles in common with any others of the bucket that they can be alike to one: the one very common line goes here, in one sort."""
+    x = marked(around)
+    names, column, count = np.unique(x, return_inverse=True, return_counts=True)
+    met = ((count > 1) & (names != 0))[column.reshape(x.shape)].sum(1)
+    return (1 + similarity) * met >= 2 * similarity * needed(around, words).min(initial=words) - 1e-3
+
+
+def possible(around: np.ndarray, words: int, similarity: float) -> np.ndarray:
+    """(n, n): pairs of surroundings that share enough shingles, wherever they are, to be alike; all pairs at once, by a matrix of surroundings and shingles."""
+    x = marked(around)
+    names, column, count = np.unique(x, return_inverse=True, return_counts=True)
     shared = (count > 1) & (names != 0)
     row, at = np.nonzero(shared[column.reshape(x.shape)])
     has = np.zeros((len(x), np.count_nonzero(shared)), np.float32)
     has[row, (np.cumsum(shared) - 1)[column.reshape(x.shape)[row, at]]] = 1
-    length = np.minimum((around != 0).sum(1), words)
-    count = np.minimum(length[:, None], length) - SHINGLE + 1
-    return (1 + similarity) * (has @ has.T) >= 2 * similarity * count - 1e-3
+    length = needed(around, words)
+    return (1 + similarity) * (has @ has.T) >= 2 * similarity * np.minimum(length[:, None], length) - 1e-3
+
+
+def spanning(around: np.ndarray, known: np.ndarray, only: np.ndarray, words: int, similarity: float, stars: int = 8, chunk: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Links (earlier row, later row, spans) that join the alike surroundings of one bucket, rows in the order of documents.
+
+    Surroundings without enough shingles in common with any others are left out first. Then some rows are compared with
+    all others: in a group of near copies the first one is alike to nearly all. What is not one component by then is
+    compared pair by pair, in chunks, where the shared shingles of a pair allow it.
+    """
+    left = np.flatnonzero(partnered(around, words, similarity))
+    around, known, only = around[left], known[left], only[left]
+    label = np.arange(len(left))
+
+    def link(i: int, other: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        other = other[(label[other] != label[i]) & ~(known[i] & known[other] & (only[i] == only[other]))]
+        for early, others in ((False, other[other < i]), (True, other[other > i])):
+            if not len(others):
+                continue
+            mine = np.broadcast_to(around[i], (len(others), around.shape[1]))
+            alike, spans = compare(mine, around[others], words, similarity) if early else compare(around[others], mine, words, similarity)
+            others = others[alike]
+            if len(others):
+                label[np.isin(label, label[others])] = label[i]
+                here = np.full(len(others), left[i])
+                yield (here, left[others], spans[alike]) if early else (left[others], here, spans[alike])
+
+    done = np.zeros(len(left), bool)
+    for _ in range(stars):
+        free = np.flatnonzero(~done & (label == np.arange(len(left))))
+        if not len(free):
+            break
+        i = int(free[0])
+        done[i] = True
+        yield from link(i, np.arange(len(left)))
+    cuts = range(0, len(left), chunk)
+    for a, b in itertools.combinations_with_replacement(cuts, 2):
+        rows = np.unique(np.append(np.arange(a, min(a + chunk, len(left))), np.arange(b, min(b + chunk, len(left)))))
+        if (label[rows] == label[rows[0]]).all():
+            continue
+        near = np.triu(possible(around[rows], words, similarity), 1)
+        for k in np.flatnonzero(near.any(1)):
+            yield from link(int(rows[k]), rows[np.flatnonzero(near[k])])
 
 
 def _verified(words: int, similarity: float):
@@ -329,18 +387,8 @@ def _verified(words: int, similarity: float):
         yield content[two][alike], content[two + 1][alike], spans[alike]
         for start, size in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
             s = slice(start, start + size)
-            near = possible(around[s], words, similarity) & ~(known[s, None] & known[s] & (only[s, None] == only[s]))
-            label = np.arange(size)
-            for i in np.flatnonzero(np.triu(near, 1).any(1)):
-                other = np.flatnonzero(near[i] & (label != label[i]))
-                other = other[other > i]
-                if len(other):
-                    mine = np.broadcast_to(around[start + i], (len(other), around.shape[1]))
-                    alike, spans = compare(mine, around[start + other], words, similarity)
-                    other = other[alike]
-                    if len(other):
-                        label[np.isin(label, label[other])] = label[i]
-                        yield np.full(len(other), content[start + i]), content[start + other], spans[alike]
+            for x, y, spans in spanning(around[s], known[s], only[s], words, similarity):
+                yield content[start + x], content[start + y], spans
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
