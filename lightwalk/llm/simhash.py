@@ -7,12 +7,13 @@ Links are pairs of fingerprints with at most ``radius`` differing bits. Equal fi
 bits are cut into ``radius + 2`` blocks; two linked fingerprints agree in at least two, so rows meet in buckets by every
 pair of blocks, exactly. A bucket larger than ``tile`` is dealt into tiles of two parts each, so none has to fit into a
 task. In a bucket fingerprints are stored as bit planes: bit b of all rows side by side. One fingerprint is compared with
-all rows at once: each plane gives a difference bit for every row, carry-save counters add it to every row's count, and a
-block of rows is left as soon as all its counts exceed the radius. A bucket gives only links that span its groups, since
-all others follow; components are then found over fingerprints.
+all rows after it at once: each plane gives a difference bit for every row, carry-save counters add it to every row's
+count, and a block of rows is left as soon as all its counts exceed the radius. A bucket gives only links that span its
+groups, since all others follow; components are then found over fingerprints.
 
 Cases: null and empty texts have fingerprint zero, linked like any other; repeated rows are one fingerprint; a component's
-id ignores null ids; an empty table gives an empty result; further columns are ignored.
+id ignores null ids; very long texts are hashed as a whole, a part at a time; an empty table gives an empty result;
+further columns are ignored.
 """
 
 from __future__ import annotations
@@ -72,25 +73,47 @@ def planes(fps: np.ndarray) -> np.ndarray:
     return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view("<u8")
 
 
-def within(differs: Iterator[np.ndarray], radius: int) -> np.ndarray | None:
-    """Rows with at most ``radius`` set difference bits, as a bitset; None once all exceed it. ``differs``: a bitset for each of 64 bits.
+def bitset(rows: np.ndarray) -> np.ndarray:
+    """Flags of rows as a bitset; rows that fill up its last word are set."""
+    flags = np.ones(-len(rows) % 64 + len(rows), bool)
+    flags[: len(rows)] = rows
+    return np.packbits(flags, bitorder="little").view("<u8")
 
-    The counters are vertical: bit j of all rows' counts is one bitset. A carry out of the last one marks a row as beyond,
-    so that they count to ``radius`` + 1 at most.
+
+class Compared:
+    """How many blocks of rows were compared, and how many of them were left before their last bit."""
+
+    def __init__(self):
+        self.blocks = self.abandoned = 0
+
+
+def within(sliced: np.ndarray, value: int, radius: int, out: np.ndarray, block: int = 4, seen: Compared | None = None) -> np.ndarray:
+    """Numbers of the rows at most ``radius`` bits from ``value``. ``sliced``: a bitset of rows for each bit; ``out``: rows not asked for.
+
+    Counters are vertical: bit j of all rows' distances is one bitset, and carry-save addition of a difference bit updates
+    all rows at once. A carry out of the last counter marks a row as beyond. Rows go in blocks of ``block`` words of 64;
+    every few bits the blocks of which all rows are beyond are left, and only the others go on.
     """
-    counters: list[np.ndarray] = []
-    beyond = None
+    bits, words = sliced.shape
+    blocks = -(-words // block)
+    fill = blocks * block - words
+    padded = np.pad(sliced, ((0, 0), (0, fill))).reshape(bits, blocks, block) if fill else sliced.reshape(bits, blocks, block)
+    beyond = np.append(out, np.full(fill, 0xFFFFFFFFFFFFFFFF, np.uint64)).reshape(blocks, block)
+    alive = np.flatnonzero((~beyond != 0).any(1))
+    first = len(alive)
+    beyond = beyond[alive]
     limit = radius.bit_length()
-    for k, carry in enumerate(differs):
-        if beyond is None:
-            beyond = np.zeros_like(carry)
-            counters = [np.zeros_like(carry) for _ in range(limit)]
+    counters = [np.zeros_like(beyond) for _ in range(limit)]
+    ones = np.array([0, 0xFFFFFFFFFFFFFFFF], np.uint64)
+    for k in range(bits):
+        if not len(alive):
+            break
+        carry = padded[k, alive] ^ ones[value >> k & 1]
         for j in range(limit):
             counters[j], carry = counters[j] ^ carry, counters[j] & carry
         beyond |= carry
         if radius & (radius + 1):  # not one less than a power of two: compare the count
-            over = np.zeros_like(carry)
-            equal = ~over
+            over, equal = np.zeros_like(carry), np.full_like(carry, 0xFFFFFFFFFFFFFFFF)
             for j in reversed(range(limit)):
                 if radius >> j & 1:
                     equal &= counters[j]
@@ -98,34 +121,43 @@ def within(differs: Iterator[np.ndarray], radius: int) -> np.ndarray | None:
                     over |= equal & counters[j]
                     equal &= ~counters[j]
             beyond |= over
-        if k % 8 == 7 and (~beyond == 0).all():
-            return None
-    return ~beyond
+        if k % 4 == 3 and k + 1 < bits:
+            stay = (~beyond != 0).any(1)
+            if not stay.all():
+                alive, beyond, counters = alive[stay], beyond[stay], [c[stay] for c in counters]
+    if seen is not None:
+        seen.blocks += first
+        seen.abandoned += first - len(alive)
+    row, bit = np.nonzero(np.unpackbits((~beyond).view(np.uint8), axis=1, bitorder="little")) if len(alive) else (np.empty(0, int),) * 2
+    return np.sort(alive[row] * block * 64 + bit)
+
 
+def _varying(sliced: np.ndarray, rows: int) -> np.ndarray:
+    """The bits in which the rows of a bucket differ at all; the others, which they agree in, add nothing to a distance."""
+    ones = np.unpackbits(sliced.view(np.uint8), axis=1).sum(1, dtype=np.int64)
+    return np.flatnonzero((ones > 0) & (ones < rows))
 
-def large_links(fps: np.ndarray, radius: int) -> np.ndarray:
-    """(k, 2) spanning links of one large bucket: each row against the planes of all."""
+
+def large_links(fps: np.ndarray, radius: int, seen: Compared | None = None) -> np.ndarray:
+    """(k, 2) spanning links of one large bucket of distinct fingerprints: each row against the planes of those after it."""
     label = np.arange(len(fps))
     sliced = planes(fps)
-    # Rows that pad the planes' last word are never abandoned, nor counted.
-    pad = np.zeros(sliced.shape[1] * 64, bool)
-    pad[len(fps) :] = True
-    padding = np.packbits(pad, bitorder="little").view("<u8")
-    ones = np.array([0, 0xFFFFFFFFFFFFFFFF], np.uint64)
-    for row in range(len(fps)):
-        value = int(fps[row])
-        near = within((sliced[b] ^ ones[value >> b & 1] | padding for b in range(64)), radius)
-        if near is None:
-            continue
-        at = np.flatnonzero(np.unpackbits(near.view(np.uint8), bitorder="little")[: len(fps)])
-        roots = np.unique(label[at])
-        if len(roots) > 1:
-            label[np.isin(label, roots)] = roots[0]
+    bits = _varying(sliced, len(fps))
+    sliced = np.ascontiguousarray(sliced[bits])
+    for row in range(len(fps) - 1):
+        word = row // 64  # what lies before the row's own word is done
+        value = sum((int(fps[row]) >> int(b) & 1) << k for k, b in enumerate(bits))
+        out = bitset(np.arange(word * 64, len(fps)) <= row)
+        at = word * 64 + within(sliced[:, word:], value, radius, out, seen=seen)
+        if len(at):
+            roots = np.unique(label[np.append(at, row)])
+            if len(roots) > 1:
+                label[np.isin(label, roots)] = roots[0]
     other = np.flatnonzero(label != np.arange(len(fps)))
     return np.stack([fps[other], fps[label[other]]], 1)
 
 
-def small_links(fps: np.ndarray, group: np.ndarray, radius: int, most: int, block: int = 1 << 15) -> Iterator[np.ndarray]:
+def small_links(fps: np.ndarray, group: np.ndarray, radius: int, most: int, block: int = 1 << 15, seen: Compared | None = None) -> Iterator[np.ndarray]:
     """(k, 2) links within many small groups (``group`` ascending, at most ``most`` rows each).
 
     Rows at the same distance in the order are paired, and the pairs' differing bits laid out as planes.
@@ -136,10 +168,8 @@ def small_links(fps: np.ndarray, group: np.ndarray, radius: int, most: int, bloc
             return
         for at in range(0, len(same), block):
             a = same[at : at + block]
-            near = within(iter(planes(fps[a] ^ fps[a + step])), radius)
-            if near is not None:
-                hit = a[np.flatnonzero(np.unpackbits(near.view(np.uint8), bitorder="little")[: len(a)])]
-                yield np.stack([fps[hit], fps[hit + step]], 1)
+            hit = a[within(planes(fps[a] ^ fps[a + step]), 0, radius, bitset(np.zeros(len(a), bool)), block=1, seen=seen)]
+            yield np.stack([fps[hit], fps[hit + step]], 1)
 
 
 def _bucket_links(radius: int, large: int = 96):
@@ -201,6 +231,7 @@ def classes(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
     found = common.components(links(distinct.select("fp"), radius))
     rooted = common.materialize(distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    common.discard(distinct)
     return fps.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
