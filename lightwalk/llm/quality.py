@@ -1,15 +1,18 @@
 """Compression classifier of quality: how much better one class's dictionary compresses a text than the other's.
 
-Two zstandard dictionaries are built, from texts labelled good and from texts labelled bad. A whole text is cut into
+Two zstandard dictionaries are built, from pieces of texts labelled good and of texts labelled bad, wherever in the text
+they are. A whole text is cut into
 chunks of ``chunk`` bytes, so that the dictionaries stay near every part of it, and each chunk is compressed with both.
 The normalised difference of the sums, ``(bad - good) / max(bad, good)``, the same of the worst chunk, the rate with the
 good dictionary and the length go through a logistic fitted on other labelled texts: a calibrated score.
 
-Dictionaries and calibration take bounded samples of labelled documents (``per_class``, ``calibration``); every document
-is scored.
+Dictionaries and calibration take bounded samples of labelled documents (``per_class``, ``calibration``), and of each
+sampled document a dictionary takes ``pieces`` pieces of ``piece`` characters, chosen by a hash over the whole text; every
+document is scored as a whole.
 
 Cases: null and empty texts get the score of an empty chunk; without labels of both kinds the score is the labels' mean;
-repeated rows score alike; an empty table gives an empty result; further columns pass through ``score``.
+repeated rows score alike; very long texts are compressed chunk by chunk to their end; an empty table gives an empty
+result; further columns pass through ``score``.
 """
 
 from __future__ import annotations
@@ -59,11 +62,12 @@ class QualityModel:
     logistic: Logistic
 
     @staticmethod
-    def fit(docs: DataFrame, labels: DataFrame, learn: F.Column, per_class: int = 1500, calibration: int = 3000, size: int = 65_536) -> QualityModel:
+    def fit(docs: DataFrame, labels: DataFrame, learn: F.Column, per_class: int = 1500, calibration: int = 3000, size: int = 65_536, pieces: int = 4, piece: int = 2048) -> QualityModel:
         sample = labelled_samples(docs, labels, "quality", learn, per_class, calibration)
-        # What a document gives to a dictionary is bounded: its first pieces of 2 KB, four at most.
-        pieces = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.substr("text", k * 2048 + 1, F.lit(2048)))
-        rows = sample.where("role = 'example'").select("doc_id", "label", F.filter(pieces, lambda p: F.length(p) > 0).alias("pieces"))
+        count = F.ceil(F.length("text") / piece).cast("int")
+        numbered = F.transform(F.sequence(F.lit(1), count), lambda k: F.struct(F.xxhash64("doc_id", k).alias("h"), k.alias("k")))
+        chosen = F.transform(F.slice(F.array_sort(numbered), 1, pieces), lambda x: F.substr("text", (x.k - 1) * piece + 1, F.lit(piece)))
+        rows = sample.where("role = 'example' and text != ''").select("doc_id", "label", chosen.alias("pieces"))
         texts: dict[int, list[bytes]] = {0: [], 1: []}
         for row in rows.orderBy("doc_id").toLocalIterator():
             texts[row.label].extend(p.encode() for p in row.pieces)
