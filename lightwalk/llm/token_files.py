@@ -10,8 +10,9 @@ so one short document costs one seek and one small frame. First tokens count fro
 place follows from the counts of the files before it. The dictionary is trained on serialized ids of a bounded sample (it
 only helps compression), lies beside the files under its hash, and a reader refuses another one.
 
-Cases: null and empty texts are one end id; repeated ids stay, ordered by text; rows without doc_id come first; an empty
-table gives no rows; further columns are ignored. Files are written under a name of their own for each attempt, and only
+Cases: null and empty texts are one end id; repeated ids stay, ordered by a hash of their text, and may lie in several
+files; rows without doc_id come first; very long texts are one frame like any other; an empty table gives no rows; further
+columns are ignored. Files are written under a name of their own for each attempt, and only
 names that a finished task reports are read, so a lost or repeated task leaves nothing wrong behind.
 """
 
@@ -109,11 +110,17 @@ class Reader:
             yield doc_id, int(self.index["start"][k]), self.ids(k)
 
 
-def sampled(docs: DataFrame, limit: int) -> list[str]:
-    """Texts of at most ``limit`` documents, spread by the hash of their id; only texts of 1 to 32,768 characters, to bound the driver's share."""
-    size = F.length("text")
-    rows = docs.where((size > 0) & (size <= 32_768)).select(F.xxhash64("doc_id", "text").alias("h"), "text")
-    return [r.text for r in rows.orderBy("h").limit(limit).collect()]
+def sampled(texts: DataFrame, limit: int, most: int = 32_768) -> list[str]:
+    """Slices of about ``limit`` of the rows (id, text), at most twice as many: which rows, and where a slice of at most ``most`` characters begins, is told by a hash.
+
+    Rows are chosen before any text is sent, so the driver gets no more from a large table than from a small one.
+    """
+    texts = texts.toDF("id", "text").where(F.length("text") > 0)
+    hashed = texts.select("text", F.xxhash64("id", "text").alias("h"))
+    share = min(1.0, limit / max(1, texts.count()))
+    chosen = hashed.where(F.pmod("h", F.lit(1 << 40)) < int(share * (1 << 40))).limit(2 * limit)
+    begin = F.pmod(F.shiftright("h", 40), F.greatest(F.lit(1), F.length("text") - most + 1)).cast("int") + 1
+    return [r[0] for r in chosen.select(F.substr("text", begin, F.lit(most)), "h").orderBy("h").collect()]
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str, kind: str = "<u2", sample: int = 600) -> tuple[DataFrame, bytes]:
@@ -146,7 +153,9 @@ def write(docs: DataFrame, folder: str, tokenizer: str, kind: str = "<u2", sampl
             stream.close()
             yield pa.record_batch([pa.array([part], pa.int32()), [os.path.basename(name)], pa.array([len(writer.index)]), pa.array([writer.tokens])], names=["part", "path", "documents", "tokens"])
 
-    ordered = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # Rows of one id, and equal ones, may go to several files; row numbers are told by the splits that Spark reads, on every attempt alike.
+    numbered = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row"))
+    ordered = numbered.repartitionByRange("doc_id", "hash", "row").sortWithinPartitions("doc_id", "hash", "row").select("doc_id", "text")
     return common.materialize(ordered.mapInArrow(run, FILES), "token-files"), dictionary
 
 

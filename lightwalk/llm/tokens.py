@@ -7,12 +7,14 @@ A tokenizer file is cut into two steps that agree with encoding the text in one
 * ``pieces``: a unit not met before is cut by the tokenizer's own pattern and given to the tokenizer's model; units with
   characters outside Latin script, and texts with other white space, go through the tokenizer as they are.
 
-Ids of units are kept in a table of bounded size, which only saves time.
+Ids of units are kept in a table of bounded size, which only saves time. A tokenizer file whose normaliser, split pattern
+or model options are others than the ones these cuts agree with encodes whole texts by the library alone.
 """
 
 from __future__ import annotations
 
 import codecs
+import json
 import re
 from array import array
 from functools import lru_cache
@@ -37,6 +39,25 @@ def _byte_letters() -> list[str]:
     return [chr(b if b in printable else next(others)) for b in range(256)]
 
 
+#: Normaliser, pre-tokenizer and model options that the cuts agree with.
+_NONE = {"dropout": None, "unk_token": None, "continuing_subword_prefix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True}
+STEPS = {
+    "word": (
+        {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}, {**_LEVEL, "use_regex": False}]},
+        {**_NONE, "end_of_word_suffix": "</w>"},
+    ),
+    "bytes": (None, {**_LEVEL, "use_regex": True}, {**_NONE, "end_of_word_suffix": None}),
+}
+
+
+def _steps(tokenizer) -> tuple:
+    told = json.loads(tokenizer.to_str())
+    model = told["model"]
+    return told["normalizer"], told["pre_tokenizer"], {k: model.get(k) for k in (*_NONE, "end_of_word_suffix")} if model["type"] == "BPE" else None
+
+
 class _Known(dict):
     """Ids of units, in two generations: when the young one is full it becomes the old one, from which units still in use return."""
 
@@ -62,6 +83,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.kind = self.tokenizer.model, kind
+        self.known_file = _steps(self.tokenizer) == STEPS[kind]
         self.letters = "".join(_byte_letters())
         self.marks = {t.content[0] for t in self.tokenizer.get_added_tokens_decoder().values()}
         self.space, self.newline = self.letters[ord(" ")], self._pieces(("\n",)) if kind == "bytes" else b""
@@ -127,6 +149,8 @@ class Encoder:
         """Ids of the whole text; null and empty texts have none."""
         if not text:
             return b""
+        if not self.known_file:
+            return self.whole(text)
         if self.kind == "word":
             return b"".join(map(self.known.__getitem__, text.encode().split()))
         if any(c in text for c in _SPACES):

@@ -9,8 +9,8 @@ Of rows with equal payloads (SHA-1) of at least ``min_payload`` bytes the one wi
 refer to. Smaller payloads are all responses.
 
 Cases: null html is the empty payload; rows that repeat a page_id share its role; rows without page_id never become the
-one referred to, and without any other are responses; urls are percent-encoded where a header could not hold them; an
-empty table gives no rows; further columns are ignored. Files are named for each attempt, and only those that a finished
+one referred to, and without any other are responses; urls are percent-encoded where a header could not hold them; very long
+payloads are one record like any other; an empty table gives no rows; further columns are ignored. Files are named for each attempt, and only those that a finished
 task reports are read.
 """
 
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .token_files import _dictionary, _files, train
+from .token_files import _dictionary, _files, sampled, train
 
 OUT = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 FILES = "path string, records long"
@@ -105,9 +105,7 @@ def classified(pages: DataFrame, min_payload: int = 0) -> DataFrame:
 
 def write(pages: DataFrame, folder: str, min_payload: int = 0, sample: int = 400) -> DataFrame:
     """Writes archives below ``folder``, one a task; gives the list of files."""
-    size = F.length("html")
-    few = pages.where((size > 0) & (size <= 32_768)).select(F.xxhash64("page_id", "html").alias("h"), "html")
-    dictionary = train([r.html.encode() for r in few.orderBy("h").limit(sample).collect()])
+    dictionary = train([t.encode() for t in sampled(pages.select("page_id", "html"), sample)])
     store, path = _files(folder)
     store.create_dir(path, recursive=True)
 
