@@ -19,11 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder URI under the cluster's shared folder, for one use.
 
-    ``spark.checkpoint.dir`` is read from the session. Only where it is unset (a single machine, as in tests)
-    a folder of this machine is chosen, once for the session.
+    ``spark.checkpoint.dir`` is read from the session. Only where it is unset on a single machine (``local`` master, as in
+    tests) a folder of this machine is chosen, once for the session; a cluster without it is refused.
     """
     base = spark.conf.get(CHECKPOINT_KEY, None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{CHECKPOINT_KEY} must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="lightwalk-")
         spark.conf.set(CHECKPOINT_KEY, base)
     return f"{base.rstrip('/')}/lightwalk/{purpose}-{uuid.uuid4().hex}"
@@ -61,32 +63,29 @@ def slots(spark: SparkSession) -> int:
     return max(2, spark.sparkContext.defaultParallelism)
 
 
-def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)`` (longs) as ``(node, root)``, root the smallest node of the component.
 
     Alternating large-star and small-star steps: each rewires a node's neighbours to the smallest node known in its
     neighbourhood, so the number of rounds follows the logarithm of the longest path, not its length. The minimum of a
-    hub's neighbourhood is a partial aggregate joined back, so a hub never has to fit into one task. Nodes without an
-    edge are not returned. An empty input gives an empty result.
+    hub's neighbourhood is a partial aggregate joined back, so a hub never has to fit into one task. It ends when all is
+    stars: no node has two neighbours below it, and no root one. Nodes without an edge are not returned. An empty input
+    gives an empty result.
     """
     edges = materialize(_undirected(edges), "edges")
-    before = None
-    for _ in range(max_rounds):
+    while not _stars(edges):
         large = _star(edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), larger=True)
         small = _star(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), larger=False)
         old, edges = edges, materialize(small, "edges")
         discard(old)
-        now = edges.agg(
-            F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))
-        ).first()
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError("components did not settle")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(edges.select("b", "b").distinct())
 
 
+def _stars(edges: DataFrame) -> bool:
+    ends = edges.select(F.inline(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("root")), F.struct(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("root")))))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("root").alias("root")).where("up > 1 or (up > 0 and root > 0)").isEmpty()
+
+
 def _undirected(edges: DataFrame) -> DataFrame:
     return (
         edges.where("a is not null and b is not null and a != b")

@@ -11,7 +11,8 @@ exact table and travel along as exceptions. Both are sent only while their check
 Beyond that, held or not, the keys of each document are joined with the table, and the frequent ones brought back to it.
 
 Cases: null and empty texts have one empty line; empty keys never count; a row is a document, so a repeated row counts
-again; rows without doc_id are kept; an empty table gives an empty result; further columns pass through ``rewrite``.
+again; rows without doc_id are kept; very long texts and lines are hashed as a whole; an empty table gives an empty result;
+further columns pass through ``rewrite``, but for those of the two counts' names.
 """
 
 from __future__ import annotations

@@ -23,4 +23,5 @@ ORACLE_SQL = {
     "op1_maxscore": vector_search.OP1_SQL,
     "op4_warc_zstd": warc.OP4_SQL,
     "op8_cuckoo_lines": line_dedup.OP8_SQL,
+    "op10_aho_corasick": decontaminate.OP10_SQL,
 }

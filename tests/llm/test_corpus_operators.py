@@ -29,7 +29,8 @@ def prose(rng, words, vocabulary=400):
     return " ".join(f"w{rng.randrange(vocabulary)}" for _ in range(words))
 
 
-ODD = [(900, None), (901, ""), (902, " \n\t"), (903, "Ünï çödé x  y"), (None, "no id here at all"), (904, "same"), (904, "same")]
+LONG = " ".join(f"long{i}" for i in range(20_000))  # a very long text
+ODD = [(905, LONG), (900, None), (901, ""), (902, " \n\t"), (903, "Ünï çödé x  y"), (None, "no id here at all"), (904, "same"), (904, "same")]
 
 
 # --- 1 -------------------------------------------------------------------------------------------------------------
@@ -99,6 +100,10 @@ def test_packing_places_every_piece_once(spark):
             at += length
         assert at <= 256
     assert len(bins) <= 1.03 * math.ceil(sum(r.length for r in got) / 256) + 1
+    short = np.array([r.length for r in got if r.length < 256])
+    once = packing.pack(spark.createDataFrame(got).select("doc_id", F.col("piece").cast("int").alias("piece"), "start", "length", "ids_crc32"), 256, pack_items=1 << 20)
+    fit = packing.best_fit(short, np.full(len(short), -1), np.argsort(-short, kind="stable"), 256).max() + 1
+    assert once.select("sequence_id").distinct().count() <= fit + sum(r.length == 256 for r in got)
 
 
 def test_crossover_keeps_a_partition():
@@ -112,6 +117,16 @@ def test_crossover_keeps_a_partition():
     assert packing.fitness(lengths, best, 100) >= max(packing.fitness(lengths, a, 100), packing.fitness(lengths, b, 100))
 
 
+def test_the_genetic_step_beats_its_seeds(spark):
+    """Lengths of three tenths to a half of the capacity, where best fit in any of the seeds' orders leaves much room."""
+    lengths = np.random.default_rng(0).integers(614, 1024, 1000)
+    seeds = [-packing.fitness(lengths, g, 2048)[0] for island in (0, 1) for g in packing.seeded(lengths, 2048, 4, island)]
+    evolved = packing.evolve(lengths, packing.seeded(lengths, 2048, 4, 0), 2048, 60, 0)[0]
+    assert -packing.fitness(lengths, evolved, 2048)[0] < min(seeds)
+    pieces = spark.createDataFrame([(k, 0, 0, int(x), 0) for k, x in enumerate(lengths)], packing.PIECES)
+    assert packing.pack(pieces, pack_items=4096).select("sequence_id").distinct().count() < min(seeds)
+
+
 def test_packing_of_an_empty_table(spark):
     assert packing.pack_documents(documents(spark, [(1, "x")]).where("false"), TOKENIZERS.path("word_bpe_49k.json")).count() == 0
 
@@ -123,7 +138,8 @@ def test_token_files_round_trip(spark):
     files, dictionary = token_files.write(documents(spark, rows), folder, TOKENIZERS.path("byte_bpe_50k.json"))
     got = sorted((tuple(r) for r in token_files.read(files, folder, dictionary).collect()), key=lambda r: r[1])
     start, want = 0, []
-    for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode())):
+    hashes = {r.text: r.h for r in spark.createDataFrame([(t,) for _, t in rows], "text string").select("text", F.xxhash64("text").alias("h")).collect()}
+    for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1]])):
         ids = reference_ids("byte_bpe_50k.json", text)
         want.append((doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
@@ -245,23 +261,23 @@ def test_block_max_equals_all_cosines_and_leaves_blocks_closed():
     rng = np.random.default_rng(9)
     idf = rng.uniform(1, 5, 80)
     vectors = []
-    for k in range(600):  # two kinds of examples with words of their own
-        terms = np.sort(rng.choice(40, rng.integers(0, 8), replace=False) + 40 * (k % 2))
+    for k in range(1200):  # two kinds of examples with words of their own, a few of them frequent
+        terms = np.sort(np.append(rng.choice(36, rng.integers(0, 8), replace=False), rng.choice([36, 37, 38, 39], 2, replace=False)) + 40 * (k % 2))
         vectors.append((terms, toxicity.weights(rng.integers(1, 4, len(terms)), idf[terms], 2.0)))
     ends = np.cumsum([len(t) for t, _ in vectors])
     flat = [np.concatenate([v[j] for v in vectors]) for j in (0, 1)]
-    index = toxicity.BlockMax(np.arange(600), ends, flat[0].astype(np.int64), flat[1].astype(np.float32), 80, block=16)
-    dense = np.zeros((600, 80))
+    index = toxicity.BlockMax(np.arange(1200), ends, flat[0].astype(np.int64), flat[1].astype(np.float32), 80, block=16)
+    dense = np.zeros((1200, 80))
     for k, (t, w) in enumerate(vectors):
         dense[k, t] = w.astype(np.float32)
     for _ in range(50):
         t = np.sort(rng.choice(40, 6, replace=False))
         w = toxicity.weights(np.ones(6), idf[t], 2.0)
-        places, scores = index.nearest(t, w, 10, step=2)
+        ((places, scores),) = index.nearest([(t, w)], 10)
         every = np.round(dense[:, t] @ w, 9)
-        order = [k for k in np.lexsort((np.arange(600), -every)) if every[k] > 0][:10]
+        order = [k for k in np.lexsort((np.arange(1200), -every)) if every[k] > 0][:10]
         assert places.tolist() == order and np.allclose(scores, every[order])
-    assert index.opened < 50 * index.blocks / 2 + 50 * 4
+    assert len(index.rows) and len(index.place) and index.opened < 50 * len(index.begin) * 0.6
 
 
 # --- 6 -------------------------------------------------------------------------------------------------------------
@@ -454,14 +470,29 @@ def test_links_span_all_groups(spark, radius):
     assert groups(root) == groups(want.get)
 
 
-def test_bit_sliced_counters_abandon_and_count():
+def test_bit_sliced_counters_count():
     rng = np.random.default_rng(15)
     x = np.array([int(sum(1 << int(b) for b in rng.choice(64, int(rng.integers(0, 9)), replace=False))) for _ in range(500)], np.uint64)
+    value = 0b1011
     for radius in range(0, 8):
-        near = simhash.within(iter(simhash.planes(x)), radius)
-        hit = np.unpackbits(near.view(np.uint8), bitorder="little")[:500].astype(bool)
-        assert hit.tolist() == [int(v).bit_count() <= radius for v in x]
-    assert simhash.within(iter(simhash.planes(np.full(64, (1 << 64) - 1, np.uint64))), 3) is None
+        out = np.arange(500) % 7 == 0
+        near = simhash.within(simhash.planes(x), value, radius, simhash.bitset(out))
+        assert near.tolist() == [k for k, v in enumerate(x) if k % 7 and (int(v) ^ value).bit_count() <= radius]
+
+
+def test_blocks_are_abandoned_when_all_exceed_the_radius():
+    """Random buckets, as the links meet them: rows that agree in a part of their bits and differ at random in the others."""
+    rng = np.random.default_rng(16)
+    fps = np.unique(rng.integers(0, 1 << 63, 500, dtype=np.uint64) & np.uint64((1 << 38) - 1))
+    seen = simhash.Compared()
+    assert len(simhash.large_links(fps, 3, seen)) == 0 and seen.blocks > 600 and seen.abandoned == seen.blocks
+    group = np.repeat(np.arange(len(fps) // 4), 4)
+    seen = simhash.Compared()
+    assert sum(len(x) for x in simhash.small_links(fps[: len(group)], group, 3, 96, seen=seen)) == 0
+    assert seen.blocks > 10 and seen.abandoned >= 0.9 * seen.blocks
+    close = np.unique(np.append(fps, fps[:5] ^ np.uint64(5)))  # some pairs among the others
+    seen = simhash.Compared()
+    assert len(simhash.large_links(close, 3, seen)) == 5 and 0.9 * seen.blocks < seen.abandoned < seen.blocks
 
 
 def test_components_of_a_long_path(spark):
@@ -486,14 +517,14 @@ def brute_contamination(docs, items, width=13):
                 for at in range(len(words) - n + 1):
                     if words[at : at + n] == w[k : k + n]:
                         hit.update(range(at, at + n))
-                        found.add(str(i))
+                        found.update([] if i is None else [str(i)])
         out[doc_id, len(words), len(hit), ",".join(sorted(found))] += 1
     return out
 
 
 def test_decontamination_matches_brute_force(spark):
     rng = random.Random(16)
-    items = [(i, prose(rng, n, 50)) for i, n in enumerate([20, 13, 12, 5, 30, 2])] + [(10, "Été, à 9h!"), (11, ""), (12, None), (13, "?!"), (None, "w1")]
+    items = [(i, prose(rng, n, 50)) for i, n in enumerate([20, 13, 12, 5, 30, 2])] + [(10, "Été, à 9h!"), (11, ""), (12, None), (13, "?!"), (None, "w1 w2")]
     rows = []
     for i in range(80):
         _, item = items[i % 7]
@@ -501,8 +532,9 @@ def test_decontamination_matches_brute_force(spark):
         rows.append((i, f"{prose(rng, rng.randrange(30), 50)} {' ,'.join(part).upper()}. {prose(rng, rng.randrange(60), 50)}"))
     rows += ODD
     bench = spark.createDataFrame([(*x, 0) for x in items], "item_id long, text string, share int")
-    want = brute_contamination(rows, [x for x in items if x[0] is not None])
-    for most in (200_000, 40):
+    rows.append((990, " ".join([prose(rng, 20_000, 3000), items[0][1], prose(rng, 20_000, 3000)])))  # a very long text
+    want = brute_contamination(rows, items)
+    for most in (200_000, 9):
         found = decontaminate.find(documents(spark, rows), bench, max_windows=most).collect()
         assert Counter((r.doc_id, r.n_words, r.n_hit, ",".join(r["items"])) for r in found) == want
     texts = dict(rows)

@@ -28,6 +28,7 @@ def tables(spark, tmp_path_factory):
         rows.append((i, text, "en", "s"))
         labels.append((i, int(not bad), 0))
     rows += [(500 + k, rows[k][1], "en", "s") for k in (1, 2, 3)]
+    rows += [(800, prose(rng, 20_000), "en", "s")]  # a very long text
     rows += [(600, f"{question} {prose(rng, 30)}", "en", "s"), (700, None, None, None), (None, prose(rng, 50), "en", "s")]
     docs = spark.createDataFrame([(*r, len(r[1] or ""), "kept") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, score string")
     docs.write.parquet(f"{folder}/documents.parquet")
@@ -38,7 +39,7 @@ def tables(spark, tmp_path_factory):
 
 def test_stages_keep_clean_documents_and_columns(spark, tables):
     docs = spark.read.parquet(f"{tables}/documents.parquet")
-    clean = {i for i in range(200) if i % 6} | {600}
+    clean = {i for i in range(200) if i % 6} | {600, 800}
     for name, stage in corpus_pipeline.STAGES[:-1]:
         before = docs
         docs = corpus_pipeline.common.materialize(stage(spark, docs, tables), f"test-{name}")
@@ -70,3 +71,11 @@ def test_rows_without_id_and_of_one_id_are_judged_by_their_own_text(spark, table
     assert sorted((r.doc_id or 0, r.text) for r in once.collect()) == sorted([(0, a), (1, b), (2, clean), (3, question), (3, other), (4, c)])
     left = corpus_pipeline.decontaminated(spark, docs, tables)
     assert left.schema.names == docs.schema.names and sorted(r.n for r in left.collect()) == [0, 1, 2, 3, 4, 5, 6, 8, 10]
+
+
+def test_an_empty_table_stays_empty_in_every_stage(spark, tables):
+    docs = spark.read.parquet(f"{tables}/documents.parquet").where("false")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, docs, tables)
+        assert found.columns == docs.columns and found.count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, tables).count() == 0
