@@ -7,9 +7,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import sky as sky_tables
 from . import astro
 from .num import clamp, finite, half_up, piecewise
 
@@ -57,26 +58,27 @@ def horizon_at(horizon: Column, azimuth: Column) -> Column:
     return F.radians(low + (high - low) * (place - i))
 
 
-def reverberation(horizon: Column, altitude: Column, azimuth: Column, direct: Column, diffuse: Column, albedo: float = WALL_ALBEDO) -> Column:
-    """struct(lux, luminance, sunlit): what façades all around send back, one wall for each bin of the horizon."""
+def reverberation(horizon: Column, toward: Column, altitude: Column, facing: Column, direct: Column, diffuse: Column, wall: Column | None = None, albedo: float = WALL_ALBEDO) -> Column:
+    """struct(view, lux, sunlit): sums over the façades all around, one wall for each bin of the horizon.
+
+    ``toward``: tangent of the horizon below the sun; ``facing``: how much each wall faces the sun, of the instant alone;
+    ``wall``: the instant's table of upright surfaces, without which a wall sees half an even sky.
+    """
     n = F.size(horizon)
-    toward = F.tan(horizon_at(horizon, azimuth))
     sun = F.when(altitude > 0, F.tan(altitude)).otherwise(0.0)
 
-    def wall(degrees: Column, i: Column) -> Column:
-        beta = F.radians(degrees.cast("double"))
+    def add(sums: Column, i: Column) -> Column:
+        beta = F.radians(F.get(horizon, i).cast("double"))
         share = 1 - F.cos(beta) * F.cos(beta)
-        facing = -F.cos(azimuth - i * (2 * math.pi) / n)
+        towards = F.get(facing, i)
         across = F.atan(F.tan(F.radians(F.get(horizon, ((i + F.floor(n / 2)) % n).cast("int")).cast("double"))) / 2)
-        from_sky = F.pow(F.cos(across), F.lit(2.0)) * 0.5 * diffuse
-        reached = F.when(F.tan(beta) > 0, clamp(1 - F.greatest(zero(), toward - sun / F.greatest(facing, F.lit(0.05))) / F.tan(beta), 0.0, 1.0)).otherwise(0.0)
-        lit = F.when((facing > 0) & (altitude > 0), reached).otherwise(0.0)
-        light = (from_sky + F.when(lit > 0, direct * F.cos(altitude) * facing * lit).otherwise(0.0)) * albedo
-        return F.when(share > 0, F.struct(share.alias("view"), (share * light).alias("lux"), (share * lit).alias("sunlit"))).otherwise(F.struct(zero().alias("view"), zero().alias("lux"), zero().alias("sunlit")))
+        reach = F.cos(across) * F.cos(across) * 0.5 if wall is None else sky_tables.wall_factor(wall, i, F.degrees(across))
+        lit = F.when((towards > 0) & (altitude > 0) & (F.tan(beta) > 0), clamp(1 - F.greatest(zero(), toward - sun / F.greatest(towards, F.lit(0.05))) / F.tan(beta), 0.0, 1.0)).otherwise(0.0)
+        light = (reach * diffuse + F.when(lit > 0, direct * F.cos(altitude) * towards * lit).otherwise(0.0)) * albedo
+        return F.struct((sums.view + share).alias("view"), (sums.lux + share * light).alias("lux"), (sums.sunlit + share * lit).alias("sunlit"))
 
-    walls = F.transform(horizon, wall)
-    sums = F.aggregate(walls, F.struct(zero().alias("view"), zero().alias("lux"), zero().alias("sunlit")), lambda a, w: F.struct((a.view + w.view).alias("view"), (a.lux + w.lux).alias("lux"), (a.sunlit + w.sunlit).alias("sunlit")))
-    return F.transform(F.array(sums), lambda s: F.struct((s.lux / n).alias("lux"), F.when(s.view > 0, s.lux / s.view / math.pi).otherwise(0.0).alias("luminance"), (s.sunlit / n).alias("sunlit")))[0]
+    none = F.struct(zero().alias("view"), zero().alias("lux"), zero().alias("sunlit"))
+    return F.aggregate(F.sequence(F.lit(0), n - 1), none, add)
 
 
 def melanopic(direct: Column, diffuse: Column, altitude: Column, share: Column) -> Column:
@@ -127,34 +129,56 @@ def night_share(altitude: Column) -> Column:
     return F.when(d <= -6, 1.0).when(d >= 2, 0.0).otherwise((2 - d) / 8)
 
 
-def components(c: dict[str, Column]) -> dict[str, Column]:
-    """Parts of the index. ``c``: transmission, svf, flicker (0 to 1), horizon (degrees), veil; altitude, azimuth, heading, direct, diffuse, up, share, wet."""
-    transmission, svf, altitude, azimuth, up, wet = c["transmission"], c["svf"], c["altitude"], c["azimuth"], c["up"], clamp(c["wet"], 0.0, 1.0)
-    direct, diffuse = transmission * c["direct"] * up, svf * c["diffuse"]
-    walls = reverberation(c["horizon"], altitude, azimuth, c["direct"], c["diffuse"])
-    shade = F.tan(horizon_at(c["horizon"], azimuth)) / (F.tan(altitude) * 2)
-    ground_sun = F.when(altitude > 0, clamp(1 - shade, 0.0, 1.0)).otherwise(0.0)
-    ground_direct = (transmission + ground_sun) * 0.5 * c["direct"] * up
-    ground = (ground_direct + diffuse) * (1 - wet * 0.3) * GROUND_ALBEDO / math.pi
+def facing_walls(azimuth: Column, bins: int | Column = 32) -> Column:
+    """How much the wall of each bin faces the sun."""
+    n = F.lit(bins) if isinstance(bins, int) else bins
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: -F.cos(azimuth - i * (2 * math.pi) / n))
+
+
+def measured(df: DataFrame, c: dict[str, Column], keep: list[str]) -> DataFrame:
+    """``df`` with the parts of the index, each intermediate result a column that is computed once.
+
+    ``c``: transmission, svf, flicker (0 to 1), horizon (degrees), veil; altitude, azimuth, heading, direct, diffuse, up,
+    share, wet; ``facing`` (else made from the azimuth); ``sky`` and ``wall``, the instant's tables (else an even sky).
+    """
+    altitude, up, wet = c["altitude"], c["up"], clamp(c["wet"], 0.0, 1.0)
+    facing = c.get("facing", facing_walls(c["azimuth"], F.size(c["horizon"])))
+    tables = c.get("sky") is not None
+    base = df.withColumns({
+        "transmission_": c["transmission"], "flicker_": c["flicker"], "svf_": c["svf"], "veil_": c["veil"], "toward": F.tan(horizon_at(c["horizon"], c["azimuth"])),
+        "reach": F.coalesce(sky_tables.factor(c["sky"], c["horizon"]), c["svf"]) if tables else c["svf"],
+    })
+    base = base.withColumn("walls", reverberation(c["horizon"], F.col("toward"), altitude, facing, c["direct"], c["diffuse"], c.get("wall")))
+    t, svf, walls, n = F.col("transmission_"), F.col("svf_"), F.col("walls"), F.size(c["horizon"])
+    direct, diffuse = t * c["direct"] * up, F.col("reach") * c["diffuse"]
+    ground_sun = F.when(altitude > 0, clamp(1 - F.col("toward") / (F.tan(altitude) * 2), 0.0, 1.0)).otherwise(0.0)
     bounces = 1 / F.greatest(F.lit(0.4), 1 - clamp(1 - svf, 0.0, 1.0) * (0.5 * (WALL_ALBEDO + GROUND_ALBEDO)))
-    surface = (walls.luminance + ground * 0.5 + wet * fresnel(altitude) * ground_direct / math.pi) * bounces
-    return {
-        "sun": F.when(altitude > 0, transmission * c["share"]).otherwise(0.0),
-        "sky": svf * F.least(one(), F.pow(c["diffuse"] / SKY_SATURATION, F.lit(0.7))),
-        "bright": F.least(one(), F.pow(melanopic(direct, diffuse, altitude, c["share"]) / LUX_REFERENCE, F.lit(0.6))),
-        "reverb": F.least(one(), F.pow(F.greatest(zero(), surface) / REVERB_SATURATION, F.lit(0.7))),
-        "glare": glare(transmission, altitude, azimuth, c["heading"], c["direct"], c["wet"]),
-        "flicker": c["flicker"] * c["share"],
-        "night": night(c["veil"]),
-        "night_share": night_share(altitude),
-    }
+    lit = base.withColumns({"bounces": bounces, "ground_sunlit": ground_sun, "ground_direct": (t + ground_sun) * 0.5 * c["direct"] * up})
+    ground = (F.col("ground_direct") + diffuse) * (1 - wet * 0.3) * GROUND_ALBEDO / math.pi * F.col("bounces")
+    wall_luminance = F.when(walls.view > 0, walls.lux / walls.view / math.pi).otherwise(0.0) * F.col("bounces")
+    total = direct + diffuse + walls.lux / n * F.col("bounces")
+    light = lit.withColumns({"ground_luminance": ground, "wall_luminance": wall_luminance, "lux": total, "eye_lux": melanopic(direct, diffuse, altitude, c["share"]), "level_lux": direct + diffuse})
+    surface = F.col("wall_luminance") + F.col("ground_luminance") * 0.5 + wet * fresnel(altitude) * F.col("ground_direct") / math.pi * F.col("bounces")
+    return light.select(
+        *keep, F.when(altitude > 0, t * c["share"]).otherwise(0.0).alias("sun"), (F.col("reach") * F.least(one(), F.pow(c["diffuse"] / SKY_SATURATION, F.lit(0.7)))).alias("sky"),
+        F.least(one(), F.pow(F.col("eye_lux") / LUX_REFERENCE, F.lit(0.6))).alias("bright"), F.least(one(), F.pow(F.greatest(zero(), surface) / REVERB_SATURATION, F.lit(0.7))).alias("reverb"),
+        glare(t, altitude, c["azimuth"], c["heading"], c["direct"], c["wet"]).alias("glare"), (F.col("flicker_") * c["share"]).alias("flicker"), night(F.col("veil_")).alias("night"), night_share(altitude).alias("night_share"),
+        (walls.sunlit / n).alias("sunlit_walls"), "wall_luminance", "ground_luminance", "ground_sunlit", "lux", svf.alias("svf"),
+        F.when(F.col("level_lux") > 0, F.col("eye_lux") / F.col("level_lux") * F.col("lux")).otherwise(0.0).alias("melanopic_lux"),
+    )
+
+
+def score(parts: DataFrame) -> Column:
+    """The weighted parts, at dusk blended with the night's, 0 to 1."""
+    day = sum((F.col(k) * w for k, w in WEIGHTS.items()), zero())
+    return day * (1 - F.col("night_share")) + F.col("night") * F.col("night_share")
 
 
 def index(parts: dict[str, Column]) -> Column:
     day = sum((parts[k] * w for k, w in WEIGHTS.items()), zero())
     share = parts["night_share"]
     blended = F.when(share > 0, day * (1 - share) + parts["night"] * share).otherwise(day)
-    return clamp(half_up(blended * 100).cast("double"), 0.0, 100.0).cast("int")
+    return clamp(half_up(F.round(blended * 100, 6)).cast("double"), 0.0, 100.0).cast("int")
 
 
 def level(value: Column) -> Column:
@@ -180,6 +204,11 @@ def local_uv(uv: Column, transmission: Column, svf: Column, degrees: Column, sha
     return F.when(finite(uv) & (uv > 0), uv * (direct * transmission + (1 - direct) * svf)).otherwise(0.0)
 
 
+def uv_fallback(altitude: Column) -> Column:
+    """UV from the height of the sun alone."""
+    return F.when(altitude > 0, F.pow(F.sin(altitude), F.lit(1.4)) * 8.5).otherwise(0.0)
+
+
 def uv_level(uv: Column) -> Column:
     out = F.lit("extrême")
     for below, label in reversed(UV_LEVELS):

@@ -70,13 +70,31 @@ def kept_apart(hits: Column, span: float) -> Column:
 
 
 def resampled(segments: DataFrame, key: str, step: float) -> DataFrame:
-    """Points every ``step`` metres, the first after half of one, along chains of segments (key, seq, x1, y1, x2, y2)."""
+    """Points every ``step`` metres, the first after half of one, along chains of segments (key, seq, x1, y1, x2, y2), with the
+    unit tangent (dx, dy). A chain too short for one gets its middle, with the direction from its first to its last point."""
     length = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
-    along = segments.withColumn("len", length).where("len > 0")
-    along = along.withColumn("end", running(F.col("len"), [key], ["seq"])).withColumn("start", F.col("end") - F.col("len"))
+    along = segments.withColumn("len", length)
+    before = F.lag("end").over(Window.partitionBy(key).orderBy("seq"))  # not end - len: rounding would lose samples or double them
+    along = along.withColumn("end", running(F.col("len"), [key], ["seq"])).withColumn("start", F.coalesce(before, F.lit(0.0)))
     # Sample k lies at step/2 + k*step; of a segment (start, end] those after its start, and the first segment's own start.
     low = F.greatest(F.lit(0), F.floor((F.col("start") - step / 2) / step) + 1)
     high = F.floor((F.col("end") - step / 2) / step)
-    out = along.where(high >= low).withColumn("k", F.explode(F.sequence(low, high)))
+    out = along.where((F.col("len") > 0) & (high >= low)).withColumn("k", F.explode(F.sequence(low, high)))
     t = (F.col("k") * step + step / 2 - F.col("start")) / F.col("len")
-    return out.select(key, "k", (F.col("x1") + (F.col("x2") - F.col("x1")) * t).alias("x"), (F.col("y1") + (F.col("y2") - F.col("y1")) * t).alias("y"))
+    wide, tall = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    placed = out.select(key, "k", (F.col("x1") + wide * t).alias("x"), (F.col("y1") + tall * t).alias("y"), (wide / F.col("len")).alias("dx"), (tall / F.col("len")).alias("dy"))
+    ends = along.groupBy(key).agg(F.max("end").alias("total"), *[F.min_by(c, "seq").alias(c) for c in ("x1", "y1")], *[F.max_by(c, "seq").alias(c) for c in ("x2", "y2")])
+    span = F.when(length > 0, length).otherwise(1.0)
+    middle = ends.where(F.col("total") < step / 2).select(key, F.lit(0).cast("long").alias("k"), ((F.col("x1") + F.col("x2")) / 2).alias("x"), ((F.col("y1") + F.col("y2")) / 2).alias("y"), (wide / span).alias("dx"), (tall / span).alias("dy"))
+    return placed.unionByName(middle)
+
+
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``df`` with ``name``: 0, 1, 2 ... in this order, which must be total. Ranges are sorted apart, and begin where the rows of those before them end."""
+    from ..sources.storage import materialize
+
+    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    written = materialize(ranged.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(*order))), "numbered")
+    sizes = written.groupBy("_part").agg(F.count("*").alias("_size"))  # a row for each range
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return written.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_n") - 1).drop("_part", "_n", "_size", "_before")

@@ -1,9 +1,7 @@
-"""One query for each operator, over the domain views; ``SQL`` says the same in a hand-written oracle."""
+"""One query for each operator, over the domain views, with the same in hand-written SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,53 +9,8 @@ from ..functions import astro, exposure, geo
 from ..functions.num import floor_quantile, half_up, upper_median
 from ..operators import graph, series, spatial
 from ..sources import adapters, storage
-from ..sources.adapters import AREA, table, with_views
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None, *views: str):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = with_views((", " if sql.lstrip().startswith("w_") or " as (" in sql.split("select")[0] else " ") + sql, *views) if views else sql
-        return f
-
-    return add
-
-
-r6 = lambda c: F.round(c, 6)
-
-# --- the flagship: index of every side at one minute -----------------------------------------------------------------
-
-NOON = 1719835200000  # 2024-07-01 12:00 UTC
-MINUTE = 847
-
-
-def evaluated(sides: DataFrame, minute: int = MINUTE, epoch_ms: int = NOON) -> DataFrame:
-    """Sides with the parts of the index at one minute of a day under clear weather: a projection over stored physics."""
-    west, south, east, north = AREA
-    altitude, azimuth = astro.sun_position(F.lit(float(epoch_ms)), F.lit((south + north) / 2), F.lit((west + east) / 2))
-    sun = sides.sparkSession.range(1).select(altitude.alias("altitude"), azimuth.alias("azimuth"))
-    sky = exposure.sky_conditions(F.col("altitude"), F.lit(0.25), F.lit(None).cast("double"), F.lit(None).cast("double"))
-    context = sun.select("altitude", "azimuth", *[c.alias(k) for k, c in sky.items()])
-    at = context.first().asDict()  # one row: the sky of that minute
-    now = {k: F.lit(v) for k, v in at.items()}
-    m = F.lit(minute)
-    c = now | {
-        "transmission": series.on_grid(F.col("sun"), m) / 100.0, "flicker": series.on_grid(F.col("flicker"), m) / 100.0, "svf": F.col("svf") / 100.0,
-        "horizon": F.col("horizon"), "veil": F.col("veil") / 100.0, "heading": F.lit(None).cast("double"), "wet": F.lit(0.0),
-    }
-    return sides.select("segment_id", "side", "work", *[v.alias(k) for k, v in exposure.components(c).items()])
-
-
-@query()
-def segment_index_at(spark, sf_dir):
-    parts = evaluated(adapters.sides(spark, sf_dir))
-    value = exposure.index({k: F.col(k) for k in (*exposure.WEIGHTS, "night", "night_share")})
-    return parts.select("segment_id", "side", value.alias("index"), exposure.level(value).alias("level"))
-
+from ..sources.adapters import AREA, table
+from .registry import query, r6
 
 # --- astronomy and exposure ------------------------------------------------------------------------------------------
 

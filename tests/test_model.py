@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lightwalk.functions import astro, exposure, geo
 from lightwalk.functions.num import floor_quantile, half_up, upper_median
-from lightwalk.operators import graph, series, spatial
+from lightwalk.operators import graph, raster, series, sky, spatial
 from lightwalk.sources import storage
 from lightwalk.streaming import tracking
 
@@ -41,22 +41,42 @@ def test_m7_turbidity_round_trip(spark):
 
 
 def parts(spark, **over):
-    sky = exposure.sky_conditions(F.lit(over.pop("altitude", 0.87)), F.lit(over.pop("cloud", 0.0)), F.lit(None).cast("double"), F.lit(None).cast("double"))
-    base = {"transmission": 0.5, "svf": 0.5, "flicker": 0.0, "veil": 0.0, "wet": 0.0, "azimuth": math.pi, "heading": None, "horizon": [20] * 16}
-    base |= over
-    altitude = base.pop("alt", 0.87)
+    """One row with the parts of the index of a scenario."""
+    degrees = over.pop("altitude", 50)
+    base = {"transmission": 0.5, "svf": 0.5, "flicker": 0.0, "veil": 0.0, "wet": 0.0, "azimuth": math.pi, "heading": None, "horizon": [20] * 16, "cloud": 0.0} | over
     c = {k: F.lit(v).cast("double") if k != "horizon" else F.array(*map(F.lit, v)) for k, v in base.items()}
-    return exposure.components(c | sky | {"altitude": F.lit(altitude)})
+    altitude = F.lit(math.radians(degrees))
+    sky = exposure.sky_conditions(altitude, c.pop("cloud"), F.lit(None).cast("double"), F.lit(None).cast("double"))
+    return exposure.measured(spark.range(1), c | sky | {"altitude": altitude}, [])
+
+
+def index_of(spark, **over):
+    return parts(spark, **over).select(exposure.index({k: F.col(k) for k in (*exposure.WEIGHTS, "night", "night_share")}).alias("i")).first().i
 
 
 def test_index_is_bounded_and_rises_with_sun(spark):
     for degrees in (-10, 0, 5, 30, 60):
-        seen = []
-        for transmission in (0.0, 0.5, 1.0):
-            value = one(spark, i=exposure.index(parts(spark, altitude=math.radians(degrees), alt=math.radians(degrees), transmission=transmission))).i
-            assert 0 <= value <= 100
-            seen.append(value)
-        assert seen == sorted(seen)
+        seen = [index_of(spark, altitude=degrees, transmission=t) for t in (0.0, 0.5, 1.0)]
+        assert all(0 <= v <= 100 for v in seen) and seen == sorted(seen)
+
+
+def test_wet_streets_and_sun_in_the_face_are_worse(spark):
+    dry, wet = (parts(spark, altitude=10, wet=w, transmission=1.0).first() for w in (0.0, 1.0))
+    assert wet.reverb > dry.reverb and wet.glare >= dry.glare
+    ahead, behind = (parts(spark, altitude=10, heading=h, transmission=1.0).first().glare for h in (math.pi, 0.0))
+    assert abs(behind - 0.3 * ahead) < 1e-9
+
+
+def test_sky_tables_reduce_to_known_cases(spark):
+    rows = [(0, 0.7, 2.0, 1.0), (1, 0.7, 2.0, 1.36), (2, 0.4, 1.0, 7.0), (3, 0.4, 1.0, None)]
+    made = sky.tables(spark.createDataFrame(rows, "instant int, altitude double, azimuth double, epsilon double"))
+    flat, street = [0] * 32, [40] * 32
+    read = lambda h: made.select("instant", sky.factor(F.col("sky"), F.array(*map(F.lit, h))).alias("f"), sky.wall_factor(F.col("wall"), F.lit(3), F.lit(0.0)).alias("w"))
+    assert all(abs(r.f - 1) < 1e-9 for r in read(flat).collect())  # the whole sky
+    by = {r.instant: r for r in read(street).collect()}
+    assert abs(by[1].f - math.cos(math.radians(40)) ** 2) < 0.005 and abs(by[1].w - 0.5) < 0.005  # an even sky
+    assert by[0].f > by[1].f and abs(by[3].f - by[0].f) < 1e-9  # an overcast one is brightest at the top; no clearness: overcast
+    assert all(r.f is None for r in read([0] * 16).collect())  # other sectors than the tables have
 
 
 def test_glare_peaks_low_and_night_blends(spark):
