@@ -242,12 +242,28 @@ def repeated(docs: DataFrame, words: int = 51, bands: int = 1, rows: int = 1, si
 
 
 def compare(a: np.ndarray, b: np.ndarray, words: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Whether surroundings (rows of ``a`` and ``b``) are alike around the seed; the words that are: (n, 4) first and end in a, first and end in b, counted from the seed."""
+    """Whether surroundings (rows of ``a`` and ``b``) are alike around the seed; the words that are: (n, 4) first and end in a, first and end in b, counted from the seed.
+
+    Only pairs with enough shingles at the same places, or a long enough run of them at the seed, are looked at closely.
+    """
     side = words - SEED
     same = (a == b) & (a != 0)
     shingle = same[:, : 1 - SHINGLE].copy()
     for k in range(1, SHINGLE):
         shingle &= same[:, k : same.shape[1] - SHINGLE + 1 + k]
+    least = np.minimum(needed(a, words), needed(b, words))
+    enough = (1 + similarity) * shingle.sum(1) >= 2 * similarity * least - 1e-9
+    left, right = np.logical_and.accumulate(shingle[:, side::-1], 1).sum(1), np.logical_and.accumulate(shingle[:, side + 1 :], 1).sum(1)
+    enough |= left + right >= np.where(least < words - SHINGLE + 1, SEED - SHINGLE + 1, WINDOW - SHINGLE + 1)
+    alike, spans = np.zeros(len(a), bool), np.zeros((len(a), 4), np.int64)
+    some = np.flatnonzero(enough)
+    if len(some):
+        alike[some], spans[some] = _close(a[some], b[some], same[some], shingle[some], (left + right)[some], words, similarity)
+    return alike, spans
+
+
+def _close(a: np.ndarray, b: np.ndarray, same: np.ndarray, shingle: np.ndarray, seed: np.ndarray, words: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    side = words - SEED
     inside = np.stack([(x != 0) for x in (a, b)])
     begin, end = inside.argmax(2), inside.shape[2] - inside[:, :, ::-1].argmax(2)
     length = np.minimum((end - begin).min(0), words)  # a text of fewer words is in its surrounding as a whole
@@ -265,8 +281,10 @@ def compare(a: np.ndarray, b: np.ndarray, words: int, similarity: float) -> tupl
     low, high = shared.argmax(1) - side, shingle.shape[1] - shared[:, ::-1].argmax(1) + SHINGLE - 1 - side
     spans = np.stack([low, high, low, high], 1)
     # Words put in or left out: more shingles are shared than stand side by side, and windows are compared as sets.
-    seed = np.logical_and.accumulate(shingle[:, side::-1], 1).sum(1) + np.logical_and.accumulate(shingle[:, side + 1 :], 1).sum(1)
-    rest = np.flatnonzero(fits.any(1) & (seed >= np.where(length < words, SEED - SHINGLE + 1, WINDOW - SHINGLE + 1)) & ~same.all(1))
+    # Where both ends of what both texts have stand side by side, sets add nothing to the span.
+    row = np.arange(len(a))
+    whole = alike & shingle[row, np.minimum(begin.max(0), shingle.shape[1] - 1)] & shingle[row, np.maximum(end.min(0) - SHINGLE, 0)]
+    rest = np.flatnonzero(~whole & fits.any(1) & (seed >= np.where(length < words, SEED - SHINGLE + 1, WINDOW - SHINGLE + 1)) & ~same.all(1))
     sets = [_combined(np.ascontiguousarray(x[rest].T, np.uint64), SHINGLE, 2).T.copy() for x in (a, b)]
     for j, x in enumerate(sets):
         outside = ~np.logical_and.reduce([inside[j, rest, k : k + x.shape[1]] for k in range(SHINGLE)])
@@ -313,79 +331,96 @@ def needed(around: np.ndarray, words: int) -> np.ndarray:
     return np.minimum((around != 0).sum(1), words) - SHINGLE + 1
 
 
-def partnered(around: np.ndarray, words: int, similarity: float) -> np.ndarray:
-    """Surroundings that have so many shingles in common with any others of the bucket that they can be alike to one: the one very common line goes here, in one sort."""
+def shared(around: np.ndarray) -> np.ndarray:
+    """Shingles of a bucket's surroundings as numbers from 0, -1 for those that only one has; one sort for the bucket."""
     x = marked(around)
     names, column, count = np.unique(x, return_inverse=True, return_counts=True)
-    met = ((count > 1) & (names != 0))[column.reshape(x.shape)].sum(1)
-    return (1 + similarity) * met >= 2 * similarity * needed(around, words).min(initial=words) - 1e-3
+    code = np.where((count > 1) & (names != 0), np.cumsum((count > 1) & (names != 0)) - 1, -1)
+    return code[column.reshape(x.shape)]
 
 
-def possible(around: np.ndarray, words: int, similarity: float) -> np.ndarray:
+def possible(codes: np.ndarray, count: np.ndarray, similarity: float) -> np.ndarray:
     """(n, n): pairs of surroundings that share enough shingles, wherever they are, to be alike; all pairs at once, by a matrix of surroundings and shingles."""
-    x = marked(around)
-    names, column, count = np.unique(x, return_inverse=True, return_counts=True)
-    shared = (count > 1) & (names != 0)
-    row, at = np.nonzero(shared[column.reshape(x.shape)])
-    has = np.zeros((len(x), np.count_nonzero(shared)), np.float32)
-    has[row, (np.cumsum(shared) - 1)[column.reshape(x.shape)[row, at]]] = 1
-    length = needed(around, words)
-    return (1 + similarity) * (has @ has.T) >= 2 * similarity * np.minimum(length[:, None], length) - 1e-3
+    row, at = np.nonzero(codes >= 0)
+    code = codes[row, at]
+    here = np.bincount(code) > 1
+    row, code = row[here[code]], code[here[code]]
+    has = np.zeros((len(codes), np.count_nonzero(here)), np.float32)
+    has[row, (np.cumsum(here) - 1)[code]] = 1
+    return (1 + similarity) * (has @ has.T) >= 2 * similarity * np.minimum(count[:, None], count) - 1e-3
 
 
-def spanning(around: np.ndarray, known: np.ndarray, only: np.ndarray, words: int, similarity: float, stars: int = 8, chunk: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def spanning(around: np.ndarray, known: np.ndarray, only: np.ndarray, words: int, similarity: float, chunk: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Links (earlier row, later row, spans) that join the alike surroundings of one bucket, rows in the order of documents.
 
     Surroundings without enough shingles in common with any others are left out first. Then some rows are compared with
     all others: in a group of near copies the first one is alike to nearly all. What is not one component by then is
     compared pair by pair, in chunks, where the shared shingles of a pair allow it.
     """
-    left = np.flatnonzero(partnered(around, words, similarity))
-    around, known, only = around[left], known[left], only[left]
-    label = np.arange(len(left))
-
-    def link(i: int, other: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        other = other[(label[other] != label[i]) & ~(known[i] & known[other] & (only[i] == only[other]))]
-        for early, others in ((False, other[other < i]), (True, other[other > i])):
-            if not len(others):
-                continue
-            mine = np.broadcast_to(around[i], (len(others), around.shape[1]))
-            alike, spans = compare(mine, around[others], words, similarity) if early else compare(around[others], mine, words, similarity)
-            others = others[alike]
-            if len(others):
-                label[np.isin(label, label[others])] = label[i]
-                here = np.full(len(others), left[i])
-                yield (here, left[others], spans[alike]) if early else (left[others], here, spans[alike])
-
-    done = np.zeros(len(left), bool)
-    for _ in range(stars):
-        free = np.flatnonzero(~done & (label == np.arange(len(left))))
-        if not len(free):
+    codes, count = shared(around), needed(around, words)
+    left = np.flatnonzero((1 + similarity) * (codes >= 0).sum(1) >= 2 * similarity * count.min(initial=words) - 1e-3)
+    around, known, only, codes, count = around[left], known[left], only[left], codes[left], count[left]
+    root, linked, done = np.arange(len(left)), np.zeros(len(left), bool), np.zeros(len(left), bool)
+
+    def join(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Links of the alike pairs: those that join components, and the first one of each surrounding, for what it has in common."""
+        far = (root[x] != root[y]) & ~(known[x] & known[y] & (only[x] == only[y]))
+        x, y = x[far], y[far]
+        alike, spans = compare(around[x], around[y], words, similarity)
+        keep = []
+        for t in np.flatnonzero(alike).tolist():
+            i, j = x[t], y[t]
+            while root[i] != i:
+                i = root[i]
+            while root[j] != j:
+                j = root[j]
+            if i != j or not linked[x[t]] or not linked[y[t]]:
+                root[max(i, j)] = min(i, j)
+                linked[x[t]] = linked[y[t]] = True
+                keep.append(t)
+        while (root != root[root]).any():
+            root[:] = root[root]
+        return left[x[keep]], left[y[keep]], spans[keep]
+
+    while True:
+        free = np.flatnonzero(~done & ~linked)
+        if len(free) < 64:
+            break
+        done[free[0]] = True
+        yield join(np.full(len(free) - 1, free[0]), free[1:])
+        if np.count_nonzero(~linked[free]) > 0.9 * len(free):  # few are alike to this one
             break
-        i = int(free[0])
-        done[i] = True
-        yield from link(i, np.arange(len(left)))
     cuts = range(0, len(left), chunk)
     for a, b in itertools.combinations_with_replacement(cuts, 2):
-        rows = np.unique(np.append(np.arange(a, min(a + chunk, len(left))), np.arange(b, min(b + chunk, len(left)))))
-        if (label[rows] == label[rows[0]]).all():
+        here, there = (np.arange(x, min(x + chunk, len(left))) for x in (a, b))
+        if (root[here] == root[here[0]]).all() and (root[there] == root[here[0]]).all():
             continue
-        near = np.triu(possible(around[rows], words, similarity), 1)
-        for k in np.flatnonzero(near.any(1)):
-            yield from link(int(rows[k]), rows[np.flatnonzero(near[k])])
+        if a == b:
+            near = np.triu(possible(codes[here], count[here], similarity), 1)
+        else:  # pairs of two chunks only: those within each have had their turn
+            both = np.append(here, there)
+            near = possible(codes[both], count[both], similarity)[: len(here), len(here) :]
+        x, y = np.nonzero(near & (root[here][:, None] != root[there]))
+        for at in range(0, len(x), 4096):  # what one slice has joined the next one leaves out
+            yield join(here[x[at : at + 4096]], there[y[at : at + 4096]])
 
 
-def _verified(words: int, similarity: float):
+def _verified(words: int, similarity: float, small: int = 12):
     """Of rows sorted by bucket (key, tile) and document: links that span the alike contents of each bucket, the earlier document's first. Two contents of one and the same document are not linked."""
 
     def links(bucket: np.ndarray, content: np.ndarray, only: np.ndarray, known: np.ndarray, around: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         starts = np.flatnonzero(np.append(True, (bucket[1:] != bucket[:-1]).any(1)))
         sizes = np.diff(np.append(starts, len(bucket)))
-        two = starts[sizes == 2]  # the usual bucket
-        two = two[~(known[two] & known[two + 1] & (only[two] == only[two + 1]))]
-        alike, spans = compare(around[two], around[two + 1], words, similarity)
-        yield content[two][alike], content[two + 1][alike], spans[alike]
-        for start, size in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
+        # The usual bucket is small: all its pairs at once, together with those of the others.
+        group = np.repeat(np.where(sizes <= small, np.arange(len(starts)), -1), sizes)
+        for step in range(1, small):
+            same = np.flatnonzero((group[step:] == group[:-step]) & (group[step:] >= 0))
+            same = same[~(known[same] & known[same + step] & (only[same] == only[same + step]))]
+            for at in range(0, len(same), 1 << 14):
+                x = same[at : at + (1 << 14)]
+                alike, spans = compare(around[x], around[x + step], words, similarity)
+                yield content[x][alike], content[x + step][alike], spans[alike]
+        for start, size in zip(starts[sizes > small], sizes[sizes > small], strict=True):
             s = slice(start, start + size)
             for x, y, spans in spanning(around[s], known[s], only[s], words, similarity):
                 yield content[start + x], content[start + y], spans
