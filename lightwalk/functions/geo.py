@@ -69,3 +69,15 @@ def turn_kind(delta: Column, threshold: float = 28.0) -> Column:
     size, right = F.abs(delta), delta > 0
     side = F.when(right, "right").otherwise("left")
     return F.when(size < threshold, "straight").when(size < 55, F.concat(F.lit("slight_"), side)).when(size < 135, side).otherwise(F.concat(F.lit("sharp_"), side))
+
+
+def tile_west(x: Column, zoom: Column) -> Column:
+    return x / F.pow(F.lit(2.0), zoom) * 360 - 180
+
+
+def tile_north(y: Column, zoom: Column) -> Column:
+    return F.degrees(F.atan(F.sinh((1 - y / F.pow(F.lit(2.0), zoom) * 2) * math.pi)))
+
+
+def cell_key(zoom: Column, x: Column, y: Column) -> Column:
+    return F.concat_ws("-", zoom.cast("string"), x.cast("string"), y.cast("string"))

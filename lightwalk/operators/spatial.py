@@ -101,3 +101,14 @@ def bilinear(points: DataFrame, raster: DataFrame, resolution: float, width: int
     four = F.explode(F.array(corner(0, 0, (1 - tx) * (1 - ty)), corner(1, 0, tx * (1 - ty)), corner(0, 1, (1 - tx) * ty), corner(1, 1, tx * ty)))
     met = base.select("point_id", four.alias("k")).select("point_id", "k.*").join(raster.select("row", "col", "value"), ["row", "col"])
     return met.groupBy("point_id").agg(F.sum(F.col("value") * F.col("w")).alias("value"))
+
+
+def edges_cross(e: Column, k: Column) -> Column:
+    """Whether two edges, struct(a, b) of struct(x, y), cross at a point inside both."""
+    turn = lambda a, b, p: (b.x - a.x) * (p.y - a.y) - (b.y - a.y) * (p.x - a.x)
+    return (turn(k.a, k.b, e.a) * turn(k.a, k.b, e.b) < 0) & (turn(e.a, e.b, k.a) * turn(e.a, e.b, k.b) < 0)
+
+
+def signed_area(ring: Column) -> Column:
+    """Area that a closed ring winds around, positive counter-clockwise."""
+    return F.aggregate(F.sequence(F.lit(1), F.size(ring) - 1), F.lit(0.0), lambda s, i: s + F.get(ring, i - 1).x * F.get(ring, i).y - F.get(ring, i).x * F.get(ring, i - 1).y) / 2
