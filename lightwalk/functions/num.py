@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -20,20 +20,16 @@ def finite(x: Column) -> Column:
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
 
 
-def upper_median(x: Column) -> Column:
-    """Aggregate: the middle value, of an even number the larger one of the two in the middle."""
-    return quantile_at(x, lambda n: F.floor(n / 2))
+def quantiles(rows: DataFrame, key: str, value: str, **places) -> DataFrame:
+    """One row for each ``key`` with the value at each of the named places of its sorted values, from counts and running sums.
 
-
-def floor_quantile(x: Column, p: float) -> Column:
-    """Aggregate: the value at place floor((n - 1) * p) of the sorted ones."""
-    return quantile_at(x, lambda n: F.floor((n - 1) * p))
-
-
-def quantile_at(x: Column, place) -> Column:
-    """For groups of bounded size: it sorts a group's values."""
-    values = F.array_sort(F.collect_list(x))
-    return F.try_element_at(values, place(F.size(values)).cast("int") + 1)
+    ``places``: functions of the number of values; ``floor(n / 2)`` is the upper median. Values are counted before they
+    are moved, and no group is collected.
+    """
+    counted = rows.groupBy(key, value).agg(F.count("*").alias("_n"))
+    order, every = Window.partitionBy(key).orderBy(value), Window.partitionBy(key)
+    ranked = counted.withColumns({"_upto": F.sum("_n").over(order), "_all": F.sum("_n").over(every)})
+    return ranked.groupBy(key).agg(*[F.min(F.when(F.col("_upto") > place(F.col("_all")), F.col(value))).alias(name) for name, place in places.items()])
 
 
 def piecewise(x: Column, table: list[tuple[float, float]]) -> Column:

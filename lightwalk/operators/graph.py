@@ -46,7 +46,7 @@ class _Graph:
         arcs = arcs.sort_values(["src", "dst"], kind="stable")
         self.nodes, start = np.unique(arcs["src"].to_numpy(), return_index=True)
         self.start = dict(zip(self.nodes.tolist(), zip(start.tolist(), [*start[1:].tolist(), len(arcs)], strict=True), strict=True))
-        self.dst, self.length, self.segment = (arcs[c].to_numpy() for c in ("dst", "length", "segment_id"))
+        self.dst, self.length, self.segment, self.delay, self.detour = (arcs[c].to_numpy() for c in ("dst", "length", "segment_id", "delay", "detour"))
 
     def cheapest(self, start: int, goal: int, alpha: float, departure: float, exposure, speed: float) -> list[tuple[int, float, float]]:
         """(node, seconds, cost) along the cheapest path; the clock runs on seconds, exposure is looked up at the middle of an arc."""
@@ -62,9 +62,9 @@ class _Graph:
             seconds = best[node][1]
             a, b = self.start.get(node, (0, 0))
             for k in range(a, b):
-                to, took = int(self.dst[k]), float(self.length[k]) / speed
+                to, took = int(self.dst[k]), float(self.length[k]) / speed + float(self.delay[k])
                 share = exposure(int(self.segment[k]), departure + seconds / 60 + took / 120)
-                total = cost + took * (1 + alpha * share / 100)
+                total = cost + took * float(self.detour[k]) * (1 + alpha * share / 100)
                 if to not in best or total < best[to][0]:
                     best[to] = (total, seconds + took, node)
                     heapq.heappush(heap, (total, to))
@@ -82,9 +82,12 @@ def routes(edges: DataFrame, queries: DataFrame, speed: float = 1.35, max_arcs:
 
     Queries are dealt over the tasks and each is searched by itself over the graph of its area, which is sent along: it
     must have ``max_arcs`` arcs at most, and is counted first. An arc's exposure changes over the day: (segment * 31 +
-    minute) % 101, at the whole minute. No path: no rows.
+    minute) % 101, at the whole minute. A crossing (column ``crossing``, if there is one) delays by 25 seconds; works on a
+    sidewalk (``work``, percent) make it up to three times as dear, but no slower. No path: no rows.
     """
-    arcs = both_ways(edges).select("src", "dst", "length", "segment_id")
+    delay = F.when(F.col("crossing"), 25.0).otherwise(0.0) if "crossing" in edges.columns else F.lit(0.0)
+    detour = F.coalesce("work", F.lit(0)) * 2 / 100.0 + 1 if "work" in edges.columns else F.lit(1.0)
+    arcs = both_ways(edges.withColumns({"delay": delay, "detour": detour})).select("src", "dst", "length", "segment_id", "delay", "detour")
     count = arcs.count()
     if count > max_arcs:
         raise ValueError(f"{count} arcs; route by areas of {max_arcs} at most")

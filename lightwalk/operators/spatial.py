@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import flat_distance
 from ..functions.num import half_up
+from ..sources.storage import materialize
 
 
 def _around(cell: Column, reach: int) -> Column:
@@ -60,27 +61,31 @@ def covered(points: DataFrame, cells: DataFrame, cell: float = 250.0) -> DataFra
     return keyed.join(cells, ["gx", "gy"], "left_semi").drop("gx", "gy")
 
 
-def nearest(points: DataFrame, candidates: DataFrame, key: str, id_: str, cells: tuple[float, ...] = (0.002, 0.03, 360.0)) -> DataFrame:
+def nearest(points: DataFrame, candidates: DataFrame, key: str, id_: str, cell: float = 0.002) -> DataFrame:
     """Each point's nearest candidate on the query plane (ties: smaller id): ``key``, ``id_``, distance.
 
-    Candidates of the point's cell and the eight around it, in degrees of ``cells``; one nearer than the square's edge is
-    final. What is left is looked for in the next, coarser cells; the last ones hold the whole earth.
+    Candidates of the point's cell and the eight around it, in degrees of ``cell``; one nearer than the square's edge is
+    final. What is left is looked for in cells four times as wide, until every point is settled; points far from all
+    candidates are few by then. Without candidates there are no rows.
     """
-    keyed = candidates.select(F.col(id_), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"))
+    keyed = materialize(candidates.select(F.col(id_), F.col("lon").alias("lon2"), F.col("lat").alias("lat2")), "candidates")
     order = Window.partitionBy(key).orderBy("distance", id_)
     done, left = None, points.select(key, "lon", "lat")
-    for cell in cells:
-        scale = lambda c, cell=cell: F.floor(c / cell).cast("long")
+    while True:
+        scale = lambda c: F.floor(c / cell).cast("long")
+        last = cell >= 360
         grid = keyed.withColumn("gx", _around(scale(F.col("lon2")), 1)).withColumn("gy", _around(scale(F.col("lat2")), 1))
         met = left.withColumns({"gx": scale(F.col("lon")), "gy": scale(F.col("lat"))}).join(grid, ["gx", "gy"])
-        best = met.withColumn("distance", flat_distance(F.col("lon"), F.col("lat"), F.col("lon2"), F.col("lat2"))).withColumn("r", F.row_number().over(order)).where("r = 1").select(key, id_, "distance")
-        if cell != cells[-1]:
+        best = met.withColumn("distance", flat_distance(F.col("lon"), F.col("lat"), F.col("lon2"), F.col("lat2"))).withColumn("r", F.row_number().over(order)).where("r = 1")
+        if not last:
             # Metres to the square's edge: the shorter of the two degrees, at the point's latitude.
-            sure = left.select(key, (F.cos(F.radians("lat")) * (cell * 110000.0)).alias("sure"))
-            best = best.join(sure, key).where("distance <= sure").drop("sure")
-            left = left.join(best, key, "left_anti")
+            best = best.where(F.col("distance") <= F.cos(F.radians("lat")) * (cell * 110000.0))
+        best = materialize(best.select(key, id_, "distance"), "nearest")
         done = best if done is None else done.unionByName(best)
-    return done
+        left = materialize(left.join(best, key, "left_anti"), "unsettled")
+        if last or left.isEmpty() or keyed.isEmpty():
+            return done
+        cell *= 4
 
 
 def quantised_nodes(vertices: DataFrame, digits: int = 6) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import astro, exposure, geo
-from ..functions.num import floor_quantile, half_up, upper_median
+from ..functions.num import half_up, quantiles
 from ..operators import graph, series, spatial
 from ..sources import adapters, storage
 from ..sources.adapters import AREA, table
@@ -135,7 +135,7 @@ def j2_points_in_worksites(spark, sf_dir):
 
 @query(
     """
-    seeded as (select distinct cast(floor(x/250 + 0.5E0) as bigint) as gx, cast(floor(y/250 + 0.5E0) as bigint) as gy from lamps where lamp_id % 3 = 0),
+    seeded as (select distinct cast(floor(x/250 + 0.5E0) as bigint) as gx, cast(floor(y/250 + 0.5E0) as bigint) as gy from lamps),
     o as (select i, j from (values (-1), (0), (1)) a(i), (values (-1), (0), (1)) b(j) where i <> 0 or j <> 0),
     grown as (select s.gx + o.i as gx, s.gy + o.j as gy from seeded s, o group by 1, 2 having count(*) >= 5)
     select point_id from points where (cast(floor(x/250 + 0.5E0) as bigint), cast(floor(y/250 + 0.5E0) as bigint)) in (select gx, gy from seeded union select gx, gy from grown)
@@ -143,7 +143,7 @@ def j2_points_in_worksites(spark, sf_dir):
     "points", "lamps",
 )
 def j3_a14_lamp_coverage(spark, sf_dir):
-    cells = spatial.covered_cells(adapters.lamps(spark, sf_dir).where("lamp_id % 3 = 0"))
+    cells = spatial.covered_cells(adapters.lamps(spark, sf_dir))
     return spatial.covered(adapters.points(spark, sf_dir).select("point_id", "x", "y"), cells).select("point_id")
 
 
@@ -160,7 +160,7 @@ def j6_quantised_nodes(spark, sf_dir):
 
 @query(
     """
-    l as (select segment_id, sum(svf) as total from sides where side = 'L' group by 1), r as (select segment_id - 1 as segment_id, sum(svf) as total from sides where side = 'R' and segment_id % 3 = 0 group by 1)
+    l as (select segment_id, sum(svf) as total from sides where side = 'L' group by 1), r as (select segment_id - 1 as segment_id, sum(svf) as total from sides where side = 'R' group by 1)
     select l.segment_id, l.total as left_svf, coalesce(r.total, l.total) as right_svf from l left join r using (segment_id)
     """,
     "sides",
@@ -168,7 +168,7 @@ def j6_quantised_nodes(spark, sf_dir):
 def j7_right_side_or_left(spark, sf_dir):
     s = adapters.sides(spark, sf_dir)
     left = s.where("side = 'L'").groupBy("segment_id").agg(F.sum("svf").alias("left_svf"))
-    right = s.where("side = 'R' and segment_id % 3 = 0").groupBy((F.col("segment_id") - 1).alias("segment_id")).agg(F.sum("svf").alias("right_svf"))
+    right = s.where("side = 'R'").groupBy((F.col("segment_id") - 1).alias("segment_id")).agg(F.sum("svf").alias("right_svf"))
     return left.join(right, "segment_id", "left").select("segment_id", "left_svf", F.coalesce("right_svf", "left_svf").alias("right_svf"))
 
 
@@ -218,23 +218,30 @@ def j11_bilinear_raster(spark, sf_dir):
 
 @query(
     """
-    d as (select p.point_id, n.node_id, sqrt(pow((n.lon - p.lon)*111320*cos(radians((n.lat + p.lat)/2)), 2) + pow((n.lat - p.lat)*111132, 2)) as distance from points p join nodes n on n.node_id % 5 = 0 where p.point_id % 10 = 0),
-    r as (select *, row_number() over (partition by point_id order by distance, node_id) as k from d)
-    select point_id, node_id, round(distance, 4) as distance from r where k = 1
-    """,
-    "points", "nodes",
+    arcs as (select src, dst from edges union all select dst, src from edges),
+    reach(node_id, component) as (select node_id, node_id from nodes union select a.dst, r.component from reach r join arcs a on a.src = r.node_id),
+    c as (select node_id, min(component) as component from reach group by 1), big as (select node_id from c where component in (select component from c group by 1 having count(*) >= 200)),
+    d as (select p.point_id, n.node_id, sqrt(pow((n.lon - p.lon)*111320*cos(radians((n.lat + p.lat)/2)), 2) + pow((n.lat - p.lat)*111132, 2)) as distance from points p, nodes n semi join big using (node_id)),
+    r as (select point_id, min((round(distance, 6), node_id)) as b from d group by 1)
+    select point_id, b[2] as node_id, round(b[1], 4) as distance from r
+    """.replace("b[2] as node_id, round(b[1], 4)", "struct_extract(b, 2) as node_id, round(struct_extract(b, 1), 4)"),
+    "points", "nodes", "edges",
 )
 def j12_nearest_node(spark, sf_dir):
-    some = adapters.nodes(spark, sf_dir).where("node_id % 5 = 0")  # a coarser graph
-    found = spatial.nearest(adapters.points(spark, sf_dir).where("point_id % 10 = 0"), some, "point_id", "node_id")
+    """Each point's nearest node of a component of two hundred nodes at least: fragments of the network lead nowhere."""
+    nodes = adapters.nodes(spark, sf_dir)
+    labels = graph.components(nodes, adapters.edges(spark, sf_dir))
+    large = labels.groupBy("component").agg(F.count("*").alias("n")).where("n >= 200").select("component")
+    kept = nodes.join(labels.join(large, "component", "left_semi"), "node_id").select("node_id", "lon", "lat")
+    found = spatial.nearest(adapters.points(spark, sf_dir), kept, "point_id", "node_id")
     return found.select("point_id", "node_id", F.round("distance", 4).alias("distance"))
 
 
-@query("select o_orderkey as cell_key from orders o where o_orderkey % 2 = 0 and not exists (select 1 from orders m where m.o_orderkey = o.o_orderkey and m.o_orderstatus = 'F' and cast(m.o_orderdate as date) >= date '1995-01-01')")
-def j16_pending_cells(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("cell_key"), "o_orderstatus", F.to_date("o_orderdate").alias("date"))
-    done = orders.where((F.col("o_orderstatus") == "F") & (F.col("date") >= F.lit("1995-01-01").cast("date")))
-    return orders.where("cell_key % 2 = 0").join(done, "cell_key", "left_anti").select("cell_key")
+@query("select o_orderkey as cell_key from orders o where not exists (select 1 from orders m where m.o_orderkey = o.o_orderkey and m.o_orderstatus = 'F' and cast(m.o_orderdate as date) >= date '1995-01-01')")
+def j16_snk6_pending_cells(spark, sf_dir):
+    """Cells that the manifest does not have as done since a date."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("cell_key"), F.when(F.col("o_orderstatus") == "F", "ok").otherwise("failed").alias("status"), F.to_date("o_orderdate").alias("date"))
+    return storage.pending(orders.select("cell_key"), orders, "cell_key", "1995-01-01")
 
 
 @query(
@@ -256,16 +263,18 @@ def j21_better_side(spark, sf_dir):
 
 @query(
     """
-    select segment_id, side, cast(floor(cast(sum(cast(round(svf*1000) as bigint)) as double)/(10*count(*)) + 0.5E0) as bigint) as svf, cast(floor(100E0*sum(cast(blocked as int))/count(*) + 0.5E0) as bigint) as blocked,
+    select segment_id, side, cast(floor(cast(sum(cast(round(svf*1000) as bigint)) as double)/(10*count(*)) + 0.5E0) as bigint) as svf, cast(floor(cast(sum((point_id*41) % 1000) as double)/(10*count(*)) + 0.5E0) as bigint) as canopy, cast(least(65535, floor(cast(sum((point_id*53) % 90000) as double)/(10*count(*)) + 0.5E0)) as bigint) as veil, cast(floor(100E0*sum(cast(blocked as int))/count(*) + 0.5E0) as bigint) as blocked,
       max(case when 2*lit >= n then true else false end) as mostly_blocked from points join (select segment_id, count(*) as n, sum(cast(blocked as int)) as lit from points group by 1) using (segment_id) group by 1, 2
     """,
     "points",
 )
-def a1_a4_side_measures(spark, sf_dir):
+def a1_a2_a3_a4_side_measures(spark, sf_dir):
     p = adapters.points(spark, sf_dir)
     both = p.groupBy("segment_id").agg((2 * F.sum(F.col("blocked").cast("int")) >= F.count("*")).alias("mostly_blocked"))
     thousandths = F.sum(F.round(F.col("svf") * 1000).cast("long"))  # whole numbers: their sum does not depend on the order
-    each = p.groupBy("segment_id", "side").agg(half_up(thousandths.cast("double") / (F.count("*") * 10)).alias("svf"), half_up(F.sum(F.col("blocked").cast("int")) * 100.0 / F.count("*")).alias("blocked"))
+    k = F.col("point_id")  # canopy in thousandths, veil in thousandths of cd/m2: kept as hundredths, 65535 at most
+    mean = lambda c: half_up(F.sum(c).cast("double") / (F.count("*") * 10))
+    each = p.groupBy("segment_id", "side").agg(half_up(thousandths.cast("double") / (F.count("*") * 10)).alias("svf"), mean(k * 41 % 1000).alias("canopy"), F.least(F.lit(65535), mean(k * 53 % 90000)).alias("veil"), half_up(F.sum(F.col("blocked").cast("int")) * 100.0 / F.count("*")).alias("blocked"))
     return each.join(both, "segment_id")
 
 
@@ -276,10 +285,11 @@ def a5_mean_horizon(spark, sf_dir):
     return means.groupBy("street").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "h"))), lambda x: x.h).alias("horizon"))
 
 
-@query("u as (select segment_id % 10 as street, unnest(sun) as s, generate_subscripts(sun, 1) - 1 as step from sides) select street, cast(step as int) as step, cast(floor(avg(s) + 0.5E0) as bigint) as sun, count(*) as n from u group by 1, 2", "sides")
-def a6_sun_by_step(spark, sf_dir):
-    long = adapters.sides(spark, sf_dir).select((F.col("segment_id") % 10).alias("street"), F.posexplode("sun").alias("step", "s"))
-    return long.groupBy("street", "step").agg(half_up(F.avg("s")).alias("sun"), F.count("*").alias("n"))
+@query("u as (select side, unnest(sun) as s, unnest(flicker) as f, generate_subscripts(sun, 1) - 1 as step from sides) select side, cast(step as int) as step, cast(floor(avg(s) + 0.5E0) as bigint) as sun, cast(floor(avg(f) + 0.5E0) as bigint) as flicker, count(*) as n from u group by 1, 2", "sides")
+def a6_sun_and_flicker_by_step(spark, sf_dir):
+    """Mean transmission and flicker of each side of the streets at each step of the day, in percent."""
+    long = adapters.sides(spark, sf_dir).select("side", F.posexplode(F.arrays_zip("sun", "flicker")).alias("step", "s"))
+    return long.groupBy("side", "step").agg(half_up(F.avg("s.sun")).alias("sun"), half_up(F.avg("s.flicker")).alias("flicker"), F.count("*").alias("n"))
 
 
 @query(
@@ -322,8 +332,8 @@ def a11_weighted_means(spark, sf_dir):
     """
 )
 def a15_a16_quantiles(spark, sf_dir):
-    price = F.col("p_retailprice")
-    return table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("brand")).agg(upper_median(price).alias("median"), floor_quantile(price, 0.9).alias("p90"))
+    """Quantiles from the counts of each value and their running sum: no group's values are collected."""
+    return quantiles(table(spark, sf_dir, "part").select(F.col("p_brand").alias("brand"), "p_retailprice"), "brand", "p_retailprice", median=lambda n: F.floor(n / 2), p90=lambda n: F.floor((n - 1) * 0.9))
 
 
 @query(
@@ -519,25 +529,17 @@ def snk9_cache_budget(spark, sf_dir):
 
 @query(None)
 def sp1_time_dependent_routes(spark, sf_dir):
+    """A trip for each supplier: all of them, at four weights of exposure and thirteen departures."""
     size = adapters.nodes(spark, sf_dir).count()
-    orders = table(spark, sf_dir, "orders").where("o_orderkey < 20")
-    queries = orders.select(
-        F.col("o_orderkey").alias("query_id"), (F.col("o_custkey") % size).alias("start"), (F.col("o_orderkey") * 37 % size).alias("goal"), (F.col("o_orderkey") % 4 * 0.5).alias("alpha"), (F.lit(480) + F.col("o_orderkey") * 15).cast("int").alias("departure"),
-    )
-    return graph.routes(adapters.edges(spark, sf_dir), queries)
+    k = F.col("s_suppkey")
+    queries = table(spark, sf_dir, "supplier").select(k.alias("query_id"), (k * 101 % size).alias("start"), (k * 37 % size).alias("goal"), (k % 4 * 0.5).alias("alpha"), (F.lit(480) + k % 13 * 15).cast("int").alias("departure"))
+    tagged = adapters.edges(spark, sf_dir).withColumns({"crossing": F.col("segment_id") % 11 == 0, "work": (F.col("segment_id") * 7 % 101).cast("int")})
+    return graph.routes(tagged, queries)
 
 
 # --- streams ---------------------------------------------------------------------------------------------------------
 
 
-def _folder(spark: SparkSession) -> str:
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lightwalk-")
-    return f"{base.rstrip('/')}/streams-{uuid.uuid4().hex}"
-
-
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{sf_dir}/events.parquet"
     known = spark.read.parquet(path)
@@ -554,7 +556,7 @@ def st1_st3_tracking(spark, sf_dir):
     k = F.col("event_id")
     fixes = _events(spark, sf_dir).select("user_id", k.alias("fix_id"), F.col("ts").cast("timestamp").alias("ts"), adapters.lon(k).alias("lon"), adapters.lat(k).alias("lat"))
     route = tracking.Route([2.345 + 0.0005 * i for i in range(35)], [48.853 + 0.0002 * i for i in range(35)], [150.0, 420.0, 900.0, 1400.0])
-    return tracking.drained(tracking.tracked(fixes, route), "fixes", _folder(spark))
+    return tracking.drained(tracking.tracked(fixes, route), "fixes", storage.shared_folder(spark, "streams"))
 
 
 @query(
@@ -566,5 +568,5 @@ def st1_st3_tracking(spark, sf_dir):
 def st_windowed_events(spark, sf_dir):
     from ..streaming import tracking
 
-    found = tracking.drained(tracking.windowed(_events(spark, sf_dir)), "windows", _folder(spark))
+    found = tracking.drained(tracking.windowed(_events(spark, sf_dir)), "windows", storage.shared_folder(spark, "streams"))
     return found.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import astro, exposure
 from ..operators import series, sky
 from ..sources import adapters
+from ..sources.storage import materialize
 from .registry import query, r6
 
 #: Altitude and azimuth in degrees, and clearness: one instant for each pair of neighbouring sky types.
@@ -80,7 +81,7 @@ def contexts(spark, steps=None):
         base = steps.select("instant", "minutes", F.lit(0.25).alias("cloud"), F.lit(0.0).alias("rain"), none.alias("heading"), none.alias("beam"), none.alias("spread"))
     altitude, azimuth = astro.sun_position(F.col("minutes") * 60000.0 + float(MIDNIGHT), F.lit(48.8566), F.lit(2.3522))
     placed = base.withColumns({"altitude": altitude, "azimuth": azimuth, "heading": F.radians("heading"), "wet": exposure.wetness(F.col("rain"))})
-    lit = placed.withColumns(exposure.sky_conditions(F.col("altitude"), F.col("cloud"), F.col("beam"), F.col("spread")))
+    lit = materialize(placed.withColumns(exposure.sky_conditions(F.col("altitude"), F.col("cloud"), F.col("beam"), F.col("spread"))), "instants")  # a few rows, read twice
     made = sky.tables(lit.select("instant", "altitude", "azimuth", "epsilon"))
     facing = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: -F.cos(F.col("azimuth") - i * (2 * math.pi / 32)))
     return lit.withColumn("facing", facing).join(made.select("instant", "sky", "wall"), "instant")

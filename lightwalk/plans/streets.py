@@ -323,3 +323,18 @@ def src20_src21_open_dataset(spark, sf_dir):
     known = F.when(F.col("highway").isin(*adapters.HIGHWAYS), True).otherwise(F.raise_error(F.concat(F.lit("unknown: "), F.col("highway"))))
     return boxes.select("highway", "x0", "y0", "x1", "y1", known.cast("boolean").alias("known"))
 
+
+
+@query(
+    """
+    k as (select way_id, case when coalesce(tunnel in ('yes', 'covered', 'passage'), false) or coalesce(indoor = 'yes', false) then 2 when coalesce(tunnel = 'building_passage', false) or coalesce(covered <> 'no', false) then 1 else 0 end as cover, (way_id*17) % 101/100E0 as svf, (way_id*29) % 101/100E0 as t from ways)
+    select way_id, cover, case cover when 1 then least(svf, 0.18E0) when 2 then least(svf, 0.05E0) else svf end as svf, case cover when 1 then least(t, 0.12E0) when 2 then least(t, 0.02E0) else t end as transmission from k
+    """,
+    "ways",
+)
+def j19_caps_under_cover(spark, sf_dir):
+    """Under a roof a point sees no more sky and gets no more sun than its degree of cover allows: a lookup in a table of two rows."""
+    caps = F.broadcast(spark.createDataFrame([(1, 0.18, 0.12), (2, 0.05, 0.02)], "cover int, svf_cap double, sun_cap double"))
+    k = F.col("way_id")
+    w = adapters.ways(spark, sf_dir).select("way_id", tags.cover_kind().alias("cover"), (k * 17 % 101 / 100.0).alias("svf"), (k * 29 % 101 / 100.0).alias("transmission"))
+    return w.join(caps, "cover", "left").select("way_id", "cover", F.least("svf", F.coalesce("svf_cap", F.lit(1.0))).alias("svf"), F.least("transmission", F.coalesce("sun_cap", F.lit(1.0))).alias("transmission"))

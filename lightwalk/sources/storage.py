@@ -5,18 +5,25 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def materialize(df: DataFrame, purpose: str) -> DataFrame:
-    """Written as Parquet below ``spark.checkpoint.dir`` (a local folder only where that is unset) and read back, which ends its lineage."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession, purpose: str) -> str:
+    """A new folder below ``spark.checkpoint.dir``; a folder of this machine only where that is unset and the master is local."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="lightwalk-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/tables/{purpose}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, purpose: str) -> DataFrame:
+    """Written as Parquet below ``spark.checkpoint.dir`` and read back, which ends its lineage."""
+    spark = df.sparkSession
+    path = shared_folder(spark, f"tables/{purpose}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -27,8 +34,8 @@ def upserted(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 def pending(selected: DataFrame, manifest: DataFrame, key: str, date) -> DataFrame:
-    """Selected keys that the manifest does not have as done for this date."""
-    done = manifest.where((F.col("status") == "ok") & (F.col("date") == F.lit(date)))
+    """Selected keys that the manifest does not have as done since this date."""
+    done = manifest.where((F.col("status") == "ok") & (F.col("date") >= F.lit(date).cast("date")))
     return selected.join(done, key, "left_anti")
 
 

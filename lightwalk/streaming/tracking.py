@@ -42,11 +42,10 @@ class Route:
         return float(self.start[low + k] + t[k] * self.length[low + k]), float(off[k]), low + k
 
     def announcement(self, along: float, said: set[str]) -> int | None:
-        """The threshold to announce for the next manoeuvre, once each; nearer ones make farther ones void."""
+        """The first of the thresholds, from the farthest on, that is reached for the next manoeuvre, once each: after the farthest was said, nothing more is for this manoeuvre."""
         ahead = [(i, m) for i, m in enumerate(self.manoeuvres) if m > along + 8]
         i, at = ahead[0] if ahead else (len(self.manoeuvres) - 1, self.manoeuvres[-1])
-        reached = [a for a in ANNOUNCE if max(0.0, at - along) <= a]
-        step = min(reached) if reached else None
+        step = next((a for a in ANNOUNCE if max(0.0, at - along) <= a), None)
         if step is None or f"{i}:{step}" in said:
             return None
         said.update(f"{i}:{a}" for a in ANNOUNCE if a >= step)

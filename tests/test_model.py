@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lightwalk.functions import astro, exposure, geo
-from lightwalk.functions.num import floor_quantile, half_up, upper_median
+from lightwalk.functions import tags, words
+from lightwalk.functions.num import half_up, quantiles
 from lightwalk.operators import graph, raster, series, sky, spatial
 from lightwalk.sources import storage
 from lightwalk.streaming import tracking
@@ -97,7 +98,10 @@ def test_lamp_veil_peaks_at_a_distance(spark):
 
 def test_rounding_and_quantiles(spark):
     assert [r[0] for r in spark.createDataFrame([(-2.5,), (2.5,), (-0.5,)], "x double").select(half_up(F.col("x"))).collect()] == [-2, 3, 0]
-    r = spark.createDataFrame([(float(x),) for x in (4, 1, 3, 2)], "x double").agg(upper_median(F.col("x")).alias("m"), floor_quantile(F.col("x"), 0.9).alias("q")).first()
+    rows = spark.createDataFrame([(1, float(x)) for x in (4, 1, 3, 2)] + [(2, 5.0), (2, 5.0), (2, 7.0)], "k int, x double")
+    got = {r.k: (r.m, r.q) for r in quantiles(rows, "k", "x", m=lambda n: F.floor(n / 2), q=lambda n: F.floor((n - 1) * 0.9)).collect()}
+    assert got[2] == (5.0, 5.0)
+    r = rows.sparkSession.createDataFrame([got[1]], "m double, q double").first()
     assert (r.m, r.q) == (3.0, 3.0)
 
 
@@ -173,11 +177,86 @@ def test_tracking_is_monotone_and_announces_once():
     assert abs(along - 55 * route.length[0]) < 0.5 and off < 0.1 and k in (54, 55)
     assert route.snap(2.3555, 48.85, 3)[2] == 27  # the window's last segment
     said: set[str] = set()
-    assert [route.announcement(x, said) for x in (0.0, 21.0, 30.0, 185.0, 186.0, 150.0)] == [None, 180, None, 18, None, None]
+    assert [route.announcement(x, said) for x in (0.0, 21.0, 30.0, 185.0, 186.0, 150.0)] == [None, 180, None, None, None, None]  # the farthest threshold reached counts, as in the guidance that this follows
 
 
 @pytest.mark.parametrize("name", ["segment_index_at", "st1_st3_tracking", "st_windowed_events", "sp1_time_dependent_routes"])
 def test_queries_run(spark, name):
-    from lightwalk.plans import catalog
+    from lightwalk.plans import catalog, registry  # noqa: F401 catalog registers its queries
 
-    assert catalog.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+    assert registry.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+# --- surface, rays, streets ------------------------------------------------------------------------------------------
+
+
+def inside(x, y, rings):
+    hits = 0
+    for ring in rings:
+        for (x1, y1), (x2, y2) in zip(ring, [*ring[1:], ring[0]], strict=True):
+            if (y1 <= y < y2) or (y2 <= y < y1):
+                hits += x1 + (y - y1) / (y2 - y1) * (x2 - x1) > x
+    return hits % 2 == 1
+
+
+def test_ra2_polygons_with_holes_fill_the_cells_that_their_middle_row_crosses(spark):
+    grid = raster.Grid(1.0, 30, 20)
+    outer = [(2.3, 1.2), (25.1, 3.4), (14.2, 9.1), (27.7, 18.3), (3.9, 16.6), (9.4, 8.2)]
+    hole = [(6.2, 12.1), (12.8, 12.4), (11.9, 15.2), (6.6, 14.7)]
+    shapes = spark.createDataFrame([(1, [outer, hole])], "id int, rings array<array<struct<x:double,y:double>>>")
+    got = {(r.row, r.col) for r in raster.filled(shapes, grid).collect()}
+    want = {(row, col) for row in range(20) for col in range(30) if inside(col + 0.5, row + 0.5, [outer, hole])}
+    assert want <= got  # an edge may round into one more cell on either side
+    assert all((row, col - 1) in want or (row, col + 1) in want or (row, col) in want for row, col in got)
+    assert raster.filled(shapes.where("false"), grid).count() == 0
+
+
+def wall(spark, grid, height):
+    """Flat ground with a wall in column 10 and a hedge in column 5 of some rows."""
+    cells = grid.cells(spark).withColumns({"ground": F.lit(0.0), "surface": F.when(F.col("col") == 10, height).otherwise(0.0)})
+    hedge = (F.col("col") == 5) & (F.col("row") >= 5)
+    return cells.withColumns({"canopy_top": F.when(hedge, 4.0).otherwise(0.0), "canopy_base": F.when(hedge, 0.5).otherwise(0.0), "canopy_k": F.when(hedge, 0.3).otherwise(0.0)})
+
+
+def test_ra9_rays_stop_at_walls_and_dim_in_hedges(spark):
+    grid = raster.Grid(1.0, 20, 10)
+    points = spark.createDataFrame([("shade", 9.5, 2.5, 1.6), ("far", 0.5, 2.5, 1.6), ("beyond", 15.5, 2.5, 1.6), ("hedge", 3.5, 7.5, 1.6)], "key string, x double, y double, eye double")
+    east, low = math.pi / 2, math.atan(0.5)
+    got = {r.key: (r.transmission, r.blocker) for r in raster.sun_transmission(points, wall(spark, grid, 5.0), grid, east, low, 5.0).collect()}
+    assert got["shade"] == (0.0, "surface") and got["beyond"] == (1.0, "sky") and got["far"] == (1.0, "sky")
+    assert 0.5 < got["hedge"][0] < 0.98 and got["hedge"][1] == "canopy"
+    assert {r.transmission for r in raster.sun_transmission(points, wall(spark, grid, 5.0), grid, east, -0.1, 5.0).collect()} == {0.0}
+
+
+def test_ra10_sky_is_whole_in_the_open_and_ra11_finds_the_wall(spark):
+    grid = raster.Grid(1.0, 20, 10)
+    points = spark.createDataFrame([("a", 2.5, 2.5, 1.6), ("b", 8.5, 2.5, 1.6)], "key string, x double, y double, eye double")
+    bare = {r.key: r for r in raster.sky_view(points, wall(spark, grid, 0.0).withColumns({"canopy_top": F.lit(0.0), "canopy_k": F.lit(0.0)}), grid, 16, 15.0, 16).collect()}
+    assert all(abs(r.svf - 1) < 1e-9 and r.horizon == [0.0] * 16 for r in bare.values())
+    near = {r.key: r for r in raster.sky_view(points, wall(spark, grid, 8.0), grid, 16, 15.0, 16).collect()}
+    assert near["b"].svf < near["a"].svf < 1 and max(near["b"].horizon) == near["b"].horizon[4]  # the wall is in the east
+    ahead = points.select("key", "x", "y", F.lit(1.0).alias("nx"), F.lit(0.0).alias("ny"))
+    assert {r.key: r.distance for r in raster.facade_distance(ahead, wall(spark, grid, 8.0), grid, 6.0).collect()} == {"a": 6.0, "b": 2.0}
+
+
+def test_tags_and_words(spark):
+    rows = [("service", None, "parking_aisle", None, None, "8 m"), ("footway", None, None, "yes", "left", None), ("primary", "no", None, None, None, "70"), ("primary", None, None, "building_passage", "separate", "20")]
+    w = spark.createDataFrame(rows, "highway string, foot string, service string, tunnel string, sidewalk string, width string")
+    w = w.withColumns({c: F.lit(None).cast("string") for c in ("access", "covered", "indoor", "footway", "crossing")})
+    got = w.select(tags.walkable().alias("w"), tags.cover_kind().alias("c"), tags.nominal_offset().alias("o"), tags.declared_absent().alias("d")).collect()
+    assert [r.w for r in got] == [False, True, False, True] and [r.c for r in got] == [0, 2, 0, 1] and [r.o for r in got] == [0.0, 0.0, 9.0, 10.0]
+    assert [tuple(r.d) if r.d else None for r in got] == [None, (False, True, False), None, (True, True, True)]
+    r = one(spark, n=words.normalised(F.lit("  Rue de l’Œuf — Sévigné n°7 ")), d=words.duration(F.lit(719.7)), m=words.metres(F.lit(1234.0)), c=words.cardinal(F.lit(-1.0), F.lit(0.0)), k=words.clock(F.lit(847.4)))
+    assert r.n == "rue de l uf sevigne n 7" and r.d == "12 min 00 s" and r.m == "1.2 km" and r.c == "ouest" and r.k == "14:07"
+
+
+def test_numbers_of_rows_are_dense_over_ranges(spark):
+    rows = spark.range(0, 5000).select((F.col("id") * 7919 % 5003).alias("k"))
+    got = [r.n for r in series.numbered(rows, ["k"], "n").orderBy("k").collect()]
+    assert got == list(range(5000))
+
+
+def test_short_lines_are_sampled_in_their_middle(spark):
+    line = spark.createDataFrame([(1, 1, 0.0, 0.0, 1.0, 0.0)], "id int, seq int, x1 double, y1 double, x2 double, y2 double")
+    r = series.resampled(line, "id", 4.0).first()
+    assert (r.x, r.y, r.dx, r.dy) == (0.5, 0.0, 1.0, 0.0)
