@@ -8,8 +8,8 @@ score; blocks are opened best bound first, a few at a time, until the k-th best
 bound, so the k nearest are exact (ties: smaller doc_id). Words that no example has would lower all similarities of a text
 alike: cosines are those over the examples' words.
 
-The nearest vote by similarity: the toxic share of the votes of the nearest 5, 15, 50 and 150 is all that a logistic,
-fitted on other labelled documents, makes a calibrated score of. The nearest few are the evidence.
+The nearest vote by similarity, and by its fourth power: the toxic share of the votes of the nearest 5, 15, 50 and 150 is
+all that a logistic, fitted on other labelled documents, makes a calibrated score of. The nearest few are the evidence.
 
 Examples and calibration are bounded samples (``per_class``, ``calibration``); every document counts for frequencies and
 is scored, with its whole text.
@@ -38,6 +38,7 @@ from .calibration import Logistic, labelled_samples, remainder
 FOLDS, HELD_OUT, CUT = 4, 2, 0.3
 EDGES = ".,;:!?\"'()[]{}<>*#$%&|-_/\\«»¿¡“”‘’…"
 NEAREST = (5, 15, 50, 150)
+SHARPNESS = (1, 4)  # powers of the similarity that a vote weighs
 
 
 def word_counts(text: str | None) -> Counter[str]:
@@ -188,7 +189,7 @@ class ToxicityModel:
     weights: np.ndarray
     power: float
     ks: tuple[int, ...]
-    logistic: Logistic = field(default_factory=lambda: Logistic.fit(np.empty((0, len(NEAREST))), np.empty(0)))
+    logistic: Logistic = field(default_factory=lambda: Logistic.fit(np.empty((0, len(NEAREST) * len(SHARPNESS))), np.empty(0)))
 
     @cached_property
     def index(self) -> BlockMax:
@@ -203,9 +204,12 @@ class ToxicityModel:
         asked = [(terms, weights(n, self.idf[terms], self.power)) for terms, n in counts]
         out = []
         for near, similar in self.index.nearest(asked, max(self.ks)):
-            against, every = np.cumsum(similar * self.toxic[near]), np.cumsum(similar)
-            last = [min(k, len(near)) - 1 for k in self.ks]
-            out.append(([float(against[i] / every[i]) if i >= 0 else 0.0 for i in last], near, similar))
+            shares, last = [], [min(k, len(near)) - 1 for k in self.ks]
+            for sharp in SHARPNESS:
+                votes = similar**sharp
+                against, every = np.cumsum(votes * self.toxic[near]), np.cumsum(votes)
+                shares += [float(against[i] / every[i]) if i >= 0 else 0.0 for i in last]
+            out.append((shares, near, similar))
         return out
 
     @staticmethod
@@ -225,7 +229,7 @@ class ToxicityModel:
         model = ToxicityModel(vocabulary, idf, rows["doc_id"].to_numpy(), rows["label"].to_numpy().astype(np.int64), ends, terms.astype(np.int32), w.astype(np.float32), power, ks)
         got = model._voted(sample.where("role = 'calibration'")).select("label", "x").collect()
         got.sort(key=lambda r: (r.label, r.x))  # sums come out alike on every run
-        model.logistic = Logistic.fit(np.array([r.x for r in got], float).reshape(-1, len(ks)), np.array([r.label for r in got], float), ridge=1.0, squares=False)
+        model.logistic = Logistic.fit(np.array([r.x for r in got], float).reshape(-1, len(ks) * len(SHARPNESS)), np.array([r.label for r in got], float), ridge=1.0, squares=False)
         return model
 
     def _voted(self, docs: DataFrame) -> DataFrame:
@@ -247,7 +251,7 @@ class ToxicityModel:
             model = sent.value
             for batch in batches:
                 found = model.votes(batch["text"].to_pylist())
-                score = model.logistic(np.array([x for x, _, _ in found], float).reshape(-1, len(model.ks)))
+                score = model.logistic(np.array([x for x, _, _ in found], float).reshape(-1, len(model.ks) * len(SHARPNESS)))
                 near, similar = (np.concatenate([np.empty(0, kind), *(f[j][:evidence] for f in found)]) for j, kind in ((1, np.int64), (2, float)))
                 ends = np.cumsum([0, *(len(n[:evidence]) for _, n, _ in found)])
                 columns = [pa.array(model.ids[near]), pa.array(similar), pa.array(model.toxic[near].astype(np.int32))]

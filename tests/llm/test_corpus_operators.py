@@ -250,9 +250,10 @@ def test_toxicity_equals_brute_force_cosine(spark):
         near = sorted((round(-s, 5), i) for i, s in every.items() if s > 0)
         assert np.allclose([e.similarity for e in evidence], [-s for s, _ in near[:9]], atol=2e-5)
         votes = []
-        for k in (3, 9):
-            mass = sum(e.similarity for e in evidence[:k])
-            votes.append(sum(e.similarity * e.toxic for e in evidence[:k]) / mass if mass else 0.0)
+        for sharp in (1, 4):
+            for k in (3, 9):
+                mass = sum(e.similarity**sharp for e in evidence[:k])
+                votes.append(sum(e.similarity**sharp * e.toxic for e in evidence[:k]) / mass if mass else 0.0)
         assert all(e.toxic == examples[e.doc_id][0] and abs(e.similarity - every[e.doc_id]) < 1e-5 for e in evidence)
         assert abs(model.logistic(np.array([votes]))[0] - value) < 1e-9
 
