@@ -61,7 +61,7 @@ def covered(points: DataFrame, cells: DataFrame, cell: float = 250.0) -> DataFra
     return keyed.join(cells, ["gx", "gy"], "left_semi").drop("gx", "gy")
 
 
-def nearest(points: DataFrame, candidates: DataFrame, key: str, id_: str, cell: float = 0.002) -> DataFrame:
+def nearest(points: DataFrame, candidates: DataFrame, key: str, id_: str, cell: float = 0.0005) -> DataFrame:
     """Each point's nearest candidate on the query plane (ties: smaller id): ``key``, ``id_``, distance.
 
     Candidates of the point's cell and the eight around it, in degrees of ``cell``; one nearer than the square's edge is

@@ -221,10 +221,9 @@ def j11_bilinear_raster(spark, sf_dir):
     arcs as (select src, dst from edges union all select dst, src from edges),
     reach(node_id, component) as (select node_id, node_id from nodes union select a.dst, r.component from reach r join arcs a on a.src = r.node_id),
     c as (select node_id, min(component) as component from reach group by 1), big as (select node_id from c where component in (select component from c group by 1 having count(*) >= 200)),
-    d as (select p.point_id, n.node_id, sqrt(pow((n.lon - p.lon)*111320*cos(radians((n.lat + p.lat)/2)), 2) + pow((n.lat - p.lat)*111132, 2)) as distance from points p, nodes n semi join big using (node_id)),
-    r as (select point_id, min((round(distance, 6), node_id)) as b from d group by 1)
-    select point_id, b[2] as node_id, round(b[1], 4) as distance from r
-    """.replace("b[2] as node_id, round(b[1], 4)", "struct_extract(b, 2) as node_id, round(struct_extract(b, 1), 4)"),
+    d as (select p.point_id, n.node_id, sqrt(pow((n.lon - p.lon)*111320*cos(radians((n.lat + p.lat)/2)), 2) + pow((n.lat - p.lat)*111132, 2)) as distance from points p, nodes n semi join big using (node_id))
+    select point_id, arg_min(node_id, (round(distance, 9), node_id)) as node_id, round(min(distance), 4) as distance from d group by 1
+    """,
     "points", "nodes", "edges",
 )
 def j12_nearest_node(spark, sf_dir):

@@ -182,7 +182,7 @@ def test_tracking_is_monotone_and_announces_once():
 
 @pytest.mark.parametrize("name", ["segment_index_at", "st1_st3_tracking", "st_windowed_events", "sp1_time_dependent_routes"])
 def test_queries_run(spark, name):
-    from lightwalk.plans import catalog, registry  # noqa: F401 catalog registers its queries
+    from lightwalk.plans import catalog, registry, skies  # noqa: F401 the modules register their queries
 
     assert registry.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
 
