@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, packing, paragraphs, quality, simhash, token_files, toxicity, vector_search, warc
+from . import decontaminate, line_dedup, packing, paragraphs, quality, rules, simhash, token_files, toxicity, vector_search, warc
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,7 @@ QUERIES = {
         line_dedup.op8_cuckoo_lines,
         simhash.op9_bit_sliced,
         decontaminate.op10_aho_corasick,
+        rules.op11_cascade,
     )
 }
 ORACLE_SQL = {
@@ -24,4 +25,5 @@ ORACLE_SQL = {
     "op4_warc_zstd": warc.OP4_SQL,
     "op8_cuckoo_lines": line_dedup.OP8_SQL,
     "op10_aho_corasick": decontaminate.OP10_SQL,
+    "op11_cascade": rules.OP11_SQL,
 }
