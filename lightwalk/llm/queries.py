@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, packing, paragraphs, quality, rules, simhash, token_files, toxicity, vector_search, warc
+from . import decontaminate, line_dedup, packing, paragraphs, quality, rules, simhash, token_files, toxicity, variants, vector_search, warc
 
 QUERIES = {
     f.__name__: f
@@ -18,6 +18,7 @@ QUERIES = {
         simhash.op9_bit_sliced,
         decontaminate.op10_aho_corasick,
         rules.op11_cascade,
+        variants.op12_symmetric_delete,
     )
 }
 ORACLE_SQL = {
@@ -26,4 +27,5 @@ ORACLE_SQL = {
     "op8_cuckoo_lines": line_dedup.OP8_SQL,
     "op10_aho_corasick": decontaminate.OP10_SQL,
     "op11_cascade": rules.OP11_SQL,
+    "op12_symmetric_delete": variants.OP12_SQL,
 }
