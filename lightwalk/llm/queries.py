@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, packing, paragraphs, quality, rules, simhash, token_files, toxicity, variants, vector_search, warc
+from . import alignment, decontaminate, line_dedup, packing, paragraphs, quality, rules, simhash, token_files, toxicity, variants, vector_search, warc
 
 QUERIES = {
     f.__name__: f
@@ -19,6 +19,7 @@ QUERIES = {
         decontaminate.op10_aho_corasick,
         rules.op11_cascade,
         variants.op12_symmetric_delete,
+        alignment.op13_event_sweep,
     )
 }
 ORACLE_SQL = {

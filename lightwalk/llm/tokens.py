@@ -76,16 +76,17 @@ class _Known(dict):
 
 
 class Encoder:
-    """Encodes texts to little-endian unsigned 32-bit ids. ``kind``: "word" or "bytes"."""
+    """Encodes texts to little-endian unsigned 32-bit ids. ``kind``: "word" or "bytes". ``plain``: strings of special tokens are text."""
 
-    def __init__(self, path: str, kind: str, remember: int = 400_000):
+    def __init__(self, path: str, kind: str, remember: int = 400_000, plain: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = plain
         self.model, self.kind = self.tokenizer.model, kind
         self.known_file = _steps(self.tokenizer) == STEPS[kind]
         self.letters = "".join(_byte_letters())
-        self.marks = {t.content[0] for t in self.tokenizer.get_added_tokens_decoder().values()}
+        self.marks = set() if plain else {t.content[0] for t in self.tokenizer.get_added_tokens_decoder().values()}
         self.space, self.newline = self.letters[ord(" ")], self._pieces(("\n",)) if kind == "bytes" else b""
         self.stops = {c: self._pieces((c,)) for c in ".,;:!?"}
         self.known = _Known(self._word if kind == "word" else self._bytes, remember)
