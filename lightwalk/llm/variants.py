@@ -67,11 +67,6 @@ def _sums(word: str) -> list[int]:
     return list(found)
 
 
-@F.pandas_udf("array<long>")
-def sums(words: pd.Series) -> pd.Series:
-    return words.map(_sums)
-
-
 def _pairs_of_short(words: DataFrame) -> DataFrame:
     word = F.col("word")
     deleted = F.transform(F.sequence(F.lit(0), F.length(word) - 1), lambda k: without(word, k))
