@@ -69,9 +69,11 @@ def kept_apart(hits: Column, span: float) -> Column:
     return F.aggregate(hits, F.array().cast(kind), step)
 
 
-def resampled(segments: DataFrame, key: str, step: float) -> DataFrame:
+def resampled(segments: DataFrame, key: str, step: float, ends: bool = False) -> DataFrame:
     """Points every ``step`` metres, the first after half of one, along chains of segments (key, seq, x1, y1, x2, y2), with the
-    unit tangent (dx, dy). A chain too short for one gets its middle, with the direction from its first to its last point."""
+    unit tangent (dx, dy). A chain too short for one gets its middle, with the direction from its first to its last point.
+    ``ends``: also the ends of the segment that a point lies on (for a middle, of the chain)."""
+    told = ["x1", "y1", "x2", "y2"] if ends else []
     length = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
     along = segments.withColumn("len", length)
     before = F.lag("end").over(Window.partitionBy(key).orderBy("seq"))  # not end - len: rounding would lose samples or double them
@@ -82,10 +84,10 @@ def resampled(segments: DataFrame, key: str, step: float) -> DataFrame:
     out = along.where((F.col("len") > 0) & (high >= low)).withColumn("k", F.explode(F.sequence(low, high)))
     t = (F.col("k") * step + step / 2 - F.col("start")) / F.col("len")
     wide, tall = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    placed = out.select(key, "k", (F.col("x1") + wide * t).alias("x"), (F.col("y1") + tall * t).alias("y"), (wide / F.col("len")).alias("dx"), (tall / F.col("len")).alias("dy"))
-    ends = along.groupBy(key).agg(F.max("end").alias("total"), *[F.min_by(c, "seq").alias(c) for c in ("x1", "y1")], *[F.max_by(c, "seq").alias(c) for c in ("x2", "y2")])
+    placed = out.select(key, "k", (F.col("x1") + wide * t).alias("x"), (F.col("y1") + tall * t).alias("y"), (wide / F.col("len")).alias("dx"), (tall / F.col("len")).alias("dy"), *told)
+    whole = along.groupBy(key).agg(F.max("end").alias("total"), *[F.min_by(c, "seq").alias(c) for c in ("x1", "y1")], *[F.max_by(c, "seq").alias(c) for c in ("x2", "y2")])
     span = F.when(length > 0, length).otherwise(1.0)
-    middle = ends.where(F.col("total") < step / 2).select(key, F.lit(0).cast("long").alias("k"), ((F.col("x1") + F.col("x2")) / 2).alias("x"), ((F.col("y1") + F.col("y2")) / 2).alias("y"), (wide / span).alias("dx"), (tall / span).alias("dy"))
+    middle = whole.where(F.col("total") < step / 2).select(key, F.lit(0).cast("long").alias("k"), ((F.col("x1") + F.col("x2")) / 2).alias("x"), ((F.col("y1") + F.col("y2")) / 2).alias("y"), (wide / span).alias("dx"), (tall / span).alias("dy"), *told)
     return placed.unionByName(middle)
 
 

@@ -408,18 +408,17 @@ def w1_pieces_of_60_metres(spark, sf_dir):
     e as (select series_id, seq, amount as len, coalesce(sum(amount) over (partition by series_id order by seq rows between unbounded preceding and 1 preceding), 0) as start from samples),
     k as (select series_id, start, len, unnest(range(cast(greatest(0, floor((start - 8)/16) + 1) as bigint), cast(floor((start + len - 8)/16) as bigint) + 1)) as k from e)
     select series_id, k, round((k*16 + 8 - start)/len*10, 6) as x, round(start + (k*16 + 8 - start), 6) as y from k
+    union all select series_id, 0, 5E0, round(sum(len)/2, 6) from e group by series_id having sum(len) < 8
     """,
     "samples",
 )
 def w2_resampled(spark, sf_dir):
+    """Chains that climb by the amount; x tells, in tenths, how far into its segment a sample lies (into the chain, where that is too short for a sample)."""
     s = adapters.samples(spark, sf_dir)
     at = series.running(F.col("amount"), ["series_id"], ["seq"])
-    # Chains that climb by the amount; x tells how far into its segment a sample lies.
     chain = s.select("series_id", "seq", F.lit(0.0).alias("x1"), (at - F.col("amount")).alias("y1"), F.lit(0.0).alias("x2"), at.alias("y2"))
-    found = series.resampled(chain, "series_id", 16.0)
-    base = chain.select("series_id", F.col("y1").alias("low"), F.col("y2").alias("high"))
-    met = found.join(base, "series_id").where("y > low and y <= high")
-    return met.select("series_id", "k", r6((F.col("y") - F.col("low")) / (F.col("high") - F.col("low")) * 10).alias("x"), r6(F.col("y")).alias("y"))
+    found = series.resampled(chain, "series_id", 16.0, ends=True)
+    return found.select("series_id", "k", r6((F.col("y") - F.col("y1")) / (F.col("y2") - F.col("y1")) * 10).alias("x"), r6(F.col("y")).alias("y"))
 
 
 @query(

@@ -138,7 +138,7 @@ SQL = {
 
 def with_views(sql: str, *names: str) -> str:
     """``sql`` after the definitions of the named views."""
-    return "with recursive " + ", ".join(f"{n} as ({SQL[n]})" for n in names) + sql
+    return "with recursive " + ", ".join(f"{n} as materialized ({SQL[n]})" for n in names) + sql
 
 
 # --- ground: what stands on the grid ---------------------------------------------------------------------------------
