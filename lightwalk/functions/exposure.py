@@ -58,27 +58,36 @@ def horizon_at(horizon: Column, azimuth: Column) -> Column:
     return F.radians(low + (high - low) * (place - i))
 
 
-def reverberation(horizon: Column, toward: Column, altitude: Column, facing: Column, direct: Column, diffuse: Column, wall: Column | None = None, albedo: float = WALL_ALBEDO) -> Column:
-    """struct(view, lux, sunlit): sums over the façades all around, one wall for each bin of the horizon.
+def walls_of(horizon: Column) -> Column:
+    """What the façade of each bin is at any instant: its share of the view, the tangent of its height, and the height (degrees) of the one across, seen from its middle."""
+    n = F.size(horizon)
+
+    def wall(h: Column, i: Column) -> Column:
+        beta = F.radians(h.cast("double"))
+        across = F.get(horizon, ((i + F.floor(n / 2)) % n).cast("int")).cast("double")
+        return F.struct((1 - F.cos(beta) * F.cos(beta)).alias("share"), F.tan(beta).alias("tan"), F.degrees(F.atan(F.tan(F.radians(across)) / 2)).alias("across"))
+
+    return F.transform(horizon, wall)
+
+
+def reverberation(walls: Column, toward: Column, altitude: Column, facing: Column, direct: Column, diffuse: Column, wall: Column | None = None, albedo: float = WALL_ALBEDO) -> Column:
+    """struct(view, lux, sunlit): sums over the façades all around (``walls``: see ``walls_of``).
 
     ``toward``: tangent of the horizon below the sun; ``facing``: how much each wall faces the sun, of the instant alone;
     ``wall``: the instant's table of upright surfaces, without which a wall sees half an even sky.
     """
-    n = F.size(horizon)
-    sun = F.when(altitude > 0, F.tan(altitude)).otherwise(0.0)
+    sun, beam = F.when(altitude > 0, F.tan(altitude)).otherwise(0.0), direct * F.cos(altitude)
 
     def add(sums: Column, i: Column) -> Column:
-        beta = F.radians(F.get(horizon, i).cast("double"))
-        share = 1 - F.cos(beta) * F.cos(beta)
-        towards = F.get(facing, i)
-        across = F.atan(F.tan(F.radians(F.get(horizon, ((i + F.floor(n / 2)) % n).cast("int")).cast("double"))) / 2)
-        reach = F.cos(across) * F.cos(across) * 0.5 if wall is None else sky_tables.wall_factor(wall, i, F.degrees(across))
-        lit = F.when((towards > 0) & (altitude > 0) & (F.tan(beta) > 0), clamp(1 - F.greatest(zero(), toward - sun / F.greatest(towards, F.lit(0.05))) / F.tan(beta), 0.0, 1.0)).otherwise(0.0)
-        light = (reach * diffuse + F.when(lit > 0, direct * F.cos(altitude) * towards * lit).otherwise(0.0)) * albedo
-        return F.struct((sums.view + share).alias("view"), (sums.lux + share * light).alias("lux"), (sums.sunlit + share * lit).alias("sunlit"))
+        w, towards = F.get(walls, i), F.get(facing, i)
+        half = F.cos(F.radians(w.across))
+        reach = half * half * 0.5 if wall is None else sky_tables.wall_factor(wall, i, w.across)
+        lit = F.when((towards > 0) & (altitude > 0) & (w.tan > 0), clamp(1 - F.greatest(zero(), toward - sun / F.greatest(towards, F.lit(0.05))) / w.tan, 0.0, 1.0)).otherwise(0.0)
+        light = (reach * diffuse + F.when(lit > 0, beam * towards * lit).otherwise(0.0)) * albedo
+        return F.struct((sums.view + w.share).alias("view"), (sums.lux + w.share * light).alias("lux"), (sums.sunlit + w.share * lit).alias("sunlit"))
 
     none = F.struct(zero().alias("view"), zero().alias("lux"), zero().alias("sunlit"))
-    return F.aggregate(F.sequence(F.lit(0), n - 1), none, add)
+    return F.aggregate(F.sequence(F.lit(0), F.size(walls) - 1), none, add)
 
 
 def melanopic(direct: Column, diffuse: Column, altitude: Column, share: Column) -> Column:
@@ -139,7 +148,8 @@ def measured(df: DataFrame, c: dict[str, Column], keep: list[str]) -> DataFrame:
     """``df`` with the parts of the index, each intermediate result a column that is computed once.
 
     ``c``: transmission, svf, flicker (0 to 1), horizon (degrees), veil; altitude, azimuth, heading, direct, diffuse, up,
-    share, wet; ``facing`` (else made from the azimuth); ``sky`` and ``wall``, the instant's tables (else an even sky).
+    share, wet; ``facing`` (else made from the azimuth); ``sky`` and ``wall``, the instant's tables (else an even sky);
+    ``walls`` (else made from the horizon).
     """
     altitude, up, wet = c["altitude"], c["up"], clamp(c["wet"], 0.0, 1.0)
     facing = c.get("facing", facing_walls(c["azimuth"], F.size(c["horizon"])))
@@ -148,7 +158,7 @@ def measured(df: DataFrame, c: dict[str, Column], keep: list[str]) -> DataFrame:
         "transmission_": c["transmission"], "flicker_": c["flicker"], "svf_": c["svf"], "veil_": c["veil"], "toward": F.tan(horizon_at(c["horizon"], c["azimuth"])),
         "reach": F.coalesce(sky_tables.factor(c["sky"], c["horizon"]), c["svf"]) if tables else c["svf"],
     })
-    base = base.withColumn("walls", reverberation(c["horizon"], F.col("toward"), altitude, facing, c["direct"], c["diffuse"], c.get("wall")))
+    base = base.withColumn("walls", reverberation(c["walls"] if "walls" in c else walls_of(c["horizon"]), F.col("toward"), altitude, facing, c["direct"], c["diffuse"], c.get("wall")))
     t, svf, walls, n = F.col("transmission_"), F.col("svf_"), F.col("walls"), F.size(c["horizon"])
     direct, diffuse = t * c["direct"] * up, F.col("reach") * c["diffuse"]
     ground_sun = F.when(altitude > 0, clamp(1 - F.col("toward") / (F.tan(altitude) * 2), 0.0, 1.0)).otherwise(0.0)

@@ -89,8 +89,7 @@ def f16_f17_f18_shown_values(spark, sf_dir):
 @query()
 def q3_day_profile(spark, sf_dir):
     """The index of both sides at every step of the day (no SQL: 69 sky tables; its parts are those of the index at five instants)."""
-    steps = spark.range(69).select(F.col("id").cast("int").alias("instant"), (F.col("id") * 15 + 300).cast("int").alias("minutes"))
-    parts = skies.evaluated(adapters.sides(spark, sf_dir), skies.contexts(spark, steps))
+    parts = skies.evaluated(adapters.sides(spark, sf_dir), skies.contexts(spark, skies.STEPS))
     value = exposure.index({k: F.col(k) for k in (*exposure.WEIGHTS, "night", "night_share")})
     return parts.select("segment_id", "side", F.col("instant").alias("step"), value.alias("index"))
 

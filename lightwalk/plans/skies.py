@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import astro, exposure
 from ..operators import series, sky
 from ..sources import adapters
-from ..sources.storage import materialize
+from ..sources.storage import materialize, spread
 from .registry import query, r6
 
 #: Altitude and azimuth in degrees, and clearness: one instant for each pair of neighbouring sky types.
@@ -72,13 +72,25 @@ CONTEXTS = [(420, 0.1, 0.0, None, None, None), (847, 0.25, 0.0, None, None, None
 MIDNIGHT = 1719792000000  # 2024-07-01 00:00 UTC
 
 
-def contexts(spark, steps=None):
-    """One row for each instant (of ``steps``: instant, minutes, under a quarter of cloud; else of CONTEXTS): sun, sky, its tables, and all that does not depend on the side."""
-    rows = [(k, *c) for k, c in enumerate(CONTEXTS)]
+#: The day by quarter hours from 5:00, under a quarter of cloud.
+STEPS = [(300 + 15 * k, 0.25, 0.0, None, None, None) for k in range(69)]
+_WRITTEN: dict = {}
+
+
+def contexts(spark, instants=None):
+    """One row for each instant (minutes, cloud, rain, heading, beam, diffuse; CONTEXTS by default): sun, sky, its tables, and all that does not depend on the side.
+
+    Written once in an application and read by every query that asks for the same instants.
+    """
+    rows = [(k, *c) for k, c in enumerate(CONTEXTS if instants is None else instants)]
+    key = (spark.sparkContext.applicationId, tuple(rows))
+    if key not in _WRITTEN:
+        _WRITTEN[key] = materialize(_contexts(spark, rows), "contexts")
+    return _WRITTEN[key]
+
+
+def _contexts(spark, rows):
     base = spark.createDataFrame(rows, "instant int, minutes int, cloud double, rain double, heading double, beam double, spread double")
-    if steps is not None:
-        none = F.lit(None).cast("double")
-        base = steps.select("instant", "minutes", F.lit(0.25).alias("cloud"), F.lit(0.0).alias("rain"), none.alias("heading"), none.alias("beam"), none.alias("spread"))
     altitude, azimuth = astro.sun_position(F.col("minutes") * 60000.0 + float(MIDNIGHT), F.lit(48.8566), F.lit(2.3522))
     placed = base.withColumns({"altitude": altitude, "azimuth": azimuth, "heading": F.radians("heading"), "wet": exposure.wetness(F.col("rain"))})
     lit = materialize(placed.withColumns(exposure.sky_conditions(F.col("altitude"), F.col("cloud"), F.col("beam"), F.col("spread"))), "instants")  # a few rows, read twice
@@ -87,11 +99,21 @@ def contexts(spark, steps=None):
     return lit.withColumn("facing", facing).join(made.select("instant", "sky", "wall"), "instant")
 
 
-def evaluated(sides, contexts):
-    """Every side at every instant, with the parts of the index: contexts are few and sent to the sides."""
-    met = sides.crossJoin(F.broadcast(contexts))
+def evaluated(sides, contexts, sent=500):
+    """Every side at every instant, with the parts of the index.
+
+    Up to ``sent`` instants go to the sides, a table of some 25 kB for each; more of them meet the sides in a join by day
+    part, so that none has to fit into a task's memory at once. What belongs to a side alone is made once, before they meet.
+    """
+    sides = spread(sides, "segment_id").withColumn("walls_", exposure.walls_of(F.col("horizon")))
+    if contexts.count() <= sent:
+        met = sides.crossJoin(F.broadcast(contexts))
+    else:
+        parts = F.explode(F.sequence(F.lit(0), F.lit(contexts.count() // sent)))
+        met = sides.withColumn("part_", parts).join(contexts.withColumn("part_", F.floor(F.col("instant") / sent).cast("int")), "part_")
     m = F.col("minutes")
     c = {k: F.col(k) for k in ("altitude", "azimuth", "heading", "wet", "direct", "diffuse", "up", "share", "horizon", "sky", "wall", "facing")} | {
+        "walls": F.col("walls_"),
         "transmission": series.on_grid(F.col("sun"), m) / 100.0, "flicker": series.on_grid(F.col("flicker"), m) / 100.0, "svf": F.col("svf") / 100.0, "veil": F.col("veil") / 100.0,
     }
     return exposure.measured(met, c, ["segment_id", "side", "work", "instant"])

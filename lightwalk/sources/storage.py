@@ -28,6 +28,12 @@ def materialize(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, by: str) -> DataFrame:
+    """``df`` over all slots where it has fewer files than those: costly rows of a small table would else wait for one core."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots, by) if len(df.inputFiles()) < slots else df
+
+
 def upserted(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """``old`` with the rows of ``new`` in place of those of the same key."""
     return old.join(new, key, "left_anti").unionByName(new)
