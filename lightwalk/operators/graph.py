@@ -1,12 +1,7 @@
-"""Street graph: components, shortest paths that depend on the time of day, and reports on routes."""
+"""Street graph: arcs and components."""
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,72 +32,3 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
         if not after.where("was != component").limit(1).count():
             return labels
     raise RuntimeError("labels did not settle")
-
-
-class _Graph:
-    """Arcs by source, as arrays."""
-
-    def __init__(self, arcs: pd.DataFrame):
-        arcs = arcs.sort_values(["src", "dst"], kind="stable")
-        self.nodes, start = np.unique(arcs["src"].to_numpy(), return_index=True)
-        self.start = dict(zip(self.nodes.tolist(), zip(start.tolist(), [*start[1:].tolist(), len(arcs)], strict=True), strict=True))
-        self.dst, self.length, self.segment, self.delay, self.detour = (arcs[c].to_numpy() for c in ("dst", "length", "segment_id", "delay", "detour"))
-
-    def cheapest(self, start: int, goal: int, alpha: float, departure: float, exposure, speed: float) -> list[tuple[int, float, float]]:
-        """(node, seconds, cost) along the cheapest path; the clock runs on seconds, exposure is looked up at the middle of an arc."""
-        best = {start: (0.0, 0.0, -1)}
-        heap, done = [(0.0, start)], set()
-        while heap:
-            cost, node = heapq.heappop(heap)
-            if node in done:
-                continue
-            done.add(node)
-            if node == goal:
-                break
-            seconds = best[node][1]
-            a, b = self.start.get(node, (0, 0))
-            for k in range(a, b):
-                to, took = int(self.dst[k]), float(self.length[k]) / speed + float(self.delay[k])
-                share = exposure(int(self.segment[k]), departure + seconds / 60 + took / 120)
-                total = cost + took * float(self.detour[k]) * (1 + alpha * share / 100)
-                if to not in best or total < best[to][0]:
-                    best[to] = (total, seconds + took, node)
-                    heapq.heappush(heap, (total, to))
-        if goal not in done:
-            return []
-        path, node = [], goal
-        while node != -1:
-            path.append((node, best[node][1], best[node][0]))
-            node = best[node][2]
-        return path[::-1]
-
-
-def routes(edges: DataFrame, queries: DataFrame, speed: float = 1.35, max_arcs: int = 5_000_000) -> DataFrame:
-    """Paths of ``queries`` (query_id, start, goal, alpha, departure in minutes): query_id, seq, node_id, seconds, cost.
-
-    Queries are dealt over the tasks and each is searched by itself over the graph of its area, which is sent along: it
-    must have ``max_arcs`` arcs at most, and is counted first. An arc's exposure changes over the day: (segment * 31 +
-    minute) % 101, at the whole minute. A crossing (column ``crossing``, if there is one) delays by 25 seconds; works on a
-    sidewalk (``work``, percent) make it up to three times as dear, but no slower. No path: no rows.
-    """
-    delay = F.when(F.col("crossing"), 25.0).otherwise(0.0) if "crossing" in edges.columns else F.lit(0.0)
-    detour = F.coalesce("work", F.lit(0)) * 2 / 100.0 + 1 if "work" in edges.columns else F.lit(1.0)
-    arcs = both_ways(edges.withColumns({"delay": delay, "detour": detour})).select("src", "dst", "length", "segment_id", "delay", "detour")
-    count = arcs.count()
-    if count > max_arcs:
-        raise ValueError(f"{count} arcs; route by areas of {max_arcs} at most")
-    sent = edges.sparkSession.sparkContext.broadcast(arcs.toPandas())
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        graph = _Graph(sent.value)
-        exposure = lambda segment, minute: (segment * 31 + int(minute + 0.5)) % 101
-        for frame in frames:
-            rows = [
-                (q.query_id, seq, *step)
-                for q in frame.itertuples()
-                for seq, step in enumerate(graph.cheapest(q.start, q.goal, q.alpha, q.departure, exposure, speed))
-            ]
-            yield pd.DataFrame(rows, columns=["query_id", "seq", "node_id", "seconds", "cost"])
-
-    spread = queries.repartition(max(1, edges.sparkSession.sparkContext.defaultParallelism), "query_id")
-    return spread.mapInPandas(run, "query_id long, seq int, node_id long, seconds double, cost double")

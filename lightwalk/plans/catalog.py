@@ -525,16 +525,6 @@ def snk9_cache_budget(spark, sf_dir):
     return storage.within_budget(files, "shard", 100000).select("shard", "name")
 
 
-@query(None)
-def sp1_time_dependent_routes(spark, sf_dir):
-    """A trip for each supplier: all of them, at four weights of exposure and thirteen departures."""
-    size = adapters.nodes(spark, sf_dir).count()
-    k = F.col("s_suppkey")
-    queries = table(spark, sf_dir, "supplier").select(k.alias("query_id"), (k * 101 % size).alias("start"), (k * 37 % size).alias("goal"), (k % 4 * 0.5).alias("alpha"), (F.lit(480) + k % 13 * 15).cast("int").alias("departure"))
-    tagged = adapters.edges(spark, sf_dir).withColumns({"crossing": F.col("segment_id") % 11 == 0, "work": (F.col("segment_id") * 7 % 101).cast("int")})
-    return graph.routes(tagged, queries)
-
-
 # --- streams ---------------------------------------------------------------------------------------------------------
 
 

@@ -141,21 +141,6 @@ def test_resampling_starts_after_half_a_step(spark):
     assert got == [(0, 2.0, 0.0), (1, 6.0, 0.0), (2, 10.0, 0.0), (3, 10.0, 4.0)]
 
 
-def toy(spark):
-    return spark.createDataFrame([(0, 1, 0, 100.0), (0, 2, 0, 100.0), (1, 3, 1, 100.0), (2, 3, 2, 130.0)], "src long, dst long, segment_id long, length double")
-
-
-def test_routes_detour_for_shade_and_report_nothing_unreachable(spark):
-    asked = spark.createDataFrame([(1, 0, 3, 0.0, 600), (2, 0, 3, 9.0, 600), (3, 0, 99, 0.0, 600), (4, 3, 3, 0.0, 600)], "query_id long, start long, goal long, alpha double, departure int")
-    got = {}
-    for r in graph.routes(toy(spark), asked).orderBy("query_id", "seq").collect():
-        got.setdefault(r.query_id, []).append(r.node_id)
-    assert got[1] == [0, 1, 3] and got[4] == [3] and 3 not in got
-    exposed = {s: (s * 31 + 601) % 101 for s in (1, 2)}
-    cost = {1: 100 * (1 + 9 * exposed[1] / 100), 2: 130 * (1 + 9 * exposed[2] / 100)}
-    assert got[2][1] == min(cost, key=cost.get)
-
-
 def test_components_take_the_smallest_node(spark):
     nodes = spark.range(0, 50).withColumnRenamed("id", "node_id")
     edges = spark.createDataFrame([(i, i + 1) for i in range(3, 30)] + [(40, 41), (42, 42)], "src long, dst long")
