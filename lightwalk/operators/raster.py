@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.num import half_up
@@ -80,6 +80,27 @@ def surfaces(ground: DataFrame, buildings: DataFrame, canopy: DataFrame, crowns:
     )
 
 
+def chamfer(cells: DataFrame, mask: str) -> DataFrame:
+    """``cells`` (row, col, ...) with ``d``: the 3-4 chamfer distance, in thirds of a cell, to the nearest cell whose ``mask`` is true; null where there is none.
+
+    A shortest way is one run of diagonal steps and one of straight ones. So the distance is made along the rows, the
+    columns and both diagonals one after the other: along a line it is the least of d - w * place so far, plus w * place,
+    in both directions: running minima, which reach as far as the line does. Cells that are missing from the frame are
+    passed through, but not returned.
+    """
+    frame = cells.agg(F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1")).where("r0 is not null")
+    full = frame.select(F.explode(F.sequence("r0", "r1")).alias("row"), "c0", "c1").select("row", F.explode(F.sequence("c0", "c1")).alias("col"))
+    d = full.join(cells.where(F.col(mask)).select("row", "col", F.lit(0).cast("long").alias("d")), ["row", "col"], "left")
+    row, col = F.col("row"), F.col("col")
+    for line, place, cost in ((row, col, 3), (col, row, 3), (row - col, row, 4), (row + col, row, 4)):
+        order = Window.partitionBy("_line").orderBy("_place")
+        ahead, behind = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
+        way = F.col("_place") * cost
+        along = d.withColumns({"_line": line, "_place": place.cast("long")})
+        d = along.select("row", "col", F.least(F.min(F.col("d") - way).over(ahead) + way, F.min(F.col("d") + way).over(behind) - way).alias("d"))
+    return cells.join(d, ["row", "col"])
+
+
 def _steps(points: DataFrame, grid: Grid, dx: Column, dy: Column, step: float, count: Column) -> DataFrame:
     """Each point (x, y) once for each step along (dx, dy) that is on the grid: k, row, col."""
     walked = points.where(count >= 1).withColumn("k", F.explode(F.sequence(F.lit(1), count.cast("int"))))

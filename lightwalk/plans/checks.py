@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import raster
 from ..sources import adapters
 from ..sources.adapters import table
 from .registry import query, r6
@@ -123,39 +124,53 @@ def a25_a26_a33_a34_candidate_suns(spark, sf_dir):
     return d.select("site", "best", "best_r", (F.col("best_r") - F.col("r0") > 0.005).alias("significant"), "profile", F.round(collapse, 5).alias("collapse"), r6(F.col("overlap")).alias("overlap"), F.round(collapse / F.greatest(F.lit(0.01), 1 - F.col("overlap")), 5).alias("normalised"))
 
 
-REACH = 8  # cells that a distance is looked for in
+BLOCK, SHIFT = 25, (3, 5)  # cells to a side of a patch of light; how far the image lies from the model
+
+
+def patches(spark, sf_dir):
+    """(row, col, lit, lum): patches of light where their events add up to an even number, and an image of them that lies a few cells off."""
+    e = table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 100).cast("int").alias("row"), (F.col("event_id") % 100).cast("int").alias("col"), "event_id", "value")
+    at = lambda c, by=0: F.floor((F.col(c) + by) / BLOCK).cast("int")
+    blocks = e.groupBy(at("row").alias("br"), at("col").alias("bc")).agg((F.sum(F.round(F.col("value") * 100).cast("long")) % 2 == 0).alias("lit"))
+    placed = e.withColumns({"br": at("row"), "bc": at("col"), "sr": at("row", SHIFT[0]), "sc": at("col", SHIFT[1])})
+    moved = blocks.select(F.col("br").alias("sr"), F.col("bc").alias("sc"), F.col("lit").alias("bright"))
+    met = placed.join(blocks, ["br", "bc"]).join(moved, ["sr", "sc"], "left")
+    return met.select("row", "col", "lit", (F.when(F.coalesce("bright", F.lit(False)), 180).otherwise(60) + F.col("event_id") % 20).alias("lum"))
 
 
 @query(
-    "with " + _IMAGE
-    + """
-    mid as (select (avg(cast(lum as double)) filter (field > 0.5) + avg(cast(lum as double)) filter (field <= 0.5))/2 as mid from image),
-    m as (select row, col, field > 0.5 as lit, lum >= mid as seen from image, mid),
+    f"""
+    with e0 as (select cast(event_id // 100 as int) as row, cast(event_id % 100 as int) as col, event_id, value from events),
+    b as (select row // {BLOCK} as br, col // {BLOCK} as bc, sum(cast(round(value*100) as bigint)) % 2 = 0 as lit from e0 group by 1, 2),
+    i as (select e0.row, e0.col, b.lit, case when coalesce(m.lit, false) then 180 else 60 end + event_id % 20 as lum from e0 join b on b.br = row // {BLOCK} and b.bc = col // {BLOCK} left join b m on m.br = (row + {SHIFT[0]}) // {BLOCK} and m.bc = (col + {SHIFT[1]}) // {BLOCK}),
+    mid as (select (avg(cast(lum as double)) filter (lit) + avg(cast(lum as double)) filter (not lit))/2 as mid from i),
+    m as (select row, col, lit, lum >= mid as seen from i, mid),
     e as (select row, col, coalesce(lit <> lead(lit) over r, false) or coalesce(lit <> lead(lit) over c, false) as model, coalesce(seen <> lead(seen) over r, false) or coalesce(seen <> lead(seen) over c, false) as observed from m window r as (partition by row order by col), c as (partition by col order by row)),
-    d as (select a.row, a.col, min(4*least(abs(a.row - b.row), abs(a.col - b.col)) + 3*abs(abs(a.row - b.row) - abs(a.col - b.col))) as d from e a join e b on a.model and b.observed and b.row between a.row - 8 and a.row + 8 and b.col between a.col - 8 and a.col + 8 group by 1, 2),
+    d as (select a.row, a.col, min(4*least(abs(a.row - b.row), abs(a.col - b.col)) + 3*abs(abs(a.row - b.row) - abs(a.col - b.col))) as d from (select * from e where model) a, (select * from e where observed) b group by 1, 2),
     x as (select d/3E0*0.5E0 as err from d)
-    select count(*) as edges, case when count(*) >= 50 then round(list_extract(list(err order by err), cast(floor((count(*) - 1)*0.5E0) as int) + 1), 6) end as median, case when count(*) >= 50 then round(list_extract(list(err order by err), cast(floor((count(*) - 1)*0.9E0) as int) + 1), 6) end as p90, case when count(*) >= 50 then round(avg(cast(err <= 2 as int)), 6) end as within_2m from x
+    select count(*) as edges, case when count(*) >= 50 then round(list_extract(list(err order by err), cast(floor((count(*) - 1)*0.5E0) as int) + 1), 6) end as median, case when count(*) >= 50 then round(list_extract(list(err order by err), cast(floor((count(*) - 1)*0.9E0) as int) + 1), 6) end as p90, case when count(*) >= 50 then round(avg(cast(err <= 2 as int)), 6) end as within_2m,
+      round(max(err), 6) as farthest from x
     """
 )
 def a23_w14_w15_edge_accuracy(spark, sf_dir):
-    """How far the edges of modelled shade lie from those in the image, by the 3-4 chamfer distance within eight cells, half a metre each."""
-    i = image(spark, sf_dir)
+    """How far the edges of modelled shade lie from those in the image, by the 3-4 chamfer distance at any distance, half a metre to a cell."""
+    i = patches(spark, sf_dir)
     lum = F.col("lum").cast("double")
-    mid = F.broadcast(i.agg(((F.avg(F.when(F.col("field") > 0.5, lum)) + F.avg(F.when(F.col("field") <= 0.5, lum))) / 2).alias("mid")))  # one row
-    m = i.crossJoin(mid).select("row", "col", (F.col("field") > 0.5).alias("lit"), (F.col("lum") >= F.col("mid")).alias("seen"))
+    mid = F.broadcast(i.agg(((F.avg(F.when(F.col("lit"), lum)) + F.avg(F.when(~F.col("lit"), lum))) / 2).alias("mid")))  # one row
+    m = i.crossJoin(mid).select("row", "col", "lit", (F.col("lum") >= F.col("mid")).alias("seen"))
     by_row, by_col = Window.partitionBy("row").orderBy("col"), Window.partitionBy("col").orderBy("row")
     edge = lambda c: F.coalesce(F.col(c) != F.lead(c).over(by_row), F.lit(False)) | F.coalesce(F.col(c) != F.lead(c).over(by_col), F.lit(False))
     e = m.select("row", "col", edge("lit").alias("model"), edge("seen").alias("observed"))
-    steps = [(a, b, 4 * min(abs(a), abs(b)) + 3 * abs(abs(a) - abs(b))) for a in range(-REACH, REACH + 1) for b in range(-REACH, REACH + 1)]
-    ring = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(d).alias("d")) for a, b, d in steps]))
-    around = e.where("observed").select("row", "col", ring.alias("s")).groupBy((F.col("row") + F.col("s.a")).alias("row"), (F.col("col") + F.col("s.b")).alias("col")).agg(F.min("s.d").alias("d"))
     # Distances are few different numbers: quantiles come from their counts.
-    counts = e.where("model").join(around, ["row", "col"]).groupBy("d").agg(F.count("*").alias("n"))
+    counts = raster.chamfer(e, "observed").where("model and d is not null").groupBy("d").agg(F.count("*").alias("n"))
     o = Window.orderBy("d")
     ranked = counts.withColumns({"upto": F.sum("n").over(o), "total": F.sum("n").over(Window.partitionBy())})
     at = lambda q: F.min(F.when(F.col("upto") > F.floor((F.col("total") - 1) * q), F.col("d") / 3 * 0.5))
     enough = F.sum("n") >= 50
-    return ranked.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("edges"), F.when(enough, r6(at(0.5))).alias("median"), F.when(enough, r6(at(0.9))).alias("p90"), F.when(enough, r6(F.sum(F.when(F.col("d") / 3 * 0.5 <= 2, F.col("n")).otherwise(0)) / F.sum("n"))).alias("within_2m"))
+    return ranked.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("edges"), F.when(enough, r6(at(0.5))).alias("median"), F.when(enough, r6(at(0.9))).alias("p90"), F.when(enough, r6(F.sum(F.when(F.col("d") / 3 * 0.5 <= 2, F.col("n")).otherwise(0)) / F.sum("n"))).alias("within_2m"),
+        r6(F.max(F.col("d") / 3 * 0.5)).alias("farthest"),
+    )
 
 
 @query(

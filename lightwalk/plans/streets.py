@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import tags
+from ..functions import tags, words
 from ..functions.geo import flat_distance
 from ..functions.num import half_up
 from ..operators import series, spatial
@@ -43,6 +43,13 @@ def hops(ways):
     )
 
 
+def steps_of_pieces(ways):
+    """``hops`` with their length and the number of the piece of 30 metres or a little more that they belong to."""
+    h = hops(ways).withColumn("len", F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")))
+    lines = h.groupBy("way_id").agg(F.array_sort(F.collect_list(F.struct("seq", "x1", "y1", "x2", "y2", "len"))).alias("s"))  # the steps of one line
+    return lines.select("way_id", F.inline(F.arrays_zip("s", series.cut_lengths(F.col("s.len"), 30.0).alias("piece")))).select("way_id", "s.*", F.col("piece").cast("long").alias("piece"))
+
+
 @query(
     f"""
     w as (select way_id from ways where {_WALKABLE}), l as (select way_id, list(len order by i) as lens from hops semi join w using (way_id) group by 1),
@@ -56,9 +63,7 @@ def hops(ways):
 )
 def w1_f4_f9_pieces_of_30_metres(spark, sf_dir):
     """Walkable lines cut into pieces of 30 metres or a little more, without slivers; a piece is inside a box if a vertex is."""
-    h = hops(adapters.ways(spark, sf_dir).where(tags.walkable())).withColumn("len", F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")))
-    lines = h.groupBy("way_id").agg(F.array_sort(F.collect_list(F.struct("seq", "x1", "y1", "x2", "y2", "len"))).alias("s"))  # the steps of one line
-    cut = lines.select("way_id", F.inline(F.arrays_zip("s", series.cut_lengths(F.col("s.len"), 30.0).alias("piece")))).select("way_id", "s.*", F.col("piece").cast("long").alias("piece"))
+    cut = steps_of_pieces(adapters.ways(spark, sf_dir).where(tags.walkable()))
     box = lambda x, y: F.col(x).between(200, 900) & F.col(y).between(100, 600)
     pieces = cut.groupBy("way_id", "piece").agg(F.sum("len").alias("metres"), F.count("*").alias("steps"), F.max(box("x1", "y1") | box("x2", "y2")).alias("inside"))
     return pieces.where("metres >= 0.1").select("way_id", "piece", r6(F.col("metres")).alias("metres"), "steps", "inside")
@@ -99,12 +104,24 @@ def f12_f19_lighting_is_mapped(spark, sf_dir):
 NEAR, PARALLEL, SHARE = 14.0, 35.0, 0.5  # metres, degrees; the share of samples is our own choice
 
 
-def _axes_and_sidewalks(spark, sf_dir):
-    ways = adapters.ways(spark, sf_dir)
+def _is_sidewalk():
+    return tags.has("highway", "footway") & tags.has("footway", "sidewalk")
+
+
+def _axes_and_sidewalks(ways):
     dots = series.resampled(hops(ways), "way_id", 4.0)
-    sidewalk, axis = tags.has("highway", "footway") & tags.has("footway", "sidewalk"), tags.nominal_offset() > 0
-    kinds = ways.select("way_id", "name", sidewalk.alias("is_sidewalk"), axis.alias("is_axis"))
-    return dots.join(kinds.where("is_axis"), "way_id"), dots.join(kinds.where("is_sidewalk"), "way_id"), ways
+    kinds = ways.select("way_id", "name", _is_sidewalk().alias("is_sidewalk"), (tags.nominal_offset() > 0).alias("is_axis"))
+    return dots.join(kinds.where("is_axis"), "way_id"), dots.join(kinds.where("is_sidewalk"), "way_id")
+
+
+def _covered(axis, walk, by):
+    """For each group ``by`` of samples of axes (k, x, y, dx, dy): whether mapped sidewalks run along it on the left and on the right."""
+    others = walk.select(F.col("way_id").alias("walk_id"), F.col("x"), F.col("y"), F.col("dx").alias("odx"), F.col("dy").alias("ody"))
+    near = _parallel(spatial.radius_join(axis, others, NEAR))
+    turn = F.col("dx") * (F.col("oy") - F.col("y")) - F.col("dy") * (F.col("ox") - F.col("x"))
+    met = near.select(*by, "k", (turn > 0).alias("on_left")).distinct().groupBy(*by).agg(F.sum(F.col("on_left").cast("int")).alias("l"), F.sum((~F.col("on_left")).cast("int")).alias("r"))
+    size = axis.groupBy(*by).agg(F.count("*").alias("n"))
+    return size.join(met, by, "left").select(*by, *[(F.coalesce(c, F.lit(0)) >= F.col("n") * SHARE).alias(name) for c, name in (("l", "left"), ("r", "right"))])
 
 
 def _parallel(near):
@@ -133,13 +150,8 @@ _MATCH = f"""
 )
 def j4_a30_sidewalk_coverage(spark, sf_dir):
     """Which streets have sidewalks mapped as lines of their own, by side: a sample of the axis meets parallel samples close by; against what their tags declare."""
-    axis, walk, ways = _axes_and_sidewalks(spark, sf_dir)
-    others = walk.select(F.col("way_id").alias("walk_id"), F.col("x"), F.col("y"), F.col("dx").alias("odx"), F.col("dy").alias("ody"))
-    near = _parallel(spatial.radius_join(axis, others, NEAR))
-    turn = F.col("dx") * (F.col("oy") - F.col("y")) - F.col("dy") * (F.col("ox") - F.col("x"))
-    met = near.select("way_id", "k", (turn > 0).alias("on_left")).distinct().groupBy("way_id").agg(F.sum(F.col("on_left").cast("int")).alias("l"), F.sum((~F.col("on_left")).cast("int")).alias("r"))
-    size = axis.groupBy("way_id").agg(F.count("*").alias("n"))
-    covered = size.join(met, "way_id", "left").select("way_id", *[(F.coalesce(c, F.lit(0)) >= F.col("n") * SHARE).alias(name) for c, name in (("l", "left"), ("r", "right"))])
+    ways = adapters.ways(spark, sf_dir)
+    covered = _covered(*_axes_and_sidewalks(ways), ["way_id"])
     told = covered.join(ways.select("way_id", tags.declared_absent().alias("told")), "way_id")
     declared = F.col("told").isNotNull()
     agree = declared & (F.col("told.left") == F.col("left")) & (F.col("told.right") == F.col("right"))
@@ -158,7 +170,12 @@ def j4_a30_sidewalk_coverage(spark, sf_dir):
 )
 def j5_parent_street(spark, sf_dir):
     """The name of the street that a sidewalk runs along: each sample votes for the nearest parallel axis with a name."""
-    axis, walk, _ = _axes_and_sidewalks(spark, sf_dir)
+    return parent_streets(adapters.ways(spark, sf_dir))
+
+
+def parent_streets(ways):
+    """(way_id, name, share) of mapped sidewalks."""
+    axis, walk = _axes_and_sidewalks(ways)
     named = axis.where("name is not null").select(F.col("way_id").alias("axis_id"), F.col("k").alias("axis_k"), "name", "x", "y", F.col("dx").alias("odx"), F.col("dy").alias("ody"))
     near = _parallel(spatial.radius_join(walk.drop("name"), named, NEAR))
     votes = near.groupBy("way_id", "k").agg(F.min_by("name", F.struct("distance", "axis_id", "axis_k")).alias("name")).groupBy("way_id", "name").agg(F.count("*").alias("n"))
@@ -166,6 +183,68 @@ def j5_parent_street(spark, sf_dir):
     return won.select("way_id", "name", r6(F.col("n") / F.col("total")).alias("share"))
 
 
+_CARDINAL = "['nord', 'nord-est', 'est', 'sud-est', 'sud', 'sud-ouest', 'ouest', 'nord-ouest'][1 + cast(floor(((degrees(atan2({e}, {n})) + 360) % 360)/45 + 0.5E0) as int) % 8]"
+
+
+@query(
+    _MATCH
+    + f"""
+    best as (select walk_id, walk_k, name from (select *, row_number() over (partition by walk_id, walk_k order by d, way_id, k) as r from near where name is not null) where r = 1),
+    votes as (select walk_id, name, count(*) as n from best group by 1, 2), parent as (select walk_id, name from (select *, row_number() over (partition by walk_id order by n desc, name) as r from votes) where r = 1),
+    w as (select *, {_OFFSET} as off, case when sidewalk in ('right', 'separate') then true when sidewalk is not null then false end as dl, case when sidewalk in ('left', 'separate') then true when sidewalk is not null then false end as dr from ways where {_WALKABLE}),
+    l as (select way_id, list(len order by i) as lens from hops semi join w using (way_id) group by 1),
+    f(way_id, lens, i, total, piece) as (select way_id, lens, 1, case when lens[1] >= 30 then 0 else lens[1] end, cast(0 as bigint) from l
+      union all select way_id, lens, i + 1, case when total + lens[i + 1] >= 30 then 0 else total + lens[i + 1] end, piece + cast(total = 0 as int) from f where i < 3),
+    s as (select h.*, piece, sum(len) over o as upto from hops h join f on f.way_id = h.way_id and f.i = h.i window o as (partition by h.way_id, piece order by h.i rows unbounded preceding)),
+    g as (select *, coalesce(lag(upto) over (partition by way_id, piece order by i), 0) as start from s),
+    d as (select way_id, piece, k, x1 + (x2 - x1)*(2 + 4*k - start)/len as x, y1 + (y2 - y1)*(2 + 4*k - start)/len as y, (x2 - x1)/len as dx, (y2 - y1)/len as dy from (select *, unnest(range(cast(greatest(0, floor((start - 2)/4) + 1) as bigint), cast(floor((upto - 2)/4) as bigint) + 1)) as k from g)),
+    m as (select a.way_id, a.piece, count(distinct case when a.dx*(v.y - a.y) - a.dy*(v.x - a.x) > 0 then a.k end) as l, count(distinct case when a.dx*(v.y - a.y) - a.dy*(v.x - a.x) <= 0 then a.k end) as r
+      from d a join w using (way_id) join walk v on off > 0 and v.x between a.x - 14 and a.x + 14 and v.y between a.y - 14 and a.y + 14 and abs(a.dx*v.dx + a.dy*v.dy) >= cos(radians(35)) where (v.x - a.x)*(v.x - a.x) + (v.y - a.y)*(v.y - a.y) <= 196 group by 1, 2),
+    n as (select way_id, piece, count(*) as n, round(sum(dx), 6) as east, round(sum(dy), 6) as north from d group by 1, 2),
+    p as (select way_id, piece, sum(len) as metres from s group by 1, 2),
+    c as (select p.*, n.n, east, north, off, highway, tunnel, covered, indoor, footway, crossing, case when highway = 'footway' and footway = 'sidewalk' then coalesce(w.name, parent.name) else w.name end as name,
+        off > 0 and (coalesce(l, 0) >= n.n*0.5E0 or coalesce(dl, false)) as cl, off > 0 and (coalesce(r, 0) >= n.n*0.5E0 or coalesce(dr, false)) as cr
+      from p join n using (way_id, piece) join w using (way_id) left join m using (way_id, piece) left join parent on parent.walk_id = way_id where metres >= 0.1)
+    select way_id, piece, name, highway, case when coalesce(tunnel in ('yes', 'covered', 'passage'), false) or coalesce(indoor = 'yes', false) then 2 when coalesce(tunnel = 'building_passage', false) or coalesce(covered <> 'no', false) then 1 else 0 end as cover,
+      coalesce(footway = 'crossing', false) or crossing is not null as crossing, round(metres, 6) as metres, n as samples, off = 0 or cl or cr as shared, cl or cr as halved,
+      case when not cl then {_CARDINAL.format(e="-north", n="east")} end as left_side, case when cl or (off > 0 and not cr) then {_CARDINAL.format(e="north", n="-east")} end as right_side
+    from c where not (cl and cr)
+    """,
+    *WAYS,
+)
+def ra14_segments(spark, sf_dir):
+    """Every piece of every walkable way as a segment with its sidewalks."""
+    return segments(adapters.ways(spark, sf_dir)).withColumn("metres", r6(F.col("metres")))
+
+
+def segments(ways):
+    """Walkable ways cut into pieces, each with the sidewalks that it stands for: way_id, piece, name, highway, cover, crossing, metres, samples, shared, halved, left_side, right_side.
+
+    Where sidewalks are mapped along a piece of an axis, or declared to be, that side is theirs: a piece whose both sides are
+    goes, one with one of them keeps the other (halved). Ways without a roadway have one side only, which both share: it
+    stands as the left one. A mapped sidewalk without a name takes its street's. Sides are named by the sky that they face.
+    """
+    own = ways.where(tags.walkable())
+    steps = steps_of_pieces(own).withColumn("at", F.struct("way_id", "piece"))
+    samples = series.resampled(steps, "at", 4.0).select("at.*", "k", "x", "y", "dx", "dy")
+    _, walk = _axes_and_sidewalks(ways)
+    axis = tags.nominal_offset() > 0
+    by = ["way_id", "piece"]
+    met = _covered(samples.join(own.where(axis).select("way_id"), "way_id"), walk, by).withColumnsRenamed({"left": "met_left", "right": "met_right"})
+    parents = parent_streets(ways).select("way_id", F.col("name").alias("parent"))
+    told = own.select("way_id", "highway", F.when(_is_sidewalk(), 1).alias("sidewalk_"), "name", tags.cover_kind().alias("cover"), tags.is_crossing().alias("crossing"), axis.alias("axis"), tags.declared_absent().alias("told"))
+    sizes = samples.groupBy(*by).agg(F.count("*").alias("samples"), F.round(F.sum("dx"), 6).alias("east"), F.round(F.sum("dy"), 6).alias("north"))
+    pieces = steps.groupBy(*by).agg(F.sum("len").alias("metres")).where("metres >= 0.1")
+    whole = pieces.join(sizes, by).join(told, "way_id").join(met, by, "left").join(parents, "way_id", "left")
+    taken = lambda side: F.col("axis") & (F.coalesce(f"met_{side}", F.lit(False)) | F.coalesce(F.col(f"told.{side}"), F.lit(False)))
+    kept = whole.withColumns({"cl": taken("left"), "cr": taken("right")}).where("not (cl and cr)")
+    facing_left, facing_right = words.cardinal(-F.col("north"), F.col("east")), words.cardinal(F.col("north"), -F.col("east"))
+    return kept.select(
+        *by, F.when(F.col("sidewalk_") == 1, F.coalesce("name", "parent")).otherwise(F.col("name")).alias("name"), "highway", "cover", "crossing", "metres", "samples", (~F.col("axis") | F.col("cl") | F.col("cr")).alias("shared"),
+        (F.col("cl") | F.col("cr")).alias("halved"), F.when(~F.col("cl"), facing_left).alias("left_side"), F.when(F.col("cl") | (F.col("axis") & ~F.col("cr")), facing_right).alias("right_side"),
+    )
+
+
 @query(
     """
     v as (select e.*, row_number() over (order by src, dst) as e from edges e),
