@@ -18,9 +18,10 @@ A link also says which words around the seed are alike: from the first to the la
 passage is what it has in common with an earlier document (with a later one where there is no earlier one), so that all of
 a passage goes and nothing around it; seeds follow so closely that their spans join.
 
-Cases: null, empty and short texts have no paragraphs; of rows with one doc_id the least text stands; rows without doc_id
-take no part; passages that repeat inside one document only are left alone; an empty table gives an empty result; further
-columns are ignored.
+Cases: null, empty and short texts have no paragraphs; different texts of one doc_id, and texts without doc_id, are documents
+of their own (of one doc_id the least text comes first, the others and those without doc_id after all others), equal ones
+are one document; passages that repeat inside one document only are left alone; an empty table gives an empty result;
+further columns pass through ``remove``, whatever their names.
 """
 
 from __future__ import annotations
@@ -192,12 +193,41 @@ def _surroundings(docs: DataFrame, wanted: DataFrame, side: int) -> DataFrame:
     return docs.join(per.hint("shuffle_hash"), "doc_id").select("text", "wanted").mapInArrow(run, "content long, around binary")
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Texts as (doc_id, text) with a number of their own in place of the doc_id, and the (number, id, text) of those whose doc_id is not theirs alone (None: all are).
+
+    A doc_id stands for its least text; other texts of the same doc_id, and texts without one, get numbers beyond all doc_ids.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
+    odd = rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("text").alias("least")).where("n > 1 or doc_id is null")
+    odd = common.materialize(odd.select("doc_id", "least"), "shared-ids")
+    if odd.isEmpty():
+        return rows, None
+    same = F.col("o.doc_id").eqNullSafe(F.col("r.doc_id"))
+    several = rows.alias("r").join(odd.alias("o"), same).select("r.doc_id", "r.text", (F.col("r.doc_id").isNotNull() & (F.col("r.text") == F.col("o.least"))).alias("stands")).distinct()
+    several = common.materialize(several, "texts-of-shared-ids")
+    beyond = (rows.agg(F.max("doc_id")).first()[0] or 0) + 1
+    names = common.materialize(several.select(F.when(F.col("stands"), F.col("doc_id")).otherwise(F.monotonically_increasing_id() + F.greatest(F.lit(beyond), F.lit(0))).alias("number"), F.col("doc_id").alias("id"), "text"), "numbers")
+    alone = rows.alias("r").join(odd.alias("o"), same, "left_anti").select("r.doc_id", "r.text")
+    return alone.unionByName(names.select(F.col("number").alias("doc_id"), "text")), names
+
+
+def _named(found: DataFrame, names: DataFrame | None) -> DataFrame:
+    """``found`` with the doc_ids in place of the numbers, the ``number``, and the ``text`` of those that share or lack a doc_id."""
+    found = found.withColumn("first", F.col("doc_id") == F.col("component")).withColumn("number", F.col("doc_id"))
+    if names is None:
+        return found.withColumn("text", F.lit(None).cast("string"))
+    own = names.select("number", F.col("id").alias("own"), "text")
+    other = names.select(F.col("number").alias("component"), F.col("id").alias("whose"), F.lit(True).alias("named"))
+    met = found.join(own, "number", "left").join(other, "component", "left")
+    doc_id = F.when(F.col("text").isNotNull(), F.col("own")).otherwise(F.col("number"))
+    return met.select(doc_id.alias("doc_id"), "pos", "start", "end", F.when(F.col("named"), F.col("whose")).otherwise(F.col("component")).alias("component"), "first", "number", "text")
+
+
 def repeated(docs: DataFrame, words: int = 51, bands: int = 1, rows: int = 1, similarity: float = 0.8, tile: int = 4096) -> DataFrame:
     """(doc_id, pos, start, end, component, first boolean): every seed in a passage that repeats in another document, and the passage around it, by word position; ``first`` marks the document that keeps it."""
     side = words - SEED
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    if docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        docs = docs.groupBy("doc_id").agg(F.min("text").alias("text"))
+    docs, names = numbered(docs)
     all_windows = common.materialize(windows(docs, side, bands, rows), "paragraphs")
     first = F.min(F.struct("doc_id", "pos")).alias("at")
     contents = common.materialize(all_windows.groupBy("content", "key").agg(first, F.max("doc_id").alias("last")), "contents")
@@ -238,7 +268,7 @@ def repeated(docs: DataFrame, words: int = 51, bands: int = 1, rows: int = 1, si
     found = common.materialize(found if bands == rows == 1 else found.distinct(), "repeated")
     for table in (all_windows, contents, near, kept):
         common.discard(table)
-    return found.withColumn("first", F.col("doc_id") == F.col("component"))
+    return _named(found, names)
 
 
 def compare(a: np.ndarray, b: np.ndarray, words: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -447,25 +477,32 @@ def _verified(words: int, similarity: float, small: int = 12):
 
 
 def spans(found: DataFrame) -> DataFrame:
-    """(doc_id, start, end, removed, components): passages that overlap or touch in a document joined, by word position, kept and removed ones apart."""
-    order = Window.partitionBy("doc_id", "first").orderBy("start", "end")
+    """(doc_id, start, end, removed, components, number, text): passages that overlap or touch in a document joined, by word position, kept and removed ones apart."""
+    order = Window.partitionBy("number", "first").orderBy("start", "end")
     before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     island = found.withColumn("new", (F.col("start") > F.coalesce(before, F.lit(-1))).cast("int")).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return island.groupBy("doc_id", "first", "run").agg(
-        F.min("start").cast("long").alias("start"), F.max("end").cast("long").alias("end"), F.sort_array(F.collect_set("component")).alias("components")
-    ).select("doc_id", "start", "end", (~F.col("first")).alias("removed"), "components")
+    return island.groupBy("number", "first", "run").agg(
+        F.first("doc_id").alias("doc_id"), F.min("start").cast("long").alias("start"), F.max("end").cast("long").alias("end"), F.sort_array(F.collect_set("component")).alias("components"), F.first("text").alias("text")
+    ).select("doc_id", "start", "end", (~F.col("first")).alias("removed"), "components", "number", "text")
 
 
 def remove(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``docs`` without the words of removed passages; what stood between stays as it was."""
-    cut = spans(found).where("removed").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__cut"))
+    removed = spans(found).where("removed").groupBy("number").agg(F.first("doc_id").alias("id"), F.first("text").alias("own"), F.sort_array(F.collect_list(F.struct("start", "end"))).alias("cuts"))
+    column = next(c for k in itertools.count() if (c := f"cut_{k}") not in docs.columns)
+    # A text of a shared doc_id is met by its doc_id and text, any other by its doc_id.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"))
+    by_id = removed.where("own is null").select("id", F.col("cuts").alias("a"))
+    by_text = removed.where("own is not null").select(F.col("id").alias("also"), "own", F.col("cuts").alias("b"))
+    met = rows.join(by_id, F.col("r.doc_id").cast("long") == F.col("id"), "left").join(by_text, F.col("r.doc_id").cast("long").eqNullSafe(F.col("also")) & (F.col("r.text") == F.col("own")), "left")
+    met = met.select("r.*", F.coalesce("a", "b").alias(column))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import re
 
         for batch in batches:
             texts = []
-            for text, cuts in zip(batch["text"].to_pylist(), batch["__cut"].to_pylist(), strict=True):
+            for text, cuts in zip(batch["text"].to_pylist(), batch[column].to_pylist(), strict=True):
                 if cuts and text:
                     places = [m.span() for m in re.finditer(r"[^ \t-\r]+", text)]
                     at, kept = 0, []
@@ -475,20 +512,20 @@ def remove(docs: DataFrame, found: DataFrame) -> DataFrame:
                             at = places[c["end"] - 1][1]
                     text = "".join(kept) + text[at:]
                 texts.append(text)
-            out = {n: batch[n] for n in batch.schema.names if n != "__cut"} | {"text": pa.array(texts, pa.string())}
+            out = {n: batch[n] for n in batch.schema.names if n != column} | {"text": pa.array(texts, pa.string())}
             yield pa.record_batch(list(out.values()), names=list(out))
 
-    return docs.join(cut, "doc_id", "left").select(*docs.columns, "__cut").mapInArrow(run, docs.schema)
+    return met.mapInArrow(run, docs.schema)
 
 
 def op6_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each document that has a repeated passage; component ids are the smallest doc_id with the passage."""
     found = spans(repeated(common.table(spark, sf_dir, "documents")))
     size = F.col("end") - F.col("start")
-    return found.groupBy("doc_id").agg(
-        F.count("*").alias("n_passages"),
+    return found.groupBy("number").agg(
+        F.first("doc_id").alias("doc_id"), F.count("*").alias("n_passages"),
         F.coalesce(F.sum(F.when(F.col("removed"), size)), F.lit(0)).cast("long").alias("n_words_removed"),
         F.coalesce(F.sum(F.when(~F.col("removed"), size)), F.lit(0)).cast("long").alias("n_words_kept"),
         F.sort_array(F.array_distinct(F.flatten(F.collect_list("components")))).alias("component_ids"),
         F.sort_array(F.collect_list(F.struct("start", "end", "removed"))).alias("passages"),
-    )
+    ).drop("number")

@@ -308,6 +308,19 @@ def test_repeated_passages_of_over_50_words_are_found(spark):
     assert all(len(kept[i].split()) < len(texts[i].split()) - 24 for i in range(1, 12))
 
 
+def test_paragraphs_of_shared_and_missing_ids_are_judged_text_by_text(spark):
+    shared = " ".join(f"p{i}" for i in range(60))
+    own = [" ".join(f"o{k}x{i}" for i in range(150)) for k in range(5)]
+    rows = [(1, f"{shared} {own[0]}"), (2, f"aaa bbb ccc {shared}"), (2, own[1]), (2, own[1]), (None, f"{own[2]} {shared}"), (None, own[3]), (None, None), (7, own[4])]
+    docs = spark.createDataFrame([(i, t, 1, "c") for i, t in rows], "doc_id long, text string, cut_0 int, `__cut` string").repartition(3)
+    found = paragraphs.repeated(docs)
+    assert {(1, 1, True), (2, 1, False), (None, 1, False)} <= {(r.doc_id, r.component, r.first) for r in found.collect()}
+    got = sorted((str(r.doc_id), " ".join((r.text or "").split()), r.cut_0, r["__cut"]) for r in paragraphs.remove(docs, found).collect())
+    want = [(1, f"{shared} {own[0]}"), (2, "aaa bbb ccc"), (2, own[1]), (2, own[1]), (None, own[2]), (None, own[3]), (None, ""), (7, own[4])]
+    assert got == sorted((str(i), t, 1, "c") for i, t in want)
+
+
+
 def test_paragraphs_with_few_changes_are_one_component(spark):
     words = [f"v{i}" for i in range(25)]
     near, far = [*words[:24], "changed"], [*words[:12], "changed", *words[13:]]
