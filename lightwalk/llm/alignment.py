@@ -44,7 +44,7 @@ _PAIR = pa.struct([("a", pa.int32()), ("b", pa.int32()), ("n", pa.int64())])
 
 
 class ByteLevel:
-    """Side A: ids of a space and the text, and the bytes of each id."""
+    """Side A: ids of a space and the text by a byte-level tokenizer, and the bytes of each id."""
 
     def __init__(self, path: str):
         self.encode = tokens.Encoder(path, "bytes", plain=True)
@@ -61,10 +61,12 @@ class ByteLevel:
 
 
 class Pieces:
-    """Side B: ids of the text by a piece model that puts a space before it, and the bytes of each id.
+    """Side B: ids of a text by a piece model that puts a space before it, and the bytes of each id.
 
-    Where no piece holds a space after another character, no token reaches across a space; single spaces and line feeds
-    then cut the text into units whose ids are remembered. Other texts, and other models, are encoded whole.
+    Where no piece holds a space after another character, or a line feed, no token reaches from one word into the next:
+    words with the white space before them are encoded, and held against their bytes, once while they are remembered. A
+    mark that no piece joins to a letter is cut from its word as well. Other texts and other models are encoded whole. A
+    word or text that does not come back byte for byte has no ids.
     """
 
     def __init__(self, path: str, remember: int = 400_000):
@@ -73,21 +75,35 @@ class Pieces:
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         names = [self.model.id_to_piece(k) for k in range(self.model.get_piece_size())]
         self.bytes_of = [bytes([int(p[3:5], 16)]) if self.model.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(names)]
-        self.space = self.model.piece_to_id("▁")
-        self.cuts = not any("▁" in p.lstrip("▁") or "\n" in p for p in names) and self.model.encode("\na")[:1] == [self.space] and self.model.encode(" a")[:1] == [self.space]
+        self.space = [self.model.piece_to_id("▁")]
+        self.joins = ["▁", *(c for c in "\t\v\f\r" if any(c in p for p in names)), *tokens._SPACES]
+        self.cuts = not any("▁" in p.lstrip("▁") or "\n" in p for p in names) and self.model.encode("\na")[:1] == self.space
+        joined = {p[-1] for p in names if len(p) > 1 and p[-2].isalpha()}
+        self.stops = {c: array("I", [self.model.piece_to_id(c)]).tobytes() for c in ".,;:!?" if c not in joined and c in names}
         self.known = tokens._Known(self._unit, remember)
 
     def _unit(self, unit: str) -> bytes:
-        if unit[0] == "\n":  # the space that the model puts first is not in the text
-            return array("I", self.model.encode(unit)[1:]).tobytes()
-        return array("I", self.model.encode(unit[1:])).tobytes()
+        """Ids of a word with the white space before it."""
+        stop = self.stops.get(unit[-1])
+        if stop is not None and unit[1:-1].isalpha():
+            return self.known[unit[:-1]] + stop
+        if unit[0] == " ":
+            ids = self.model.encode(unit[1:]) or self.space
+        else:
+            ids = self.model.encode(unit)[1:]  # the space that the model puts first is not in the text
+        return array("I", ids).tobytes() if self._same(ids, unit) else b""
+
+    def _same(self, ids: list[int], text: str) -> bool:
+        return b"".join(map(self.bytes_of.__getitem__, ids)) == text.encode()
 
     def __call__(self, text: str) -> np.ndarray:
         whole = " " + text
-        if not self.cuts or "  " in whole or " \n" in whole or whole[-1] == " " or "▁" in text or "\0" in text:
-            return np.array(self.model.encode(text), "<u4")
-        units = whole.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
-        return np.frombuffer(b"".join(map(self.known.__getitem__, units[1:])), "<u4")
+        if not self.cuts or any(c in text for c in self.joins):
+            ids = self.model.encode(text)
+            return np.array(ids if self._same(ids, whole) else [], "<u4")
+        runs = any(c in whole for c in tokens._RUNS)
+        units = tokens._UNITS.findall(whole) if runs else whole.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")[1:]
+        return np.frombuffer(b"".join(map(self.known.__getitem__, units)), "<u4")
 
 
 @lru_cache(maxsize=2)
@@ -100,9 +116,9 @@ def sides(path_a: str, path_b: str) -> tuple[ByteLevel, Pieces]:
 def _tables(path_a: str, path_b: str) -> tuple[tuple[np.ndarray, np.ndarray], ...]:
     """For each side: lengths of the ids in bytes, and their names with the mark that stands before them (first of a group, or later)."""
     found = []
-    for side, first in zip(sides(path_a, path_b), (b";", b"|"), strict=True):
-        names = np.array([mark + str(k).encode() for mark in (b",", first) for k in range(len(side.bytes_of))], object)
-        found.append((np.array([len(b) for b in side.bytes_of], np.int64), names))
+    for table, first in zip((s.bytes_of for s in sides(path_a, path_b)), (b";", b"|"), strict=True):
+        names = np.array([mark + str(k).encode() for mark in (b",", first) for k in range(len(table))], object)
+        found.append((np.array([len(b) for b in table], np.int64), names))
     return tuple(found)
 
 
@@ -119,13 +135,13 @@ def events(docs: DataFrame, path_a: str, path_b: str, window: int = 1 << 15) ->
             rows = []
             for row, doc_id, text in zip(*(batch[c].to_pylist() for c in ("row", "doc_id", "text")), strict=True):
                 ids = [side(text) for side in both] if text else []
-                whole = (" " + text).encode() if text else b""
-                if not text or any(b"".join(map(side.bytes_of.__getitem__, i.tolist())) != whole for side, i in zip(both, ids, strict=True)):
+                offsets = [np.cumsum(lengths[i]) for i, (lengths, _) in zip(ids, tables, strict=False)]
+                size = len(text.encode()) + 1 if text else 0
+                if not text or any(not len(ends) or ends[-1] != size for ends in offsets):  # a side's bytes can only be too few
                     rows.append((row, doc_id, 0, 0, 0, b""))
                     continue
-                for side, (i, (lengths, _)) in enumerate(zip(ids, tables, strict=True)):
-                    ends = np.cumsum(lengths[i])
-                    edges = [0, *np.searchsorted(ends, np.arange(window, len(whole), window), "right").tolist(), len(i)] if len(whole) > window else [0, len(i)]
+                for side, (i, ends) in enumerate(zip(ids, offsets, strict=True)):
+                    edges = [0, *np.searchsorted(ends, np.arange(window, int(ends[-1]), window), "right").tolist(), len(i)]
                     for w, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
                         if a < b:
                             rows.append((row, doc_id, w, side, int(ends[a - 1]) if a else 0, packer.compress(i[a:b].astype(kind).tobytes())))
@@ -200,20 +216,23 @@ class Machine:
         linked = int(np.dot(sizes[0], sizes[1]))
         self.links += linked
         base = len(self.lengths[1])
-        if linked == total == len(ids[0]):  # one token each
-            codes, times = np.unique(ids[0] * base + ids[1], return_counts=True)
+        weights = None
+        if linked > 8 * (len(ids[0]) + len(ids[1])):  # large groups: equal ids of a group at once
+            weights = []
+            for side in (0, 1):
+                span = len(self.lengths[side])
+                keys, times = np.unique(group[side] * span + ids[side], return_counts=True)
+                weights.append(times)
+                group[side], ids[side] = np.divmod(keys, span)
+            sizes = [np.bincount(g, minlength=total) for g in group]
+            starts = [np.cumsum(s) - s for s in sizes]
+        each = sizes[1][group[0]]
+        inner = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each - starts[1][group[0]], each)
+        codes = np.repeat(ids[0] * base, each) + ids[1][inner]
+        if weights is None:
+            codes, times = np.unique(codes, return_counts=True)
         else:
-            weights = [np.ones(len(i), np.int64) for i in ids]
-            if linked > 8 * (len(ids[0]) + len(ids[1])):  # large groups: equal ids of a group at once
-                for side in (0, 1):
-                    span = len(self.lengths[side])
-                    keys, weights[side] = np.unique(group[side] * span + ids[side], return_counts=True)
-                    group[side], ids[side] = np.divmod(keys, span)
-                sizes = [np.bincount(g, minlength=total) for g in group]
-                starts = [np.cumsum(s) - s for s in sizes]
-            each = sizes[1][group[0]]
-            inner = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat(starts[1][group[0]], each)
-            codes, at = np.unique(np.repeat(ids[0], each) * base + ids[1][inner], return_inverse=True)
+            codes, at = np.unique(codes, return_inverse=True)
             times = np.zeros(len(codes), np.int64)
             np.add.at(times, at, np.repeat(weights[0], each) * weights[1][inner])
         self.codes.append(codes)
