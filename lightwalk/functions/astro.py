@@ -13,6 +13,23 @@ EXTRATERRESTRIAL_LUX = 133300.0
 TURBIDITY = 4.0
 
 
+def offset_minutes(utc: Column, zone: str) -> Column:
+    """Minutes by which a zone's clocks are ahead at an instant (seconds since 1970)."""
+    return (F.unix_timestamp(F.from_utc_timestamp(F.timestamp_seconds(utc), zone)) - utc) / 60
+
+
+def local_to_utc(wall: Column, zone: str) -> Column:
+    """The instant (seconds) at which a zone's clocks show a time, given as the seconds that it would be in UTC.
+
+    The offset depends on the instant, which is found by three rounds: of an hour that is shown twice the later one, as is
+    what they settle on.
+    """
+    guess = wall
+    for _ in range(3):
+        guess = wall - (offset_minutes(guess, zone) * 60).cast("long")
+    return guess
+
+
 def sun_position(epoch_ms: Column, lat: Column, lon: Column) -> tuple[Column, Column]:
     """Altitude and azimuth (from north, clockwise) in radians; low-precision almanac."""
     days = epoch_ms / 86400000.0 + 2440587.5 - 2451545.0

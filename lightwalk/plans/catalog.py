@@ -243,6 +243,28 @@ def j16_snk6_pending_cells(spark, sf_dir):
     return storage.pending(orders.select("cell_key"), orders, "cell_key", "1995-01-01")
 
 
+_SUMMER = "60 + 60*cast(make_timestamp({u}*1000000) >= last_day(make_date(year(make_timestamp({u}*1000000)), 3, 1)) - cast(extract(dow from last_day(make_date(year(make_timestamp({u}*1000000)), 3, 1))) as int) + interval 1 hour and make_timestamp({u}*1000000) < last_day(make_date(year(make_timestamp({u}*1000000)), {end}, 1)) - cast(extract(dow from last_day(make_date(year(make_timestamp({u}*1000000)), {end}, 1))) as int) + interval 1 hour as int)"
+
+
+def _summer(u: str) -> str:
+    """Paris time: summer from the last Sunday of March to that of October (before 1996, of September), at one in UTC."""
+    return _SUMMER.format(u=u, end=f"case when year(make_timestamp({u}*1000000)) < 1996 then 9 else 10 end")
+
+
+@query(
+    f"""
+    with w as (select o_orderkey as k, cast(epoch(o_orderdate) as bigint) + (o_orderkey*7 % 1440)*60 as wall from orders),
+    g1 as (select k, wall, wall - 60*({_summer("wall")}) as g from w), g2 as (select k, wall, wall - 60*({_summer("g")}) as g from g1), g3 as (select k, wall, wall - 60*({_summer("g")}) as g from g2)
+    select k as order_key, wall, g as utc, cast({_summer("g")} as bigint) as ahead from g3
+    """
+)
+def m3_local_time(spark, sf_dir):
+    """The instant at which clocks in Paris show a time, and how far ahead of UTC they are then."""
+    wall = F.unix_date(F.to_date("o_orderdate")).cast("long") * 86400 + F.col("o_orderkey") * 7 % 1440 * 60
+    at = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order_key"), wall.alias("wall")).withColumn("utc", astro.local_to_utc(F.col("wall"), "Europe/Paris"))
+    return at.withColumn("ahead", astro.offset_minutes(F.col("utc"), "Europe/Paris").cast("long"))
+
+
 @query(
     """
     pairs as (select l.segment_id, l.svf + l.work as a, r.svf + r.work as b from sides l join sides r on l.segment_id % 2 = 0 and r.segment_id = l.segment_id + 1)
@@ -538,12 +560,12 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(None)
-def st1_st3_tracking(spark, sf_dir):
+def st1_st5_tracking(spark, sf_dir):
     from ..streaming import tracking
 
     k = F.col("event_id")
     fixes = _events(spark, sf_dir).select("user_id", k.alias("fix_id"), F.col("ts").cast("timestamp").alias("ts"), adapters.lon(k).alias("lon"), adapters.lat(k).alias("lat"))
-    route = tracking.Route([2.345 + 0.0005 * i for i in range(35)], [48.853 + 0.0002 * i for i in range(35)], [150.0, 420.0, 900.0, 1400.0])
+    route = tracking.Route([2.345 + 0.0005 * i for i in range(35)], [48.853 + 0.0002 * i for i in range(35)], [150.0, 420.0, 900.0, 1400.0], [90.0, 640.0, 1210.0])
     return tracking.drained(tracking.tracked(fixes, route), "fixes", storage.shared_folder(spark, "streams"))
 
 

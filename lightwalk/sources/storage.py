@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,6 +30,49 @@ def materialize(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def build_by_cell(selected: DataFrame, key: str, date: str, compute: Callable[[DataFrame], DataFrame], table: str, manifest: str, at_once: int = 8) -> DataFrame:
+    """Computes the cells that are not done yet and writes them, so that a run that was killed goes on where it stopped; returns the manifest.
+
+    Pending cells (``selected`` keys that the manifest does not have as done on this date) go ``at_once`` at a time through
+    ``compute``: a DataFrame with the column ``key`` for the cells given. Their partitions of ``table`` are replaced, then
+    the manifest gets a row for each: (key, status, date, rows). A run that dies between the two computes those cells again
+    and replaces them by the same. A cell whose computation fails is told as failed, once its companions have been tried
+    apart, and is pending in the next run. The last row of a cell counts. A cell that yields no row leaves the rows of an
+    earlier date where they are.
+    """
+    spark = selected.sparkSession
+    schema = f"{key} string, status string, date string, rows long, run long"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(manifest)
+    files = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    known = lambda: spark.read.schema(schema).parquet(manifest) if files.exists(hadoop) else spark.createDataFrame([], schema)
+    last = lambda: known().groupBy(key).agg(F.max_by(F.struct("status", "date", "rows"), "run").alias("x")).select(key, "x.*")
+    done = last().where((F.col("status") == "ok") & (F.col("date") == date))
+    todo = sorted(str(r[0]) for r in selected.select(F.col(key).cast("string").alias(key)).distinct().join(done, key, "left_anti").collect())  # names of cells of a region
+
+    def built(keys: list[str]) -> dict[str, int]:
+        some = spark.createDataFrame([(k,) for k in keys], f"{key} string")
+        made = compute(some)
+        made.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(table)
+        found = spark.read.schema(made.schema).parquet(table).where(F.col(key).isin(keys)).groupBy(key).count()
+        return {str(k): n for k, n in found.collect()}
+
+    def told(keys: list[str], status: str, rows: dict[str, int]) -> None:
+        run = time.time_ns()
+        spark.createDataFrame([(k, status, date, rows.get(k, 0), run) for k in keys], schema).coalesce(1).write.mode("append").parquet(manifest)
+
+    for at in range(0, len(todo), at_once):
+        keys = todo[at : at + at_once]
+        try:
+            told(keys, "ok", built(keys))
+        except Exception:  # noqa: BLE001 one cell of them: which one shows when they are tried apart
+            for k in keys:
+                try:
+                    told([k], "ok", built([k]))
+                except Exception:  # noqa: BLE001 a cell's failure is its own
+                    told([k], "failed", {})
+    return last()
+
+
 def spread(df: DataFrame, by: str) -> DataFrame:
     """``df`` over all slots where it has fewer files than those: costly rows of a small table would else wait for one core."""
     slots = df.sparkSession.sparkContext.defaultParallelism

@@ -13,17 +13,17 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.geo import PLANE_LAT, PLANE_LON
 
-OUT = "user_id long, fix_id long, along double, offset double, off_route boolean, announced int"
-STATE = "hint int, progress double, said string"
-#: How far the search window reaches around the last place, tolerance for noise, distance off the route, announcements.
-BACK, AHEAD, NOISE, OFF_ROUTE, ANNOUNCE = 4, 25, 25.0, 35.0, (180, 60, 18)
+OUT = "user_id long, fix_id long, along double, offset double, off_route boolean, announced int, bearing double, sunlight_in int, minutes double"
+STATE = "hint int, progress double, said string, bearing double, lon double, lat double"
+#: How far the search window reaches around the last place, tolerance for noise, distance off the route, announcements, warning of sunlight, the computed day.
+BACK, AHEAD, NOISE, OFF_ROUTE, ANNOUNCE, WARN, DAY = 4, 25, 25.0, 35.0, (180, 60, 18), 30.0, (300.0, 1320.0)
 
 
 class Route:
-    """A polyline with its manoeuvres (metres from the start)."""
+    """A polyline with its manoeuvres, and with the places where one steps from shade into sun (metres from the start)."""
 
-    def __init__(self, lon: list[float], lat: list[float], manoeuvres: list[float]):
-        self.lon, self.lat, self.manoeuvres = np.array(lon), np.array(lat), sorted(manoeuvres)
+    def __init__(self, lon: list[float], lat: list[float], manoeuvres: list[float], sunlit: list[float] = ()):
+        self.lon, self.lat, self.manoeuvres, self.sunlit = np.array(lon), np.array(lat), sorted(manoeuvres), list(sunlit)
         scale = np.cos(np.radians((self.lat[1:] + self.lat[:-1]) / 2))
         self.length = np.hypot(np.diff(self.lon) * PLANE_LON * scale, np.diff(self.lat) * PLANE_LAT)
         self.start = np.append(0.0, np.cumsum(self.length)[:-1])
@@ -52,25 +52,51 @@ class Route:
         return step
 
 
+    def warning(self, along: float, said: set[str]) -> int | None:
+        """Metres, in fives, to the first place within ``WARN`` metres ahead where the sun begins, once for each place."""
+        for k, at in enumerate(self.sunlit):
+            if 0 <= at - along <= WARN and f"sun:{k}" not in said:
+                said.add(f"sun:{k}")
+                return math.floor((at - along) / 5 + 0.5) * 5
+        return None
+
+
+def heading_of(told: float | None, last: float | None, before: tuple[float, float] | None, here: tuple[float, float]) -> float | None:
+    """The sensor's heading; at rest the last one; before there was any, the direction from the last fix."""
+    if told is not None and math.isfinite(told):
+        return told
+    if last is not None or before is None:
+        return last
+    east = (here[0] - before[0]) * PLANE_LON * math.cos(math.radians((here[1] + before[1]) / 2))
+    return (math.degrees(math.atan2(east, (here[1] - before[1]) * PLANE_LAT)) + 360) % 360
+
+
 def advanced(progress: float | None, measured: float) -> float:
     """Progress never falls by noise; a larger step back is believed."""
     return measured if progress is None or measured > progress or progress - measured > NOISE else progress
 
 
 def tracked(fixes: DataFrame, route: Route) -> DataFrame:
-    """Fixes (user_id, fix_id, ts, lon, lat; a stream) followed along ``route``, one state for each user, in order of time within a batch."""
+    """Fixes (user_id, fix_id, ts, lon, lat, and heading if there is one; a stream) followed along ``route``, one state for each user, in order of time within a batch.
+
+    Off the route nothing is announced. ``minutes`` is the time of day that the fix is judged by, within the computed day.
+    """
+    fixes = fixes if "heading" in fixes.columns else fixes.withColumn("heading", F.lit(None).cast("double"))
 
     def follow(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        hint, progress, said = state.get if state.exists else (None, None, "")
-        known = set(filter(None, said.split(",")))
+        hint, progress, said, bearing, *place = state.get if state.exists else (None, None, "", None, None, None)
+        known, before = set(filter(None, said.split(","))), None if place[0] is None else tuple(place)
         rows = []
         for fix in pd.concat(list(frames)).sort_values(["ts", "fix_id"]).itertuples():
             measured, off, hint = route.snap(fix.lon, fix.lat, hint)
-            progress = advanced(progress, measured)
-            rows.append((key[0], fix.fix_id, progress, off, off > OFF_ROUTE, route.announcement(progress, known)))
-        state.update((hint, progress, ",".join(sorted(known))))
-        out = pd.DataFrame(rows, columns=["user_id", "fix_id", "along", "offset", "off_route", "announced"])
-        yield out.astype({"announced": "Int32"})
+            progress, on = advanced(progress, measured), off <= OFF_ROUTE
+            bearing = heading_of(None if pd.isna(fix.heading) else float(fix.heading), bearing, before, (fix.lon, fix.lat))
+            before = (float(fix.lon), float(fix.lat))
+            minutes = min(max(fix.ts.hour * 60 + fix.ts.minute + fix.ts.second / 60, DAY[0]), DAY[1])
+            rows.append((key[0], fix.fix_id, progress, off, not on, route.announcement(progress, known) if on else None, bearing, route.warning(progress, known) if on else None, minutes))
+        state.update((hint, progress, ",".join(sorted(known)), bearing, *before))
+        out = pd.DataFrame(rows, columns=[c.split()[0] for c in OUT.split(", ")])
+        yield out.astype({"announced": "Int32", "sunlight_in": "Int32", "bearing": "Float64"})
 
     return fixes.groupBy("user_id").applyInPandasWithState(follow, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
 

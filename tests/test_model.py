@@ -162,10 +162,15 @@ def test_tracking_is_monotone_and_announces_once():
     assert abs(along - 55 * route.length[0]) < 0.5 and off < 0.1 and k in (54, 55)
     assert route.snap(2.3555, 48.85, 3)[2] == 27  # the window's last segment
     said: set[str] = set()
+    sunny, warned = tracking.Route([2.35 + 0.0001 * i for i in range(60)], [48.85] * 60, [200.0], [40.0, 60.0]), set()
+    assert [sunny.warning(x, warned) for x in (5.0, 12.0, 12.5, 35.0, 45.0, 61.0)] == [None, 30, None, 25, None, None]  # thirty metres ahead, once each
+    here = (2.35, 48.85)
+    assert tracking.heading_of(90.0, 10.0, None, here) == 90.0 and tracking.heading_of(None, 10.0, (2.0, 48.0), here) == 10.0 and tracking.heading_of(float("nan"), None, None, here) is None
+    assert abs(tracking.heading_of(None, None, (2.349, 48.85), here) - 90) < 1e-6
     assert [route.announcement(x, said) for x in (0.0, 21.0, 30.0, 185.0, 186.0, 150.0)] == [None, 180, None, None, None, None]  # the farthest threshold reached counts, as in the guidance that this follows
 
 
-@pytest.mark.parametrize("name", ["segment_index_at", "st1_st3_tracking", "st_windowed_events", "sp1_time_dependent_routes"])
+@pytest.mark.parametrize("name", ["segment_index_at", "st1_st5_tracking", "st_windowed_events", "m3_local_time"])
 def test_queries_run(spark, name):
     from lightwalk.plans import catalog, registry, skies  # noqa: F401 the modules register their queries
 

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import datetime
 import random
+from zoneinfo import ZoneInfo
 
+import pytest
 from pyspark.sql import functions as F
 
+from lightwalk.functions import astro
 from lightwalk.operators import raster
 from lightwalk.plans import streets
+from lightwalk.sources import storage
 
 WAY = "way_id long, highway string, foot string, access string, service string, tunnel string, covered string, indoor string, footway string, crossing string, width string, name string, sidewalk string, line array<struct<x:double,y:double>>"
 
@@ -82,3 +87,53 @@ def test_w14_distances_equal_two_sweeps_at_any_distance(spark):
     assert {r.d for r in raster.chamfer(bare, "edge").collect()} == {None} and raster.chamfer(bare.where("false"), "edge").count() == 0
     one = raster.chamfer(cells.where(F.expr("(row, col) in ((3, 7), (9, 9))")).withColumn("edge", F.col("row") == 3), "edge")
     assert {(r.row, r.col): r.d for r in one.collect()} == {(3, 7): 0, (9, 9): 4 * 2 + 3 * 4}
+
+
+def test_m3_clock_times_become_instants_also_around_the_change(spark):
+    paris = ZoneInfo("Europe/Paris")
+    walls = [datetime.datetime(2024, m, d, h, n) for m, d in ((1, 15), (3, 30), (3, 31), (7, 1), (10, 27), (12, 31)) for h in (0, 1, 2, 3, 12, 23) for n in (0, 30, 59)]
+    seconds = [int(w.replace(tzinfo=datetime.UTC).timestamp()) for w in walls]
+    rows = spark.createDataFrame([(s,) for s in seconds], "s long").select("s", astro.local_to_utc(F.col("s"), "Europe/Paris").alias("u"), astro.offset_minutes(F.col("s"), "Europe/Paris").alias("o"))
+    offset = lambda u: datetime.datetime.fromtimestamp(u, paris).utcoffset().total_seconds() / 60
+    for r in rows.collect():
+        guess = r.s
+        for _ in range(3):
+            guess = r.s - int(offset(guess)) * 60
+        assert (r.u, r.o) == (guess, offset(r.s))
+
+
+def test_snk6_a_run_that_was_killed_goes_on_and_ends_as_an_unbroken_one(spark, tmp_path):
+    cells = spark.createDataFrame([(f"12-{k:03d}",) for k in range(10)], "cell string")
+    made: list[list[str]] = []
+
+    def compute(fail=(), die_after=None):
+        def run(some):
+            keys = sorted(r.cell for r in some.collect())
+            if die_after is not None and len(made) >= die_after:
+                raise KeyboardInterrupt
+            made.append(keys)
+            if set(keys) & set(fail):
+                raise ValueError("broken")
+            return some.select("cell", F.explode(F.sequence(F.lit(1), F.length("cell"))).alias("v"))
+
+        return run
+
+    def run(folder, date="2024-07-01", **how):
+        made.clear()
+        return storage.build_by_cell(cells, "cell", date, compute(**how), f"file://{tmp_path}/{folder}", f"file://{tmp_path}/{folder}-manifest", at_once=4)
+
+    read = lambda folder: sorted(tuple(r) for r in spark.read.schema("v int, cell string").parquet(f"{tmp_path}/{folder}").collect())
+    whole = run("whole")
+    assert {(r.cell, r.status, r.rows) for r in whole.collect()} == {(f"12-{k:03d}", "ok", 6) for k in range(10)} and [len(k) for k in made] == [4, 4, 2]
+    with pytest.raises(KeyboardInterrupt):
+        run("killed", die_after=1)
+    assert len(read("killed")) == 24
+    again = run("killed")
+    assert [len(k) for k in made] == [4, 2]  # what was done is not done again
+    assert read("killed") == read("whole") and {r.status for r in again.collect()} == {"ok"}
+    broken = {r.cell: r.status for r in run("broken", fail=("12-005",)).collect()}
+    assert [c for c, s in broken.items() if s != "ok"] == ["12-005"] and len(broken) == 10  # its companions are there
+    run("broken")
+    assert made == [["12-005"]] and read("broken") == read("whole")
+    run("whole", date="2024-07-02")
+    assert [len(k) for k in made] == [4, 4, 2] and read("killed") == read("whole")  # another day: all of them, in place of the old ones
