@@ -48,32 +48,39 @@ _CELLS = f"""
 
 
 @query(
-    "with " + _CELLS
-    + """,
+    "whole as (select 1)," + _CELLS.replace("cells_ as", "grid as")
+    + f""",
+    held as (select cast(floor((lon + 180)/360*pow(2, {ZOOM})) as bigint) as tx, cast(floor((1 - ln(tan(radians(lat)) + 1/cos(radians(lat)))/pi())/2*pow(2, {ZOOM})) as bigint) as ty, count(*) as points from points group by 1, 2),
+    cells_ as (select g.*, coalesce(points, 0) as points from grid g left join held using (tx, ty) where g.tx between (select min(tx) from held) and (select max(tx) from held) and g.ty between (select min(ty) from held) and (select max(ty) from held)),
     c as (select cell_key, x, y, row_number() over (partition by cell_key order by o) as o from (select cell_key, west as x, south as y, 1 as o from cells_ union all select cell_key, east, south, 2 from cells_ union all select cell_key, east, north, 3 from cells_ union all select cell_key, west, north, 4 from cells_)),
     e as (select a.cell_key, a.x as cx1, a.y as cy1, b.x as cx2, b.y as cy2 from c a join c b on b.cell_key = a.cell_key and b.o = a.o % 4 + 1),
     vertex as (select distinct cell_key from cells_ join ring on x between west and east and y between south and north),
     corner as (select distinct cell_key from (select cell_key, o, count(*) as n from c join sides_ on (y1 > y) <> (y2 > y) and x < (x2 - x1)*(y - y1)/(y2 - y1) + x1 group by 1, 2) where n % 2 = 1),
     crossing as (select distinct cell_key from e join sides_ on ((cx2 - cx1)*(y1 - cy1) - (cy2 - cy1)*(x1 - cx1))*((cx2 - cx1)*(y2 - cy1) - (cy2 - cy1)*(x2 - cx1)) < 0 and ((x2 - x1)*(cy1 - y1) - (y2 - y1)*(cx1 - x1))*((x2 - x1)*(cy2 - y1) - (y2 - y1)*(cx2 - x1)) < 0)
-    select cell_key, ordinal, id_base, round(west, 6) as west, round(south, 6) as south, round(east, 6) as east, round(north, 6) as north,
+    select cell_key, ordinal, id_base, points, round(west, 6) as west, round(south, 6) as south, round(east, 6) as east, round(north, 6) as north,
       west <= (select max(x) from ring) and east >= (select min(x) from ring) and south <= (select max(y) from ring) and north >= (select min(y) from ring) as overlaps, cell_key in (from vertex) as vertex_inside, cell_key in (from corner) as corner_inside, cell_key in (from crossing) as crossed,
       cell_key in (from vertex) or cell_key in (from corner) or cell_key in (from crossing) as touches from cells_
-    """
+    """,
+    "points",
 )
 def g2_g3_f4_f5_f7_f8_cells_of_region(spark, sf_dir):
-    """Which cells of a grid a region touches: a vertex of its ring in the cell, a corner of the cell in the ring, or crossing edges."""
+    """Which cells of the points' box a region touches, and how many points each holds: a vertex of its ring in the cell, a corner of the cell in the ring, or crossing edges."""
     point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
     ring = F.array(*[point(F.lit(x), F.lit(y)) for x, y in REGION])
     c = {k: F.col(k) for k in ("west", "south", "east", "north")}
     corners = F.array(point(c["west"], c["south"]), point(c["east"], c["south"]), point(c["east"], c["north"]), point(c["west"], c["north"]), point(c["west"], c["south"]))
     edges = lambda r: F.zip_with(F.slice(r, F.lit(1), F.size(r) - 1), F.slice(r, F.lit(2), F.size(r) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     xs, ys = [x for x, _ in REGION], [y for _, y in REGION]
-    box = region_cells(spark).withColumns({"ring": ring, "corners": corners})
+    z, p = F.lit(ZOOM), adapters.points(spark, sf_dir)
+    held = p.groupBy(geo.tile_x(F.col("lon"), z).alias("tx"), geo.tile_y(F.col("lat"), z).alias("ty")).agg(F.count("*").alias("points"))
+    bounds = F.broadcast(held.agg(*[f(c).alias(n) for n, f, c in (("x0", F.min, "tx"), ("x1", F.max, "tx"), ("y0", F.min, "ty"), ("y1", F.max, "ty"))]))  # one row
+    within = region_cells(spark).crossJoin(bounds).where("tx between x0 and x1 and ty between y0 and y1").join(held, ["tx", "ty"], "left")
+    box = within.withColumn("points", F.coalesce("points", F.lit(0)).cast("long")).withColumns({"ring": ring, "corners": corners})
     told = box.withColumns({
         "overlaps": (c["west"] <= max(xs)) & (c["east"] >= min(xs)) & (c["south"] <= max(ys)) & (c["north"] >= min(ys)), "vertex_inside": F.exists("ring", lambda p: p.x.between(c["west"], c["east"]) & p.y.between(c["south"], c["north"])),
         "corner_inside": F.exists("corners", lambda p: spatial.in_ring(p.x, p.y, F.col("ring"))), "crossed": F.exists(edges(F.col("ring")), lambda e: F.exists(edges(F.col("corners")), lambda k: spatial.edges_cross(e, k))),
     })
-    return told.select("cell_key", "ordinal", "id_base", *[r6(v).alias(k) for k, v in c.items()], "overlaps", "vertex_inside", "corner_inside", "crossed", (F.col("vertex_inside") | F.col("corner_inside") | F.col("crossed")).alias("touches"))
+    return told.select("cell_key", "ordinal", "id_base", "points", *[r6(v).alias(k) for k, v in c.items()], "overlaps", "vertex_inside", "corner_inside", "crossed", (F.col("vertex_inside") | F.col("corner_inside") | F.col("crossed")).alias("touches"))
 
 
 @query(

@@ -95,37 +95,37 @@ def q3_day_profile(spark, sf_dir):
 
 
 _SUN = """
-    n as (select *, (1719792000 + minutes*60)/86400E0 + 2440587.5E0 - 2451545.0E0 as n from st),
+    n as (select *, (epoch(day) + minutes*60)/86400E0 + 2440587.5E0 - 2451545.0E0 as n from st),
     l as (select *, radians(280.46E0 + 0.9856474E0*n) + radians(1.915E0*sin(radians(357.528E0 + 0.9856003E0*n)) + 0.02E0*sin(2*radians(357.528E0 + 0.9856003E0*n))) as lam, radians(23.439E0 - 0.0000004E0*n) as eps, radians(((18.697374558E0 + 24.06570982441908E0*n) % 24)*15 + 2.3522E0) as lst, radians(48.8566E0) as phi from n),
     h as (select *, asin(sin(eps)*sin(lam)) as dec, lst - atan2(cos(eps)*sin(lam), cos(lam)) as ha from l),
-    s as (select step, minutes, degrees(asin(sin(phi)*sin(dec) + cos(phi)*cos(dec)*cos(ha))) as altitude, degrees((atan2(-sin(ha)*cos(dec), sin(dec)*cos(phi) - cos(dec)*sin(phi)*cos(ha)) + 2*pi()) % (2*pi())) as azimuth from h)
+    s as (select day, step, minutes, degrees(asin(sin(phi)*sin(dec) + cos(phi)*cos(dec)*cos(ha))) as altitude, degrees((atan2(-sin(ha)*cos(dec), sin(dec)*cos(phi) - cos(dec)*sin(phi)*cos(ha)) + 2*pi()) % (2*pi())) as azimuth from h)
 """
 
 
 @query(
-    "with st as (select cast(i as int) as step, cast(300 + i*15 as int) as minutes from (select unnest(range(69)) as i))," + _SUN
+    "with st as (select day, cast(i as int) as step, cast(300 + i*15 as int) as minutes from (select distinct cast(ts as date) as day from events), (select unnest(range(69)) as i))," + _SUN
     + """
     , g as (select *, cast(floor(round(azimuth, 6) + 0.5E0) as bigint) as za, cast(floor(round(altitude, 6) + 0.5E0) as bigint) as al, least(1, altitude/3)*(1 - 0.55E0*0.25E0) as strength, greatest(0E0, least(1E0, altitude/45)) as warmth from s)
-    select step, minutes, lpad(cast(minutes // 60 as varchar), 2, '0') || ':' || lpad(cast(minutes % 60 as varchar), 2, '0') as clock, round(altitude, 5) as altitude, round(azimuth, 5) as azimuth, altitude = max(altitude) over () as noon,
+    select day, step, minutes, lpad(cast(minutes // 60 as varchar), 2, '0') || ':' || lpad(cast(minutes % 60 as varchar), 2, '0') as clock, round(altitude, 5) as altitude, round(azimuth, 5) as azimuth, altitude = max(altitude) over (partition by day) as noon,
       za is distinct from lag(za) over o or al is distinct from lag(al) over o as relit, case when altitude <= 0 then 0 else round(strength, 4) end as ring, cast(floor(round(138 + 112*warmth, 6) + 0.5E0) as bigint) as green, cast(floor(round(43 + 197*warmth, 6) + 0.5E0) as bigint) as blue,
       round(0.3E0*pow(0.75E0, 2.5E0)*least(1E0, sin(radians(altitude))*6), 4) as veil, case when altitude <= 0 then 0 else round(8.5E0*pow(sin(radians(altitude)), 1.4E0), 4) end as uv
-    from g window o as (order by step)
+    from g window o as (partition by day order by step)
     """
 )
 def m15_m16_a28_q6_q7_day_of_sun(spark, sf_dir):
-    """The steps of the day with the sun over the city: the highest one is solar noon; light is set anew when a rounded angle changes; strengths of the sun's ring and of shadows; UV by height alone."""
-    steps = spark.range(69).select(F.col("id").cast("int").alias("step"), (F.col("id") * 15 + 300).cast("int").alias("minutes"))
-    altitude, azimuth = astro.sun_position(F.col("minutes") * 60000.0 + float(skies.MIDNIGHT), F.lit(48.8566), F.lit(2.3522))
+    """The steps of each day of the table with the sun over the city: the highest one is solar noon; light is set anew when a rounded angle changes; strengths of the sun's ring and of shadows; UV by height alone."""
+    days = table(spark, sf_dir, "events").select(F.to_date("ts").alias("day")).distinct()
+    steps = days.select("day", F.explode(F.sequence(F.lit(0), F.lit(68))).alias("step")).withColumn("minutes", F.col("step") * 15 + 300)
+    altitude, azimuth = astro.sun_position(F.unix_date("day") * 86400000.0 + F.col("minutes") * 60000.0, F.lit(48.8566), F.lit(2.3522))
     s = steps.withColumns({"altitude": F.degrees(altitude), "azimuth": F.degrees(azimuth)})
-    highest = F.broadcast(s.agg(F.max("altitude").alias("highest")))  # one row
     angle = lambda c: half_up(F.round(c, 6))
-    o = Window.orderBy("step")  # the steps of one day
+    o, highest = Window.partitionBy("day").orderBy("step"), F.max("altitude").over(Window.partitionBy("day"))  # the steps of one day
     relit = ~angle(F.col("azimuth")).eqNullSafe(F.lag(angle(F.col("azimuth"))).over(o)) | ~angle(F.col("altitude")).eqNullSafe(F.lag(angle(F.col("altitude"))).over(o))
     up, cloud = F.col("altitude") > 0, F.lit(0.25)
     warmth = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("altitude") / 45))
     high = F.sin(F.radians("altitude"))
-    return s.crossJoin(highest).select(
-        "step", "minutes", words.clock(F.col("minutes")).alias("clock"), F.round("altitude", 5).alias("altitude"), F.round("azimuth", 5).alias("azimuth"), (F.col("altitude") == F.col("highest")).alias("noon"), relit.alias("relit"),
+    return s.select(
+        "day", "step", "minutes", words.clock(F.col("minutes")).alias("clock"), F.round("altitude", 5).alias("altitude"), F.round("azimuth", 5).alias("azimuth"), (F.col("altitude") == highest).alias("noon"), relit.alias("relit"),
         F.when(up, F.round(F.least(F.lit(1.0), F.col("altitude") / 3) * (1 - cloud * 0.55), 4)).otherwise(0.0).alias("ring"), angle(warmth * 112 + 138).alias("green"), angle(warmth * 197 + 43).alias("blue"),
         F.round(F.pow(1 - cloud, F.lit(2.5)) * 0.3 * F.least(F.lit(1.0), high * 6), 4).alias("veil"), F.when(up, F.round(exposure.uv_fallback(F.radians("altitude")), 4)).otherwise(0.0).alias("uv"),
     )

@@ -12,13 +12,12 @@ from ..sources import adapters
 from ..sources.storage import materialize, spread
 from .registry import query, r6
 
-#: Altitude and azimuth in degrees, and clearness: one instant for each pair of neighbouring sky types.
-INSTANTS = [(5, 90, 1.05), (16, 120, 1.2), (27, 150, 1.5), (38, 180, 2.0), (49, 210, 3.0), (60, 240, 4.5), (-3, 270, 6.5)]
 
 
-def instants(spark):
-    rows = [(k, math.radians(a), math.radians(z), e) for k, (a, z, e) in enumerate(INSTANTS)]
-    return spark.createDataFrame(rows, "instant int, altitude double, azimuth double, epsilon double")
+def instants(spark, sf_dir):
+    """Eight parts of the day; height of the sun (some below the horizon) and clearness, over all sky types, by how many events they have."""
+    n = adapters.table(spark, sf_dir, "events").groupBy(F.floor(F.hour("ts") / 3).cast("int").alias("instant")).agg(F.count("*").alias("n"))
+    return n.select("instant", F.radians(F.col("n") * 7 % 64 - 3.0).alias("altitude"), F.radians(F.col("instant") * 45.0).alias("azimuth"), (F.col("n") % 600 / F.lit(100.0) + 1.05).alias("epsilon"))
 
 
 _SKY_SQL = (
@@ -38,12 +37,12 @@ _SKY_SQL = (
     above as (select instant, kind, sector, band, sum(v) over (partition by instant, kind, sector order by band desc) as v from bands union all select distinct instant, kind, sector, case kind when 'sky' then 45 else 30 end, 0E0 from bands)
     """
 )
-_INSTANTS_SQL = "instants as (select * from (values " + ", ".join(f"({k}, radians({a}E0), radians({z}E0), {e}E0)" for k, (a, z, e) in enumerate(INSTANTS)) + ") v(instant, altitude, azimuth, epsilon)), "
+_INSTANTS_SQL = "instants as (select instant, radians(n*7 % 64 - 3E0) as altitude, radians(instant*45E0) as azimuth, 1.05E0 + n % 600/100E0 as epsilon from (select cast(extract(hour from ts) as int) // 3 as instant, count(*) as n from events group by 1)), "
 
 
 @query("with " + _INSTANTS_SQL + _SKY_SQL + "select cast(instant as int) as instant, kind, cast(sector as int) as sector, cast(band as int) as band, round(v, 7) as above from above")
 def m9_m12_sky_tables(spark, sf_dir):
-    made = sky.tables(instants(spark))
+    made = sky.tables(instants(spark, sf_dir))
     one = lambda kind: made.select("instant", F.lit(kind).alias("kind"), F.posexplode(kind).alias("sector", "t")).select("instant", "kind", "sector", F.posexplode("t").alias("band", "above"))
     return one("sky").unionByName(one("wall")).select("instant", "kind", "sector", "band", F.round("above", 7).alias("above"))
 
@@ -59,7 +58,7 @@ def m9_m12_sky_tables(spark, sf_dir):
     "sides",
 )
 def m13_m14_m22_sky_reach(spark, sf_dir):
-    made = F.broadcast(sky.tables(instants(spark)).select("instant", "sky"))  # a row for each instant
+    made = F.broadcast(sky.tables(instants(spark, sf_dir)).select("instant", "sky"))  # a row for each instant
     met = adapters.sides(spark, sf_dir).crossJoin(made)
     reach = sky.factor(F.col("sky"), F.col("horizon"))
     return met.select("segment_id", "instant", r6(reach).alias("factor"), r6(sky.geometric_view(F.col("horizon"))).alias("geometric"), r6(F.coalesce(reach, F.col("svf") / 100.0)).alias("reach"))
