@@ -13,7 +13,7 @@ from ..sources.adapters import table
 from . import skies
 from .registry import query, r6
 
-_INDEX = skies._FLAGSHIP + f", i as (select segment_id, side, instant, cast(least(100, greatest(0, floor(round({skies._SCORE}, 6) + 0.5E0))) as int) as index, sun_, glare, flick, reverb from e8) "
+_INDEX = skies.flagship_sql(skies.CONTEXTS) + f", i as (select segment_id, side, instant, cast(least(100, greatest(0, floor(round({skies._SCORE}, 6) + 0.5E0))) as int) as index, sun_, glare, flick, reverb from e8) "
 
 
 def indexed(spark, sf_dir):
@@ -86,9 +86,12 @@ def f16_f17_f18_shown_values(spark, sf_dir):
     return shown.withColumn("repaint", changed("left_value") | changed("right_value"))
 
 
-@query()
+@query(
+    skies.flagship_sql(skies.STEPS) + f" select segment_id, side, cast(instant as int) as step, cast(least(100, greatest(0, floor(round({skies._SCORE}, 6) + 0.5E0))) as int) as index from e8",
+    "sides",
+)
 def q3_day_profile(spark, sf_dir):
-    """The index of both sides at every step of the day (no SQL: 69 sky tables; its parts are those of the index at five instants)."""
+    """The index of both sides at every step of the day."""
     parts = skies.evaluated(adapters.sides(spark, sf_dir), skies.contexts(spark, skies.STEPS))
     value = exposure.index({k: F.col(k) for k in (*exposure.WEIGHTS, "night", "night_share")})
     return parts.select("segment_id", "side", F.col("instant").alias("step"), value.alias("index"))

@@ -120,7 +120,7 @@ def evaluated(sides, contexts, sent=500):
 
 _FLAGSHIP = (
     "raw as (select * from (values "
-    + ", ".join(f"({k}, {m}, {c}E0, {r}E0, {'null' if h is None else f'radians({h}E0)'}, {'null' if b is None else f'{b}E0'}, {'null' if d is None else f'{d}E0'})" for k, (m, c, r, h, b, d) in enumerate(CONTEXTS))
+    + "{values}"
     + """) v(instant, minutes, cloud, rain, heading, beam, spread)),
     s1 as (select *, (1719792000 + minutes*60)/86400E0 + 2440587.5E0 - 2451545.0E0 as n from raw),
     s2 as (select *, radians(280.46E0 + 0.9856474E0*n) + radians(1.915E0*sin(radians(357.528E0 + 0.9856003E0*n)) + 0.02E0*sin(2*radians(357.528E0 + 0.9856003E0*n))) as lam, radians(23.439E0 - 0.0000004E0*n) as eps, radians(((18.697374558E0 + 24.06570982441908E0*n) % 24)*15 + 2.3522E0) as lst, radians(48.8566E0) as phi from s1),
@@ -169,11 +169,18 @@ def _piecewise_sql(x: str, table: list) -> str:
 _FLAGSHIP = _FLAGSHIP.replace("{ratio_beam}", _piecewise_sql("beamk", exposure.DAYLIGHT_MELANOPIC)).replace("{ratio_sky}", _piecewise_sql("skyk", exposure.DAYLIGHT_MELANOPIC)).replace("{peak!r}", repr(exposure.GLARE_PEAK))
 
 
+def flagship_sql(instants) -> str:
+    """The parts of the index (e8) at these instants, in the order of their fields."""
+    told = lambda v, form: "null" if v is None else form.format(v)
+    rows = [f"({k}, {m}, {c}E0, {r}E0, {told(h, 'radians({}E0)')}, {told(b, '{}E0')}, {told(d, '{}E0')})" for k, (m, c, r, h, b, d) in enumerate(instants)]
+    return _FLAGSHIP.replace("{values}", ", ".join(rows))
+
+
 _SCORE = "100*((0.34E0*sun_ + 0.18E0*sky_ + 0.16E0*bright + 0.14E0*reverb + 0.1E0*glare + 0.08E0*flick)*(1 - dark) + night*dark)"
 
 
 @query(
-    _FLAGSHIP
+    flagship_sql(CONTEXTS)
     + "select segment_id, side, cast(instant as int) as instant, round(sun_, 5) as sun, round(sky_, 5) as sky, round(bright, 5) as bright, round(reverb, 5) as reverb, round(glare, 5) as glare, round(flick, 5) as flicker, "
     + f"round({_SCORE}, 3) as score from e8",
     "sides",
@@ -185,7 +192,7 @@ def m21_m32_j15_components(spark, sf_dir):
 
 
 @query(
-    _FLAGSHIP
+    flagship_sql(CONTEXTS)
     + f", i as (select segment_id, side, cast(instant as int) as instant, cast(least(100, greatest(0, floor(round({_SCORE}, 6) + 0.5E0))) as int) as index from e8) "
     + "select *, case when index >= 100 then 'Plein soleil' when index >= 80 then 'Très exposé' when index >= 60 then 'Exposé' when index >= 40 then 'Modéré' when index >= 20 then 'Ombragé' else 'Abrité' end as level from i",
     "sides",
