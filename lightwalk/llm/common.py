@@ -58,6 +58,16 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_names(docs: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many marks before it as no column of ``docs`` has."""
+    taken, found = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        found.append(name)
+    return found
+
+
 def slots(spark: SparkSession) -> int:
     """Tasks worth starting at once."""
     return max(2, spark.sparkContext.defaultParallelism)

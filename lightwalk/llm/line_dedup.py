@@ -218,12 +218,13 @@ class LineDedup:
     def _joined(self, docs: DataFrame, counts: tuple[str, str]) -> DataFrame:
         """The way without a bound on what is frequent: (row, key) pairs meet the table, and go back to their rows."""
         # Row numbers must not change between reads, so that they are written first.
-        rows = common.materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "line-rows")
+        row, dropped = common.free_names(docs, "row", "gone")
+        rows = common.materialize(docs.withColumn(row, F.monotonically_increasing_id()), "line-rows")
         key = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.unhex(F.substring(F.sha2(F.translate(F.btrim(x, F.lit(BLANKS)), UPPER, LOWER), 256), 1, 32)))
-        pairs = rows.select("__row", F.explode(F.array_distinct(key)).alias("key"))
-        gone = pairs.join(self.frequent(), "key", "left_semi").groupBy("__row").agg(F.collect_list("key").alias("__gone"))
-        joined = rows.join(gone, "__row", "left").drop("__row")
-        return joined.mapInArrow(_dropping(None, self.shards, counts), _rewritten(docs, counts))
+        pairs = rows.select(F.col(row).alias("r"), F.explode(F.array_distinct(key)).alias("key"))
+        gone = pairs.join(self.frequent(), "key", "left_semi").groupBy(F.col("r").alias(row)).agg(F.collect_list("key").alias(dropped))
+        joined = rows.join(gone, row, "left").drop(row)
+        return joined.mapInArrow(_dropping(None, self.shards, counts, dropped), _rewritten(docs, counts))
 
 
 def _rewritten(docs: DataFrame, counts: tuple[str, str]):
@@ -265,7 +266,9 @@ def _held(known, shards: int):
     return run
 
 
-def _dropping(known, shards: int, counts: tuple[str, str]):
+def _dropping(known, shards: int, counts: tuple[str, str], dropped: str | None = None):
+    """Texts without their frequent lines: those that the filters hold, or those that the column ``dropped`` names."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if known is not None:
             filters, wrong = known.value
@@ -276,9 +279,9 @@ def _dropping(known, shards: int, counts: tuple[str, str]):
                 gone = _probe(list({key for lines in docs for _, key in lines if key}), loaded, wrong, shards)
                 each = [gone] * len(docs)
             else:
-                each = [set(x or ()) for x in batch["__gone"].to_pylist()]
+                each = [set(x or ()) for x in batch[dropped].to_pylist()]
             kept = [[line for line, key in lines if key not in gone] for lines, gone in zip(docs, each, strict=True)]
-            out = {name: batch[name] for name in batch.schema.names if name not in ("__gone", *counts)}
+            out = {name: batch[name] for name in batch.schema.names if name not in (dropped, *counts)}
             out["text"] = pa.array(["\n".join(x) for x in kept], pa.string())
             out[counts[0]] = pa.array([len(x) for x in docs], pa.int64())
             out[counts[1]] = pa.array([len(x) - len(y) for x, y in zip(docs, kept, strict=True)], pa.int64())
