@@ -28,29 +28,31 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents that the compression classifier does not reject (score of 0.3 or more)."""
     labelled = common.table(spark, sf_dir, "documents")
     model = quality.fitted(labelled, common.table(spark, sf_dir, "labels"))
-    return _like(model.score(docs, "__score").where(F.col("__score") >= quality.CUT), docs)
+    (score,) = common.free_names(docs, "score")
+    return _like(model.score(docs, score).where(F.col(score) >= quality.CUT), docs)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that ten or more documents have."""
-    found = line_dedup.LineDedup.build(docs, threshold=10).rewrite(docs, counts=("__lines", "__dropped"))
+    found = line_dedup.LineDedup.build(docs, threshold=10).rewrite(docs, counts=tuple(common.free_names(docs, "lines", "dropped")))
     return _like(found.withColumn("n_chars", F.length("text").cast("long")), docs)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates, with the smallest doc_id."""
-    numbered = common.materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    classes = simhash.classes(numbered.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"), "component_id")
-    ids = numbered.select(F.col("doc_id").cast("long").alias("id"), "__row").join(classes, "__row")
-    kept = ids.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "__row")).alias("first")).select("first.__row")
-    return _like(numbered.join(kept, "__row", "left_semi"), docs)
+    (row,) = common.free_names(docs, "row")
+    numbered = common.materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    classes = simhash.classes(numbered.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias(row), "component_id")
+    ids = numbered.select(F.col("doc_id").cast("long").alias("id"), row).join(classes, row)
+    kept = ids.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", row)).alias("first")).select(f"first.{row}")
+    return _like(numbered.join(kept, row, "left_semi"), docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth is benchmark text."""
-    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("__row"))
-    found = decontaminate.find(rows, common.table(spark, sf_dir, "benchmark"), row="__row")
-    return found.where(~decontaminate.contaminated()).select("__row.*")
+    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("whole_row"))
+    found = decontaminate.find(rows, common.table(spark, sf_dir, "benchmark"), row="whole_row")
+    return found.where(~decontaminate.contaminated()).select("whole_row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
