@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.num import half_up
+from . import rays
 
 
 @dataclass(frozen=True)
@@ -108,46 +108,37 @@ def _steps(points: DataFrame, grid: Grid, dx: Column, dy: Column, step: float, c
     return placed.where(grid.inside(F.col("row"), F.col("col")))
 
 
-def sun_transmission(points: DataFrame, surface: DataFrame, grid: Grid, azimuth: float, altitude: float, highest: float, far: float = 450.0) -> DataFrame:
+def sun_transmission(points: DataFrame, surface: DataFrame, grid: Grid, azimuth: float, altitude: float, highest: float | None = None, far: float = 450.0) -> DataFrame:
     """(key, transmission, blocker) of points (key, x, y, eye): a ray towards the sun is cut by a surface above it and dimmed by foliage it crosses.
 
-    Rays become rows, as many as it takes to rise above ``highest``, and meet the cells in an equi-join.
+    Rays are walked in tiles and end above what their tile holds; ``highest`` is taken for callers that know what nothing stands above.
     """
     if altitude <= 0:
         return points.select("key", F.lit(0.0).alias("transmission"), F.lit("sky").alias("blocker"))
-    step = grid.res * 0.8
-    rise = math.tan(altitude) * step
-    count = F.least(F.floor(F.lit(far / step)), F.floor((F.lit(highest) - F.col("eye")) / rise))
-    met = _steps(points, grid, F.lit(math.sin(azimuth) * step), F.lit(math.cos(azimuth) * step), step, count).join(surface, ["row", "col"])
-    ray = F.col("eye") + F.col("k") * rise
-    through = (F.col("canopy_top") > ray) & (F.col("canopy_base") < ray)
-    # Foliage adds up in whole millionths, so that the sum does not depend on the order.
-    depth = F.sum(F.when(through, F.round(F.col("canopy_k") * step * 1e6)).otherwise(0).cast("long")) / 1e6
-    seen = met.groupBy("key").agg(F.max((F.col("surface") > ray).cast("int")).alias("cut"), depth.alias("depth"))
-    shine = F.when(F.col("cut") == 1, 0.0).otherwise(F.exp(-F.coalesce("depth", F.lit(0.0))))
-    blocker = F.when(F.col("cut") == 1, "surface").when(shine < 0.98, "canopy").otherwise("sky")
-    return points.select("key").join(seen, "key", "left").select("key", shine.alias("transmission"), blocker.alias("blocker"))
+    seen = rays.sunlit(points, surface, grid, [rays.Sun(azimuth, altitude)], far)
+    shine = transmitted(F.col("cut")[0], F.col("depth")[0])
+    blocker = F.when(F.col("cut")[0], "surface").when(shine < 0.98, "canopy").otherwise("sky")
+    return seen.select("key", shine.alias("transmission"), blocker.alias("blocker"))
+
+
+def transmitted(cut: Column, depth: Column) -> Column:
+    """The share of light that comes through foliage (in millionths), none past a surface."""
+    return F.when(cut, 0.0).otherwise(F.exp(-(depth / 1e6)))
 
 
 def sky_view(points: DataFrame, surface: DataFrame, grid: Grid, azimuths: int = 32, radius: float = 150.0, bins: int = 32) -> DataFrame:
     """(key, svf, built, canopy, horizon) of points (key, x, y, eye): the highest angle of buildings, and of buildings and trees, in each direction."""
-    angle = F.col("a") * (2 * math.pi / azimuths)
-    fan = points.withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(azimuths - 1))))
-    met = _steps(fan, grid, F.sin(angle) * grid.res, F.cos(angle) * grid.res, grid.res, F.lit(int(radius // grid.res))).join(surface, ["row", "col"])
-    d = F.col("k") * grid.res
-    up = lambda c: F.max(F.greatest(F.lit(0.0), (F.col(c) - F.col("eye")) / d))
-    leaf = F.sum(F.when(F.col("canopy_top") > F.col("eye"), F.round(F.col("canopy_k") * grid.res * 1e6)).otherwise(0).cast("long"))
-    each = met.groupBy("key", "a").agg(up("surface").alias("tb"), up("canopy_top").alias("tc"), leaf.alias("leaf"))
-    every = fan.select("key", "a").join(each, ["key", "a"], "left").na.fill(0)
-    cos2 = lambda t: 1 / (1 + t * t)  # noqa: E731 the square of the cosine of an angle with tangent t
-    per = every.select("key", "a", "leaf", cos2(F.col("tb")).alias("b"), cos2(F.greatest("tb", "tc")).alias("all"), F.degrees(F.atan("tb")).alias("h"))
-    sums = per.groupBy("key").agg(F.sum(F.round(F.col("b") * 1e9).cast("long")).alias("b"), F.sum(F.round(F.col("all") * 1e9).cast("long")).alias("all"), F.sum("leaf").alias("leaf"))
-    built, both = F.col("b") / (1e9 * azimuths), F.col("all") / (1e9 * azimuths)
+    seen = rays.skyline(points, surface, grid, azimuths, radius).withColumnsRenamed({"built": "tb", "green": "tc"})
+    total = lambda c, f: F.aggregate(F.transform(c, f), F.lit(0).cast("long"), lambda a, x: a + x)
+    cos2 = lambda t: F.round(1 / (1 + t * t) * 1e9).cast("long")  # noqa: E731 the square of the cosine of an angle with tangent t, in billionths: sums do not depend on the order
+    both = F.zip_with("tb", "tc", lambda b, c: F.greatest(b, c))
+    sums = seen.select("key", "tb", total(F.col("tb"), cos2).alias("b"), total(both, cos2).alias("all"), total(F.col("leaf"), lambda x: x).alias("leaf"))
+    b, every = F.col("b") / (1e9 * azimuths), F.col("all") / (1e9 * azimuths)
     opacity = 1 - F.exp(-F.col("leaf") / (1e6 * azimuths))
-    binned = per.groupBy("key", F.floor(F.col("a") * bins / azimuths).cast("int").alias("i")).agg(F.avg("h").alias("h"))
-    horizon = binned.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "h"))), lambda x: x.h).alias("horizon"))
-    found = sums.select("key", (built - (built - both) * opacity).alias("svf"), built.alias("built"), F.greatest(F.lit(0.0), built - both).alias("canopy"))
-    return found.join(horizon, "key")
+    of_bin = [[a for a in range(azimuths) if a * bins // azimuths == i] for i in range(bins)]
+    mean = lambda own: sum((F.degrees(F.atan(F.col("tb")[a])) for a in own[1:]), F.degrees(F.atan(F.col("tb")[own[0]]))) / len(own)
+    horizon = F.array(*[mean(own) for own in of_bin if own])
+    return sums.select("key", (b - (b - every) * opacity).alias("svf"), b.alias("built"), F.greatest(F.lit(0.0), b - every).alias("canopy"), horizon.alias("horizon"))
 
 
 def facade_distance(points: DataFrame, surface: DataFrame, grid: Grid, reach: float = 40.0) -> DataFrame:

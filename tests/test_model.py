@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from lightwalk.functions import astro, exposure, geo
 from lightwalk.functions import tags, words
 from lightwalk.functions.num import half_up, quantiles
-from lightwalk.operators import graph, raster, series, sky, spatial
+from lightwalk.operators import graph, raster, rays, series, sky, spatial
 from lightwalk.sources import storage
 from lightwalk.streaming import tracking
 
@@ -255,3 +256,36 @@ def test_short_lines_are_sampled_in_their_middle(spark):
     line = spark.createDataFrame([(1, 1, 0.0, 0.0, 1.0, 0.0)], "id int, seq int, x1 double, y1 double, x2 double, y2 double")
     r = series.resampled(line, "id", 4.0).first()
     assert (r.x, r.y, r.dx, r.dy) == (0.5, 0.0, 1.0, 0.0)
+
+
+def test_rays_in_small_tiles_equal_a_walk_over_the_whole_grid(spark):
+    rng, grid = random.Random(7), raster.Grid(2.0, 40, 30)
+    cells = {(r, c): (float(rng.randrange(3)), float(rng.choice([0, 0, 0, 6, 15])), float(rng.choice([0, 0, 9]))) for r in range(30) for c in range(40) if rng.random() < 0.95}
+    rows = [(r, c, g, g + h, g + t if t else 0.0, g + 2.0 if t else 0.0, 0.2 if t else 0.0) for (r, c), (g, h, t) in cells.items()]
+    surface = spark.createDataFrame(rows, "row int, col int, ground double, surface double, canopy_top double, canopy_base double, canopy_k double")
+    # A third of the points in one place, some outside of the grid.
+    places = [(i, rng.uniform(-4, 84), rng.uniform(-4, 64), 1.6) for i in range(60)] + [(100 + i, 41.3, 22.7, 1.6) for i in range(30)]
+    points = spark.createDataFrame(places, "key int, x double, y double, eye double")
+    suns = [rays.Sun(0.7, 0.2), rays.Sun(3.9, 0.6), rays.Sun(2.0, 0.3, 1.35), rays.Sun(1.0, -0.1)]
+
+    def cast(x, y, eye, sun):
+        if sun.altitude <= 0:
+            return True, 0
+        depth, rise = 0, math.tan(sun.altitude) * 1.6
+        for k in range(1, int(30 // 1.6) + 1):
+            row, col = int((y + math.cos(sun.azimuth) * 1.6 * k) / 2), int((x + math.sin(sun.azimuth) * 1.6 * k) / 2)
+            g, h, t = cells.get((row, col), (0.0, -99.0, 0.0))
+            if g + h * sun.scale > eye + k * rise:
+                return True, 0
+            depth += 320000 if t and g + t > eye + k * rise > g + 2 else 0
+        return False, depth
+
+    found = rays.sunlit(points, surface, grid, suns, 30.0, tile=8, at_once=5)
+    got = {r.key: [(c, 0 if c else d) for c, d in zip(r.cut, r.depth, strict=True)] for r in found.collect()}
+    assert got == {key: [cast(x, y, eye, s) for s in suns] for key, x, y, eye in places}
+    assert len({t for c in got.values() for t in c}) > 4
+    whole = {r.key: r for r in rays.skyline(points, surface, grid, 8, 20.0).collect()}
+    assert {r.key: r for r in rays.skyline(points, surface, grid, 8, 20.0, tile=5, at_once=7).collect()} == whole
+    assert max(whole[0].built + whole[1].built) > 0
+    assert rays.sunlit(points.where("false"), surface, grid, suns).count() == 0
+    assert {tuple(r.cut) for r in rays.sunlit(points, surface.where("false"), grid, suns).collect()} == {(False, False, False, True)}
