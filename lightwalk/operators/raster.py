@@ -149,3 +149,52 @@ def facade_distance(points: DataFrame, surface: DataFrame, grid: Grid, reach: fl
     met = _steps(based, grid, F.col("nx") * grid.res, F.col("ny") * grid.res, grid.res, F.lit(count)).join(surface, ["row", "col"]).where(F.col("surface") > F.col("own") + 2)
     first = met.groupBy("key").agg((F.min("k") * grid.res).alias("distance"))
     return points.select("key").join(first, "key", "left").select("key", F.coalesce("distance", F.lit(reach)).alias("distance"))
+
+
+def widened(mask: DataFrame, grid: Grid, metres: float) -> DataFrame:
+    """Cells (row, col) within a square of ``round(metres / res)`` cells around those of ``mask``, on the grid."""
+    n = int(metres / grid.res + 0.5)
+    rows = mask.select("col", F.explode(F.sequence(F.col("row") - n, F.col("row") + n)).alias("row")).distinct()
+    wide = rows.select("row", F.explode(F.sequence(F.col("col") - n, F.col("col") + n)).alias("col")).distinct()
+    return wide.where(grid.inside(F.col("row"), F.col("col")))
+
+
+def measured_or_drawn(scan: DataFrame, drawn: DataFrame, built: DataFrame, side: int, probe: int = 64, least: float = 0.02, whole: float = 0.999, leaf: float = 0.265) -> DataFrame:
+    """The surface of each block of ``side`` by ``side`` cells: as measured where a scan covers it, as drawn from vectors where it does not.
+
+    ``scan``: (row, col, top, above), the height of what was hit and how far that is above the ground; null or no row where
+    nothing was measured. ``drawn``: (row, col, ground, surface, canopy_top, canopy_base, canopy_k), which is also the frame.
+    ``built``: (row, col), the widened outlines of buildings: what rises half a metre there is a building, elsewhere a crown.
+    A probe of at most ``probe`` by ``probe`` cells of a block is looked at first; a block of which the probe or the whole has
+    less than ``least`` measured is drawn ("vectors"). The gaps of one below ``whole`` are filled as drawn ("both"); above
+    that nothing is filled, and a gap has neither ground nor anything on it ("measured"). Adds ``model`` and ``coverage``
+    (of the probe, where that decided).
+    """
+    block = lambda c: F.floor(F.col(c) / side).cast("int").alias("b" + c)
+    n = min(side, probe)
+    sampled = F.array(*[F.lit(int((i + 0.5) * side / n)) for i in range(n)])
+    in_probe = F.array_contains(sampled, F.pmod("row", F.lit(side))) & F.array_contains(sampled, F.pmod("col", F.lit(side)))
+    count = lambda c: F.count(c).alias("n_" + c)
+    frame = drawn.groupBy(block("row"), block("col")).agg(F.count("*").alias("cells"), F.count_if(in_probe).alias("probed"))
+    share = lambda seen, of: F.coalesce(F.least("n_top", "n_above") / F.col(of), F.lit(0.0)).alias(seen)
+    looked = scan.where(in_probe).groupBy(block("row"), block("col")).agg(count("top"), count("above"))
+    asked = frame.join(looked, ["brow", "bcol"], "left").select("brow", "bcol", "cells", share("first", "probed"))
+    # Only the scans of blocks that pass the probe are read whole.
+    at = scan.select("row", "col", "top", "above", block("row"), block("col"))
+    passed = at.join(asked.where(F.col("first") >= least).select("brow", "bcol"), ["brow", "bcol"], "left_semi")
+    counted = passed.groupBy("brow", "bcol").agg(count("top"), count("above"))
+    full = asked.join(counted, ["brow", "bcol"], "left").select("brow", "bcol", "first", share("full", "cells"))
+    coverage = F.when(F.col("first") < least, F.col("first")).otherwise(F.col("full"))
+    model = F.when(coverage < least, "vectors").when(coverage < whole, "both").otherwise("measured")
+    told = full.select("brow", "bcol", coverage.alias("coverage"), model.alias("model"))
+    met = drawn.withColumns({"brow": F.floor(F.col("row") / side).cast("int"), "bcol": F.floor(F.col("col") / side).cast("int")}).join(told, ["brow", "bcol"])
+    met = met.join(passed.select("row", "col", "top", "above"), ["row", "col"], "left").join(built.select("row", "col", F.lit(True).alias("roof")).distinct(), ["row", "col"], "left")
+    above = F.greatest(F.lit(0.0), F.col("above"))
+    floor, high, none = F.col("top") - above, above >= 0.5, F.lit(0.0)
+    seen = (F.col("model") != "vectors") & F.col("top").isNotNull() & F.col("above").isNotNull()
+    roof, crown = F.col("roof") & high, F.col("roof").isNull() & high
+    new = {
+        "ground": floor, "surface": F.when(roof, floor + above).otherwise(floor), "canopy_top": F.when(crown, floor + above).otherwise(none),
+        "canopy_base": F.when(crown, floor + above * 0.35).otherwise(none), "canopy_k": F.when(crown, leaf).otherwise(none),
+    }
+    return met.select("row", "col", *[F.when(seen, value).when(F.col("model") == "measured", none).otherwise(F.col(name)).alias(name) for name, value in new.items()], "model", "coverage")

@@ -84,6 +84,47 @@ def ra7_w16_scanned_surface(spark, sf_dir):
     )
 
 
+SIDE, PROBE = 40, 16  # cells to a side of a block of the region, and of its probe
+_SHARES = [1000, 900, 0, 12, 50, 1000]  # thousandths of a block's cells that the scan has
+
+
+def scanned(spark, sf_dir):
+    """A scan (row, col, top, above) from the values of the events of a cell; some blocks are covered, some have holes, one is empty."""
+    key = (F.col("event_id") % (GRID.width * GRID.height)).alias("key")
+    e = adapters.table(spark, sf_dir, "events").groupBy(key).agg(F.abs(F.sum(F.floor(F.col("value") * 100 + 0.5).cast("long"))).alias("cents"))
+    row, col, cents = F.floor(F.col("key") / GRID.width).cast("int"), (F.col("key") % GRID.width).cast("int"), F.col("cents")
+    block = (F.floor(row / SIDE) * (GRID.width // SIDE) + F.floor(col / SIDE)).cast("int")
+    share = F.element_at(F.array(*map(F.lit, _SHARES)), block + 1)
+    placed = e.select(row.alias("row"), col.alias("col"), (cents * 7919 % 1000 < share).alias("seen"), F.when(cents % 3 != 0, cents % 400 / 10.0).otherwise(0.0).alias("above"), (cents % 4 / 4.0).alias("bump"))
+    seen = placed.where("seen").join(adapters.ground(spark, GRID), ["row", "col"])
+    return seen.select("row", "col", (F.col("ground") + F.col("bump") + F.col("above")).alias("top"), "above")
+
+
+@query(
+    f"""
+    e as (select event_id % 9600 as key, abs(sum(cast(floor(value*100 + 0.5) as bigint))) as cents from events group by 1),
+    scan as (select c.row, c.col, case when cents % 3 <> 0 then (cents % 400)/10E0 else 0E0 end as above, c.ground + (cents % 4)/4E0 as floor_ from e join cells c on c.row = key // 120 and c.col = key % 120 where (cents*7919) % 1000 < {_SHARES}[1 + (c.row // 40)*3 + c.col // 40]),
+    picked as (select unnest({[int((i + 0.5) * SIDE / PROBE) for i in range(PROBE)]}) as i),
+    share as (select c.row // 40 as br, c.col // 40 as bc, count(s.row)/cast(count(*) as double) as whole, count(s.row) filter (c.row % 40 in (from picked) and c.col % 40 in (from picked))/{PROBE * PROBE}E0 as probe from cells c left join scan s using (row, col) group by 1, 2),
+    model as (select br, bc, case when probe < 0.02 then probe else whole end as coverage, case when probe < 0.02 or whole < 0.02 then 'vectors' when whole < 0.999 then 'both' else 'measured' end as model from share),
+    outline as (select distinct c.row, c.col from cells c join buildings on (c.row + 0.5E0)*10 >= y0 and (c.row + 0.5E0)*10 < y1 and c.col between floor(x0/10) and floor(x1/10)),
+    wide as (select distinct m.row + i as row, m.col + j as col from outline m, (values (-1), (0), (1)) a(i), (values (-1), (0), (1)) b(j)),
+    met as (select s.*, m.model, m.coverage, case when model <> 'vectors' then n.above end as above, n.floor_, w.row is not null as roof from surface s join model m on br = s.row // 40 and bc = s.col // 40 left join scan n on n.row = s.row and n.col = s.col left join wide w on w.row = s.row and w.col = s.col)
+    select row, col, model, round(coverage, 6) as coverage, round(case when above is not null then floor_ when model = 'measured' then 0 else ground end, 6) as ground,
+      round(case when above >= 0.5 and roof then floor_ + above when above is not null then floor_ when model = 'measured' then 0 else surface end, 6) as surface,
+      round(case when above >= 0.5 and not roof then floor_ + above when above is not null or model = 'measured' then 0 else canopy_top end, 6) as canopy_top,
+      round(case when above >= 0.5 and not roof then floor_ + above*0.35E0 when above is not null or model = 'measured' then 0 else canopy_base end, 6) as canopy_base,
+      round(case when above >= 0.5 and not roof then 0.265E0 when above is not null or model = 'measured' then 0 else canopy_k end, 6) as canopy_k from met
+    """,
+    *adapters.SURFACE,
+)
+def ra7_measured_or_drawn(spark, sf_dir):
+    """Block by block of the region: the measured surface where a probe and the whole are covered, its holes filled from the vectors, else the vectors."""
+    wide = raster.widened(raster.filled(adapters.buildings(spark, sf_dir), GRID), GRID, 10.0)
+    found = raster.measured_or_drawn(scanned(spark, sf_dir), surface(spark, sf_dir), wide, SIDE, PROBE)
+    return found.select("row", "col", "model", *[r6(F.col(c)).alias(c) for c in ("coverage", "ground", "surface", "canopy_top", "canopy_base", "canopy_k")])
+
+
 def _eyes(points, cells):
     """``points`` (key, x, y) with the height of the eye above the ground of their cell, and whether a roof is over it."""
     own = cells.select("row", "col", "ground", "surface")
