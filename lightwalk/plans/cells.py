@@ -12,6 +12,8 @@ from ..functions.num import half_up
 from ..operators import spatial
 from ..sources import adapters
 from ..sources.adapters import AREA, table
+from ..sources.region import Region, write_region
+from ..sources.storage import shared_folder
 from .registry import query, r6
 
 ZOOM, SEGMENTS = 17, 1 << 16
@@ -177,3 +179,32 @@ def snk3_geojson_features(spark, sf_dir):
     mid = lambda f: (F.array_min(F.transform(ring, lambda p: p[f])) + F.array_max(F.transform(ring, lambda p: p[f]))) / 2
     text = F.format_string('{"type":"Feature","geometry":{"type":"Point","coordinates":[%.5f,%.5f]},"properties":{"id":%d}}', mid("x"), mid("y"), F.col("site_id"))
     return adapters.sites(spark, sf_dir).select("site_id", text.alias("feature"))
+
+
+#: A window over the region: west, south, east, north.
+WINDOW = (2.3495, 48.8542, 2.3568, 48.8581)
+
+
+@query(
+    "whole as (select 1)," + _CELLS
+    + f""",
+    held as (select {ZOOM} || '-' || cast(floor((lon + 180)/360*pow(2, {ZOOM})) as bigint) || '-' || cast(floor((1 - ln(tan(radians(lat)) + 1/cos(radians(lat)))/pi())/2*pow(2, {ZOOM})) as bigint) as cell_key, count(*) as n, sum(cast(round(svf*1000) as bigint)) as svf, max(point_id) as last from points group by 1),
+    w as (select *, west <= {WINDOW[2]}E0 and east >= {WINDOW[0]}E0 and south <= {WINDOW[3]}E0 and north >= {WINDOW[1]}E0 as wanted from cells_)
+    select w.cell_key, coalesce(n, 0) as declared, wanted, false as failed, case when wanted then n end as read, case when wanted then cast(svf as bigint) end as svf, case when wanted and n is not null then ordinal*{1 << 32} + last end as last_id from w left join held using (cell_key)
+    """,
+    "points",
+)
+def src17_src19_cells_on_demand(spark, sf_dir):
+    """The points written by cell with an index beside them; a window is opened, for which only its cells are read. A row for each cell of the index."""
+    z, bits = F.lit(ZOOM), 32
+    base = shared_folder(spark, "regions/points")
+    cells = region_cells(spark).withColumn("id_base", F.shiftleft("ordinal", bits))
+    points = adapters.points(spark, sf_dir).withColumn("cell_key", geo.cell_key(z, geo.tile_x(F.col("lon"), z), geo.tile_y(F.col("lat"), z)))
+    write_region(points.select(F.col("point_id").alias("local"), "svf", "cell_key"), cells, base, "2024-01-10")
+    region = Region(spark, base, "local long, svf double", bits)
+    wanted = region.cells_in(*WINDOW)
+    rows, failed = region.read(wanted)
+    seen = rows.groupBy("cell_key").agg(F.count("*").alias("read"), F.sum(F.round(F.col("svf") * 1000).cast("long")).alias("svf"), F.max("id").alias("last_id"))
+    told = region.index().join(wanted.select("cell_key", F.lit(True).alias("w")), "cell_key", "left").join(failed.select("cell_key", F.lit(True).alias("f")), "cell_key", "left").join(seen, "cell_key", "left")
+    flag = lambda c: F.coalesce(c, F.lit(False))
+    return told.select("cell_key", F.col("rows").alias("declared"), flag("w").alias("wanted"), flag("f").alias("failed"), "read", "svf", "last_id")
