@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.storage import materialize
-from .graph import both_ways
+from .graph import both_ways, components
 
 #: Where the steps of the day begin, and how long each is, in minutes.
 FIRST, STEP = 300, 15
@@ -137,12 +137,26 @@ def relaxed(arcs: DataFrame, trips: DataFrame, nodes: DataFrame, cell: Column, t
     return labels, dealt
 
 
+def connected(edges: DataFrame, nodes: DataFrame, trips: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The trips that have a way, and the nodes that these can pass: streets run both ways, so a trip has one if its ends are of one component.
+
+    A search for the others would settle all that they can reach to find nothing.
+    """
+    labels = components(nodes, edges)
+    end = lambda name: labels.select(F.col("node_id").alias(name), F.col("component").alias(f"{name}_component"))
+    asked = trips.where("start != goal").join(end("start"), "start").join(end("goal"), "goal").where("start_component = goal_component")
+    asked = materialize(asked.select("trip", "start", "goal", "alpha", "departure", F.col("start_component").alias("component")), "trips")
+    passed = labels.join(asked.select("component").distinct(), "component", "left_semi").select("node_id")
+    return materialize(nodes.join(passed, "node_id", "left_semi"), "nodes"), asked.drop("component")
+
+
 def routes(edges: DataFrame, nodes: DataFrame, exposures: DataFrame, trips: DataFrame, cell: Column, speed: float = 1.35, penalty: float = 25.0, trips_a_task: int = 200) -> DataFrame:
     """Every hop of every trip's way, in order: trip, hop, src, node, edge, seconds, cost and clock so far, and the hop's length, index, sun, side and segment.
 
     A trip without a way, or to where it starts, has no rows. Index and sun are those of the hop's middle; the side is that
     with the least index and work. Unknown starts and goals have no way.
     """
+    nodes, trips = connected(edges, nodes, trips)
     labels, dealt = relaxed(arcs_of(edges, nodes, exposures, cell, speed, penalty), trips, nodes, cell, trips_a_task)
     home = nodes.select(F.col("node_id").alias("goal"), cell.cast("string").alias("cell"))
     wanted = trips.where("start != goal").join(home, "goal").select("trip", "cell", F.col("goal").alias("node"), F.col("alpha").cast("double").alias("alpha"))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
+from lightwalk.operators import graph, routing
 from lightwalk.plans import catalog
 
 
@@ -12,3 +15,21 @@ def test_a24_squares_of_ranks_outgrow_an_int(spark, tmp_path):
     k = F.col("id")
     spark.range(46_500).select(k.alias("p_partkey"), F.lit("Brand#1").alias("p_brand"), k.cast("double").alias("p_retailprice"), (46_500 - k).cast("int").alias("p_size")).write.parquet(f"{tmp_path}/part.parquet")
     assert [(r.brand, r.rho) for r in catalog.a24_spearman(spark, str(tmp_path)).collect()] == [("Brand#1", -1.0)]
+
+
+def test_components_dealt_in_small_parts_equal_those_of_one(spark):
+    """Chains whose numbers jump about, so that parts of a few edges meet in many nodes; an edge to a node that is not known joins nothing."""
+    rng = random.Random(5)
+    names = rng.sample(range(10_000), 300)
+    pairs = [(names[i], names[i + 1]) for i in range(299) if i % 60 != 59] + [(names[0], 20_000), (20_000, names[150]), (names[7], names[7])]
+    nodes = spark.createDataFrame([(n,) for n in names], "node_id long")
+    got = {r.node_id: r.component for r in graph.components(nodes, spark.createDataFrame(pairs, "src long, dst long"), at_once=10).collect()}
+    assert got == {n: min(names[i // 60 * 60 : i // 60 * 60 + 60]) for i, n in enumerate(names)}
+
+
+def test_trips_without_a_way_are_told_before_the_search(spark):
+    nodes = spark.createDataFrame([(n, 2.35 + n / 1e4, 48.85) for n in range(8)], "node_id long, lon double, lat double")
+    edges = spark.createDataFrame([(0, 1), (1, 2), (4, 5), (6, 7)], "src long, dst long")
+    trips = spark.createDataFrame([(1, 2, 0, 0.0, 600), (2, 0, 4, 0.0, 600), (3, 1, 1, 0.0, 600), (4, 3, 0, 0.0, 600), (5, 0, 99, 0.0, 600), (6, 7, 6, 0.0, 600)], "trip long, start long, goal long, alpha double, departure int")
+    kept, asked = routing.connected(edges, nodes, trips)
+    assert {r.trip for r in asked.collect()} == {1, 6} and {r.node_id for r in kept.collect()} == {0, 1, 2, 6, 7}
