@@ -74,7 +74,8 @@ def fitted(spark, cells: DataFrame, image: DataFrame, day: datetime.date) -> Dat
 
     First a coarse sweep of the day, then a fine one around its best minute; the better of both wins, at equal r the coarse one. Around the winner a
     profile, whose agreement should break down on both sides, and the heights of buildings under it. Each stage is one walk
-    over the surface for all its suns, all pixels, and a row for each sun comes back. A day without a sun gives no row.
+    over the surface for all its suns, all pixels, and a row for each sun comes back. A day without a sun gives no row, nor does a
+    surface without open ground.
     """
     schema = "stage string, minutes int, scale double, i int"
     pixels = materialize(open_ground(cells), "pixels")
@@ -85,10 +86,14 @@ def fitted(spark, cells: DataFrame, image: DataFrame, day: datetime.date) -> Dat
         return materialize(told.join(scores(ground, cells, image, suns), "i").drop("i"), stage)
 
     at = positions(spark, day, list(range(FROM, TO + 1, COARSE)))
-    if not at:
-        return spark.createDataFrame([], "stage string, minutes int, scale double, n long, r double, shade double, overlap double, best boolean")
+    nothing = spark.createDataFrame([], "stage string, minutes int, scale double, n long, r double, shade double, overlap double, best boolean")
+    if not at or pixels.isEmpty():
+        return nothing
     coarse = tried("coarse", [(m, 1.0) for m in sorted(at)], at)
-    first = _best(coarse.collect(), lambda row: row.minutes)
+    swept = coarse.collect()
+    if not swept:  # no pixel of the image is open ground
+        return nothing
+    first = _best(swept, lambda row: row.minutes)
     at |= positions(spark, day, [m for m in range(first.minutes - AROUND, first.minutes + AROUND + 1, FINE)])
     fine = tried("fine", [(m, 1.0) for m in range(first.minutes - AROUND, first.minutes + AROUND + 1, FINE) if m in at], at)
     second = _best(fine.collect(), lambda row: row.minutes)

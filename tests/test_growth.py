@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import datetime
 import random
 
 from pyspark.sql import functions as F
 
 from lightwalk.operators import graph, routing
-from lightwalk.plans import catalog
+from lightwalk.plans import catalog, suns
 
 
 def test_a24_squares_of_ranks_outgrow_an_int(spark, tmp_path):
@@ -33,3 +34,13 @@ def test_trips_without_a_way_are_told_before_the_search(spark):
     trips = spark.createDataFrame([(1, 2, 0, 0.0, 600), (2, 0, 4, 0.0, 600), (3, 1, 1, 0.0, 600), (4, 3, 0, 0.0, 600), (5, 0, 99, 0.0, 600), (6, 7, 6, 0.0, 600)], "trip long, start long, goal long, alpha double, departure int")
     kept, asked = routing.connected(edges, nodes, trips)
     assert {r.trip for r in asked.collect()} == {1, 6} and {r.node_id for r in kept.collect()} == {0, 1, 2, 6, 7}
+
+
+def test_a25_a_surface_without_open_ground_fits_no_sun(spark):
+    """Where every cell is built up there is no pixel to score: no rows, as in the SQL, and no error."""
+    cells = spark.range(9).select((F.col("id") % 3).cast("int").alias("row"), F.floor(F.col("id") / 3).cast("int").alias("col"), F.lit(30.0).alias("ground"), F.lit(42.0).alias("surface"), *[F.lit(0.0).alias(c) for c in ("canopy_top", "canopy_base", "canopy_k")])
+    image = spark.createDataFrame([(0, 90)], "key long, lum long")
+    found = suns.fitted(spark, cells, image, datetime.date(2024, 6, 21))
+    assert found.count() == 0 and found.columns == ["stage", "minutes", "scale", "n", "r", "shade", "overlap", "best"]
+    bare = cells.withColumn("surface", F.col("ground"))
+    assert suns.fitted(spark, bare, image.where("false"), datetime.date(2024, 6, 21)).count() == 0
