@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lightwalk.operators import graph, routing
 from lightwalk.plans import catalog, suns
+from lightwalk.sources import storage
 
 
 def test_a24_squares_of_ranks_outgrow_an_int(spark, tmp_path):
@@ -44,3 +45,9 @@ def test_a25_a_surface_without_open_ground_fits_no_sun(spark):
     assert found.count() == 0 and found.columns == ["stage", "minutes", "scale", "n", "r", "shade", "overlap", "best"]
     bare = cells.withColumn("surface", F.col("ground"))
     assert suns.fitted(spark, bare, image.where("false"), datetime.date(2024, 6, 21)).count() == 0
+
+
+def test_rows_are_dealt_by_their_number(spark):
+    rows = spark.range(1000).withColumn("k", F.col("id") % 50)
+    assert storage.dealt(rows, "k", at_once=40).rdd.getNumPartitions() == 25 and storage.dealt(rows, "k", at_once=1000) is rows
+    assert storage.dealt(rows, "k", rows=400, at_once=100).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
