@@ -7,7 +7,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from lightwalk.operators import graph, routing
+from lightwalk.operators import graph, routing, spatial
 from lightwalk.plans import catalog, suns
 from lightwalk.sources import storage
 
@@ -51,3 +51,10 @@ def test_rows_are_dealt_by_their_number(spark):
     rows = spark.range(1000).withColumn("k", F.col("id") % 50)
     assert storage.dealt(rows, "k", at_once=40).rdd.getNumPartitions() == 25 and storage.dealt(rows, "k", at_once=1000) is rows
     assert storage.dealt(rows, "k", rows=400, at_once=100).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_q10_the_first_reach_with_something_in_it_and_its_smallest_lamp(spark):
+    points = spark.createDataFrame([(1, 0.0, 0.0), (2, 100.0, 0.0), (3, 500.0, 0.0), (4, -3.0, 9.0)], "p long, x double, y double")
+    lamps = spark.createDataFrame([(7, 3.0, 3.0), (9, 1.0, 1.0), (5, 8.0, 0.0), (6, 118.0, -18.0), (2, 518.1, 0.0), (8, -12.0, 18.0)], "o long, x double, y double")
+    got = {(r.p, r.o, r.reach) for r in spatial.first_within(points, lamps, "p", "o", [3.0, 9.0, 18.0]).collect()}
+    assert got == {(1, 7, 3.0), (2, 6, 18.0), (4, 7, 9.0)}
