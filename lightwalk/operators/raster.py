@@ -93,8 +93,8 @@ def chamfer(cells: DataFrame, mask: str) -> DataFrame:
     d = full.join(cells.where(F.col(mask)).select("row", "col", F.lit(0).cast("long").alias("d")), ["row", "col"], "left")
     row, col = F.col("row"), F.col("col")
     for line, place, cost in ((row, col, 3), (col, row, 3), (row - col, row, 4), (row + col, row, 4)):
-        order = Window.partitionBy("_line").orderBy("_place")
-        ahead, behind = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
+        # Both grow from their first row on: a frame that ends with the line would be gone through anew for each of its cells.
+        ahead, behind = (Window.partitionBy("_line").orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.asc("_place"), F.desc("_place")))
         way = F.col("_place") * cost
         along = d.withColumns({"_line": line, "_place": place.cast("long")})
         d = along.select("row", "col", F.least(F.min(F.col("d") - way).over(ahead) + way, F.min(F.col("d") + way).over(behind) - way).alias("d"))

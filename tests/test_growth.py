@@ -7,7 +7,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from lightwalk.operators import graph, routing, spatial
+from lightwalk.operators import graph, raster, routing, spatial
 from lightwalk.plans import catalog, suns
 from lightwalk.sources import storage
 
@@ -58,3 +58,11 @@ def test_q10_the_first_reach_with_something_in_it_and_its_smallest_lamp(spark):
     lamps = spark.createDataFrame([(7, 3.0, 3.0), (9, 1.0, 1.0), (5, 8.0, 0.0), (6, 118.0, -18.0), (2, 518.1, 0.0), (8, -12.0, 18.0)], "o long, x double, y double")
     got = {(r.p, r.o, r.reach) for r in spatial.first_within(points, lamps, "p", "o", [3.0, 9.0, 18.0]).collect()}
     assert got == {(1, 7, 3.0), (2, 6, 18.0), (4, 7, 9.0)}
+
+
+def test_chamfer_along_a_long_line_keeps_running_minima(spark):
+    """One row of 3,000 cells: a frame that ends with the line is gone through anew for each cell, so none may be left in the plan."""
+    cells = spark.range(3000).select(F.lit(0).alias("row"), F.col("id").cast("int").alias("col"), F.col("id").isin(0, 2000).alias("edge"))
+    found = raster.chamfer(cells, "edge")
+    assert "unboundedfollowing" not in found._jdf.queryExecution().toString().lower()
+    assert {r.col: r.d for r in found.collect()} == {c: 3 * min(c, abs(2000 - c)) for c in range(3000)}
