@@ -116,18 +116,19 @@ def _axes_and_sidewalks(ways):
 
 def _covered(axis, walk, by):
     """For each group ``by`` of samples of axes (k, x, y, dx, dy): whether mapped sidewalks run along it on the left and on the right."""
-    others = walk.select(F.col("way_id").alias("walk_id"), F.col("x"), F.col("y"), F.col("dx").alias("odx"), F.col("dy").alias("ody"))
-    near = _parallel(spatial.radius_join(axis, others, NEAR))
-    turn = F.col("dx") * (F.col("oy") - F.col("y")) - F.col("dy") * (F.col("ox") - F.col("x"))
-    met = near.select(*by, "k", (turn > 0).alias("on_left")).distinct().groupBy(*by).agg(F.sum(F.col("on_left").cast("int")).alias("l"), F.sum((~F.col("on_left")).cast("int")).alias("r"))
+    others = walk.select("x", "y", F.col("dx").alias("odx"), F.col("dy").alias("ody"))
+    asked = axis.select(*by, "k", "x", "y", "dx", "dy", F.explode(F.array(F.lit(True), F.lit(False))).alias("on_left"))
+    turn = lambda o: F.col("dx") * (o["oy"] - F.col("y")) - F.col("dy") * (o["ox"] - F.col("x"))
+    near = spatial.nearest_within(asked, others, [*by, "k", "on_left"], NEAR, lambda o: _parallel(o) & ((turn(o) > 0) == F.col("on_left")))
+    met = near.groupBy(*by).agg(F.sum(F.col("on_left").cast("int")).alias("l"), F.sum((~F.col("on_left")).cast("int")).alias("r"))
     size = axis.groupBy(*by).agg(F.count("*").alias("n"))
     return size.join(met, by, "left").select(*by, *[(F.coalesce(c, F.lit(0)) >= F.col("n") * SHARE).alias(name) for c, name in (("l", "left"), ("r", "right"))])
 
 
-def _parallel(near):
+def _parallel(other):
     import math
 
-    return near.where(F.abs(F.col("dx") * F.col("odx") + F.col("dy") * F.col("ody")) >= math.cos(math.radians(PARALLEL)))
+    return F.abs(F.col("dx") * other["odx"] + F.col("dy") * other["ody"]) >= math.cos(math.radians(PARALLEL))
 
 
 _MATCH = f"""
@@ -176,9 +177,9 @@ def j5_parent_street(spark, sf_dir):
 def parent_streets(ways):
     """(way_id, name, share) of mapped sidewalks."""
     axis, walk = _axes_and_sidewalks(ways)
-    named = axis.where("name is not null").select(F.col("way_id").alias("axis_id"), F.col("k").alias("axis_k"), "name", "x", "y", F.col("dx").alias("odx"), F.col("dy").alias("ody"))
-    near = _parallel(spatial.radius_join(walk.drop("name"), named, NEAR))
-    votes = near.groupBy("way_id", "k").agg(F.min_by("name", F.struct("distance", "axis_id", "axis_k")).alias("name")).groupBy("way_id", "name").agg(F.count("*").alias("n"))
+    named = axis.where("name is not null").select("x", "y", F.col("way_id").alias("axis_id"), F.col("k").alias("axis_k"), "name", F.col("dx").alias("odx"), F.col("dy").alias("ody"))
+    near = spatial.nearest_within(walk.select("way_id", "k", "x", "y", "dx", "dy"), named, ["way_id", "k"], NEAR, _parallel, copied="points")
+    votes = near.groupBy("way_id", "name").agg(F.count("*").alias("n"))
     won = votes.groupBy("way_id").agg(F.min_by("name", F.struct(-F.col("n"), "name")).alias("name"), F.max("n").alias("n"), F.sum("n").alias("total"))
     return won.select("way_id", "name", r6(F.col("n") / F.col("total")).alias("share"))
 

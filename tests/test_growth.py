@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -66,3 +67,22 @@ def test_chamfer_along_a_long_line_keeps_running_minima(spark):
     found = raster.chamfer(cells, "edge")
     assert "unboundedfollowing" not in found._jdf.queryExecution().toString().lower()
     assert {r.col: r.d for r in found.collect()} == {c: 3 * min(c, abs(2000 - c)) for c in range(3000)}
+
+
+def test_the_nearest_that_matches_is_found_in_a_crowd(spark):
+    """Many others close together, some far off, on a lattice with ties: narrow cells first, and no others lost that lie as far as the reach."""
+    rng = random.Random(3)
+    at = lambda wide: (rng.randrange(wide) / 4, rng.randrange(wide) / 4)
+    points = [(k, *at(120 if k % 5 else 4000), k % 3) for k in range(150)]
+    others = [(k, k % 3, *at(40 if k % 4 else 400)) for k in range(2000)]
+    p = spark.createDataFrame(points, "p long, x double, y double, kind int")
+    o = spark.createDataFrame(others, "o long, sort int, x double, y double")
+    want = {}
+    for k, x, y, kind in points:
+        met = [(math.hypot(ox - x, oy - y), i) for i, sort, ox, oy in others if sort == kind]
+        want |= {k: min(met)} if min(met)[0] <= 14 else {}
+    assert 50 < len(want) < 150
+    for copied in ("points", "others"):
+        got = spatial.nearest_within(p, o, ["p"], 14.0, lambda n: n["sort"] == F.col("kind"), copied)
+        assert {r.p: (r.distance, r.o) for r in got.collect()} == want
+    assert spatial.nearest_within(p, o.where("false"), ["p"], 14.0, lambda n: n["sort"] == F.col("kind")).count() == 0
