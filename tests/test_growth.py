@@ -8,6 +8,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from lightwalk.functions import exposure
 from lightwalk.operators import graph, raster, routing, spatial
 from lightwalk.plans import catalog, suns
 from lightwalk.sources import storage
@@ -86,3 +87,17 @@ def test_the_nearest_that_matches_is_found_in_a_crowd(spark):
         got = spatial.nearest_within(p, o, ["p"], 14.0, lambda n: n["sort"] == F.col("kind"), copied)
         assert {r.p: (r.distance, r.o) for r in got.collect()} == want
     assert spatial.nearest_within(p, o.where("false"), ["p"], 14.0, lambda n: n["sort"] == F.col("kind")).count() == 0
+
+
+def test_veils_in_blocks_add_up_to_those_of_the_pairs(spark):
+    """Points and lamps of a cell dealt to several tasks; lamps below the eye, at it and where nothing is within reach."""
+    rng = random.Random(7)
+    p = spark.createDataFrame([(k, rng.random() * 150, rng.random() * 90 + (0 if k % 9 else 500)) for k in range(120)], "point_id long, x double, y double")
+    lamps = spark.createDataFrame([(rng.random() * 150, rng.random() * 90, rng.random() * 8000, rng.choice([0.9, 1.6, 1.65, 6.0]), rng.random() * 5000 + 1500) for _ in range(200)], "x double, y double, flux double, height double, cct double")
+    pairs = spatial.radius_join(p, lamps, 80.0).groupBy("point_id").agg(F.count("*").alias("n"), F.sum(exposure.veil(F.col("flux"), F.col("height"), F.col("cct"), F.col("distance"))).alias("v"))
+    want = {r.point_id: (r.n, r.v) for r in pairs.collect()}
+    told = lamps.select("x", "y", (F.col("height") - exposure.EYE).alias("rise"), exposure.strength(F.col("flux"), F.col("cct")).alias("strength"))
+    rows = spatial.folded_within(p, told, "point_id", 80.0, catalog._veiled, "point_id long, lamps long, veil double", at_once=7)
+    got = {r.point_id: (r.n, r.v) for r in rows.groupBy("point_id").agg(F.sum("lamps").alias("n"), F.sum("veil").alias("v")).collect() if r.n}
+    assert got.keys() == want.keys() and len(want) < 120
+    assert all(got[k][0] == n and math.isclose(got[k][1], v, rel_tol=1e-9) for k, (n, v) in want.items())
