@@ -101,3 +101,10 @@ def test_veils_in_blocks_add_up_to_those_of_the_pairs(spark):
     got = {r.point_id: (r.n, r.v) for r in rows.groupBy("point_id").agg(F.sum("lamps").alias("n"), F.sum("veil").alias("v")).collect() if r.n}
     assert got.keys() == want.keys() and len(want) < 120
     assert all(got[k][0] == n and math.isclose(got[k][1], v, rel_tol=1e-9) for k, (n, v) in want.items())
+
+
+def test_costly_rows_are_spread_by_their_number(spark, tmp_path):
+    spark.range(100).coalesce(1).write.parquet(f"{tmp_path}/t")
+    rows = spark.read.parquet(f"{tmp_path}/t")
+    assert storage.spread(rows, "id", at_once=10).rdd.getNumPartitions() == 10
+    assert storage.spread(rows, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
