@@ -13,6 +13,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.geo import PLANE_LAT, PLANE_LON
 
+#: Fixes whose offsets from all segments are made at once.
+AT_ONCE = 2_000
 OUT = "user_id long, fix_id long, along double, offset double, off_route boolean, announced int, bearing double, sunlight_in int, minutes double"
 STATE = "hint int, progress double, said string, bearing double, lon double, lat double"
 #: How far the search window reaches around the last place, tolerance for noise, distance off the route, announcements, warning of sunlight, the computed day.
@@ -28,18 +30,26 @@ class Route:
         self.length = np.hypot(np.diff(self.lon) * PLANE_LON * scale, np.diff(self.lat) * PLANE_LAT)
         self.start = np.append(0.0, np.cumsum(self.length)[:-1])
 
-    def snap(self, lon: float, lat: float, hint: int | None) -> tuple[float, float, int]:
-        """Metres along, metres off, and the segment nearest among those around the last one (the first of equals)."""
-        low, high = (0, len(self.length)) if hint is None else (max(0, hint - BACK), min(len(self.length), hint + AHEAD))
-        part = slice(low, high)
-        east = PLANE_LON * math.cos(math.radians(lat))
-        ax, ay = (self.lon[:-1][part] - lon) * east, (self.lat[:-1][part] - lat) * PLANE_LAT
-        bx, by = (self.lon[1:][part] - lon) * east, (self.lat[1:][part] - lat) * PLANE_LAT
+    def offsets(self, lon: np.ndarray, lat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each fix (row) and segment: metres along the route and metres off, at the nearest place of the segment."""
+        east = np.array([PLANE_LON * math.cos(math.radians(v)) for v in lat])[:, None]
+        lon, lat = lon[:, None], lat[:, None]
+        ax, ay = (self.lon[:-1] - lon) * east, (self.lat[:-1] - lat) * PLANE_LAT
+        bx, by = (self.lon[1:] - lon) * east, (self.lat[1:] - lat) * PLANE_LAT
         dx, dy = bx - ax, by - ay
         t = np.clip(-(ax * dx + ay * dy) / np.maximum(dx * dx + dy * dy, 1e-12), 0, 1)
-        off = np.hypot(ax + t * dx, ay + t * dy)
-        k = int(off.argmin())
-        return float(self.start[low + k] + t[k] * self.length[low + k]), float(off[k]), low + k
+        return self.start + t * self.length, np.hypot(ax + t * dx, ay + t * dy)
+
+    def nearest(self, off: np.ndarray, hint: int | None) -> int:
+        """The segment nearest among those around the last one (the first of equals)."""
+        low, high = (0, len(off)) if hint is None else (max(0, hint - BACK), min(len(off), hint + AHEAD))
+        return low + int(off[low:high].argmin())
+
+    def snap(self, lon: float, lat: float, hint: int | None) -> tuple[float, float, int]:
+        """Metres along, metres off, and the segment."""
+        along, off = self.offsets(np.array([lon]), np.array([lat]))
+        k = self.nearest(off[0], hint)
+        return float(along[0, k]), float(off[0, k]), k
 
     def announcement(self, along: float, said: set[str]) -> int | None:
         """The first of the thresholds, from the farthest on, that is reached for the next manoeuvre, once each: after the farthest was said, nothing more is for this manoeuvre."""
@@ -87,13 +97,19 @@ def tracked(fixes: DataFrame, route: Route) -> DataFrame:
         hint, progress, said, bearing, *place = state.get if state.exists else (None, None, "", None, None, None)
         known, before = set(filter(None, said.split(","))), None if place[0] is None else tuple(place)
         rows = []
-        for fix in pd.concat(list(frames)).sort_values(["ts", "fix_id"]).itertuples():
-            measured, off, hint = route.snap(fix.lon, fix.lat, hint)
-            progress, on = advanced(progress, measured), off <= OFF_ROUTE
-            bearing = heading_of(None if pd.isna(fix.heading) else float(fix.heading), bearing, before, (fix.lon, fix.lat))
-            before = (float(fix.lon), float(fix.lat))
-            minutes = min(max(fix.ts.hour * 60 + fix.ts.minute + fix.ts.second / 60, DAY[0]), DAY[1])
-            rows.append((key[0], fix.fix_id, progress, off, not on, route.announcement(progress, known) if on else None, bearing, route.warning(progress, known) if on else None, minutes))
+        fixes = pd.concat(list(frames)).sort_values(["ts", "fix_id"])
+        for at in range(0, len(fixes), AT_ONCE):
+            part = fixes.iloc[at : at + AT_ONCE]
+            lon, lat, clock = part["lon"].to_numpy(np.float64), part["lat"].to_numpy(np.float64), part["ts"].dt
+            minutes = np.minimum(np.maximum(clock.hour * 60 + clock.minute + clock.second / 60, DAY[0]), DAY[1]).tolist()
+            along, offs = route.offsets(lon, lat)
+            for n, (fix, east, north, heading) in enumerate(zip(part["fix_id"].tolist(), lon.tolist(), lat.tolist(), part["heading"].tolist(), strict=True)):
+                hint = route.nearest(offs[n], hint)
+                measured, off = float(along[n, hint]), float(offs[n, hint])
+                progress, on = advanced(progress, measured), off <= OFF_ROUTE
+                bearing = heading_of(None if heading is None or heading != heading else float(heading), bearing, before, (east, north))
+                before = (east, north)
+                rows.append((key[0], fix, progress, off, not on, route.announcement(progress, known) if on else None, bearing, route.warning(progress, known) if on else None, minutes[n]))
         state.update((hint, progress, ",".join(sorted(known)), bearing, *before))
         out = pd.DataFrame(rows, columns=[c.split()[0] for c in OUT.split(", ")])
         yield out.astype({"announced": "Int32", "sunlight_in": "Int32", "bearing": "Float64"})

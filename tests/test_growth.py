@@ -6,12 +6,14 @@ import datetime
 import math
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from lightwalk.functions import exposure
 from lightwalk.operators import graph, raster, routing, spatial
 from lightwalk.plans import catalog, suns
 from lightwalk.sources import storage
+from lightwalk.streaming import tracking
 
 
 def test_a24_squares_of_ranks_outgrow_an_int(spark, tmp_path):
@@ -108,3 +110,17 @@ def test_costly_rows_are_spread_by_their_number(spark, tmp_path):
     rows = spark.read.parquet(f"{tmp_path}/t")
     assert storage.spread(rows, "id", at_once=10).rdd.getNumPartitions() == 10
     assert storage.spread(rows, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_offsets_of_many_fixes_are_those_of_each(spark):
+    """All fixes of a user at once, and the segment chosen among those around the last one."""
+    rng = random.Random(2)
+    route = tracking.Route([2.35 + 0.0003 * i for i in range(60)], [48.85 + 0.0002 * (i % 7) for i in range(60)], [100.0])
+    fixes = [(2.35 + rng.random() * 0.02, 48.85 + rng.random() * 0.001) for _ in range(50)]
+    along, off = route.offsets(*(np.array(c) for c in zip(*fixes, strict=True)))
+    assert along.shape == off.shape == (50, 59)
+    for n, (lon, lat) in enumerate(fixes):
+        for hint in (None, 0, 30, 58):
+            k = route.nearest(off[n], hint)
+            assert route.snap(lon, lat, hint) == (along[n, k], off[n, k], k)
+            assert hint is None or hint - tracking.BACK <= k < hint + tracking.AHEAD
