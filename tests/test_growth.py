@@ -124,3 +124,12 @@ def test_offsets_of_many_fixes_are_those_of_each(spark):
             k = route.nearest(off[n], hint)
             assert route.snap(lon, lat, hint) == (along[n, k], off[n, k], k)
             assert hint is None or hint - tracking.BACK <= k < hint + tracking.AHEAD
+
+
+def test_points_meet_rings_without_a_table_that_every_task_holds(spark):
+    corner = lambda x, y: F.struct((F.col("id") * 30.0 + x).alias("x"), F.lit(float(y)).alias("y"))
+    rings = spark.range(20).select(F.array(corner(0, 0), corner(10, 0), corner(10, 40), corner(0, 40), corner(0, 0)).alias("ring"))
+    points = spark.range(600).select(F.col("id").alias("p"), (F.col("id") + 0.5).alias("x"), F.lit(20.0).alias("y"))
+    found = spatial.within_rings(points, rings)
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.p for r in found.collect()} == {k for k in range(600) if k % 30 < 10}
