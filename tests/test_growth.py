@@ -133,3 +133,34 @@ def test_points_meet_rings_without_a_table_that_every_task_holds(spark):
     found = spatial.within_rings(points, rings)
     assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
     assert {r.p for r in found.collect()} == {k for k in range(600) if k % 30 < 10}
+
+
+def _squares(seed):
+    """Two drawn grids a degree apart, with trips in both: nodes, edges, exposures, trips."""
+    from test_routing import drawn
+
+    nodes, edges, exposures, trips = drawn(seed)
+    more_nodes, more_edges, _, more_trips = drawn(seed + 1, side=4)
+    nodes += [(n + 1000, lon + 1, lat) for n, lon, lat in more_nodes]
+    edges += [(e + 10_000, a + 1000, b + 1000, s + 50, sides, m, c) for e, a, b, s, sides, m, c in more_edges]
+    return nodes, edges, exposures, trips + [(t + 100, a + 1000, b + 1000, *rest) for t, a, b, *rest in more_trips]
+
+
+def test_a_small_component_is_searched_once_and_a_large_one_by_rounds(spark, monkeypatch):
+    """The same ways whether all components are cut into cells, one of two is, or none; rounds are only gone for those that are, and arcs only dealt for their own trips."""
+    from test_routing import frames, plain
+
+    nodes, edges, exposures, trips = _squares(11)
+    cell = F.concat_ws(":", F.floor(F.col("lon") / 0.0011).cast("string"), F.floor(F.col("lat") / 0.0011).cast("string"))
+    asked = spark.createDataFrame(trips, "trip long, start long, goal long, alpha double, departure int")
+    want = {t: [(w[0], w[1], round(w[4], 6)) for w in plain(nodes, edges, exposures, a, b, alpha, at)] for t, a, b, alpha, at in trips}
+    assert sum(len(w) > 3 for t, w in want.items() if t < 100) > 5 and any(w for t, w in want.items() if t >= 100)
+    rounds, real = [], routing._round
+    monkeypatch.setattr(routing, "_round", lambda entries, arcs: rounds.append({r.trip for r in entries.select("trip").distinct().collect()}) or real(entries, arcs))
+    for whole, searched in ((0, lambda t: True), (20, lambda t: t < 100), (5_000, None)):
+        rounds.clear()
+        got = {t: [] for t in want}
+        for r in routing.routes(*frames(spark, nodes, edges, exposures), asked, cell, trips_a_task=5, whole=whole).orderBy("trip", "hop").collect():
+            got[r.trip].append((r.src, r.node, round(r.cost, 6)))
+        assert got == want
+        assert set().union(*rounds) == {t for t in want if searched and searched(t) and want[t]}
