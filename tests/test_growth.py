@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lightwalk.functions import exposure
 from lightwalk.operators import graph, raster, routing, spatial
-from lightwalk.plans import catalog, suns
+from lightwalk.plans import catalog, reports, suns
 from lightwalk.sources import storage
 from lightwalk.streaming import tracking
 
@@ -164,3 +164,23 @@ def test_a_small_component_is_searched_once_and_a_large_one_by_rounds(spark, mon
             got[r.trip].append((r.src, r.node, round(r.cost, 6)))
         assert got == want
         assert set().union(*rounds) == {t for t in want if searched and searched(t) and want[t]}
+
+
+def test_sudden_changes_along_a_route_are_told_by_a_frame(spark):
+    """Means around each step's end against a loop over the whole route, with steps longer than the span and without length; no join of a route with itself."""
+    rng = random.Random(9)
+    steps = [(r, q + 1, rng.choice([0.0, 3.0, 7.0, 16.0, 60.0]), rng.randrange(100)) for r in range(4) for q in range(30)]
+    at, rows = {}, []
+    for r, q, length, index in steps:
+        at[r] = at.get(r, 0.0) + length
+        rows.append((r, q, at[r], length, index))
+    found = reports.sudden(spark.createDataFrame(rows, "route_id long, seq int, upto double, len double, index int"))
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {(x.route_id, x.seq): (x.run_in, x.before, x.run_out, x.after, x.after_it) for x in found.collect()}
+    for r, q, upto, _, _ in rows:
+        want = []
+        for a, b in ((upto - 40, upto), (upto, upto + 40)):
+            parts = [(max(0.0, min(b, u) - max(a, u - n)), i) for s, _, u, n, i in rows if s == r]
+            run = sum(m for m, _ in parts)
+            want += [run, sum(m * i for m, i in parts) / run if run else None]
+        assert got[r, q] == (*want, q < 30)
