@@ -369,33 +369,22 @@ def shared(around: np.ndarray) -> np.ndarray:
     return code[column.reshape(x.shape)]
 
 
-def possible(codes: np.ndarray, count: np.ndarray, similarity: float) -> np.ndarray:
-    """(n, n): pairs of surroundings that share enough shingles, wherever they are, to be alike; all pairs at once, by a matrix of surroundings and shingles."""
-    row, at = np.nonzero(codes >= 0)
-    code = codes[row, at]
-    here = np.bincount(code) > 1
-    row, code = row[here[code]], code[here[code]]
-    has = np.zeros((len(codes), np.count_nonzero(here)), np.float32)
-    has[row, (np.cumsum(here) - 1)[code]] = 1
-    return (1 + similarity) * (has @ has.T) >= 2 * similarity * np.minimum(count[:, None], count) - 1e-3
-
-
-def spanning(around: np.ndarray, known: np.ndarray, only: np.ndarray, words: int, similarity: float, chunk: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Links (earlier row, later row, spans) that join the alike surroundings of one bucket, rows in the order of documents.
-
-    Surroundings without enough shingles in common with any others are left out first. Then some rows are compared with
-    all others: in a group of near copies the first one is alike to nearly all. What is not one component by then is
-    compared pair by pair, in chunks, where the shared shingles of a pair allow it.
+def spanning(around: np.ndarray, known: np.ndarray, only: np.ndarray, words: int, similarity: float, bucket: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Links (earlier row, later row, spans) that join the alike surroundings of each bucket (numbers that rise; None: all are one), rows in the order of documents.
+
+    First the rows with a run of words around the seed in common that is long enough by itself meet, by sorting. In a group of
+    near copies that joins nearly all. What is apart then is compared where the rarer shingles of two rows meet.
     """
-    codes, count = shared(around), needed(around, words)
-    left = np.flatnonzero((1 + similarity) * (codes >= 0).sum(1) >= 2 * similarity * count.min(initial=words) - 1e-3)
-    around, known, only, codes, count = around[left], known[left], only[left], codes[left], count[left]
-    root, linked, done = np.arange(len(left)), np.zeros(len(left), bool), np.zeros(len(left), bool)
+    if not len(around):
+        return
+    root, linked = np.arange(len(around)), np.zeros(len(around), bool)
+    bucket = np.zeros(len(around), np.int64) if bucket is None else bucket
+    starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
 
-    def join(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Links of the alike pairs: those that join components, and the first one of each surrounding, for what it has in common."""
+    def join(x: np.ndarray, y: np.ndarray, part: slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Links of the alike pairs: those that join components, and the first one of each surrounding, for what it has in common; all rows are in ``part``."""
         far = (root[x] != root[y]) & ~(known[x] & known[y] & (only[x] == only[y]))
-        x, y = x[far], y[far]
+        x, y = np.minimum(x[far], y[far]), np.maximum(x[far], y[far])
         alike, spans = compare(around[x], around[y], words, similarity)
         keep = []
         for t in np.flatnonzero(alike).tolist():
@@ -408,31 +397,100 @@ def spanning(around: np.ndarray, known: np.ndarray, only: np.ndarray, words: int
                 root[max(i, j)] = min(i, j)
                 linked[x[t]] = linked[y[t]] = True
                 keep.append(t)
-        while (root != root[root]).any():
-            root[:] = root[root]
-        return left[x[keep]], left[y[keep]], spans[keep]
-
-    while True:
-        free = np.flatnonzero(~done & ~linked)
-        if len(free) < 64:
-            break
-        done[free[0]] = True
-        yield join(np.full(len(free) - 1, free[0]), free[1:])
-        if np.count_nonzero(~linked[free]) > 0.9 * len(free):  # few are alike to this one
-            break
-    cuts = range(0, len(left), chunk)
-    for a, b in itertools.combinations_with_replacement(cuts, 2):
-        here, there = (np.arange(x, min(x + chunk, len(left))) for x in (a, b))
-        if (root[here] == root[here[0]]).all() and (root[there] == root[here[0]]).all():
+        while (root[part] != root[root[part]]).any():
+            root[part] = root[root[part]]
+        return x[keep], y[keep], spans[keep]
+
+    for x, y in runs(around, bucket, starts, root, known, only, words, similarity):
+        yield join(x, y, slice(None))
+    for start, end in zip(starts, np.append(starts[1:], len(around)), strict=True):
+        if (root[start:end] != root[start]).any():
+            s = slice(start, end)
+            for x, y in apart(around[s], known[s], only[s], root[s], words, similarity):
+                for at in range(0, len(x), 4096):  # what one slice has joined the next one leaves out
+                    yield join(start + x[at : at + 4096], start + y[at : at + 4096], s)
+
+
+def least_shared(count: int, similarity: float) -> int:
+    """Shingles that two windows of ``count`` have in common at least if they are alike."""
+    return int(np.ceil((2 * similarity * count - 1e-3) / (1 + similarity)))
+
+
+def runs(around: np.ndarray, bucket: np.ndarray, starts: np.ndarray, root: np.ndarray, known: np.ndarray, only: np.ndarray, words: int, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a bucket's rows with a common run around the seed that is long enough for being alike, each row with one other; ``root`` tells what is joined meanwhile.
+
+    The run has k words to the left of the seed and the others to the right: for each k the rows are sorted by a hash of both.
+    """
+    side, outer = words - SEED, least_shared(words - SHINGLE + 1, similarity) + SHINGLE - 1 - SEED
+    left, right = (np.zeros((outer + 1, len(around)), np.uint64) for _ in range(2))
+    for k in range(outer):
+        left[k + 1] = left[k] * _ODD[59] + around[:, side - 1 - k]
+        right[k + 1] = right[k] * _ODD[59] + around[:, side + SEED + k]
+    room, beyond = (around[:, :side] != 0).sum(1), (around[:, side + SEED :] != 0).sum(1)
+    own, sizes = bucket.astype(np.uint64) * _ODD[55], np.diff(np.append(starts, len(around)))
+    for k in sorted(range(outer + 1), key=lambda k: abs(k - outer // 2)):
+        several = np.repeat(np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts), sizes)
+        row = np.flatnonzero(several & (room >= k) & (beyond >= outer - k))
+        if not len(row):
+            continue
+        key = _mix(left[k, row] * _ODD[57] + right[outer - k, row] * _ODD[56] + own[row])
+        order = np.argsort(key)
+        row, key = row[order], key[order]
+        begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        size = np.diff(np.append(begin, len(row)))
+        first = np.repeat(np.minimum.reduceat(row, begin), size)
+        # Rows of the first one's document meet the first row of another document.
+        same = known[row] & known[first] & (only[row] == only[first])
+        other = np.repeat(np.minimum.reduceat(np.where(same, len(around), row), begin), size)
+        met = np.where(same, other, first)
+        new = (met < len(around)) & (row != first)
+        new[new] = root[met[new]] != root[row[new]]
+        if new.any():
+            yield met[new], row[new]
+
+
+def apart(around: np.ndarray, known: np.ndarray, only: np.ndarray, root: np.ndarray, words: int, similarity: float, at_once: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of one bucket's rows that are in different components (``root``, which may change meanwhile) and may be alike.
+
+    Of two rows that have t shingles in common at least, each without its t - 1 most frequent ones, one that is left is in
+    both: only rows that share such a rarer shingle are pairs. The rows of the largest component are not met with each other.
+    """
+    codes, count = shared(around), needed(around, words)
+    there = codes >= 0
+    often = np.bincount(codes[there], minlength=1)
+    rank = np.empty(len(often), np.int64)
+    rank[np.lexsort((np.arange(len(often)), often))] = np.arange(len(often))
+    rare, have = np.sort(np.where(there, rank[codes], len(often)), 1), there.sum(1)
+    for n in np.unique(count).tolist():
+        kept = np.where(count >= n, have - least_shared(n, similarity) + 1, 0)
+        row, at = np.nonzero(np.arange(rare.shape[1]) < kept[:, None])
+        if not len(row):
             continue
-        if a == b:
-            near = np.triu(possible(codes[here], count[here], similarity), 1)
-        else:  # pairs of two chunks only: those within each have had their turn
-            both = np.append(here, there)
-            near = possible(codes[both], count[both], similarity)[: len(here), len(here) :]
-        x, y = np.nonzero(near & (root[here][:, None] != root[there]))
-        for at in range(0, len(x), 4096):  # what one slice has joined the next one leaves out
-            yield join(here[x[at : at + 4096]], there[y[at : at + 4096]])
+        code, ends = rare[row, at], np.cumsum(np.bincount(row, minlength=len(around)))
+        holders, sizes = row[np.argsort(code, kind="stable")], np.bincount(code)
+        begins = np.cumsum(sizes) - sizes
+        main = np.flatnonzero(root == np.bincount(root - root.min()).argmax() + root.min())[0]
+        done, todo = np.zeros(len(around), bool), np.flatnonzero((root != root[main]) & (kept > 0))
+        cost = np.cumsum([sizes[code[ends[i] - max(kept[i], 0) : ends[i]]].sum() for i in todo])
+        for some in np.split(todo, np.flatnonzero(np.diff(cost // at_once)) + 1):
+            some = some[root[some] != root[main]]
+            mine = np.concatenate([np.arange(ends[i] - kept[i], ends[i]) for i in some]) if len(some) else np.zeros(0, np.int64)
+            length = sizes[code[mine]]
+            x, y = np.repeat(row[mine], length), holders[np.repeat(begins[code[mine]] - np.cumsum(length) + length, length) + np.arange(length.sum())]
+            inside = np.zeros(len(around), bool)
+            inside[some] = True
+            may = (root[x] != root[y]) & ~done[y] & ~(inside[y] & (y < x)) & ((count[x] == n) | (count[y] == n)) & ~(known[x] & known[y] & (only[x] == only[y]))
+            pairs, times = np.unique(x[may] * len(around) + y[may], return_counts=True)
+            x, y = pairs // len(around), pairs % len(around)
+            done[some] = True
+            # A row's most promising partners first: mostly one of them joins it, and the others need not be looked at.
+            order = np.lexsort((-times, x))
+            x, y = x[order], y[order]
+            turn = np.arange(len(x)) - np.maximum.accumulate(np.where(np.diff(x, prepend=-1) != 0, np.arange(len(x)), 0))
+            for low, high in ((0, 1), (1, 4), (4, 16), (16, 1 << 62)):
+                chosen = np.flatnonzero((turn >= low) & (turn < high) & (root[x] != root[y]))
+                if len(chosen):
+                    yield x[chosen], y[chosen]
 
 
 def _verified(words: int, similarity: float, small: int = 12):
@@ -450,10 +508,10 @@ def _verified(words: int, similarity: float, small: int = 12):
                 x = same[at : at + (1 << 14)]
                 alike, spans = compare(around[x], around[x + step], words, similarity)
                 yield content[x][alike], content[x + step][alike], spans[alike]
-        for start, size in zip(starts[sizes > small], sizes[sizes > small], strict=True):
-            s = slice(start, start + size)
-            for x, y, spans in spanning(around[s], known[s], only[s], words, similarity):
-                yield content[start + x], content[start + y], spans
+        large = np.flatnonzero(np.repeat(sizes > small, sizes))
+        number = np.repeat(np.arange(len(starts)), sizes)
+        for x, y, spans in spanning(around[large], known[large], only[large], words, similarity, number[large]):
+            yield content[large[x]], content[large[y]], spans
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None

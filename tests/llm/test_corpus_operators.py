@@ -7,6 +7,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from array import array
 from collections import Counter, defaultdict
@@ -330,6 +331,54 @@ def test_paragraphs_with_few_changes_are_one_component(spark):
     assert paragraphs.repeated(docs.where("false")).count() == 0
 
 
+def near_copies(n: int, seed: int, texts: int = 1, changes: int = 3) -> np.ndarray:
+    """Surroundings of one seed: copies with some words changed, every eighth with so many that few others are alike, some cut short, some with a word put in."""
+    rng = np.random.default_rng(seed)
+    base = rng.integers(1, 1 << 32, (texts, 92), dtype=np.uint32)
+    base[:, 41:51] = base[0, 41:51]
+    out = base[rng.integers(0, texts, n)]
+    for i in range(n):
+        at = rng.choice(np.r_[:41, 51:92], changes if i % 8 else 12, replace=False)
+        if i % 16 == 3:
+            at = np.array([rng.integers(51, 91)])
+            out[i, at[0] + 1 :] = out[i, at[0] : -1].copy()
+        out[i, at] = rng.integers(1, 1 << 32, len(at), dtype=np.uint32)
+        if i % 16 == 5:
+            out[i, : rng.integers(0, 41)] = 0
+        if i % 16 == 7:
+            out[i, rng.integers(51, 93) :] = 0
+    return out
+
+
+def test_links_of_a_large_bucket_join_what_all_pairs_join():
+    for k, texts in enumerate((1, 3, 40)):
+        around = near_copies(300, k, texts)
+        only, known = np.random.default_rng(k).integers(0, 60, 300), np.random.default_rng(k + 9).random(300) < 0.8
+        x, y = np.triu_indices(300, 1)
+        apart = ~(known[x] & known[y] & (only[x] == only[y]))
+        alike, _ = paragraphs.compare(around[x[apart]], around[y[apart]], 51, 0.8)
+        found = [(a, b) for xs, ys, _ in paragraphs.spanning(around, known, only, 51, 0.8) for a, b in zip(xs.tolist(), ys.tolist(), strict=True)]
+        pairs = set(zip(x[apart][alike].tolist(), y[apart][alike].tolist(), strict=True))
+        assert set(found) <= pairs
+        groups = [{i: i for i in range(300)} for _ in range(2)]
+        for links, group in zip((pairs, found), groups, strict=True):
+            for a, b in links:
+                low, high = sorted((group[a], group[b]))
+                group.update({i: low for i, g in group.items() if g == high})
+        assert groups[0] == groups[1] and 1 < len(set(groups[0].values())) < 300
+
+
+def test_comparing_a_bucket_grows_with_its_rows():
+    took = []
+    for n in (1500, 6000):
+        around = near_copies(n, 5, texts=n // 300, changes=2)
+        began = time.process_time()
+        linked = sum(len(x) for x, _, _ in paragraphs.spanning(around, np.zeros(n, bool), np.arange(n), 51, 0.8))
+        took.append(time.process_time() - began)
+        assert linked > 0.7 * n
+    assert took[1] < 5.5 * took[0]  # four times the rows, in four times the groups; all pairs are sixteen times as many
+
+
 def test_long_passages_with_a_changed_word_go_as_a_whole(spark):
     rng = random.Random(12)
     unique = itertools.count()
