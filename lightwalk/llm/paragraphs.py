@@ -182,13 +182,20 @@ def _surroundings(docs: DataFrame, wanted: DataFrame, side: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            content, around = [], []
-            for text, places in zip(batch["text"].to_pylist(), batch["wanted"].to_pylist(), strict=True):
+            if not batch.num_rows:
+                continue
+            pos, content = batch["wanted"].flatten().flatten()
+            places = np.split(pos.to_numpy(), np.cumsum(batch["wanted"].value_lengths().to_numpy())[:-1])
+            around, sent, have = [], 0, 0
+            for k, (text, at) in enumerate(zip(batch["text"].to_pylist(), places, strict=True), 1):
                 hashed = np.pad(np.maximum(word_hashes(text).astype(np.uint32), 1), side)
-                at = np.array([p["pos"] for p in places])
-                content += [p["content"] for p in places]
-                around += [x.tobytes() for x in hashed[at[:, None] + np.arange(2 * side + SEED)]]
-            yield pa.record_batch([pa.array(content, pa.int64()), pa.array(around, pa.binary())], names=["content", "around"])
+                around.append(hashed[at[:, None] + np.arange(2 * side + SEED)])
+                have += len(at)
+                if have >= 1 << 16 or k == batch.num_rows:
+                    rows, ends = np.concatenate(around), np.arange(have + 1, dtype=np.int32) * np.int32(4 * (2 * side + SEED))
+                    told = pa.Array.from_buffers(pa.binary(), have, [None, pa.py_buffer(ends), pa.py_buffer(rows)])
+                    yield pa.record_batch([content.slice(sent, have), told], names=["content", "around"])
+                    around, sent, have = [], sent + have, 0
 
     return docs.join(per.hint("shuffle_hash"), "doc_id").select("text", "wanted").mapInArrow(run, "content long, around binary")
 
@@ -301,7 +308,10 @@ def _close(a: np.ndarray, b: np.ndarray, same: np.ndarray, shingle: np.ndarray,
     total = np.zeros((len(a), shingle.shape[1] + 1), np.int32)
     np.cumsum(shingle, axis=1, out=total[:, 1:])
     k = np.arange(side + 1)
-    got = np.take_along_axis(total, np.minimum(k + count[:, None], shingle.shape[1]), 1) - total[:, : side + 1]
+    if (count == words - SHINGLE + 1).all():
+        got = total[:, words - SHINGLE + 1 :] - total[:, : side + 1]
+    else:
+        got = np.take_along_axis(total, np.minimum(k + count[:, None], shingle.shape[1]), 1) - total[:, : side + 1]
     fits = (k >= begin.max(0)[:, None]) & (k + length[:, None] <= end.min(0)[:, None]) & (k + length[:, None] >= words)
     near = fits & ((1 + similarity) * got >= 2 * similarity * count[:, None] - 1e-9)
     alike = near.any(1)
